@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .golay_simhash import simhash_groups
+from .packing import pack_documents
+from .tokens import token_counts
 
 
 def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +22,16 @@ def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), limit=1024)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), size=2048, end_id=0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_golay_simhash,)}
+    return {f.__name__: f for f in (op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
