@@ -9,10 +9,19 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .golay_simhash import simhash_groups
+from .histogram_sort import histogram_shards
 from .packing import pack_documents
 from .tokens import token_counts
 
 
+def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return histogram_shards(docs.withColumn("text_crc32", crc), shards=24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return groups.select(
@@ -31,7 +40,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op3_histogram_sort, op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
