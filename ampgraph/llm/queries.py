@@ -10,10 +10,20 @@ from pyspark.sql import functions as F
 from .common import table
 from .golay_simhash import simhash_groups
 from .histogram_sort import histogram_shards
+from .lattice_dedup import lattice_dedup
+from .onebit_search import onebit_search
 from .packing import pack_documents
 from .tokens import token_counts
 
 
+def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+def op2_onebit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit_search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(20)) == 0, k=20)
+
+
 def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
@@ -40,7 +50,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_histogram_sort, op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
