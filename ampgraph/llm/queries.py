@@ -13,7 +13,9 @@ from .histogram_sort import histogram_shards
 from .lattice_dedup import lattice_dedup
 from .onebit_search import onebit_search
 from .packing import pack_documents
+from .quality import quality_scores
 from .tokens import token_counts
+from .toxicity import toxicity_scores
 
 
 def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,14 @@ def op3_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op5_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return groups.select(
@@ -50,7 +60,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op4_quality_ftrl, op5_toxicity_nnpu, op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
