@@ -1,8 +1,10 @@
-"""A tokenizer's ids by cached pre-tokens, and token counts by a two-tier lookup."""
+"""A tokenizer's ids, and token counts by a two-tier lookup of pre-tokens."""
 
 from __future__ import annotations
 
 import heapq
+import itertools
+import json
 import os
 import re
 from collections import Counter
@@ -11,13 +13,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import as_bytes
 
-#: Entries of a worker's cache; a full one is emptied.
+#: Entries of a worker's cache; a full one keeps its first quarter.
 CACHE = 400_000
 #: Entries that a partition, and the whole corpus, contribute to the frequent tier.
 PART_TOP, TABLE_TOP = 4096, 32_768
@@ -42,10 +45,10 @@ def default_pattern() -> str:
 
 
 class PreTokens:
-    """The ids that a byte-level BPE tokenizer gives, with a cache from pre-token to ids.
+    """The ids that the tokenizers library gives for a byte-level BPE file, and their number by cached pre-tokens.
 
-    The merges never cross a pre-token, so a text's ids are those of its pre-tokens in order. Texts with
-    special strings, or with characters from U+0240 on, go to the library whole.
+    The merges never cross a pre-token, so a text's count is the sum of its pre-tokens'. Texts with special
+    strings, or with characters from U+0240 on, go to the library whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -55,49 +58,70 @@ class PreTokens:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split = regex.compile(pattern).findall
-        self.ids: dict[str, bytes] = _Cache(self.encode)
-        self.lengths: dict[str, int] = _Cache(lambda t: len(self.encode(t)) // 4)
+        ranks = merge_ranks(path)
+        self.merger = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self.lengths: dict[str, int] = {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, straight from the library."""
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def encode_each(self, tokens: list[str]) -> list[bytes]:
+        """Ids of each pre-token. Those of a space and letters keep apart in one string, and are encoded at once."""
+        words = [t for t in tokens if t[0] == " " and t[1:].isalpha()]
+        known = {}
+        if len(words) > 1:
+            got = self.library.encode("".join(words), add_special_tokens=False)
+            number, packed = got.word_ids, np.array(got.ids, "<u4").tobytes()
+            if number[-1] == len(words) - 1:
+                cuts = (4 * np.searchsorted(number, np.arange(len(words) + 1))).tolist()
+                known = {w: packed[a:b] for w, a, b in zip(words, cuts, cuts[1:], strict=False)}
+        return [known[t] if t in known else self.encode(t) for t in tokens]
+
     def plain(self, raw: bytes, text: str) -> bool:
         return not _OTHER.search(raw) and not any(s in text for s in self.special)
 
     def packed(self, raw: bytes) -> bytes:
+        """A text's ids, packed. Plain text is merged by tiktoken over the same vocabulary, where its ids are ranks."""
         text = raw.decode("utf-8", "replace")
-        if self.plain(raw, text):
-            return b"".join(map(self.ids.__getitem__, self.split(text)))
-        return self.encode(text)
+        if self.merger is None or not self.plain(raw, text):
+            return self.encode(text)
+        return np.array(self.merger.encode_ordinary(text), "<u4").tobytes()
 
     def count(self, raw: bytes, frequent: dict[str, int]) -> int:
         text = raw.decode("utf-8", "replace")
         if not self.plain(raw, text):
             return len(self.encode(text)) // 4
-        total, misses = 0, []
-        get, put = frequent.get, misses.append
-        for token in self.split(text):
-            n = get(token)
-            if n is None:
-                put(token)
-            else:
-                total += n
-        return total + sum(map(self.lengths.__getitem__, misses))
-
-
-class _Cache(dict):
-    """Values by key, made on demand; emptied when full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
+        tokens = self.split(text)
+        parts = list(map(frequent.get, tokens))
+        misses = [t for t, p in zip(tokens, parts, strict=True) if p is None]
+        if not misses:
+            return sum(parts)
+        new = list(dict.fromkeys(t for t in misses if t not in self.lengths))
+        found = {t: len(x) // 4 for t, x in zip(new, self.encode_each(new), strict=True)}
+        self.lengths.update(found)
+        total = sum(p for p in parts if p is not None) + sum(map(self.lengths.__getitem__, misses))
+        self.lengths = _room(self.lengths)
+        return total
+
+
+def merge_ranks(path: str) -> dict[bytes, int] | None:
+    """Token bytes -> id of a byte-level BPE file, if its merges are in the order of their ids; else nothing."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"]["".join(m)] for m in pairs]
+    if made != sorted(set(made)) or len(made) + 256 < len(set(model["vocab"].values())) - 1:
+        return None
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    of_char = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*shown}))}
+    ids = {*made, *(model["vocab"][c] for c in of_char)}
+    return {bytes(of_char[c] for c in t): i for t, i in model["vocab"].items() if i in ids}
+
+
+def _room(cache: dict) -> dict:
+    """The cache, or of a full one the entries that came first: frequent pre-tokens do."""
+    return cache if len(cache) < CACHE else dict(itertools.islice(cache.items(), CACHE // 4))
 
 
 def pre_tokens(path: str, pattern: str) -> PreTokens:
