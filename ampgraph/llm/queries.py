@@ -14,6 +14,7 @@ from .lattice_dedup import lattice_dedup
 from .onebit_search import onebit_search
 from .packing import pack_documents
 from .quality import quality_scores
+from .suffix_dedup import repeated_spans
 from .tokens import token_counts
 from .toxicity import toxicity_scores
 
@@ -42,6 +43,10 @@ def op5_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
 
 
+def op6_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return groups.select(
@@ -60,7 +65,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op4_quality_ftrl, op5_toxicity_nnpu, op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op4_quality_ftrl, op5_toxicity_nnpu, op6_sparse_suffix_dedup, op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
