@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import table
 from .golay_simhash import simhash_groups
 from .histogram_sort import histogram_shards
@@ -64,9 +65,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), size=2048, end_id=0)
 
 
+def op10_mix_by_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.mixing_probabilities(docs).select(
+        "doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"),
+        F.round("__probability", 6).alias("probability"), F.col("__sampled").alias("sampled"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op4_quality_ftrl, op5_toxicity_nnpu, op6_sparse_suffix_dedup, op7_golay_simhash, op8_token_counts, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op4_quality_ftrl, op5_toxicity_nnpu, op6_sparse_suffix_dedup, op7_golay_simhash, op8_token_counts, op9_best_fit_packing, op10_mix_by_raking)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mix_by_raking": mixing.oracle_sql()}

@@ -124,16 +124,14 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs:
     return (w * odds)[:-1].astype(np.float32), float(w[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, prior: float | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row: the probability that ``label`` is 1, from the whole text.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, float]:
+    """Weights and bias.
 
     Training reads at most ``POSITIVES`` documents labelled 1 and ``UNLABELLED`` documents whatever their label,
-    all outside the held-out fold and first by a hash of their id, in one task; the weights (1 MB) are
-    broadcast. ``prior`` defaults to the share of 1 among the labels outside that fold. Ids, languages and sources
-    are no inputs. A null or empty text scores by the bias alone; without positive labels every score is 0.5.
-    Null ids stay null; repeated rows are each scored; an empty table gives an empty one.
+    all outside the held-out fold and first by a hash of their id, in one task. ``prior`` defaults to the share of
+    1 among the labels outside that fold.
     """
-    known = labelled(labels, label)
+    known = labelled(labels, label, id_column)
     if prior is None:
         share = known.agg(F.avg("label")).first()[0]
         prior = min(max(share or 0.0, 1e-3), 0.5)
@@ -143,7 +141,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     other = other.orderBy(*stable_order("doc_id")).limit(UNLABELLED).distinct().select("doc_id", F.lit(0).alias("positive"))
     rows = texts.join(F.broadcast(marked.unionByName(other)), "doc_id").select(F.xxhash64("doc_id", "text", "positive").alias("order"), "text", "positive")
 
-    def fit(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[list, list] = ([], [])
         for b in it:
             for t, y in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
@@ -151,6 +149,35 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
         w, bias = train(seen[1], seen[0], prior)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    got = rows.repartition(1).sortWithinPartitions("order").mapInArrow(fit, "w binary, bias double").first()
-    weights = np.frombuffer(got["w"], np.float32) if got else np.zeros(1 << BITS, np.float32)
-    return score_documents(texts, score_text, (weights, got["bias"] if got else 0.0), threshold)
+    got = rows.repartition(1).sortWithinPartitions("order").mapInArrow(learn, "w binary, bias double").first()
+    return (np.frombuffer(got["w"], np.float32), got["bias"]) if got else (np.zeros(1 << BITS, np.float32), 0.0)
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, prior: float | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row: the probability that ``label`` is 1, from the whole text.
+
+    The model of ``fit`` (1 MB) is broadcast. Ids, languages and sources are no inputs. A null or empty text scores
+    by the bias alone; without positive labels every score is 0.5. Null ids stay null; repeated rows are each
+    scored; an empty table gives an empty one.
+    """
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    return score_documents(texts, score_text, fit(docs, labels, label, prior, id_column, text_column), threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns; rows without words stay.
+
+    Without positive labels nothing is known to be toxic, and every row stays.
+    """
+    model = fit(docs, labels, text_column=text_column)
+    if not model[0].any():
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_column)
+
+    def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ok = [not t.strip() or score_text(t, *shared.value) < threshold for t in as_bytes(batch.column(place))]
+            yield batch.filter(pa.array(ok, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
