@@ -6,14 +6,44 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ampgraph.llm.common import materialize, table
 from ampgraph.llm.golay_simhash import simhash_dedup
+from ampgraph.llm.mixing import mix
+from ampgraph.llm.packing import pack_documents
+from ampgraph.llm.suffix_dedup import remove_repeats
+from ampgraph.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go."""
+    return drop_toxic(docs, table(spark, sf_dir, "labels"), threshold=0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash_dedup(docs)
+    return simhash_dedup(docs, shingle=5, max_bits=16, prints=2)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more stay where they stand first, and leave every other text."""
+    return remove_repeats(docs, length=50)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents sampled so that sources, languages and topics have their target shares of the tokens."""
+    return mix(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The places of all documents' tokens in sequences of 2048."""
+    return pack_documents(docs, size=2048, end_id=0)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("simhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", suffix_dedup),
+    ("mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
 #: Trained scores and fingerprints can't be written in SQL.
 ORACLE_SQL = None
