@@ -7,8 +7,10 @@ class prior); where that estimate turns negative on a batch, the step goes the o
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, stable_order
-from .quality import CACHE, held_out, labelled, score_documents
+from .quality import held_out, labelled, score_documents
 
 BITS = 18
 #: Most confirmed and unlabelled documents that training reads, by hash order of the ids.
 POSITIVES, UNLABELLED = 3000, 9000
 PREFIXES = (3, 4, 5)
+#: Words whose scores a worker keeps.
+CACHE = 150_000
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -59,19 +63,30 @@ def score_text(text: bytes, weights: np.ndarray, bias: float) -> float:
     return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
-def _rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all documents end to end, and where each begins; every document has the bias feature."""
-    made = []
-    known: dict[str, list[int]] = {}
+def _rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of all documents end to end by number, where each document begins, and features by word (-1: none)."""
+    number: dict[str, int] = {}
+    made, features = [], array("i")
     for text in texts:
-        at = [1 << BITS]
+        own = []
         for word in set(_words(text.decode("utf-8", "replace").lower())):
-            if word not in known:
-                known[word] = word_features(word)
-            at += known[word]
-        made.append(np.sort(np.array(at, np.int32)))
+            k = number.setdefault(word, len(number))
+            if k * (1 + len(PREFIXES)) == len(features):
+                f = word_features(word)
+                features.extend(f + [-1] * (1 + len(PREFIXES) - len(f)))
+            own.append(k)
+        made.append(np.sort(np.array(own, np.int32)))
     starts = np.cumsum([0, *map(len, made)])
-    return np.concatenate(made) if made else np.empty(0, np.int32), starts
+    return np.concatenate([np.empty(0, np.int32), *made]), starts, np.array(features, np.int32).reshape(-1, 1 + len(PREFIXES))
+
+
+def _presence(words: np.ndarray, starts: np.ndarray, features: np.ndarray, docs: range, size: int) -> np.ndarray:
+    """In what share of the documents each feature is."""
+    total = np.zeros(size)
+    for d in docs:
+        f = np.unique(features[words[starts[d] : starts[d + 1]]])
+        total[f[f >= 0]] += 1
+    return total / len(docs)
 
 
 def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 10, batch: int = 256, rate: float = 0.02, least: float = 1.5, smooth: float = 5.0) -> tuple[np.ndarray, float]:
@@ -84,18 +99,18 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs:
     size = (1 << BITS) + 1
     if not positive or not unlabelled:
         return np.zeros(size - 1, np.float32), 0.0
-    at, starts = _rows(positive + unlabelled)
     n_p, n = len(positive), len(positive) + len(unlabelled)
-    row = np.repeat(np.arange(n), np.diff(starts))
-    once = np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])]
-    toxic = np.bincount(at[once & (row < n_p)], minlength=size) / n_p
-    any_ = np.bincount(at[once & (row >= n_p)], minlength=size) / (n - n_p)
+    words, starts, features = _rows(positive + unlabelled)
+    toxic = _presence(words, starts, features, range(n_p), size)
+    any_ = _presence(words, starts, features, range(n_p, n), size)
     clean = np.maximum(0, (any_ - prior * toxic) / (1 - prior))
     odds = np.log((toxic + smooth / n_p) / (clean + smooth / n_p))
     odds[odds < least] = 0
     odds[-1] = 1
-    kept = odds[at] != 0
-    at, starts = at[kept], np.r_[0, np.cumsum(kept)][starts]
+    features[(features >= 0) & (odds[features] == 0)] = -1
+    kept = (features[words] >= 0).any(1)
+    words, starts = words[kept], np.r_[0, np.cumsum(kept)][starts]
+    known = [np.r_[f[f >= 0], size - 1] for f in (features[words[a:b]] for a, b in itertools.pairwise(starts.tolist()))]
     w, m, v = np.where(odds > 0, 0.5, 0.0), np.zeros(size), np.zeros(size)
     w[-1] = np.log(prior / (1 - prior))
     rng = np.random.default_rng(5)
@@ -106,7 +121,7 @@ def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs:
         for i in range(0, len(u_order), batch):
             u = u_order[i : i + batch]
             p = p_order[np.arange(t * batch, (t + 1) * batch) % n_p]
-            parts = [at[starts[d] : starts[d + 1]] for d in np.concatenate([p, u])]
+            parts = [known[d] for d in np.concatenate([p, u])]
             flat, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
             z = np.add.reduceat(w[flat] * odds[flat], np.cumsum(sizes) - sizes)
             q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
