@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import map_batches, materialize, shuffle_partitions
 
 #: Rows of a bucket that one comparison holds at once.
 BLOCK = 4096
@@ -40,8 +40,7 @@ def bucket_links(rows: DataFrame, near: Near, paired: Near, decode: Callable[[pa
     def scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         block, large = 0, None  # blocks given so far of the run that is too large, and its key
-        for batch in it:
-            part = pa.Table.from_batches([batch])
+        for part in gathered(it):
             held = part if held is None else pa.concat_tables([held, part]).combine_chunks()
             while held.num_rows:
                 keys = held["key"].to_numpy()
@@ -91,7 +90,7 @@ def bucket_links(rows: DataFrame, near: Near, paired: Near, decode: Callable[[pa
             found.append(ids[at][spanning(data[at], near)])
         yield edges(np.concatenate(found), schema)
 
-    both = materialize(runs.mapInArrow(scan, f"a long, b long, key long, block int, payload {kind}"), "buckets")
+    both = materialize(map_batches(runs, scan, f"a long, b long, key long, block int, payload {kind}"), "buckets")
     links = both.where("a is not null").select("a", "b")
     large = both.where("block is not null").select("key", "block", "payload", F.col("b").alias("id"))
     if not large.take(1):
@@ -112,6 +111,18 @@ def bucket_links(rows: DataFrame, near: Near, paired: Near, decode: Callable[[pa
     return links.unionByName(more).where("a != b").distinct()
 
 
+def gathered(it: Iterator[pa.RecordBatch], rows: int = 16_384) -> Iterator[pa.Table]:
+    """Batches put together to tables of about ``rows`` rows."""
+    some: list[pa.RecordBatch] = []
+    for batch in it:
+        some.append(batch)
+        if sum(b.num_rows for b in some) >= rows:
+            yield pa.Table.from_batches(some)
+            some = []
+    if some:
+        yield pa.Table.from_batches(some)
+
+
 def spanning(data: np.ndarray, near: Near, step: int = 64) -> np.ndarray:
     """Pairs of row numbers: a spanning forest of the graph of near rows, found breadth first."""
     rest = np.arange(len(data))

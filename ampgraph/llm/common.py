@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Rows and bytes of text that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _own_dirs: dict[str, str] = {}
 
 
@@ -52,6 +54,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow over batches that stay small where texts are long: fewer rows and bytes than Spark's defaults."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,10 +90,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def stable_order(*columns) -> list:
     """Sort keys that pick rows by a hash of the given columns, the same at every run."""
     return [F.xxhash64(*columns), *columns]
-
-
-def batches(arrays: dict[str, pa.Array], schema: pa.Schema, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """Slices of ``arrays`` of bounded length."""
-    whole = pa.RecordBatch.from_arrays([arrays[n] for n in schema.names], schema=schema)
-    for start in range(0, max(1, whole.num_rows), rows):
-        yield whole.slice(start, rows)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links
-from .common import as_bytes, lower_words, materialize, mix64
+from .common import as_bytes, lower_words, map_batches, materialize, mix64
 from .components import connected_components
 
 #: Generator polynomial of the binary Golay code [23, 12, 7]: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -126,7 +126,7 @@ def simhash(docs: DataFrame, shingle: int = 4, prints: int = 1, id_column: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["id", "prints"])
 
     kind = dict(docs.dtypes)[id_column]
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(scan, f"id {kind}, prints array<long>")
+    return map_batches(docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")), scan, f"id {kind}, prints array<long>")
 
 
 def _decode(prints: int):
@@ -172,7 +172,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, prints:
     def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= max_bits
 
-    rows = classes.select("node", "prints").mapInArrow(spread, f"key long, id long, payload {'long' if prints == 1 else 'binary'}")
+    rows = map_batches(classes.select("node", "prints"), spread, f"key long, id long, payload {'long' if prints == 1 else 'binary'}")
     links = bucket_links(rows, near, paired, _decode(prints))
     roots = connected_components(links)
     named = classes.join(roots, classes.node == roots.node, "left").select(

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import bucket_links
-from .common import materialize, mix64, shuffle_partitions
+from .common import map_batches, materialize, mix64, shuffle_partitions
 from .components import connected_components
 from .vectors import matrices, pack_rows, unit, unpack_rows, usable
 
@@ -119,7 +119,7 @@ def lattice_dedup(vectors: DataFrame, threshold: float = 0.9, tables: int = TABL
     def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", x, y) >= threshold
 
-    links = bucket_links(classes.select("node", "v").mapInArrow(spread, "key long, id long, payload binary"), near, paired, decode)
+    links = bucket_links(map_batches(classes.select("node", "v"), spread, "key long, id long, payload binary"), near, paired, decode)
     roots = materialize(connected_components(links), "vector-roots")
     member = classes.join(roots, "node").select("root", "node", "n", "v")
     blocks = member.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -162,7 +162,7 @@ def lattice_dedup(vectors: DataFrame, threshold: float = 0.9, tables: int = TABL
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(total)], names=["node", "links"])
 
     runs = dealt.repartition(shuffle_partitions(vectors.sparkSession), "key").sortWithinPartitions("root", "i", "j").drop("key")
-    linked = runs.mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    linked = map_batches(runs, count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
     known = (
         classes.join(roots, "node", "left")
         .join(linked, "node", "left")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_batches, materialize
 from .vectors import matrices, pack_rows, unpack_rows, usable
 
 #: Vectors and queries that one task compares.
@@ -114,7 +114,7 @@ def onebit_search(vectors: DataFrame, is_query: Column, k: int = 20, id_column:
                     names=["id", "query", "d", "bits", "length", "align", "v"],
                 )
 
-    indexed = materialize(rows.mapInArrow(index, "id long, query boolean, d int, bits binary, length double, align double, v binary"), "onebit-index")
+    indexed = materialize(map_batches(rows, index, "id long, query boolean, d int, bits binary, length double, align double, v binary"), "onebit-index")
     n, m = indexed.agg(F.count(F.lit(1)), F.count_if("query")).first()
     g, h = max(1, -(-n // VECTORS)), max(1, -(-m // QUERIES))
     queries = indexed.where("query").groupBy("d", "id").agg(F.min("v").alias("v"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize
+from .common import as_bytes, map_batches, materialize
 from .tokens import default_pattern, default_tokenizer, pre_tokens
 
 #: Pieces that one packer takes; the number of packers follows the number of pieces.
@@ -86,7 +86,7 @@ def token_pieces(docs: DataFrame, size: int = 2048, end_id: int = 0, tokenizer:
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(scan, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return map_batches(rows, scan, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(pieces: DataFrame, size: int = 2048, space: int = OPEN, group: int = GROUP) -> DataFrame:

@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix64, stable_order
+from .common import as_bytes, map_batches, mix64, stable_order
 
 BITS = 18
 #: Most labelled documents that training reads: a bound on its one task, by hash order of the ids.
 SAMPLE = 8000
 #: Token codes that a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 
 _SHAPES = ((re.compile(r"[^\W\d_]+"), lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
 
@@ -138,7 +138,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
         w, bias = train(seen) if seen else (np.zeros(1 << BITS, np.float32), 0.0)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    got = rows.repartition(1).sortWithinPartitions("order").mapInArrow(fit, "w binary, bias double").first()
+    got = map_batches(rows.repartition(1).sortWithinPartitions("order"), fit, "w binary, bias double").first()
     weights = np.frombuffer(got["w"], np.float32) if got else np.zeros(1 << BITS, np.float32)
     return score_documents(texts, score_text, (weights, got["bias"] if got else 0.0), threshold)
 
@@ -151,6 +151,7 @@ def score_documents(texts: DataFrame, score, model: tuple, threshold: float) ->
         for batch in it:
             s = pa.array([float(score(t, *shared.value)) for t in as_bytes(batch.column(1))], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), s], names=["doc_id", "score"])
+        _codes.clear()
 
-    scored = texts.select("doc_id", "text").mapInArrow(scan, f"doc_id {dict(texts.dtypes)['doc_id']}, score double")
+    scored = map_batches(texts.select("doc_id", "text"), scan, f"doc_id {dict(texts.dtypes)['doc_id']}, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -4,8 +4,9 @@ Of all the suffixes of a text's words, only those at minimiser positions are kep
 consecutive word runs of length ``ANCHOR``, the one of the smallest hash. Any passage of ``length`` words holds
 a whole window, so its copies keep the same suffix at the same place. The kept suffixes are sorted by their
 leading words and neighbours compared; only where neighbours agree can a passage repeat. There the matches
-are extended to the left and right: every passage of exactly ``length`` words that holds the suffix as its
-minimiser is sorted and compared with its neighbours in turn, and overlapping repeats join to maximal spans.
+are extended to the left and right over the block of all passages of ``length`` words whose minimiser the suffix
+is. Suffixes whose blocks all agree are settled by that; for the others every passage of the block is compared
+in turn, which finds where a match ends. Overlapping repeats join to maximal spans.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, mix64
+from .common import as_bytes, map_batches, materialize, mix64
 
 #: Words that a minimiser hashes, and by whose agreement neighbours are first compared.
 ANCHOR = 12
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-CACHE = 300_000
+CACHE = 150_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -45,15 +46,24 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return mix64(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
 
 
-def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of every run of ``size`` words: a polynomial modulo 2^64, by differences of running sums."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
+def span_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of words[start:stop] for each span: a polynomial modulo 2^64, by differences of running sums."""
     down = np.cumprod(np.full(len(words), INVERSE, np.uint64))
-    up = np.cumprod(np.full(n, BASE, np.uint64))
+    up = np.cumprod(np.full(len(words), BASE, np.uint64))
     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(words * down)]
-    return mix64((sums[size:] - sums[:-size]) * up)
+    return mix64((sums[stop] - sums[start]) * up[start]) if len(start) else np.empty(0, np.uint64)
+
+
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of ``size`` words."""
+    start = np.arange(max(0, len(words) - size + 1))
+    return span_hashes(words, start, start + size)
+
+
+def both_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits that stand for a span: a signed long, and a signed int of a second hash."""
+    second = span_hashes(mix64(words + np.uint64(1)), start, stop) >> np.uint64(32)
+    return span_hashes(words, start, stop).view(np.int64), second.astype(np.uint32).view(np.int32)
 
 
 def minimisers(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,59 +101,80 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     first = materialize(_keyed(texts).groupBy("text_key", "text_check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "texts")
 
     def suffixes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            doc, anchor = [], []
-            for i, text in enumerate(as_bytes(batch.column(1))):
-                runs, at = minimisers(word_hashes(text.split()), length)
-                kept = runs[np.unique(at)]
-                doc.append(np.full(len(kept), i))
-                anchor.append(kept)
-            take = pa.array(np.concatenate(doc)) if doc else pa.array([], pa.int64())
-            keys = np.concatenate(anchor).view(np.int64) if anchor else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(take), batch.column(2).take(take)], names=["anchor", "doc_id", "text_key"])
+        names = ["anchor", "block", "block_check", "doc_id", "text_key", "start", "stop"]
+        try:
+            for batch in it:
+                row, made = [], []
+                for i, text in enumerate(as_bytes(batch.column(1))):
+                    words = word_hashes(text.split())
+                    runs, at = minimisers(words, length)
+                    if len(at):
+                        begin = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                        end = np.r_[begin[1:], len(at)] + length - 1
+                        made.append((runs[at[begin]].view(np.int64), *both_hashes(words, begin, end), begin, end))
+                        row.append(np.full(len(begin), i))
+                if made:
+                    anchor, block, check, begin, end = (np.concatenate(c) for c in zip(*made, strict=True))
+                    take = pa.array(np.concatenate(row))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(block), pa.array(check), batch.column(0).take(take), batch.column(2).take(take), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=names)
+        finally:
+            _hashes.clear()
 
     unique = _first_texts(texts, first)
-    kept = unique.select("doc_id", "text", "text_key").mapInArrow(suffixes, "anchor long, doc_id long, text_key long")
+    kept = map_batches(unique.select("doc_id", "text", "text_key"), suffixes, "anchor long, block long, block_check int, doc_id long, text_key long, start int, stop int")
     kept = materialize(kept, "suffixes")
-    agreed = kept.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    wanted = kept.join(agreed, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("anchors"))
+    # copies of a passage keep the same suffix; where all that keep it also agree in every passage around it, one row decides
+    agreed = kept.groupBy("anchor").agg(
+        F.count(F.lit(1)).alias("n"), F.min("block").alias("b1"), F.max("block").alias("b2"), F.min("block_check").alias("c1"), F.max("block_check").alias("c2"),
+        F.min("doc_id").alias("first_doc_id"),
+    )
+    agreed = agreed.where("n > 1").select("anchor", "first_doc_id", ((F.col("b1") == F.col("b2")) & (F.col("c1") == F.col("c2"))).alias("same"))
+    shared = materialize(kept.join(agreed, "anchor"), "agreeing")
+    place = F.struct("text_key", "start")
+    leaders = shared.where("same and doc_id = first_doc_id").groupBy("anchor").agg(F.min(place).alias("first"))
+    plain = shared.where("same").join(leaders, "anchor").select(
+        "doc_id", "text_key", "start", "stop", "first_doc_id", ((F.col("doc_id") != F.col("first_doc_id")) | (place != F.col("first"))).alias("removed")
+    )
 
     def extend(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for i, text in enumerate(as_bytes(batch.column(1))):
                 words = word_hashes(text.split())
-                runs, at = minimisers(words, length)
-                anchors = np.array(batch.column(3)[i].as_py(), np.int64).view(np.uint64)
-                start = np.flatnonzero(np.isin(runs[at], anchors))
-                whole = run_hashes(words, length)[start].view(np.int64)
-                check = (run_hashes(mix64(words + np.uint64(1)), length)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                n = len(start)
-                for a in range(0, n, 50_000):
-                    b = min(n, a + 50_000)
-                    same = [pa.array(np.full(b - a, batch.column(k)[i].as_py(), np.int64)) for k in (0, 2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(whole[a:b]), pa.array(check[a:b]), *same, pa.array(start[a:b].astype(np.int32))], names=["passage", "passage_check", "doc_id", "text_key", "start"])
-
-    held = unique.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "anchors")
-    passages = materialize(held.mapInArrow(extend, "passage long, passage_check int, doc_id long, text_key long, start int"), "passages")
-    least = passages.groupBy("passage", "passage_check").agg(F.min(F.struct("doc_id", "text_key", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-    repeats = passages.join(least.where("n > 1"), ["passage", "passage_check"]).select(
-        "doc_id", "text_key", "start", F.col("first.doc_id").alias("first_doc_id"), (F.struct("doc_id", "text_key", "start") != F.col("first")).alias("removed")
-    )
-
-    # passages of one text and kind that overlap or touch are one span
+                blocks = [(x["start"], x["stop"]) for x in batch.column(3)[i].as_py()]
+                start = np.concatenate([np.arange(a, b - length + 1) for a, b in blocks])
+                for at in range(0, len(start), 50_000):
+                    part = start[at : at + 50_000]
+                    whole, check = both_hashes(words, part, part + length)
+                    same = [pa.array(np.full(len(part), batch.column(k)[i].as_py(), np.int64)) for k in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(check), *same, pa.array(part.astype(np.int32))], names=["passage", "passage_check", "doc_id", "text_key", "start"])
+        _hashes.clear()
+
+    wanted = shared.where("not same").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("blocks"))
+    held = unique.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "blocks")
+    passages = materialize(map_batches(held, extend, "passage long, passage_check int, doc_id long, text_key long, start int"), "passages")
+    least = passages.groupBy("passage", "passage_check").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").drop("n")
+    repeats = passages.join(least, ["passage", "passage_check"])
+    leaders = repeats.where("doc_id = first_doc_id").groupBy("passage", "passage_check").agg(F.min(place).alias("first"))
+    fine = repeats.join(leaders, ["passage", "passage_check"]).select(
+        "doc_id", "text_key", "start", (F.col("start") + length).alias("stop"), "first_doc_id",
+        ((F.col("doc_id") != F.col("first_doc_id")) | (place != F.col("first"))).alias("removed"),
+    )
+
+    # spans of one text and kind that overlap or touch are one
     def spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_: tuple | None = None
+        open_: list | None = None
         for batch in it:
             if not batch.num_rows:
                 continue
-            doc, key, at, first_doc, gone = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (gone[1:] != gone[:-1]) | (at[1:] > at[:-1] + length)]
+            doc, key, at, stop, first_doc, gone = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (gone[1:] != gone[:-1]) | (at[1:] > stop[:-1])]
             begin = np.flatnonzero(new)
             end = np.r_[begin[1:], len(doc)] - 1
-            made = [list(x) for x in zip(doc[begin], key[begin], at[begin], at[end] + length, first_doc[begin], gone[begin], strict=True)]
+            made = [list(x) for x in zip(doc[begin], key[begin], at[begin], stop[end], first_doc[begin], gone[begin], strict=True)]
             if open_ is not None:
-                if open_[0] == made[0][0] and open_[1] == made[0][1] and open_[5] == made[0][5] and made[0][2] <= open_[3]:
-                    made[0] = [*open_[:3], made[0][3], open_[4], open_[5]]
+                head = made[0]
+                if open_[:2] == head[:2] and open_[5] == head[5] and head[2] <= open_[3]:
+                    made[0] = [*open_[:3], head[3], *open_[4:]]
                 else:
                     made.insert(0, open_)
             open_ = made.pop()
@@ -152,8 +183,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         if open_ is not None:
             yield _spans([open_])
 
-    ordered = repeats.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "removed", "start")
-    found = ordered.mapInArrow(spans, "doc_id long, text_key long, start int, stop int, first_doc_id long, removed boolean")
+    ordered = plain.unionByName(fine).repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "removed", "start")
+    found = map_batches(ordered, spans, "doc_id long, text_key long, start int, stop int, first_doc_id long, removed boolean")
     copied = first.where("copies > 1").select("text_key", "text_check", F.col("doc_id").alias("first_doc_id"))
     size = F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
     whole = _keyed(texts).join(copied, ["text_key", "text_check"]).select("doc_id", "text_key", F.lit(0).alias("start"), size.alias("stop"), "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))

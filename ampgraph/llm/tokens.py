@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import as_bytes
+from .common import as_bytes, map_batches
 
 #: Entries of a worker's cache; a full one keeps its first quarter.
 CACHE = 400_000
@@ -155,7 +155,7 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, pattern: str, text_column:
         both = x + y
         return both if len(both) <= 2 * TABLE_TOP else Counter(dict(both.most_common(TABLE_TOP)))
 
-    parts = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(summarise, "token array<string>, n array<long>")
+    parts = map_batches(docs.select(F.col(text_column).cast("string").alias("text")), summarise, "token array<string>, n array<long>")
     counts = parts.rdd.map(lambda r: Counter(dict(zip(r["token"], r["n"], strict=True)))).treeAggregate(Counter(), merge, merge, depth=3)
     encoder = pre_tokens(tokenizer, pattern)
     top = [t for t, _ in counts.most_common(TABLE_TOP) if "\0" not in t]
@@ -186,4 +186,4 @@ def token_counts(docs: DataFrame, tokenizer: str | None = None, pattern: str | N
 
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return map_batches(rows, count, f"doc_id {kind}, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, stable_order
+from .common import as_bytes, map_batches, stable_order
 from .quality import held_out, labelled, score_documents
 
 BITS = 18
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float |
         w, bias = train(seen[1], seen[0], prior)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
-    got = rows.repartition(1).sortWithinPartitions("order").mapInArrow(learn, "w binary, bias double").first()
+    got = map_batches(rows.repartition(1).sortWithinPartitions("order"), learn, "w binary, bias double").first()
     return (np.frombuffer(got["w"], np.float32), got["bias"]) if got else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
@@ -194,5 +194,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
         for batch in it:
             ok = [not t.strip() or score_text(t, *shared.value) < threshold for t in as_bytes(batch.column(place))]
             yield batch.filter(pa.array(ok, pa.bool_()))
+        _scores.clear()
 
-    return docs.mapInArrow(keep, docs.schema)
+    return map_batches(docs, keep, docs.schema)
