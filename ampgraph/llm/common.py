@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows and bytes of text that a Python worker gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
@@ -40,6 +42,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     to the planner. The files are removed when the driver ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
@@ -56,6 +59,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
     """mapInArrow over batches that stay small where texts are long: fewer rows and bytes than Spark's defaults."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

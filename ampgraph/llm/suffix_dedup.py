@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,9 +185,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     ordered = plain.unionByName(fine).repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "removed", "start")
     found = map_batches(ordered, spans, "doc_id long, text_key long, start int, stop int, first_doc_id long, removed boolean")
     copied = first.where("copies > 1").select("text_key", "text_check", F.col("doc_id").alias("first_doc_id"))
-    size = F.size(F.filter(F.split("text", "[ \\t-\\r]+"), lambda w: w != ""))
-    whole = _keyed(texts).join(copied, ["text_key", "text_check"]).select("doc_id", "text_key", F.lit(0).alias("start"), size.alias("stop"), "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
-    return found.unionByName(whole.where(F.col("stop") >= length))
+    if not copied.take(1):
+        return found
+    size = F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+"))
+    sized = _keyed(texts).select("doc_id", "text_key", "text_check", size.alias("stop")).where(F.col("stop") >= length)
+    whole = sized.join(copied, ["text_key", "text_check"]).select("doc_id", "text_key", F.lit(0).alias("start"), "stop", "first_doc_id", (F.col("doc_id") != F.col("first_doc_id")).alias("removed"))
+    return found.unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -200,17 +202,29 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     spans = repeated_spans(docs, length, id_column, text_column).where("removed")
     cuts = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).agg(F.collect_set(F.struct("start", "stop")).alias("__cuts"))
     key = F.xxhash64(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
-    marked = docs.join(cuts, (docs[id_column].cast("long") == F.col("__doc")) & (key == F.col("__key")), "left")
+    marked = docs.join(cuts, (docs[id_column].cast("long") == F.col("__doc")) & (key == F.col("__key")), "left").select(*docs.columns, "__cuts")
+    place, n_chars = docs.columns.index(text_column), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    @F.pandas_udf("string")
-    def without(text: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([cut(t, s) for t, s in zip(text, spans, strict=True)], dtype=object)
-
-    kept = marked.where("__cuts is null").select(*docs.columns)
-    changed = marked.where("__cuts is not null").withColumn(text_column, without(text_column, "__cuts")).where(F.trim(text_column) != "")
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length(text_column).cast(dict(docs.dtypes)["n_chars"]))
-    return kept.unionByName(changed.select(*docs.columns))
+    def apply(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            spans = batch.column(batch.num_columns - 1)
+            rows = np.flatnonzero(~np.asarray(spans.is_null()))
+            columns = batch.columns[:-1]
+            if len(rows):
+                texts = columns[place].to_pylist()
+                for i in rows:
+                    texts[i] = cut(texts[i], spans[int(i)].as_py())
+                columns[place] = pa.array(texts, columns[place].type)
+                if n_chars is not None:
+                    sizes = columns[n_chars].to_pylist()
+                    for i in rows:
+                        sizes[i] = len(texts[i])
+                    columns[n_chars] = pa.array(sizes, columns[n_chars].type)
+                gone = {int(i) for i in rows if not texts[i]}
+            out = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+            yield out.filter(pa.array([i not in gone for i in range(len(texts))])) if len(rows) and gone else out
+
+    return map_batches(marked, apply, docs.schema)
 
 
 def cut(text: str, spans) -> str:
