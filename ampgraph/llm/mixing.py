@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .common import materialize
 DIMENSIONS = ("source", "lang", "topic")
 #: Sweeps over the dimensions; exponent that flattens each dimension's token shares to its targets.
 ROUNDS, TEMPERATURE = 15, 0.9
+#: Sweeps that one plan holds.
+PLAN_ROUNDS = 15
 #: Up to so many cells, the fitting runs in one task and the weights are broadcast; beyond, both shuffle.
 FEW_CELLS = 20_000
 SEED = "mix"
@@ -25,10 +29,10 @@ def topic(text: str, n_words: str) -> Column:
     return F.when(t.contains("http") | t.contains("@"), "web").when(t.contains("|"), "table").when(n >= 1000, "long").when(n >= 200, "medium").otherwise("short")
 
 
-def fit_cells(cells: DataFrame, dimensions: tuple[str, ...], rounds: int, temperature: float) -> DataFrame:
+def fit_cells(cells: DataFrame, dimensions: tuple[str, ...], rounds: int, temperature: float, gather: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``cells`` (dimensions, tokens) with a factor each, such that tokens * factor has every dimension's target sums.
 
-    A value's target is its token share to the power ``temperature``, scaled to sum to 1 per dimension.
+    ``gather`` is applied to tables that are read back. A value's target is its token share to the power ``temperature``, scaled to sum to 1 per dimension.
     """
     for d in dimensions:
         own = F.pow(F.sum("tokens").over(Window.partitionBy(d)), F.lit(temperature))
@@ -36,10 +40,12 @@ def fit_cells(cells: DataFrame, dimensions: tuple[str, ...], rounds: int, temper
         cells = cells.withColumn("__own", own).withColumn("__once", F.when(first, F.col("__own")).otherwise(0.0))
         cells = cells.withColumn(f"__target_{d}", F.col("__own") / F.sum("__once").over(Window.partitionBy("__all")))
     cells = cells.drop("__own", "__once").withColumn("factor", F.lit(1.0))
-    for _ in range(rounds):
+    for sweep in range(rounds):
         for d in dimensions:
             now = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(d))
             cells = cells.withColumn("factor", F.col("factor") * F.col(f"__target_{d}") / now)
+        if (sweep + 1) % PLAN_ROUNDS == 0 and sweep + 1 < rounds:  # keeps the plan short
+            cells = gather(materialize(cells, "sweep"))
     return cells.select(*dimensions, "tokens", "factor")
 
 
@@ -61,7 +67,8 @@ def mixing_probabilities(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIO
     value = {d: F.col("__topic") if d == "topic" else F.coalesce(F.col(d).cast("string"), F.lit("")) for d in dimensions}
     cells = materialize(rows.groupBy(*(c.alias(d) for d, c in value.items())).agg(F.sum("__tokens").alias("tokens")), "cells")
     few = cells.count() <= FEW_CELLS
-    fitted = materialize(fit_cells((cells.coalesce(1) if few else cells).withColumn("__all", F.lit(1)), dimensions, rounds, temperature), "weights")
+    gather = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    fitted = materialize(fit_cells(gather(cells).withColumn("__all", F.lit(1)), dimensions, rounds, temperature, gather), "weights")
     most = fitted.agg(F.max("factor")).first()[0] or 1.0
     weights = fitted.select(*(F.col(d).alias(f"__of_{d}") for d in dimensions), (F.col("factor") / F.lit(most)).alias("__probability"))
     on = [value[d] == F.col(f"__of_{d}") for d in dimensions]
