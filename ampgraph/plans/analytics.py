@@ -1029,10 +1029,10 @@ def el_rate_at_fpr(s, d):
     return r6(evaluate.rate_at_fpr(_labels(s, d), 0.01), "rate", "cut")
 
 
-@query("SELECT round(corr(a, b), 6) AS spearman FROM (SELECT row_number() OVER (ORDER BY v, zone) AS a, row_number() OVER (ORDER BY p, zone) AS b FROM (SELECT zone, avg(voltage) AS v, avg(power) AS p FROM telemetry GROUP BY zone))")
+@query("SELECT round(corr(a, b), 6) AS spearman FROM (SELECT row_number() OVER (ORDER BY v, device_id) AS a, row_number() OVER (ORDER BY p, device_id) AS b FROM (SELECT device_id, round(avg(voltage), 6) AS v, round(avg(power), 6) AS p FROM telemetry GROUP BY device_id))")
 def el_spearman(s, d):
-    rows = get(s, d, "telemetry").groupBy("zone").agg(F.avg("voltage").alias("v"), F.avg("power").alias("p"))
-    return r6(evaluate.spearman(rows, "v", "p", "zone"), "spearman")
+    rows = get(s, d, "telemetry").groupBy("device_id").agg(F.round(F.avg("voltage"), 6).alias("v"), F.round(F.avg("power"), 6).alias("p"))
+    return r6(evaluate.spearman(rows, "v", "p", "device_id"), "spearman")
 
 
 @query("SELECT zone, radius, centre, abs(hit / size - (k - hit) / (n - size)) AS reach FROM (SELECT b.zone, b.radius, b.centre, b.size, b.n, count(g.idx) AS hit FROM ball_members b LEFT JOIN groups g ON g.zone = b.zone AND g.idx = b.idx GROUP BY ALL) JOIN (SELECT zone, count(*) AS k FROM groups GROUP BY zone) USING (zone)".replace("abs(", "round(abs(").replace(" AS reach", ", 6) AS reach"), **EV)
@@ -1087,3 +1087,16 @@ for _name in ("el_signature", "el_detection_table", "el_mag_dur", "el_sliding_ev
 
     _grid.__name__ = _name
     query()(_grid)
+
+
+# --- the live path, replayed ---
+
+
+@query()
+def st_replay(s, d):
+    """The streaming transition over the stored readings, one tick a bin."""
+    from ..streaming import processor
+
+    config = windows.WindowConfig(bin_us=GAPPY, length=LENGTH, grace_us=0)
+    ticks = get(s, d, "cells").select("zone", ((F.col("bin") + 1) * GAPPY + 10_000_000).alias("at_us")).distinct()
+    return processor.replay(get(s, d, "telemetry"), get(s, d, "meters"), ticks, config)
