@@ -64,3 +64,8 @@ def save_calibration(zones: DataFrame, path: str, magnitude: str, format_tag: st
     body = {r["zone"]: r.asDict() for r in zones.collect()}
     with open(path, "w", encoding="utf-8") as f:
         json.dump({"format": format_tag, "version": 1, "magnitude": magnitude, "zones": body}, f, indent=2, sort_keys=True, ensure_ascii=False)
+
+
+def write_injection(rows: DataFrame, path: str) -> None:
+    """Signals, their bases and truth, a folder per zone."""
+    rows.repartition("zone").write.mode("overwrite").partitionBy("zone").parquet(path)

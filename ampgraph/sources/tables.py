@@ -132,3 +132,10 @@ def parse_calibration(text: DataFrame, expected_format: str) -> DataFrame:
     if not zones.take(1) or zones.where("threshold is null or threshold <= 0 or isnan(threshold)").take(1):
         raise CalibrationError("the calibration has no zones, or a threshold that isn't positive")
     return zones
+
+
+def parse_records(text: DataFrame) -> DataFrame:
+    """REST records, one JSON object a row, with English names; a time that can't be read is null."""
+    fields = "reading_id long, meter_id string, zone_id string, event_time string, received_at string, voltage_v double, power_kw double, state string"
+    rows = text.select(F.from_json("value", fields).alias("r")).select("r.*")
+    return rows.withColumns({c: F.try_to_timestamp(c) for c in ("event_time", "received_at")})
