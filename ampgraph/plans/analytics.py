@@ -391,8 +391,11 @@ def sc_number(s, d):
 
 @query()
 def sc_zone_key(s, d):
-    zones = [r[0] for r in get(s, d, "meters").select("zone").distinct().orderBy("zone").take(64)]
-    return s.createDataFrame([(z, inject.zone_key(z)) for z in zones], "zone string, key long")
+    def keys(it):
+        for pdf in it:
+            yield pdf.assign(key=[inject.zone_key(z) for z in pdf["zone"]])
+
+    return get(s, d, "meters").select("zone").distinct().mapInPandas(keys, "zone string, key long")
 
 
 # --- graphs ---

@@ -82,7 +82,7 @@ SHARED = {
     "sp_zero_tol": "SELECT zone, count(*) * 2.220446049250313e-16 * greatest(2e0, 1e0) AS tolerance FROM {points} GROUP BY zone",
     # --- graph readings ---
     "jn_pairwise_self": "SELECT zone, src, dst, round(dist, 6) AS dist FROM {pairs} WHERE src < dst",
-    "jn_zone_pairs": "SELECT a.zone AS za, b.zone AS zb, round(min(sqrt(pow((a.lat - b.lat) * 110574e0, 2e0) + pow((a.lon - b.lon) * 110899e0, 2e0))), 4) AS nearest FROM {meters} a JOIN {meters} b ON a.zone < b.zone AND a.node = b.node GROUP BY a.zone, b.zone",
+    "jn_zone_pairs": "SELECT a.zone AS za, b.zone AS zb, round(min(sqrt(pow((a.lat - b.lat) * 110574e0, 2e0) + pow((a.lon - b.lon) * 110899e0, 2e0))), 4) AS nearest FROM {meters} a JOIN {meters} b ON a.zone < b.zone GROUP BY a.zone, b.zone",
     "gr_degree": "SELECT zone, src AS idx, round(sum(weight), 6) AS degree FROM {edges} GROUP BY zone, src",
     "gr_khop_sizes": "SELECT zone, radius, centre, size FROM {balls}",
     "gr_components_check": "SELECT zone, count(DISTINCT src) AS touched FROM {edges} GROUP BY zone",

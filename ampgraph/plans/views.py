@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable
 
@@ -23,6 +24,22 @@ def view(f):
     return f
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(f):
+    """A view whose rows stay in memory for the session: the graph of a network, which every cycle reads and none changes."""
+
+    @functools.wraps(f)
+    def once(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir, f.__name__)
+        if key not in _kept:
+            _kept[key] = f(spark, sf_dir).persist()
+        return _kept[key]
+
+    return once
+
+
 def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return SPARK[name](spark, sf_dir)
 
@@ -38,6 +55,7 @@ def telemetry(s, d):
 
 
 @view
+@kept
 def points(s, d):
     return graph.nodes(tables.meters(s, d))
 
@@ -48,6 +66,7 @@ def pairs(s, d):
 
 
 @view
+@kept
 def edges(s, d):
     return graph.edges(points(s, d))
 
@@ -68,6 +87,7 @@ def means(s, d):
 
 
 @view
+@kept
 def balls(s, d):
     return graph.balls(edges(s, d), points(s, d), (1, 2))
 
