@@ -128,9 +128,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         F.min("doc_id").alias("first_doc_id"),
     )
     agreed = agreed.where("n > 1").select("anchor", "first_doc_id", ((F.col("b1") == F.col("b2")) & (F.col("c1") == F.col("c2"))).alias("same"))
-    shared = materialize(kept.join(agreed, "anchor"), "agreeing")
+    shared = materialize(kept.join(materialize(agreed, "agreed"), "anchor"), "agreeing")
     place = F.struct("text_key", "start")
-    leaders = shared.where("same and doc_id = first_doc_id").groupBy("anchor").agg(F.min(place).alias("first"))
+    # tables on both sides of each join, so that a hot suffix or passage can be split between tasks
+    leaders = materialize(shared.where("same and doc_id = first_doc_id").groupBy("anchor").agg(F.min(place).alias("first")), "leaders")
     plain = shared.where("same").join(leaders, "anchor").select(
         "doc_id", "text_key", "start", "stop", "first_doc_id", ((F.col("doc_id") != F.col("first_doc_id")) | (place != F.col("first"))).alias("removed")
     )
@@ -152,8 +153,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
     held = unique.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text", "text_key", "blocks")
     passages = materialize(map_batches(held, extend, "passage long, passage_check int, doc_id long, text_key long, start int"), "passages")
     least = passages.groupBy("passage", "passage_check").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc_id")).where("n > 1").drop("n")
-    repeats = passages.join(least, ["passage", "passage_check"])
-    leaders = repeats.where("doc_id = first_doc_id").groupBy("passage", "passage_check").agg(F.min(place).alias("first"))
+    repeats = materialize(passages.join(materialize(least, "least"), ["passage", "passage_check"]), "repeats")
+    leaders = materialize(repeats.where("doc_id = first_doc_id").groupBy("passage", "passage_check").agg(F.min(place).alias("first")), "leaders")
     fine = repeats.join(leaders, ["passage", "passage_check"]).select(
         "doc_id", "text_key", "start", (F.col("start") + length).alias("stop"), "first_doc_id",
         ((F.col("doc_id") != F.col("first_doc_id")) | (place != F.col("first"))).alias("removed"),
