@@ -101,6 +101,11 @@ def st_run_cycle(s, d):
     return _status(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT bin, status, incomplete::BIGINT AS incomplete FROM statuses WHERE zone = 'z000000'", statuses=STATUS)
+def st_run_zone(s, d):
+    return _status(s, d).where("zone = 'z000000'").select("bin", "status", "incomplete")
+
+
 @query("SELECT zone, count(*) FILTER (WHERE status = 'ventana') AS windows, count(*) FILTER (WHERE status = 'sin_datos') AS missing FROM statuses GROUP BY zone", statuses=STATUS)
 def st_zone_result(s, d):
     return _status(s, d).groupBy("zone").agg(F.count_if(F.col("status") == "ventana").alias("windows"), F.count_if(F.col("status") == "sin_datos").alias("missing"))
@@ -820,6 +825,17 @@ for _kind in ("unknown", "late", "future", "superseded"):
     query(f"SELECT t.zone, count(*) AS n FROM verdicts v JOIN telemetry t USING (id) WHERE verdict = '{_kind}' GROUP BY t.zone", verdicts=VERDICTS, emitted=EMITTED)(_one)
 
 
+@query(f"SELECT arrival_us // {GAPPY} AS cycle, verdict, count(*) AS n FROM verdicts JOIN telemetry USING (id) GROUP BY ALL", verdicts=VERDICTS, emitted=EMITTED)
+def st_counters_delta(s, d):
+    return _verdicts(s, d).groupBy(windows.bin_of(F.col("arrival_us"), GAPPY).alias("cycle"), "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT id, device_id, arrival_us FROM telemetry WHERE arrival_us > (SELECT max(arrival_us) FROM telemetry) - {DAY_US}")
+def st_live_tail(s, d):
+    t = get(s, d, "telemetry")
+    return t.where(F.col("arrival_us") > t.agg(F.max("arrival_us")).first()[0] - DAY_US).select("id", "device_id", "arrival_us")
+
+
 @query("SELECT id FROM verdicts WHERE verdict = 'late'", verdicts=VERDICTS, emitted=EMITTED)
 def st_late_rule(s, d):
     return _verdicts(s, d).where("verdict = 'late'").select("id")
