@@ -33,7 +33,7 @@ def rate_at_fpr(scores: DataFrame, fpr: float = 0.01) -> DataFrame:
 
 
 def spearman(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """Correlation of ordinal ranks, without averaging ties."""
+    """Correlation of ordinal ranks, without averaging ties. The ranks are global, so this is for summary tables."""
     a, b = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c, key)) for c in (x, y))
     return rows.withColumns({"__a": a, "__b": b}).agg(F.corr("__a", "__b").alias("spearman"))
 

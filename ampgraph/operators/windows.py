@@ -53,18 +53,19 @@ def classify(readings: DataFrame, meters: DataFrame, emitted: DataFrame, config:
     ``emitted`` is (zone, at_us, bin): which bins had been emitted when. A reading is late if its bin is at or
     below the newest bin emitted before it arrived. In a cell the largest event time wins, then the first arrival.
     """
-    known = readings.join(F.broadcast(meters.select("device_id", F.col("zone").alias("__zone"))), "device_id", "left")
-    rows = known.withColumn("bin", bin_of(F.col("ts_us"), config.bin_us))
-    past = rows.join(emitted.select(F.col("zone").alias("__z"), "at_us", F.col("bin").alias("__b")), (F.col("__zone") == F.col("__z")) & (F.col("at_us") <= F.col("arrival_us")), "left")
-    newest = past.groupBy("id").agg(F.max("__b").alias("__newest"))
-    rows = rows.join(newest, "id", "left")
+    known = readings.join(meters.select("device_id", F.col("zone").alias("__zone")), "device_id", "left")
+    rows = known.withColumns({"bin": bin_of(F.col("ts_us"), config.bin_us), "__at": F.col("arrival_us"), "__b": F.lit(None).cast("long"), "__kind": F.lit(1)})
+    # emissions and arrivals in one time line per zone, emissions first: a running maximum, where a join by time would meet all pairs
+    marks = emitted.select(F.col("zone").alias("__zone"), F.col("at_us").alias("__at"), F.col("bin").alias("__b"), F.lit(0).alias("__kind"))
+    line = Window.partitionBy("__zone").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.unionByName(marks, allowMissingColumns=True).withColumn("__newest", F.max("__b").over(line)).where("__kind = 1")
     first = (
         F.when(F.col("__zone").isNull(), "unknown")
         .when(F.col("ts_us") - F.col("arrival_us") > config.max_future_us, "future")
         .when(F.col("bin") <= F.col("__newest"), "late")
     )
     cell = Window.partitionBy("device_id", "bin", first.isNull()).orderBy(F.desc("ts_us"), "arrival_us", "id")
-    return rows.withColumn("verdict", F.coalesce(first, F.when(F.row_number().over(cell) > 1, "superseded").otherwise("accepted"))).drop("__zone", "__newest")
+    return rows.withColumn("verdict", F.coalesce(first, F.when(F.row_number().over(cell) > 1, "superseded").otherwise("accepted"))).drop("__zone", "__newest", "__at", "__b", "__kind")
 
 
 def completeness(cell_rows: DataFrame, sizes: DataFrame) -> DataFrame:
