@@ -26,9 +26,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _checksum(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima as tables of their own, so that the join of a hub's many rows can be split between tasks
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = materialize(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         edges, before, state = after, state, _checksum(after)

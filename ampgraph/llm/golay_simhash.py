@@ -178,8 +178,10 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, prints:
     named = classes.join(roots, classes.node == roots.node, "left").select(
         "prints", "first", F.coalesce("root", classes.node).alias("root")
     )
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_class = named.join(smallest, "root").select("prints", F.col("component_id").cast(kind).alias("component_id"))
+    # tables on both sides of each join, so that a large group can be split between tasks
+    named = materialize(named, "named")
+    smallest = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    of_class = materialize(named.join(smallest, "root").select("prints", F.col("component_id").cast(kind).alias("component_id")), "groups")
     return marked.join(of_class, "prints")
 
 
