@@ -111,12 +111,12 @@ def bucket_links(rows: DataFrame, near: Near, paired: Near, decode: Callable[[pa
     return links.unionByName(more).where("a != b").distinct()
 
 
-def gathered(it: Iterator[pa.RecordBatch], rows: int = 16_384) -> Iterator[pa.Table]:
-    """Batches put together to tables of about ``rows`` rows."""
+def gathered(it: Iterator[pa.RecordBatch], rows: int = 16_384, size: int = 32 << 20) -> Iterator[pa.Table]:
+    """Batches put together to tables of about ``rows`` rows or ``size`` bytes."""
     some: list[pa.RecordBatch] = []
     for batch in it:
         some.append(batch)
-        if sum(b.num_rows for b in some) >= rows:
+        if sum(b.num_rows for b in some) >= rows or sum(b.nbytes for b in some) >= size:
             yield pa.Table.from_batches(some)
             some = []
     if some:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,10 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 SEED = 42
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 16
+#: Min-hash bands, and the remixes in each.
+BANDS, BAND_ROWS = 16, 4
+#: Sets of a component that are compared in one block, and the most blocks of a component.
+GROUP, MOST_BLOCKS = 256, 32
 
 
 def _remainder(word: int) -> int:
@@ -185,14 +190,140 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, prints:
     return marked.join(of_class, "prints")
 
 
-def simhash_dedup(docs: DataFrame, shingle: int = 5, max_bits: int = 16, prints: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def distinct_shingles(text: bytes, size: int) -> np.ndarray:
+    """The sorted set of a text's shingle hashes."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def set_node(shingles: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    return xxhash.xxh3_64_intdigest(shingles.astype("<u8").tobytes(), SEED) - (1 << 63)
+
+
+def band_keys(shingles: np.ndarray) -> list[int]:
+    """``BANDS`` signed keys, each over the smallest hashes of ``BAND_ROWS`` remixes; none for an empty set."""
+    if not len(shingles):
+        return []
+    seeds = mix64(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64))
+    least = np.full(len(seeds), np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), CHUNK >> 4):
+        least = np.minimum(least, mix64(shingles[None, at : at + (CHUNK >> 4)] ^ seeds[:, None]).min(1))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mix64(keys * np.uint64(31) + column)
+    return keys.view(np.int64).tolist()
+
+
+def far_bits(similarity: float, bits: int) -> int:
+    """A distance that fingerprints of sets of this Jaccard similarity pass once in 100,000 times."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + 4.6 * np.sqrt(bits * p * (1 - p)))
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity; empty sets are alike."""
+    few, many = sorted((len(x), len(y)))
+    if few < similarity * many:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (few + many - both)
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, prints: int = 2, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, component_id) for every row: documents joined by links of shingle sets of at least this Jaccard similarity.
+
+    Candidates share a pair of Golay keys or a min-hash band and have fingerprints (over the distinct shingles)
+    that are not beyond ``far_bits``. At the similarity 0.8 a pair shares one of 16 bands of 4 with probability
+    0.9998. The candidates' components hold all links; in each, the exact sets are compared. Components over
+    ``GROUP`` sets are cut into blocks, each pair of blocks for itself. Equal sets are one node.
+    """
+    kind = dict(docs.dtypes)[id_column]
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
+
+    def mark(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            nodes, words, bands = [], [], []
+            for text in as_bytes(batch.column(1)):
+                h = distinct_shingles(text, shingle)
+                nodes.append(set_node(h))
+                bands.append(band_keys(h))
+                row = []
+                for i in range(prints):
+                    if i:
+                        h = mix64(h + np.uint64(i))
+                    row.append(majority(h))
+                words.append(np.array(row, "<u8").tobytes())
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(words, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "node", "prints", "bands"])
+
+    marked = materialize(map_batches(rows, mark, f"id {kind}, node long, prints binary, bands array<long>"), "marked")
+    classes = materialize(marked.groupBy("node").agg(F.min("id").alias("first"), F.first("prints").alias("prints"), F.first("bands").alias("bands")), "classes")
+
+    def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                words = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, prints)
+                found = [fingerprint_keys(words[:, i], i) for i in range(prints)]
+                found.append((pc.list_parent_indices(part.column(2)).to_numpy(), pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)))
+                rows, keys = map(np.concatenate, zip(*found, strict=True))
+                at_row = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(at_row), part.column(1).take(at_row)], names=["key", "id", "payload"])
+
+    most = far_bits(similarity, 64 * prints)
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x[:, None, :] ^ y[None, :, :]).sum(2, dtype=np.int64) <= most
+
+    def close_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
+
+    keyed = map_batches(classes.select("node", "prints", "bands"), spread, "key long, id long, payload binary")
+    coarse = connected_components(bucket_links(keyed, close, close_pairs, _decode(prints)))
+    members = materialize(classes.select("node", "first").join(coarse, "node"), "members")
+
+    def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [distinct_shingles(text, shingle) for text in as_bytes(batch.column(2))]
+            own = pa.array([set_node(h) for h in found], pa.int64())  # a repeated id may bring another text
+            payload = pa.array([h.astype("<u8").tobytes() for h in found], pa.binary())
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), payload], names=["root", "node", "payload"])
+            yield out.filter(pc.equal(own, batch.column(1)))
+
+    texts = rows.join(members, rows["id"] == members["first"]).select("root", "node", "text")
+    whole = materialize(map_batches(texts, sets, "root long, node long, payload binary"), "sets")
+    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
+    large = large.select("root", F.least(F.ceil(F.col("n") / GROUP), F.lit(MOST_BLOCKS)).alias("blocks"))
+    dealt = whole.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    dealt = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("node").alias("id"), "payload")
+
+    def decode(column: pa.Array) -> np.ndarray:
+        out = np.empty(len(column), object)
+        out[:] = [np.frombuffer(x, "<u8") for x in column.to_pylist()] or None
+        return out
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.array([[similar(a, b, similarity) for b in y] for a in x], bool).reshape(len(x), len(y))
+
+    def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.array([similar(a, b, similarity) for a, b in zip(x, y, strict=True)], bool)
+
+    roots = connected_components(bucket_links(dealt, near, paired, decode))
+    # tables on both sides of each join, so that a large group can be split between tasks
+    named = materialize(classes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")
+    smallest = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    of_class = materialize(named.join(smallest, "root").select("node", "component_id"), "groups")
+    return marked.select("id", "node").join(of_class, "node").select("id", "component_id")
+
+
+def simhash_dedup(docs: DataFrame, shingle: int = 5, prints: int = 2, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without the near copies: of each group the row of the smallest id stays.
 
     Of rows that repeat an id, one stays (the one with the smallest hash of text). Rows without an id are
-    kept as they are. Columns are those of ``docs``. Two 64-bit fingerprints over 5-word shingles that
-    differ in 16 of 128 bits stand for a shingle similarity of about 0.8 and more.
+    kept as they are. Columns are those of ``docs``. Groups are those of ``near_groups``.
     """
-    groups = simhash_groups(docs.where(F.col(id_column).isNotNull()), shingle, max_bits, prints, id_column, text_column)
+    groups = near_groups(docs.where(F.col(id_column).isNotNull()), shingle, prints, similarity, id_column, text_column)
     keep = groups.where("id = component_id").select(F.col("id").alias("__kept_id")).distinct()
     rows = docs.join(keep, docs[id_column] == F.col("__kept_id"), "left_semi")
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))

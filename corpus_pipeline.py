@@ -18,8 +18,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash_dedup(docs, shingle=5, max_bits=16, prints=2)
+    """One document of each group of near copies (shingle sets of Jaccard similarity 0.8 and more) stays."""
+    return simhash_dedup(docs, shingle=5, prints=2, similarity=0.8)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -290,6 +290,37 @@ def test_simhash_dedup_keeps_one_of_each_group(spark, corpus):
     assert {i for i in range(60) if i not in (5,)} - set(ids) == set() or len({i for i in range(60)} - set(ids)) <= 2
 
 
+def test_near_groups_are_those_of_exact_jaccard(spark):
+    """Isolated pairs at 0.8 and more all meet, none below does, and repeated lines don't hide a copy."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(300):
+        w = [f"p{i}x{j}" for j in range(200)]
+        v = list(w)
+        for at in rng.choice(200, int(rng.integers(1, 8)), replace=False):
+            v[at] = f"e{i}x{at}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    base = [f"q{j}" for j in range(120)]
+    rows += [(1000, " ".join(base)), (1001, " ".join(base + ["again and again it went"] * 400)), (1002, ""), (1003, None)]
+    for i in range(40):  # a chain, each text near its neighbours only
+        rows.append((2000 + i, " ".join(f"c{j}" for j in range(10 * i, 10 * i + 120))))
+    grams = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [(t or "").split()]}
+    links = [(a, b) for a, b in itertools.combinations(grams, 2) if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])]
+    want = roots(list(grams), links)
+    assert want[1001] == 1000 and want[2039] == 2000 and 100 < sum(want[2 * i + 1] == 2 * i for i in range(300)) < 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.id: r.component_id for r in golay_simhash.near_groups(df).collect()} == want
+    kept = {r.doc_id for r in golay_simhash.simhash_dedup(df).collect()}
+    assert kept == {d for d, r in want.items() if d == r}
+
+
+def test_large_near_group_is_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(golay_simhash, "GROUP", 8)
+    rows = [(i, " ".join(f"c{j}" for j in range(10 * i, 10 * i + 120))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in golay_simhash.near_groups(df).collect()} == {0}
+
+
 # --- op8, op9 ---
 
 
