@@ -17,6 +17,8 @@ PLAN_ROUNDS = 15
 #: Up to so many cells, the fitting runs in one task and the weights are broadcast; beyond, both shuffle.
 FEW_CELLS = 20_000
 SEED = "mix"
+#: The share of all tokens that ``mix`` keeps in expectation.
+KEEP = 0.8
 
 
 def words(text: str) -> Column:
@@ -29,34 +31,61 @@ def topic(text: str, n_words: str) -> Column:
     return F.when(t.contains("http") | t.contains("@"), "web").when(t.contains("|"), "table").when(n >= 1000, "long").when(n >= 200, "medium").otherwise("short")
 
 
-def fit_cells(cells: DataFrame, dimensions: tuple[str, ...], rounds: int, temperature: float, gather: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def fit_cells(cells: DataFrame, dimensions: tuple[str, ...], rounds: int, temperature: float, gather: Callable[[DataFrame], DataFrame] = lambda df: df, keep: float | None = None) -> DataFrame:
     """``cells`` (dimensions, tokens) with a factor each, such that tokens * factor has every dimension's target sums.
 
     ``gather`` is applied to tables that are read back. A value's target is its token share to the power ``temperature``, scaled to sum to 1 per dimension.
+
+    With ``keep``, targets are tokens that sum to this share of all tokens; a value whose target would be beyond its
+    tokens has all of them as its target, and the others share the rest in proportion to that power. Factors are
+    held at 1 at most, sweep by sweep, while the other cells are scaled on.
     """
     for d in dimensions:
         own = F.pow(F.sum("tokens").over(Window.partitionBy(d)), F.lit(temperature))
         first = F.row_number().over(Window.partitionBy(d).orderBy(*dimensions)) == 1
         cells = cells.withColumn("__own", own).withColumn("__once", F.when(first, F.col("__own")).otherwise(0.0))
-        cells = cells.withColumn(f"__target_{d}", F.col("__own") / F.sum("__once").over(Window.partitionBy("__all")))
-    cells = cells.drop("__own", "__once").withColumn("factor", F.lit(1.0))
+        target = F.col("__own") / F.sum("__once").over(Window.partitionBy("__all"))
+        if keep is not None:
+            cells = cells.withColumn("__sum", F.sum("tokens").over(Window.partitionBy(d)).cast("double"))
+            cells, target = _filled(cells.withColumn("__first", first), d, keep)
+        cells = cells.withColumn(f"__target_{d}", target)
+    cells = cells.select(*dimensions, "tokens", "__all", *(f"__target_{d}" for d in dimensions), F.lit(1.0).alias("factor"))
     for sweep in range(rounds):
         for d in dimensions:
             now = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(d))
-            cells = cells.withColumn("factor", F.col("factor") * F.col(f"__target_{d}") / now)
+            scaled = F.col("factor") * F.col(f"__target_{d}") / now
+            cells = cells.withColumn("factor", scaled if keep is None else F.least(F.lit(1.0), scaled))
         if (sweep + 1) % PLAN_ROUNDS == 0 and sweep + 1 < rounds:  # keeps the plan short
             cells = gather(materialize(cells, "sweep"))
     return cells.select(*dimensions, "tokens", "factor")
 
 
-def mixing_probabilities(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: str = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _filled(cells: DataFrame, d: str, keep: float) -> tuple[DataFrame, Column]:
+    """``cells`` and the target of their value of ``d``: all of its tokens (__sum), or __own times what is left for such values.
+
+    The share that a value's target would be of its tokens falls with its tokens, so the values that get all are
+    the smallest ones, and running sums by size find where they end.
+    """
+    every = Window.partitionBy("__all")
+    upto = every.orderBy("__sum", d).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    once = F.when(F.col("__first"), F.col("__sum")).otherwise(0.0)
+    left = F.lit(keep) * F.sum("tokens").over(every) - (F.sum(once).over(upto) - F.col("__sum"))
+    rest = F.sum("__once").over(every) - F.sum("__once").over(upto) + F.col("__own")
+    cells = cells.withColumn("__scale", left / rest).withColumn("__whole", F.col("__scale") * F.col("__own") >= F.col("__sum"))
+    cut = F.min(F.when(~F.col("__whole"), F.struct("__sum", d, "__scale"))).over(every)
+    cells = cells.withColumn("__cut", cut["__scale"])
+    return cells, F.when(F.col("__whole"), F.col("__sum")).otherwise(F.col("__cut") * F.col("__own"))
+
+
+def mixing_probabilities(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: str = SEED, id_column: str = "doc_id", text_column: str = "text", keep: float | None = None) -> DataFrame:
     """``docs`` with __tokens, __topic, __probability and __sampled.
 
     Token weights (words of the whole text plus one) are counted by cell of source, language and topic over all
     documents, with partial sums before the shuffle, and raked: sweep by sweep each dimension's sums are scaled
     to its targets. A document's probability is its cell's factor over the largest one, so that the sampled tokens
     have the target marginals in expectation and no document counts twice. It is sampled where a hash of its id
-    falls under it: the same at every run, and for all rows that repeat an id.
+    falls under it: the same at every run, and for all rows that repeat an id. With ``keep``, the sampled tokens are
+    this share of all tokens in expectation, and a small cell is sampled whole instead of lowering all others.
 
     A null or empty text has one token; a null source, language or id counts as an empty string. An empty table
     gives an empty one.
@@ -68,8 +97,8 @@ def mixing_probabilities(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIO
     cells = materialize(rows.groupBy(*(c.alias(d) for d, c in value.items())).agg(F.sum("__tokens").alias("tokens")), "cells")
     few = cells.count() <= FEW_CELLS
     gather = (lambda df: df.coalesce(1)) if few else (lambda df: df)
-    fitted = materialize(fit_cells(gather(cells).withColumn("__all", F.lit(1)), dimensions, rounds, temperature, gather), "weights")
-    most = fitted.agg(F.max("factor")).first()[0] or 1.0
+    fitted = materialize(fit_cells(gather(cells).withColumn("__all", F.lit(1)), dimensions, rounds, temperature, gather, keep), "weights")
+    most = 1.0 if keep is not None else fitted.agg(F.max("factor")).first()[0] or 1.0
     weights = fitted.select(*(F.col(d).alias(f"__of_{d}") for d in dimensions), (F.col("factor") / F.lit(most)).alias("__probability"))
     on = [value[d] == F.col(f"__of_{d}") for d in dimensions]
     joined = rows.join(F.broadcast(weights) if few else weights, on).drop(*(f"__of_{d}" for d in dimensions))
@@ -77,9 +106,9 @@ def mixing_probabilities(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIO
     return joined.withColumn("__sampled", draw.cast("double") / 4294967296.0 < F.col("__probability"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of ``docs``, with its columns."""
-    return mixing_probabilities(docs, **options).where("__sampled").select(*docs.columns)
+def mix(docs: DataFrame, keep: float = KEEP, **options) -> DataFrame:
+    """The sampled rows of ``docs``, with its columns; ``keep`` of the tokens in expectation."""
+    return mixing_probabilities(docs, keep=keep, **options).where("__sampled").select(*docs.columns)
 
 
 def oracle_sql(rounds: int = ROUNDS, temperature: float = TEMPERATURE, seed: str = SEED) -> str:

@@ -399,6 +399,27 @@ def test_raking_meets_the_marginals(spark, corpus):
     assert mixing.mix(corpus.where("doc_id < 0")).count() == 0 and mixing.mix(corpus).columns == corpus.columns
 
 
+def test_a_stray_row_does_not_shrink_the_mix(spark):
+    """The budget is met whatever odd rows there are; they are kept whole, and large values have their target shares."""
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(["w"] * int(rng.integers(50, 400))), "en" if i % 4 else "de", f"s{min(i % 10, 3)}") for i in range(2000)]
+    for stray in ([], [(5000, "", "xx", "odd"), (5001, None, None, None)]):
+        df = spark.createDataFrame(rows + stray, "doc_id long, text string, lang string, source string")
+        out = mixing.mixing_probabilities(df, keep=mixing.KEEP).collect()
+        total = sum(r["__tokens"] for r in out)
+        kept = sum(r["__tokens"] * r["__probability"] for r in out)
+        assert all(0 < r["__probability"] <= 1 for r in out) and abs(kept / total - mixing.KEEP) < 0.01
+        assert all(r["__probability"] > 0.99 for r in out if r.doc_id >= 5000)
+        own, got = defaultdict(float), defaultdict(float)
+        for r in out:
+            own[r.source] += r["__tokens"]
+            got[r.source] += r["__tokens"] * r["__probability"]
+        goal = {v: own[v] ** mixing.TEMPERATURE for v in own}
+        assert all(abs(got[v] / kept - goal[v] / sum(goal.values())) < 0.02 for v in own)
+        sampled = sum(len((r.text or "").split()) + 1 for r in mixing.mix(df).collect())
+        assert abs(sampled / total - mixing.KEEP) < 0.04
+
+
 def test_mixing_sql_twin(spark, corpus):
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
