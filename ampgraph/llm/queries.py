@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, suffix_dedup
 from .common import table
 from .golay_simhash import simhash_groups
 from .histogram_sort import histogram_shards
@@ -45,7 +45,8 @@ def op5_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sparse_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(table(spark, sf_dir, "documents"), length=50)
+    spans = repeated_spans(table(spark, sf_dir, "documents"), length=50)
+    return spans.select("doc_id", "start", "stop", "first_doc_id", "removed")
 
 
 def op7_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mix_by_raking": mixing.oracle_sql()}
+    return {"op6_sparse_suffix_dedup": suffix_dedup.oracle_sql(50), "op10_mix_by_raking": mixing.oracle_sql()}

@@ -208,25 +208,41 @@ def test_classifiers_on_the_held_out_fold(spark):
 
 
 def brute_repeats(rows, length):
-    seen = defaultdict(list)
+    """(words that an earlier copy has, words of first copies) by document."""
+    seen = defaultdict(set)
     for d, t in rows:
         w = (t or "").encode().split()
         for i in range(len(w) - length + 1):
-            seen[tuple(w[i : i + length])].append((d, i))
-    gone = defaultdict(set)
+            seen[tuple(w[i : i + length])].add((d, t, i))
+    gone, kept = defaultdict(set), defaultdict(set)
     for places in seen.values():
-        for d, i in sorted(places)[1:]:
-            gone[d].update(range(i, i + length))
-    return gone
+        for k, (d, _, i) in enumerate(sorted(places)):
+            if len(places) > 1:
+                (gone if k else kept)[d].update(range(i, i + length))
+    return gone, kept
 
 
-def test_repeated_spans(spark, corpus):
-    rows = [(d, t) for d, t in texts(corpus.dropDuplicates(["doc_id"]))]
-    got = defaultdict(set)
-    for r in suffix_dedup.repeated_spans(corpus.dropDuplicates(["doc_id"]), 50).where("removed").collect():
-        got[r.doc_id].update(range(r.start, r.stop))
+def spans_by_document(df):
+    gone, kept = defaultdict(set), defaultdict(set)
+    for r in df.collect():
+        (gone if r.removed else kept)[r.doc_id].update(range(r.start, r.stop))
+    return gone, kept
+
+
+@pytest.mark.parametrize("run", [4096, 1])
+def test_repeated_spans(spark, corpus, run):
+    """With short runs sorted in tasks, and with every contested anchor cut into passages."""
+    rows = texts(corpus)  # holds one row twice
+    found = suffix_dedup.repeated_spans(corpus, 50, run=run)
     want = brute_repeats(rows, 50)
-    assert {d: s for d, s in got.items() if s} == {d: s for d, s in want.items() if s}
+    assert spans_by_document(found) == want and len(want[0]) > 20
+    ordered = sorted((r.doc_id, r.text_key, r.removed, r.start, r.stop) for r in found.collect())
+    assert all(a[:3] != b[:3] or a[4] < b[3] for a, b in itertools.pairwise(ordered))
+
+
+def test_remove_repeats(spark, corpus):
+    rows = [(d, t) for d, t in texts(corpus.dropDuplicates(["doc_id"]))]
+    want = brute_repeats(rows, 50)[0]
     left = suffix_dedup.remove_repeats(corpus.dropDuplicates(["doc_id"]), 50)
     assert left.columns == corpus.columns
     kept = {r.doc_id: r for r in left.collect()}
@@ -241,11 +257,38 @@ def test_repeated_spans(spark, corpus):
     assert suffix_dedup.repeated_spans(corpus.where("doc_id < 0")).count() == 0
 
 
-def test_repeats_within_one_text(spark):
+def test_passages_that_overlap_in_many_ways(spark):
+    """Matches that reach far to one side of a suffix with one partner and to the other side with another."""
+    rng = np.random.default_rng(21)
+    base = words(rng, 400, 100_000)
+    rows = []
+    for i in range(60):
+        a, n = int(rng.integers(0, 330)), int(rng.integers(45, 70))
+        rows.append((i, " ".join(words(rng, 30, 100_000) + base[a : a + n] + words(rng, 30, 100_000))))
+    rows += [(100, " ".join(["la"] * 130)), (101, " ".join(["la", "lu"] * 80)), (None, rows[0][1]), (102, " ".join(base[:49]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for run in (4096, 2):
+        assert spans_by_document(suffix_dedup.repeated_spans(df, 50, run=run)) == brute_repeats([r for r in rows if r[0] is not None], 50)
+
+
+def test_repeats_within_one_text_and_repeated_rows(spark):
     w = [f"u{i}" for i in range(60)]
     df = spark.createDataFrame([(1, " ".join([*w, "x", *w]))], "doc_id long, text string")
     got = {(r.start, r.stop, r.removed) for r in suffix_dedup.repeated_spans(df, 50).collect()}
     assert got == {(0, 60, False), (61, 121, True)}
+    twice = spark.createDataFrame([(1, " ".join(w))] * 2, "doc_id long, text string")
+    assert suffix_dedup.repeated_spans(twice, 50).count() == 0  # a repeated row is one document
+    two = spark.createDataFrame([(1, " ".join(w)), (1, " ".join([*w, "end"]))], "doc_id long, text string")
+    assert sorted(r.removed for r in suffix_dedup.repeated_spans(two, 50).collect()) == [False, True]
+
+
+def test_suffix_sql_twin(spark, corpus):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    documents = corpus.dropDuplicates(["doc_id"]).select("doc_id", "text").toPandas()  # noqa: F841  read by DuckDB
+    want = sorted(c.execute(suffix_dedup.oracle_sql(50)).fetchall())
+    spans = suffix_dedup.repeated_spans(spark.createDataFrame(documents, "doc_id long, text string"), 50)
+    assert sorted(tuple(r) for r in spans.select("doc_id", "start", "stop", "first_doc_id", "removed").collect()) == want
 
 
 # --- op7 ---
