@@ -3,9 +3,10 @@
 A fingerprint's 64 bits are cut into segments of 23, 23 and 18 bits (the last one padded). The binary Golay
 code is perfect: each 23-bit word lies within 3 bits of one codeword. A segment's keys are the index of that
 codeword and, where it is exactly 3 bits away, those of the five codewords 4 bits away; any two words that
-differ in at most 2 bits then share a key. Fingerprints that differ in at most 4 bits have two segments that
-differ in 2 bits at most together, so a pair of segments shares a pair of keys: joining on pairs of keys
-finds every link, and each candidate is verified on the whole fingerprint.
+differ in at most 2 bits then share a key. Of fingerprints that differ in at most 4 bits, either one segment is
+equal and another differs in 2 bits at most: they share that segment and a codeword index of the other. Or every
+segment differs, and two of them in one bit each: they share a half of either. Joining on these keys (about 44 a
+fingerprint) finds every link, and each candidate is verified on the whole fingerprint.
 """
 
 from __future__ import annotations
@@ -73,18 +74,31 @@ def golay_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (w[:, None] ^ errors[s]) >> 11, np.arange(6) < count[s][:, None]
 
 
-def fingerprint_keys(prints: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(row number, key) of all keys of 64-bit fingerprints; ``salt`` keeps several fingerprints' keys apart."""
-    parts = [golay_keys(prints >> np.uint64(at) & np.uint64((1 << size) - 1)) for at, size in SEGMENTS]
+def fingerprint_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row number, key) of all keys of 64-bit fingerprints: two that differ in at most 4 bits share one."""
+    words = [(prints >> np.uint64(at) & np.uint64((1 << size) - 1)).astype(np.int64) for at, size in SEGMENTS]
+    coded = [golay_keys(w) for w in words]
     rows, keys = [], []
-    for n, ((x, in_x), (y, in_y)) in enumerate(itertools.combinations(parts, 2)):
-        both = in_x[:, :, None] & in_y[:, None, :]
-        key = x[:, :, None].astype(np.int64) << 12 | y[:, None, :].astype(np.int64)
-        rows.append(np.nonzero(both)[0])
-        keys.append(key[both] | (salt * 3 + n) << 24)
+    for n, (i, j) in enumerate(itertools.permutations(range(3), 2)):  # one equal, the other within 2 bits
+        index, counts = coded[j]
+        rows.append(np.nonzero(counts)[0])
+        keys.append((words[i][:, None] << 12 | index.astype(np.int64))[counts] | n << 40)
+    for n, (i, j) in enumerate(itertools.combinations(range(3), 2)):  # one bit in each: one half of both is equal
+        for m, (x, y) in enumerate(itertools.product(halves(words[i], SEGMENTS[i][1]), halves(words[j], SEGMENTS[j][1]))):
+            rows.append(np.arange(len(prints)))
+            keys.append(x << 12 | y | (6 + 4 * n + m) << 40)
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def with_salt(found: tuple[np.ndarray, np.ndarray], salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of one of several fingerprints, kept apart from those of the others."""
+    return found[0], found[1] | salt << 45
+
+
+def halves(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return words & (1 << size // 2) - 1, words >> size // 2
+
+
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """XXH64 (seed 42) of each run of ``size`` lower-cased words, joined by spaces; of all words if there are fewer."""
     words = lower_words(text)
@@ -148,7 +162,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, prints:
 
     Documents link where their fingerprints, taken together, differ in ``max_bits`` bits or fewer. With one
     fingerprint and up to 4 bits every link is found. With several, or more bits, a link is found if one of
-    the fingerprints has two segments within 2 bits each. component_id is the smallest id that links reach.
+    the fingerprints differs in 4 bits at most. component_id is the smallest id that links reach.
 
     Equal fingerprints are one node from the start, so copies, however many, cost one row; null and empty
     texts have the fingerprint zero, and link like any other. Rows without an id get their group's smallest
@@ -163,7 +177,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, prints:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 words = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, prints)
-                rows, keys = map(np.concatenate, zip(*(fingerprint_keys(words[:, i], i) for i in range(prints)), strict=True))
+                rows, keys = map(np.concatenate, zip(*(with_salt(fingerprint_keys(words[:, i]), i) for i in range(prints)), strict=True))
                 node = part.column(0).to_numpy(zero_copy_only=False)[rows]
                 if prints == 1:
                     payload = pa.array(words[rows, 0].view(np.int64))
@@ -232,8 +246,8 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 def near_groups(docs: DataFrame, shingle: int = 5, prints: int = 2, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, component_id) for every row: documents joined by links of shingle sets of at least this Jaccard similarity.
 
-    Candidates share a pair of Golay keys or a min-hash band and have fingerprints (over the distinct shingles)
-    that are not beyond ``far_bits``. At the similarity 0.8 a pair shares one of 16 bands of 4 with probability
+    Candidates share a Golay key of the first fingerprint or a min-hash band and have fingerprints (``prints`` of
+    them, over the distinct shingles) that are not beyond ``far_bits``. At the similarity 0.8 a pair shares one of 16 bands of 4 with probability
     0.9998. The candidates' components hold all links; in each, the exact sets are compared. Components over
     ``GROUP`` sets are cut into blocks, each pair of blocks for itself. Equal sets are one node.
     """
@@ -264,7 +278,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, prints: int = 2, similarity:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 words = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, prints)
-                found = [fingerprint_keys(words[:, i], i) for i in range(prints)]
+                found = [fingerprint_keys(words[:, 0])]
                 found.append((pc.list_parent_indices(part.column(2)).to_numpy(), pc.list_flatten(part.column(2)).to_numpy(zero_copy_only=False)))
                 rows, keys = map(np.concatenate, zip(*found, strict=True))
                 at_row = pa.array(rows)

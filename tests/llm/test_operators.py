@@ -311,6 +311,24 @@ def test_golay_keys_meet_within_two_bits():
         assert all(a & b for a, b in zip(keys(x), keys(y), strict=True))
 
 
+def test_fingerprints_within_four_bits_share_a_key():
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 400, dtype=np.uint64)
+
+    def keys(v):
+        got = defaultdict(set)
+        for r, k in zip(*golay_simhash.fingerprint_keys(v), strict=True):
+            got[int(r)].add(int(k))
+        return got
+
+    own = keys(x)
+    assert 30 < np.mean([len(k) for k in own.values()]) < 50
+    for _ in range(40):
+        flips = [rng.choice(64, int(rng.integers(1, 5)), replace=False) for _ in x]
+        y = np.array([v ^ np.uint64(sum(1 << int(b) for b in f)) for v, f in zip(x, flips, strict=True)], np.uint64)
+        assert all(own[i] & k for i, k in keys(y).items())
+
+
 def test_simhash_groups(spark, corpus):
     rows = texts(corpus)
     prints = {i: fingerprint(t) for i, (d, t) in enumerate(rows)}
