@@ -33,7 +33,7 @@ class _Codes(dict):
         for pattern, to in _SHAPES:
             shape = pattern.sub(to, shape)
         word = text.lower().encode()
-        code = self[token] = (zlib.crc32(word) << 32 | zlib.adler32(word), zlib.crc32(shape[:24].encode("utf-8", "replace")))
+        code = self[token] = (zlib.crc32(word) << 32 | zlib.adler32(word), zlib.crc32(shape.encode("utf-8", "replace")))
         return code
 
 

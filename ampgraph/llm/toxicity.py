@@ -3,6 +3,8 @@
 A linear classifier over hashed words and word beginnings learns from confirmed toxic documents and unlabelled
 text. The risk on clean text is estimated as the unlabelled risk less the share that toxic text has in it (the
 class prior); where that estimate turns negative on a batch, the step goes the other way (Kiryo et al., 2017).
+All weights begin at zero and all features of the training texts take part; follow-the-regularised-leader steps
+keep those at zero whose gradients don't add up.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, map_batches, stable_order
-from .quality import held_out, labelled, score_documents
+from .quality import labelled, score_documents
 
 BITS = 18
-#: Most confirmed and unlabelled documents that training reads, by hash order of the ids.
+#: Most labelled rows that training reads as confirmed and as unlabelled, by hash order of the ids: bounds on its one task.
 POSITIVES, UNLABELLED = 3000, 9000
 PREFIXES = (3, 4, 5)
 #: Words whose scores a worker keeps.
@@ -80,80 +82,69 @@ def _rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int32), *made]), starts, np.array(features, np.int32).reshape(-1, 1 + len(PREFIXES))
 
 
-def _presence(words: np.ndarray, starts: np.ndarray, features: np.ndarray, docs: range, size: int) -> np.ndarray:
-    """In what share of the documents each feature is."""
-    total = np.zeros(size)
-    for d in docs:
-        f = np.unique(features[words[starts[d] : starts[d + 1]]])
-        total[f[f >= 0]] += 1
-    return total / len(docs)
+def risk_slopes(z: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """The risk's derivatives by the scores of a batch (its first ``n_p`` are confirmed), under sigmoid losses.
+
+    While the clean part of the risk is not negative they are those of the whole risk; else those of the negated
+    clean part, which leads back.
+    """
+    q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    slope = q * (1 - q)
+    g = np.concatenate([-prior * slope[:n_p] / n_p, slope[n_p:] / (len(z) - n_p)])
+    if q[n_p:].mean() < prior * q[:n_p].mean():
+        return -g
+    g[:n_p] -= prior * slope[:n_p] / n_p
+    return g
 
 
-def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 10, batch: int = 256, rate: float = 0.02, least: float = 1.5, smooth: float = 5.0) -> tuple[np.ndarray, float]:
-    """Weights and bias under the non-negative risk with sigmoid losses, by Adam.
+def train(positive: list[bytes], unlabelled: list[bytes], prior: float, epochs: int = 40, batch: int = 512, alpha: float = 0.5, beta: float = 1e-3, l1: float = 0.01) -> tuple[np.ndarray, float]:
+    """Weights and bias that lessen the non-negative risk, by FTRL-proximal steps on batches.
 
-    Features count by their log-odds between toxic and clean text, where the clean share is the unlabelled one
-    less the prior's part of the toxic one; those under ``least`` are left out. Half the log-odds is where the
-    steps begin.
+    A feature's input is whether it is in the document, less its share among the unlabelled ones, times its rarity
+    there (minus the logarithm of that share, 1 for a single document). Without a text of either kind all is zero.
     """
-    size = (1 << BITS) + 1
+    size = 1 << BITS
     if not positive or not unlabelled:
-        return np.zeros(size - 1, np.float32), 0.0
-    n_p, n = len(positive), len(positive) + len(unlabelled)
+        return np.zeros(size, np.float32), 0.0
+    n_p, n_u = len(positive), len(unlabelled)
     words, starts, features = _rows(positive + unlabelled)
-    toxic = _presence(words, starts, features, range(n_p), size)
-    any_ = _presence(words, starts, features, range(n_p, n), size)
-    clean = np.maximum(0, (any_ - prior * toxic) / (1 - prior))
-    odds = np.log((toxic + smooth / n_p) / (clean + smooth / n_p))
-    odds[odds < least] = 0
-    odds[-1] = 1
-    features[(features >= 0) & (odds[features] == 0)] = -1
-    kept = (features[words] >= 0).any(1)
-    words, starts = words[kept], np.r_[0, np.cumsum(kept)][starts]
-    known = [np.r_[f[f >= 0], size - 1] for f in (features[words[a:b]] for a, b in itertools.pairwise(starts.tolist()))]
-    w, m, v = np.where(odds > 0, 0.5, 0.0), np.zeros(size), np.zeros(size)
-    w[-1] = np.log(prior / (1 - prior))
+    docs = [np.unique(f[f >= 0]) for f in (features[words[a:b]] for a, b in itertools.pairwise(starts.tolist()))]
+    share = np.bincount(np.concatenate(docs[n_p:]), minlength=size) / n_u
+    scale = np.where(share > 0, -np.log(np.maximum(share, 1 / n_u)) / max(np.log(n_u), 1e-9), 0.0)
+    w, z, n = np.zeros(size), np.zeros(size), np.zeros(size)
+    bias, steps = float(np.log(prior / (1 - prior))), 1e-6
     rng = np.random.default_rng(5)
-    p_order = rng.permutation(n_p)
-    t = 0
     for _ in range(epochs):
-        u_order = n_p + rng.permutation(n - n_p)
-        for i in range(0, len(u_order), batch):
-            u = u_order[i : i + batch]
-            p = p_order[np.arange(t * batch, (t + 1) * batch) % n_p]
-            parts = [known[d] for d in np.concatenate([p, u])]
-            flat, sizes = np.concatenate(parts), np.array([len(x) for x in parts])
-            z = np.add.reduceat(w[flat] * odds[flat], np.cumsum(sizes) - sizes)
-            q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            slope = q * (1 - q)
-            g = np.concatenate([-prior * slope[: len(p)] / len(p), slope[len(p) :] / len(u)])  # of the risk on clean text
-            if q[len(p) :].mean() >= prior * q[: len(p)].mean():
-                g[: len(p)] -= prior * slope[: len(p)] / len(p)
-            else:
-                g = -g
-            grad = np.bincount(flat, np.repeat(g, sizes) * odds[flat], size)
-            t += 1
-            m += 0.1 * (grad - m)
-            v += 0.001 * (grad * grad - v)
-            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-4)
-    return (w * odds)[:-1].astype(np.float32), float(w[-1])
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float | None = None, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, float]:
+        parts = max(1, min(n_u // batch, n_p))
+        for p, u in zip(np.array_split(rng.permutation(n_p), parts), np.array_split(n_p + rng.permutation(n_u), parts), strict=True):
+            some = [docs[d] for d in np.concatenate([p, u])]
+            flat, sizes = np.concatenate(some), np.array([len(x) for x in some])
+            owner = np.repeat(np.arange(len(some)), sizes)
+            score = bias - (w * scale) @ share + np.bincount(owner, (w * scale)[flat], len(some))
+            g = risk_slopes(score, len(p), prior)
+            grad = (np.bincount(flat, g[owner], size) - share * g.sum()) * scale
+            z += grad - (np.sqrt(n + grad * grad) - np.sqrt(n)) / alpha * w
+            n += grad * grad
+            w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha))
+            steps += g.sum() ** 2
+            bias -= 0.1 * g.sum() / np.sqrt(steps)
+    return (w * scale).astype(np.float32), float(bias - (w * scale) @ share)
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, epochs: int = 40, id_column: str = "doc_id", text_column: str = "text") -> tuple[np.ndarray, float]:
     """Weights and bias.
 
-    Training reads at most ``POSITIVES`` documents labelled 1 and ``UNLABELLED`` documents whatever their label,
-    all outside the held-out fold and first by a hash of their id, in one task. ``prior`` defaults to the share of
-    1 among the labels outside that fold.
+    Training reads, in one task, at most ``positives`` documents labelled 1 as confirmed ones, and at most
+    ``unlabelled`` labelled documents without their labels; all are outside the held-out fold, and first by a hash
+    of their id. ``prior`` defaults to the share of 1 among all labels outside that fold.
     """
     known = labelled(labels, label, id_column)
     if prior is None:
         share = known.agg(F.avg("label")).first()[0]
         prior = min(max(share or 0.0, 1e-3), 0.5)
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    marked = known.where("label = 1").orderBy(*stable_order("doc_id")).limit(POSITIVES).select("doc_id", F.lit(1).alias("positive"))
-    other = texts.select("doc_id").where(~held_out() & F.col("doc_id").isNotNull())
-    other = other.orderBy(*stable_order("doc_id")).limit(UNLABELLED).distinct().select("doc_id", F.lit(0).alias("positive"))
+    marked = known.where("label = 1").orderBy(*stable_order("doc_id")).limit(positives).select("doc_id", F.lit(1).alias("positive"))
+    other = known.orderBy(*stable_order("doc_id")).limit(unlabelled).select("doc_id", F.lit(0).alias("positive"))
     rows = texts.join(F.broadcast(marked.unionByName(other)), "doc_id").select(F.xxhash64("doc_id", "text", "positive").alias("order"), "text", "positive")
 
     def learn(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,14 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", prior: float |
         for b in it:
             for t, y in zip(as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
                 seen[y].append(t)
-        w, bias = train(seen[1], seen[0], prior)
+        w, bias = train(seen[1], seen[0], prior, epochs)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias])], names=["w", "bias"])
 
     got = map_batches(rows.repartition(1).sortWithinPartitions("order"), learn, "w binary, bias double").first()
     return (np.frombuffer(got["w"], np.float32), got["bias"]) if got else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, prior: float | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED, epochs: int = 40, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row: the probability that ``label`` is 1, from the whole text.
 
     The model of ``fit`` (1 MB) is broadcast. Ids, languages and sources are no inputs. A null or empty text scores
@@ -176,7 +167,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", th
     scored; an empty table gives an empty one.
     """
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return score_documents(texts, score_text, fit(docs, labels, label, prior, id_column, text_column), threshold)
+    return score_documents(texts, score_text, fit(docs, labels, label, prior, positives, unlabelled, epochs, id_column, text_column), threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_column: str = "text") -> DataFrame:

@@ -204,6 +204,69 @@ def test_classifiers_on_the_held_out_fold(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 500 or doc_id is null").count() == 2
 
 
+def test_follow_the_regularised_leader_step_by_step():
+    """The vectorised learner against the published update, feature by feature."""
+    rng = np.random.default_rng(14)
+    model = quality.FollowTheRegularisedLeader(20)
+    z, n = [0.0] * 21, [0.0] * 21
+
+    def weight(i):
+        l1 = 0.0 if i == 20 else model.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    for _ in range(300):
+        at = np.sort(rng.choice(20, 5, replace=False))
+        at, x, label = np.r_[at, 20], np.r_[rng.random(5), 1.0], int(rng.random() < 0.4)
+        w = [weight(i) for i in at]
+        p = 1 / (1 + np.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+        for i, wi, xi in zip(at.tolist(), w, x.tolist(), strict=True):
+            g = (p - label) * xi
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / model.alpha * wi
+            n[i] += g * g
+        model.learn(at, x, label)
+    assert np.allclose(model.z, z) and np.allclose(model.weights(), [weight(i) for i in range(21)])
+
+
+def test_risk_slopes_are_the_derivatives_of_the_non_negative_risk():
+    rng = np.random.default_rng(15)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def risk(z, n_p, prior):
+        confirmed, clean = prior * sigmoid(-z[:n_p]).mean(), sigmoid(z[n_p:]).mean() - prior * sigmoid(z[:n_p]).mean()
+        return confirmed + clean if clean >= 0 else -clean
+
+    signs = set()
+    for low in (-3, 3):
+        z = np.r_[rng.normal(2, 1, 5), rng.normal(low, 1, 9)]
+        prior = 0.3
+        signs.add(sigmoid(z[5:]).mean() >= prior * sigmoid(z[:5]).mean())
+        got = toxicity.risk_slopes(z, 5, prior)
+        for i in range(14):
+            e = np.zeros(14)
+            e[i] = 1e-6
+            assert abs((risk(z + e, 5, prior) - risk(z - e, 5, prior)) / 2e-6 - got[i]) < 1e-7
+    assert signs == {True, False}
+
+
+def test_scores_use_neither_held_out_labels_nor_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs, labels = marked(spark, np.random.default_rng(16), 240)
+    docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    turned = labels.withColumns({c: F.when(quality.held_out(), 1 - F.col(c)).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    clash = docs.withColumns({"label": F.lit(1), "score": F.lit("x"), "positive": F.lit(0), "order": F.lit(3), "source": F.col("doc_id").cast("string")})
+    long_text = spark.createDataFrame([(9001, "vile words " * 100_000)], "doc_id long, text string")
+    for f in (quality.quality_scores, toxicity.toxicity_scores):
+        want = sorted(tuple(r) for r in f(docs, labels).collect())
+        assert sorted(tuple(r) for r in f(docs, turned).collect()) == want
+        assert sorted(tuple(r) for r in f(clash, labels).collect()) == want
+        assert 0 <= f(docs.unionByName(long_text), labels).where("doc_id = 9001").first().score <= 1
+    untrained = toxicity.toxicity_scores(docs, labels, epochs=0).select("score").distinct().collect()
+    assert len(untrained) == 1  # all weights begin at zero
+
+
 # --- op6 ---
 
 
@@ -432,6 +495,46 @@ def test_bounded_bins_close_the_fullest():
     assert [fit.put(n) for n in (7, 6, 5, 3, 5, 4)] == [(0, 0), (1, 0), (2, 0), (1, 6), (2, 5), (3, 0)]
 
 
+def plain_best_fit(lengths, size, space):
+    """[(bin, offset)]: among the open bins the one left least free, the newest of equals; the fullest closes first."""
+    open_, made, out = [], 0, []
+    for n in lengths:
+        fits = [b for b in open_ if b[1] >= n]
+        if fits:
+            left = min(b[1] for b in fits)
+            b = [b for b in fits if b[1] == left][-1]
+            open_.remove(b)
+        else:
+            b, made = [made, size], made + 1
+            if n < size and len(open_) == space:
+                least = min(x[1] for x in open_)
+                open_.remove([x for x in open_ if x[1] == least][-1])
+        out.append((b[0], size - b[1]))
+        if b[1] > n:
+            open_.append([b[0], b[1] - n])
+    return out
+
+
+def test_a_full_group_is_packed_as_by_a_plain_best_fit():
+    """In arrival order, with a bound that is met many times."""
+    rng = np.random.default_rng(13)
+    lengths = np.minimum(rng.gamma(1.2, 500, packing.GROUP).astype(int) + 1, 2048).tolist()
+    for space in (32, packing.OPEN):
+        fit, most = packing.BestFit(2048, space), 0
+        got = []
+        for n in lengths:
+            got.append(fit.put(n))
+            most = max(most, fit.open)
+        assert got == plain_best_fit(lengths, 2048, space) and most == space
+        assert fit.made <= 1.02 * sum(lengths) / 2048
+
+
+def test_repeated_rows_are_each_packed(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 3 + [(None, "d")], "doc_id long, text string")
+    rows = packing.pack_documents(df).collect()
+    assert len(rows) == 4 and len({(r.sequence_id, r.offset) for r in rows}) == 4
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
     rows = packing.sequences(packing.pack_documents(df, with_ids=True)).collect()
