@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows and bytes of text that a Python worker gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _own_dirs: dict[str, str] = {}
+_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a temporary folder; a cluster's executors could not read one, so it is an error there.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="ampgraph-")
@@ -46,7 +53,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = weakref.ref(out), path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``materialize`` gave, once nothing will read them again."""
+    for df in tables:
+        kept, path = _paths.pop(id(df), (None, None))
+        if path and kept() is df:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -58,12 +75,16 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """mapInArrow over batches that stay small where texts are long: fewer rows and bytes than Spark's defaults."""
+    """mapInArrow over batches that stay small where texts are long: fewer rows and bytes than Spark's defaults.
+
+    Spark reads both bounds when the plan runs, so they stay lowered in the session; lower ones of its own stay.
+    """
     ship(df.sparkSession)
     conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(conf.get(key).lower().removesuffix("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
     return df.mapInArrow(function, schema)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import gathered
-from .common import as_bytes, map_batches, materialize, mix64, shuffle_partitions
+from .common import as_bytes, discard, map_batches, materialize, mix64, shuffle_partitions
 
 #: Words that a minimiser hashes: the leading words by which suffixes first meet.
 ANCHOR = 12
@@ -189,9 +189,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_column: str = "doc_id",
         F.count(F.lit(1)).alias("n"), F.min("block").alias("b1"), F.max("block").alias("b2"), F.min("block_check").alias("c1"), F.max("block_check").alias("c2"),
         F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("last_doc_id"),
     )
-    agreed = agreed.where("n > 1").select("anchor", "first_doc_id", "last_doc_id", ((F.col("b1") == F.col("b2")) & (F.col("c1") == F.col("c2"))).alias("same"))
+    agreed = materialize(agreed.where("n > 1").select("anchor", "first_doc_id", "last_doc_id", ((F.col("b1") == F.col("b2")) & (F.col("c1") == F.col("c2"))).alias("same")), "agreed")
     # tables on both sides of each join, so that a hot suffix can be split between tasks
-    shared = materialize(kept.join(materialize(agreed, "agreed"), "anchor"), "agreeing")
+    shared = materialize(kept.join(agreed, "anchor"), "agreeing")
+    discard(kept, agreed)
     place = F.struct("text_key", "start")
     leaders = shared.where("same and doc_id = first_doc_id").groupBy("anchor").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("last_doc_id").alias("__last"), F.first("first_doc_id").alias("__first"))
     leaders = materialize(leaders.where("__first != __last or first != last").select("anchor", "first"), "leaders")
