@@ -17,6 +17,9 @@ class InvalidAdjacency(AnalyticsError): ...
 class InvalidFilterParameter(AnalyticsError): ...
 
 
+class IncompleteSignal(AnalyticsError): ...
+
+
 class ZeroDegreeNode(AnalyticsError): ...
 
 
@@ -54,3 +57,9 @@ class UnknownDevice(InvalidSpec): ...
 
 
 class BoundsViolation(InvalidSpec): ...
+
+
+class SourceError(AnalyticsError): ...
+
+
+class SourceTimeout(SourceError): ...

@@ -112,6 +112,41 @@ def calibrate(balls: DataFrame, sigma: float, config: DetectorConfig = DetectorC
     return balls.groupBy("zone").applyInPandas(zone, "zone string, threshold double, candidates long")
 
 
+def validate(balls: DataFrame, thresholds: DataFrame, sigma: float, config: DetectorConfig = DetectorConfig(), seed: int = 1, instants: int = 60_000) -> DataFrame:
+    """(zone, windows, fired, episodes): false alarms of each zone's threshold on a long signal without events.
+
+    The signal is drawn and scanned in pieces of which each begins with the last window of the one before; an
+    episode is a run of windows that fire.
+    """
+
+    def zone(b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(b) or not len(t):
+            return pd.DataFrame()
+        n, w, step = int(b["n"].iloc[0]), config.window, config.step or config.window
+        masks = np.zeros((len(b), n))
+        for row, members in enumerate(b.sort_values(["radius", "centre"])["members"]):
+            masks[row, members] = 1
+        size = masks.sum(1)
+        error = sigma / np.sqrt(w) * np.sqrt(1 / size + 1 / (n - size))
+        rng, held, fired, first = np.random.default_rng(seed), np.empty((0, n)), [], 0
+        for at in range(0, instants, 4096):
+            held = np.concatenate([held, rng.normal(0.0, sigma, (min(4096, instants - at), n))])
+            starts = np.arange(first, len(held) - w + 1, step)
+            sums = np.concatenate([np.zeros((1, n)), held.cumsum(0)])
+            means = (sums[starts + w] - sums[starts]) / w
+            inside = means @ masks.T
+            rest = (means.sum(1, keepdims=True) - inside) / (n - size)
+            fired.append((np.abs(inside / size - rest) / error).max(1) > t["threshold"].iloc[0])
+            if len(starts):
+                keep = min(starts[-1] + step, len(held))
+                first, held = starts[-1] + step - keep, held[keep:]
+        hit = np.concatenate(fired)
+        rises = int(hit[:1].sum() + (hit[1:] & ~hit[:-1]).sum())
+        return pd.DataFrame({"zone": [b["zone"].iloc[0]], "windows": [len(hit)], "fired": [int(hit.sum())], "episodes": [rises]})
+
+    return balls.groupBy("zone").cogroup(thresholds.select("zone", "threshold").groupBy("zone")).applyInPandas(zone, "zone string, windows long, fired long, episodes long")
+
+
 def check_frozen(frozen: DataFrame, live: DataFrame) -> DataFrame:
     """(zone, problem) of frozen thresholds that can't be adopted; no rows if all can.
 

@@ -28,14 +28,53 @@ def auc(scores: DataFrame, *by: str) -> DataFrame:
 
 def rate_at_fpr(scores: DataFrame, fpr: float = 0.01) -> DataFrame:
     """The share of positives above the (1 - fpr) quantile of negatives."""
-    cut = scores.where(~F.col("label")).agg(F.expr(f"percentile(score, {1 - fpr})")).first()[0]
+    cut = percentiles(scores.where(~F.col("label")), "score", {"cut": 1 - fpr}).first()[0]
     return scores.where("label").agg(F.avg((F.col("score") > F.lit(cut)).cast("double")).alias("rate")).withColumn("cut", F.lit(cut))
 
 
+def numbered(rows: DataFrame, *order, name: str = "place") -> DataFrame:
+    """``rows`` numbered from 1 in an order over all of them: sorted by ranges, with the ranges' counts as offsets.
+
+    No task sees more than one range; only a count per range reaches the driver. ``order`` tells rows apart.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    placed = placed.persist()
+    before, offsets = 0, {}
+    for r in sorted(placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).collect()):
+        offsets[r["__part"]] = before - r["first"]
+        before += r["n"]
+    if not offsets:
+        return placed.withColumn(name, F.lit(0).cast("long")).drop("__part", "__at")
+    shift = F.element_at(F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)), F.col("__part"))
+    return placed.withColumn(name, F.col("__at") + shift + 1).drop("__part", "__at")
+
+
 def spearman(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
-    """Correlation of ordinal ranks, without averaging ties. The ranks are global, so this is for summary tables."""
-    a, b = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c, key)) for c in (x, y))
-    return rows.withColumns({"__a": a, "__b": b}).agg(F.corr("__a", "__b").alias("spearman"))
+    """Correlation of ordinal ranks, without averaging ties (which go by the key)."""
+    a = numbered(rows.select(F.col(key).alias("__key"), F.col(x).alias("__x")), "__x", "__key", name="__a")
+    b = numbered(rows.select(F.col(key).alias("__key"), F.col(y).alias("__y")), "__y", "__key", name="__b")
+    return a.join(b.select("__key", "__b"), "__key").agg(F.corr("__a", "__b").alias("spearman"))
+
+
+def percentiles(rows: DataFrame, value: str, points: dict[str, float], *by: str) -> DataFrame:
+    """Exact interpolated percentiles, a column each, from counts by value: equal values meet before the shuffle.
+
+    A group's window then runs over its different values, not its rows. Nulls don't count.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    keys = list(by)
+    line = Window.partitionBy(*keys).orderBy("__v") if keys else Window.partitionBy(F.lit(0)).orderBy("__v")
+    run = counts.withColumn("__upto", F.sum("__c").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
+    run = run.join(total, keys) if keys else run.crossJoin(total)
+    out = []
+    for name, q in points.items():
+        h = F.lit(float(q)) * (F.col("__n") - 1)
+        low, high = (F.min(F.when(F.col("__upto") > f(h), F.col("__v"))) for f in (F.floor, F.ceil))
+        part = F.max(h - F.floor(h))
+        out.append((low + part * (high - low)).alias(name))
+    return run.groupBy(*keys).agg(*out)
 
 
 def episodes(flags: DataFrame, *by: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A parameter set is a row (sigma, window, length, depth, size, shape, radii, tau, aligned); each (zone, set) is a
 group of its own, so a grid of any size spreads over the cluster. Rates compare the ball scan with the largest
-single-meter deviation on the same clean and event signals.
+single-meter deviation on the same clean and event signals; STATISTICS are also scored each for itself.
 """
 
 from __future__ import annotations
@@ -17,9 +17,20 @@ from pyspark.sql import functions as F
 from . import spectral
 from .inject import grow, zone_key
 
-TRIALS, CALIBRATION, FPR, MEAN, SIGMA = 60, 200, 0.01, 220.0, 1.5
-FIELDS = "sigma double, window int, length int, depth int, size int, shape string, radii array<int>, tau double, aligned boolean"
-BASE = {"sigma": 0.5, "window": 16, "length": 16, "depth": 2, "size": 0, "shape": "compact", "radii": [1, 2], "tau": 0.0, "aligned": True}
+CALIBRATION, FPR, MEAN, SIGMA = 600, 0.01, 220.0, 1.5
+FIELDS = "sigma double, window int, length int, depth int, size int, shape string, radii array<int>, tau double, aligned boolean, trials int"
+BASE = {"sigma": 0.5, "window": 16, "length": 16, "depth": 2, "size": 0, "shape": "compact", "radii": [1, 2], "tau": 0.0, "aligned": True, "trials": 300}
+#: The grids that published figures are for.
+WINDOWS, SIGMAS, RADII = (1, 2, 4, 8, 16, 32, 64), (0.5, 1.0, 1.5), ([1], [1, 2], [1, 2, 3])
+TAUS = (0.05, 0.1, 0.25, 0.447, 0.75, 1.0, 1.5, 2.239, 3.0, 5.0, 10.0, 20.0)
+MAGNITUDES, DURATIONS = (0.5, 1.0, 1.5, 2.0, 3.0), (1, 2, 5, 10, 20, 50)
+SIZES, CONTRAST_SIZES = (1, 2, 3, 4, 5, 6, 8, 10, 12, 14, 16, 18, 20, 22, 24), (5, 6, 8)
+DEPTHS, INDIVIDUAL, COLLECTIVE = (0, 1, 2, 3), 6.0, 1.0
+SLIDING_WINDOWS, SLIDING_RADII, LONG = (4, 8, 16, 32), ([1], [1, 2]), 4
+#: What a window's mean signal is scored by: the largest single deviation, the ball scan, Dirichlet energies of the
+#: normalised (of the signal, and of the signal less its mean) and the combinatorial Laplacian, the largest deviation
+#: from a node's neighbours, and the contrast of the true group, which no method can know.
+STATISTICS = ("threshold", "scan", "dirichlet", "dirichlet_centred", "dirichlet_combinatorial", "local_residual", "oracle")
 
 
 def grid(spark, **axes) -> DataFrame:
@@ -60,11 +71,40 @@ def scan(x: np.ndarray, masks: np.ndarray, window: int, sigma: float, smooth: np
     return np.abs(inside / k - rest) / (sigma / np.sqrt(window) * np.sqrt(1 / k + 1 / (n - k)))
 
 
+def separation(down: np.ndarray, up: np.ndarray) -> tuple[float, float]:
+    """(rate of ``up`` above the clean quantile, Mann-Whitney AUC by ordinal ranks)."""
+    n, m = len(down), len(up)
+    rank = np.r_[down, up].argsort(kind="stable").argsort()[n:] + 1
+    return float((up > np.quantile(down, 1 - FPR)).mean()), float((rank.sum() - m * (m + 1) / 2) / (n * m))
+
+
+def statistics(x: np.ndarray, a: np.ndarray, masks: np.ndarray, own: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    """STATISTICS of signals (trials, T, n), the largest over all windows; ``own`` (trials, n) marks each true group."""
+    n = x.shape[2]
+    sums = np.concatenate([np.zeros((len(x), 1, n)), x.cumsum(1)], 1)
+    mean = (sums[:, window:] - sums[:, :-window]) / window
+    plain, norm = np.diag(a.sum(1)) - a, spectral.normalised(a)
+    energy = lambda y, m: np.einsum("twi,ij,twj->tw", y, m, y, optimize=True).max(1)
+    around = a / np.maximum(a.sum(1), 1e-300)[:, None]
+    k = own.sum(1)[:, None]
+    inside = np.einsum("twi,ti->tw", mean, own.astype(float))
+    contrast = np.abs(inside / k - (mean.sum(2) - inside) / np.maximum(n - k, 1))
+    return {
+        "threshold": np.abs(mean).max((1, 2)),
+        "scan": scan(x, masks, window, SIGMA, None).max((1, 2)),
+        "dirichlet": energy(mean, norm),
+        "dirichlet_centred": energy(mean - mean.mean(2, keepdims=True), norm),
+        "dirichlet_combinatorial": energy(mean, plain),
+        "local_residual": np.abs(mean - mean @ around.T).max((1, 2)),
+        "oracle": contrast.max(1),
+    }
+
+
 def trial(a: np.ndarray, p, seed: int) -> dict:
-    """Rates, false-positive rates and node confusion of one zone and parameter set."""
-    n, window, length = len(a), int(p.window), int(p.length)
+    """Rates, false-positive rates, node confusion and scores by statistic of one zone and parameter set."""
+    n, window, length, trials = len(a), int(p.window), int(p.length), int(p.trials)
     masks = ball_masks(a, p.radii)
-    out = dict.fromkeys(("scan_rate", "meter_rate", "advantage", "scan_fpr", "recall", "precision", "f1", "auc"), 0.0) | {"candidates": len(masks)}
+    out = dict.fromkeys(("scan_rate", "meter_rate", "advantage", "scan_fpr", "recall", "precision", "f1", "auc"), 0.0) | {"candidates": len(masks), "scores": []}
     if not len(masks):
         return out
     smooth = None
@@ -74,8 +114,8 @@ def trial(a: np.ndarray, p, seed: int) -> dict:
     rng = np.random.default_rng([seed, window, int(p.sigma * 100), length])
     null = scan(rng.normal(0, SIGMA, (CALIBRATION, length, n)), masks, window, SIGMA, smooth).max((1, 2))
     cut = np.quantile(null, 1 - FPR)
-    clean = rng.normal(MEAN, SIGMA, (TRIALS, length, n))
-    seeds = np.arange(TRIALS) % n
+    clean = rng.normal(MEAN, SIGMA, (trials, length, n))
+    seeds = np.arange(trials) % n
     around = {i: np.flatnonzero(a[i] > 0).tolist() for i in range(n)}
     if p.size:
         groups = np.zeros((n, n), bool)
@@ -86,7 +126,7 @@ def trial(a: np.ndarray, p, seed: int) -> dict:
                 groups[i, i] = True
     else:
         groups = hops(a, int(p.depth))
-    starts = np.zeros(TRIALS, int) if p.aligned else rng.integers(0, length - window + 1, TRIALS)
+    starts = np.zeros(trials, int) if p.aligned else rng.integers(0, length - window + 1, trials)
     event = clean.copy()
     for i, (g, s) in enumerate(zip(seeds, starts, strict=True)):
         event[i, s : s + window, groups[g]] += p.sigma * SIGMA
@@ -99,13 +139,13 @@ def trial(a: np.ndarray, p, seed: int) -> dict:
         marked = masks[hit[i, fired[i]].argmax(1)].any(0)
         truth = groups[seeds[i]]
         tp, fp, fn = tp + (marked & truth).sum(), fp + (marked & ~truth).sum(), fn + (~marked & truth).sum()
-    single = lambda x: np.abs(np.lib.stride_tricks.sliding_window_view(x, window, axis=1).mean(-1) - MEAN).max((1, 2))
-    up, down = single(event), single(clean)
-    out["scan_rate"], out["meter_rate"] = fired.any(1).mean(), (up > np.quantile(down, 1 - FPR)).mean()
+    up, down = (statistics(x - MEAN, a, masks, groups[seeds], window) for x in (event, clean))
+    scores = {name: separation(down[name], up[name]) for name in STATISTICS}
+    out["scan_rate"], out["meter_rate"] = fired.any(1).mean(), scores["threshold"][0]
     out["advantage"], out["scan_fpr"] = out["scan_rate"] - out["meter_rate"], (miss.max((1, 2)) > cut).mean()
     out["recall"], out["precision"], out["f1"] = tp / max(tp + fn, 1), tp / max(tp + fp, 1), 2 * tp / max(2 * tp + fp + fn, 1)
-    rank = np.r_[miss.max((1, 2)), hit.max((1, 2))].argsort(kind="stable").argsort()[TRIALS:] + 1
-    out["auc"] = (rank.sum() - TRIALS * (TRIALS + 1) / 2) / TRIALS**2
+    out["auc"] = separation(miss.max((1, 2)), hit.max((1, 2)))[1]
+    out["scores"] = [{"statistic": name, "rate": rate, "auc": auc} for name, (rate, auc) in scores.items()]
     return out
 
 
@@ -125,8 +165,13 @@ def run(edges: DataFrame, sets: DataFrame, seed: int = 20260101) -> DataFrame:
                 rows.append({"zone": p.zone, **{n: getattr(p, n) for n in names}, **trial(a, p, seed + zone_key(p.zone) % 1000)})
             yield pd.DataFrame(rows)
 
-    out = "candidates long, scan_rate double, meter_rate double, advantage double, scan_fpr double, recall double, precision double, f1 double, auc double"
-    return jobs.repartition("zone", *names[:4]).mapInPandas(job, f"zone string, {FIELDS}, {out}")
+    out = "candidates long, scan_rate double, meter_rate double, advantage double, scan_fpr double, recall double, precision double, f1 double, auc double, scores array<struct<statistic:string,rate:double,auc:double>>"
+    return jobs.repartition("zone", *(n for n in names if n != "radii")).mapInPandas(job, f"zone string, {FIELDS}, {out}")
+
+
+def by_statistic(rows: DataFrame) -> DataFrame:
+    """(zone, sigma, window, depth, statistic, rate, auc)."""
+    return rows.select("zone", "sigma", "window", "depth", F.inline("scores"))
 
 
 def _mean(rows: DataFrame, *by: str) -> DataFrame:
@@ -145,7 +190,7 @@ def event_signal(points: DataFrame, edges: DataFrame, depth: int, multiple: floa
 def el_signature(points, edges, balls):
     """Spectral profile of the event at every seed, by depth."""
     out = None
-    for depth in (0, 1, 2):
+    for depth in DEPTHS:
         rows = spectral.band_energy(edges, event_signal(points, edges, depth, 1.0)).select("zone", F.lit(depth).alias("depth"), F.col("t").alias("seed"), "mode_zero", "high_without_mean", "rayleigh")
         out = rows if out is None else out.union(rows)
     return out
@@ -165,19 +210,23 @@ def _grid(edges, **axes):
 
 
 def el_detection_table(points, edges, balls):
-    return _grid(edges, sigma=[1.0, 2.0], depth=[1, 2], window=[1])
+    """Every statistic on single meters and on collective events of each depth, one instant at a time."""
+    spark = edges.sparkSession
+    sets = grid(spark, sigma=[INDIVIDUAL], depth=[0], window=[1], trials=[500]).union(grid(spark, sigma=[COLLECTIVE], depth=list(DEPTHS[1:]), window=[1], trials=[500]))
+    return by_statistic(run(edges, sets))
 
 
 def el_mag_dur(points, edges, balls):
-    return _mean(_grid(edges, sigma=[0.5, 1.0, 3.0], window=[1, 8]), "sigma", "window")
+    return _mean(_grid(edges, sigma=list(MAGNITUDES), window=list(DURATIONS), radii=[[1]], trials=[400]), "sigma", "window")
 
 
 def el_mag_dur_cell(points, edges, balls):
-    return _grid(edges, sigma=[1.0], window=[8])
+    rows = by_statistic(_grid(edges, sigma=[COLLECTIVE], window=[10], radii=[[1]], trials=[400]))
+    return rows.where(F.col("statistic").isin("threshold", "scan", "dirichlet_centred", "local_residual", "oracle"))
 
 
 def el_advantage(points, edges, balls):
-    return _grid(edges, sigma=[0.5, 1.0], window=[4, 16]).select("zone", "sigma", "window", "scan_rate", "meter_rate", "advantage")
+    return _grid(edges, sigma=list(SIGMAS), window=list(WINDOWS)).select("zone", "sigma", "window", "scan_rate", "meter_rate", "advantage")
 
 
 def el_rates(points, edges, balls):
@@ -185,7 +234,12 @@ def el_rates(points, edges, balls):
 
 
 def el_sliding_eval(points, edges, balls):
-    return _grid(edges, length=[64], aligned=[False])
+    """Events anywhere in signals four windows long."""
+    parts = [grid(edges.sparkSession, window=[w], length=[LONG * w], radii=list(SLIDING_RADII), aligned=[False], trials=[200]) for w in SLIDING_WINDOWS]
+    sets = parts[0]
+    for p in parts[1:]:
+        sets = sets.union(p)
+    return run(edges, sets).drop("scores")
 
 
 def el_sliding_known(points, edges, balls):
@@ -193,16 +247,20 @@ def el_sliding_known(points, edges, balls):
 
 
 def el_radii(points, edges, balls):
-    return _mean(_grid(edges, radii=[[1], [1, 2], [1, 2, 3]]), "radii")
+    return _mean(_grid(edges, radii=list(RADII)), "radii")
 
 
 def el_tau(points, edges, balls):
-    return _mean(_grid(edges, tau=[0.0, 0.5, 2.0]), "tau")
+    """Without a filter (0), and with one of each strength."""
+    return _mean(_grid(edges, tau=[0.0, *TAUS]), "tau")
 
 
 def el_individual(points, edges, balls):
-    return _mean(_grid(edges, depth=[0], sigma=[6.0], window=[1]), "sigma")
+    return _mean(_grid(edges, depth=[0], sigma=[INDIVIDUAL], window=[1]), "sigma")
 
 
 def el_group_size(points, edges, balls):
-    return _mean(_grid(edges, size=[2, 4, 8], shape=["compact", "extended"]), "size", "shape")
+    """Sizes of compact groups, some also of walks; scan_fpr is the control of the calibration on the clean signals."""
+    spark = edges.sparkSession
+    sets = grid(spark, size=list(SIZES), shape=["compact"], length=[LONG * 16], aligned=[False], trials=[2000]).union(grid(spark, size=list(CONTRAST_SIZES), shape=["extended"], length=[LONG * 16], aligned=[False], trials=[2000]))
+    return _mean(run(edges, sets), "size", "shape")

@@ -105,5 +105,5 @@ def tone(status: Column) -> Column:
     return F.when(status.isNull(), "neutral").when(status == "activo", "success").when(status == "mantenimiento", "warning").otherwise("danger")
 
 
-def liveness(age: Column) -> Column:
-    return F.when(age.isNull(), "no reading").when(age < 10, "live").when(age < 30, "delayed").otherwise("no signal")
+def liveness(age: Column, live_s: float = 10, delayed_s: float = 30) -> Column:
+    return F.when(age.isNull(), "no reading").when(age < live_s, "live").when(age < delayed_s, "delayed").otherwise("no signal")

@@ -7,9 +7,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import InvalidFilterParameter
+from ..errors import IncompleteSignal, InvalidFilterParameter
 from .graph import degrees
 
+#: Instants that a task takes of one zone.
+BLOCK = 4096
+
 
 def laplacian(points: DataFrame, links: DataFrame) -> DataFrame:
     """(zone, i, j, value): D - A as coordinates, the diagonal included."""
@@ -146,20 +149,40 @@ def spectrum_report(links: DataFrame, ratio: float = 0.5) -> DataFrame:
     return _by_zone(links, kernel, "largest double, zeros long, fiedler double, cut long, cut_value double, cut_multiplicity long, max_multiplicity long")
 
 
+def complete(signal: DataFrame, points: DataFrame) -> DataFrame:
+    """The instants of ``signal`` in which every node of the zone has a finite value."""
+    n = points.groupBy("zone").agg(F.count(F.lit(1)).alias("__n"))
+    fine = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    whole = signal.where(fine).groupBy("zone", "t").agg(F.count_distinct("idx").alias("__k")).join(n, "zone").where("__k = __n")
+    return signal.join(whole.select("zone", "t"), ["zone", "t"], "left_semi")
+
+
 def with_signal(links: DataFrame, signal: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn(adjacency, instants, matrix (T, n))`` for each zone; the frame it returns gets the zone in front."""
+    """``fn(adjacency, instants, matrix (T, n))`` for each zone and block of ``BLOCK`` instants; the frame that it
+    returns gets the zone in front.
+
+    Only a zone's edges are whole in a task, never its history. Node numbers begin at 0; the largest in links or
+    signal tells how many there are, so nodes without links count. A missing or non-finite value is an error: see
+    ``complete``.
+    """
 
     def kernel(edges: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(edges):
             return pd.DataFrame()
-        n = int(max(edges["src"].max(), edges["dst"].max())) + 1
-        wide = x.pivot(index="t", columns="idx", values="value").sort_index()
-        out = fn(matrix(edges, n), wide.index.to_numpy(), wide.to_numpy())
+        n = int(max(edges["src"].max(), edges["dst"].max(), x["idx"].max())) + 1
+        wide = x.pivot(index="t", columns="idx", values="value").sort_index().reindex(columns=range(n))
+        values = wide.to_numpy(float)
+        if not np.isfinite(values).all():
+            t, idx = np.argwhere(~np.isfinite(values))[0]
+            raise IncompleteSignal(f"zone {edges['zone'].iloc[0]}: node {idx} has no finite value at {wide.index[t]}")
+        out = fn(matrix(edges, n), wide.index.to_numpy(), values)
         out.insert(0, "zone", edges["zone"].iloc[0])
         return out
 
-    left = links.select("zone", "src", "dst", "weight").groupBy("zone")
-    return left.cogroup(signal.select("zone", "t", "idx", "value").groupBy("zone")).applyInPandas(kernel, f"zone string, {schema}")
+    x = signal.select("zone", F.floor(F.col("t") / BLOCK).alias("__block"), "t", "idx", "value")
+    parts = x.select(F.col("zone").alias("__zone"), F.col("__block").alias("__of")).distinct()
+    left = links.join(parts, F.col("zone") == F.col("__zone")).select("zone", F.col("__of").alias("__block"), "src", "dst", "weight").groupBy("zone", "__block")
+    return left.cogroup(x.groupBy("zone", "__block")).applyInPandas(kernel, f"zone string, {schema}")
 
 
 def _long(t: np.ndarray, y: np.ndarray) -> pd.DataFrame:
@@ -208,10 +231,10 @@ def tau_sweep(links: DataFrame, signal: DataFrame, taus: tuple[float, ...]) -> D
     def kernel(a, t, x):
         values, u = eigh(normalised(a))
         e = (x @ u) ** 2
-        before = (e * values).sum()
-        return pd.DataFrame({"tau": taus, "retained": [float((e * low_pass(values, s) ** 2 * values).sum() / before) if before > 0 else 0.0 for s in taus]})
+        return pd.DataFrame({"tau": taus, "before": float((e * values).sum()), "after": [float((e * low_pass(values, s) ** 2 * values).sum()) for s in taus]})
 
-    return with_signal(links, signal, kernel, "tau double, retained double")
+    parts = with_signal(links, signal, kernel, "tau double, before double, after double").groupBy("zone", "tau").agg(F.sum("before").alias("b"), F.sum("after").alias("a"))
+    return parts.select("zone", "tau", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("retained"))
 
 
 def top_mode_score(links: DataFrame, signal: DataFrame, modes: int = 3) -> DataFrame:

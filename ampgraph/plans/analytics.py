@@ -2,17 +2,37 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import detect, evaluate, graph, inject, registry, spectral, windows
+from ..settings import cycle_interval, zone_filter
 from ..sources import simulator, sinks, tables
-from .registry import ORACLE, QUERIES, query
+from .registry import ORACLE, QUERIES, operator, query
 from .views import DAY_US, FULL, GAPPY, LENGTH, SIGMA, THRESHOLD, get
 
 __all__ = ["ORACLE", "QUERIES"]
 
+PLACES = "SELECT *, row_number() OVER (PARTITION BY zone, bin ORDER BY round(statistic, 9) DESC, radius, centre) AS place FROM scores"
+
+WINNERS = f"""
+SELECT zone, bin, statistic > {THRESHOLD}e0 AS detected, statistic, candidates, CASE WHEN statistic > {THRESHOLD}e0 THEN radius END AS radius,
+  CASE WHEN statistic > {THRESHOLD}e0 THEN centre END AS centre, CASE WHEN statistic > {THRESHOLD}e0 THEN size END AS size
+FROM (SELECT *, count(*) OVER (PARTITION BY zone, bin) AS candidates FROM places) WHERE place = 1"""
+
+
+def _whole(s, d):
+    """The signal's complete instants, which kernels over eigenvectors need."""
+    return spectral.complete(get(s, d, "signal"), get(s, d, "points"))
+
+
+def r9(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, 6) for n in names})
@@ -117,20 +137,50 @@ def snk_publish(s, d):
     return sinks.dispatch(_status(s, d), "net").select("zone", "bin", "topic")
 
 
-@query()
+@query("""
+SELECT 'net/' || CASE WHEN status = 'ventana' THEN kind ELSE 'sin-ventana' END || '/' || zone AS topic,
+  '{"zone":"' || zone || '","bin":' || bin || ',"status":"' || status || '","incomplete":' || incomplete::BIGINT || CASE WHEN reason IS NULL THEN '' ELSE ',"reason":"' || reason || '"' END || '}' AS value
+FROM statuses, (VALUES ('ventana'), ('deteccion')) AS k(kind) WHERE status = 'ventana' OR kind = 'ventana'""", statuses=STATUS)
 def snk_encode(s, d):
     return sinks.encode(sinks.dispatch(_status(s, d), "net"), "topic")
 
 
-@query()
+_PROVENANCE = ("magnitude", "topology", "profile", "fingerprint", "threshold_source")
+
+
+def _payloads(s, d):
+    origin = inject.fingerprints(get(s, d, "points"), get(s, d, "edges"))
+    origin = origin.select("zone", F.lit("voltage").alias("magnitude"), F.lit("meters").alias("topology"), F.lit("telemetry").alias("profile"), "fingerprint", F.lit("fixed").alias("threshold_source"), F.lit(THRESHOLD).alias("threshold"), F.lit(SIGMA).alias("sigma"), F.lit(LENGTH).alias("window"), F.lit(FULL).alias("bin_us"))
+    ranked = detect.ranking(get(s, d, "scores"))
+    return sinks.window_payload(get(s, d, "means"), ranked, _detections(s, d), origin, (F.col("bin") + 1) * FULL, top_k=5)
+
+
+_BODY = "version int, bin long, emitted_us long, nodes array<struct<idx:long,mean:double>>, detection struct<detected:boolean,statistic:double,candidates:long>, ranking array<struct<place:long,radius:int,centre:long,size:long,statistic:double>>, provenance struct<magnitude:string,fingerprint:string,threshold:double,sigma:double,window:int,bin_us:long>"
+
+
+@query(f"""
+SELECT m.zone, m.bin, 1 AS version, (m.bin + 1) * {FULL} AS emitted_us, m.nodes, m.mean, w.detected, round(w.statistic, 6) AS statistic, least(5, w.candidates) AS places, p.strongest, {THRESHOLD}e0 AS threshold, {LENGTH} AS "window", 32 AS digits
+FROM (SELECT zone, bin, count(*) AS nodes, round(avg(mean), 6) AS mean FROM means GROUP BY zone, bin) m
+JOIN winners w USING (zone, bin) JOIN (SELECT zone, bin, centre AS strongest FROM places WHERE place = 1) p USING (zone, bin)""", winners=WINNERS, places=PLACES)
 def st_payload_window(s, d):
-    return sinks.window_payload(get(s, d, "means"), provenance="calibrate(seed=7)")
+    """The bodies as a reader of the topic sees them."""
+    b = _payloads(s, d).select("zone", F.from_json("value", _BODY).alias("b")).select("zone", "b.*")
+    total = F.aggregate("nodes", F.lit(0.0), lambda acc, x: acc + x["mean"])
+    return b.select(
+        "zone", "bin", "version", "emitted_us", F.size("nodes").cast("long").alias("nodes"), F.round(total / F.size("nodes"), 6).alias("mean"), "detection.detected", F.round("detection.statistic", 6).alias("statistic"),
+        F.size("ranking").cast("long").alias("places"), F.col("ranking")[0]["centre"].alias("strongest"), "provenance.threshold", "provenance.window", F.length("provenance.fingerprint").alias("digits"),
+    )
 
 
-@query()
+@query("""
+SELECT zone, '{"version":1,"bin":' || bin || ',"reason":"' || reason || '","incomplete":' || incomplete::BIGINT || coalesce(',"missing":[' || missing || ']', '') || ',"threshold_source":"fixed"}' AS value
+FROM statuses LEFT JOIN (
+  SELECT zone, bin, string_agg('"' || device_id || '"', ',' ORDER BY device_id) AS missing FROM (SELECT zone, unnest(generate_series(min(bin), max(bin))) AS bin FROM cells GROUP BY zone) g JOIN (SELECT zone, device_id FROM meters) m USING (zone)
+  WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.zone = g.zone AND c.bin = g.bin AND c.device_id = m.device_id) GROUP BY zone, bin) USING (zone, bin)
+WHERE status = 'sin_datos'""", statuses=STATUS)
 def st_payload_missing(s, d):
     gaps = windows.missing_cells(get(s, d, "cells"), get(s, d, "meters")).groupBy("zone", "bin").agg(F.array_sort(F.collect_list("device_id")).alias("missing"))
-    return sinks.encode(gaps, "zone")
+    return sinks.missing_payload(_status(s, d), gaps, "fixed")
 
 
 # --- validation ---
@@ -300,12 +350,13 @@ def win_sliding_mean(s, d):
     return r6(get(s, d, "means"), "mean")
 
 
-@query("SELECT zone, bin, idx, round(mean, 6) AS mean FROM means WHERE idx < 3")
+@query("SELECT zone, bin, round(min(mean), 6) AS low, round(max(mean), 6) AS high, count(*) AS nodes FROM means GROUP BY zone, bin")
 def st_dense_window(s, d):
-    return r6(get(s, d, "means"), "mean").where("idx < 3")
+    """What a window's dense vector holds: as many means as the zone has nodes."""
+    rows = get(s, d, "means").groupBy("zone", "bin").agg(F.min("mean").alias("low"), F.max("mean").alias("high"), F.count(F.lit(1)).alias("nodes"))
+    return r6(rows, "low", "high")
 
 
-PLACES = "SELECT *, row_number() OVER (PARTITION BY zone, bin ORDER BY round(statistic, 9) DESC, radius, centre) AS place FROM scores"
 
 
 @query("SELECT zone, bin, radius, centre, size, round(statistic, 6) AS statistic, place FROM places", places=PLACES)
@@ -523,23 +574,52 @@ def gr_grow_walk(s, d):
     return inject.subgraphs(get(s, d, "edges"), _requests(s, d, "extended", 4), seed=5)
 
 
-@query("SELECT zone, 6 AS n FROM points GROUP BY zone")
+@query("SELECT zone, idx FROM ball1 WHERE centre = 0 UNION SELECT zone, idx FROM ball1 WHERE centre = 1")
 def gr_subgraph(s, d):
-    return inject.subgraphs(get(s, d, "edges"), _requests(s, d, "compact"), seed=9).groupBy("zone").agg(F.countDistinct("idx").cast("int").alias("n"))
-
-
-@query("SELECT zone, k, count(*) AS edges FROM (SELECT DISTINCT zone, k, least(src, dst) AS a, greatest(src, dst) AS b FROM ranked, (VALUES (2), (3), (5)) AS g(k) WHERE r <= k) GROUP BY zone, k", ranked="SELECT *, row_number() OVER (PARTITION BY zone, src ORDER BY round(dist, 9), dst) AS r FROM pairs")
+    """Compact groups as large as the first two nodes' neighbourhoods: a whole layer is no matter of chance."""
+    reach = graph.k_hop(get(s, d, "edges"), get(s, d, "points"), 1).where("centre <= 1")
+    size = reach.groupBy("zone", F.col("centre").alias("event")).agg(F.count(F.lit(1)).cast("int").alias("size"))
+    wanted = size.select("zone", "event", F.col("event").alias("seed_idx"), "size", F.lit("compact").alias("shape"))
+    return inject.subgraphs(get(s, d, "edges"), wanted, seed=9).select("zone", "idx").distinct()
+
+
+SWEEP = """
+WITH RECURSIVE reach(zone, p, idx, root) AS (SELECT zone, p, idx, idx FROM points, (SELECT DISTINCT p FROM {lines}) UNION SELECT r.zone, r.p, e.dst, r.root FROM reach r JOIN {lines} e ON e.zone = r.zone AND e.p = r.p AND e.src = r.idx)
+SELECT zone, p, edges, components, isolated, components = 1 AS connected FROM (SELECT zone, p, count(DISTINCT root) AS components, count(*) FILTER (WHERE alone) AS isolated FROM (
+  SELECT r.zone, r.p, r.idx, min(root) AS root, count(DISTINCT root) = 1 AS alone FROM reach r GROUP BY r.zone, r.p, r.idx) GROUP BY zone, p)
+JOIN (SELECT zone, p, count(*) // 2 AS edges FROM {lines} GROUP BY zone, p) USING (zone, p)"""
+K_LINES = "SELECT DISTINCT zone, k AS p, src, dst FROM (SELECT zone, k, src, dst FROM ranked, (VALUES (2), (3), (5)) AS g(k) WHERE r <= k UNION ALL SELECT zone, k, dst, src FROM ranked, (VALUES (2), (3), (5)) AS g(k) WHERE r <= k)"
+R_LINES = "SELECT zone, r AS p, src, dst FROM pairs, (VALUES (1200), (2400), (4800)) AS g(r) WHERE dist <= r"
+
+
+def _sweep(s, d, lines):
+    """(zone, p, edges, components, isolated, connected) of the graphs (zone, p, src, dst); connected by the Fiedler value."""
+    name = F.concat_ws("#", "zone", "p").alias("zone")
+    graphs = lines.select(name, "src", "dst", F.lit(0.0).alias("dist"), F.lit(1.0).alias("weight"))
+    points = get(s, d, "points").crossJoin(F.broadcast(lines.select("p").distinct())).select(name, "idx")
+    parts = graph.components(graphs, points).groupBy("zone").agg(F.count_distinct("component").alias("components"), F.count(F.lit(1)).alias("n"))
+    alone = graph.isolated(points, graphs).groupBy("zone").agg(F.count(F.lit(1)).alias("isolated"))
+    edges = graphs.groupBy("zone").agg((F.count(F.lit(1)) / 2).cast("long").alias("edges"))
+    fiedler = spectral.spectrum_report(graphs).select("zone", "zeros", "fiedler")
+    rows = parts.join(edges, "zone").join(fiedler, "zone").join(alone, "zone", "left").fillna(0, ["isolated"])
+    key = F.split("zone", "#")
+    # a node without edges after the last one with some is beyond the spectrum's matrix, so it is counted here
+    one = (F.col("zeros") == 1) & (F.col("fiedler") > 0) & (F.col("isolated") == 0)
+    return rows.select(key[0].alias("zone"), key[1].cast("int").alias("p"), "edges", "components", "isolated", one.alias("connected"))
+
+
+@query(SWEEP.format(lines="k_lines"), k_lines=K_LINES, ranked="SELECT *, row_number() OVER (PARTITION BY zone, src ORDER BY round(dist, 9), dst) AS r FROM pairs")
 def gr_k_sweep(s, d):
     order = Window.partitionBy("zone", "src").orderBy(F.round("dist", 9), "dst")
-    ranked = get(s, d, "pairs").withColumn("r", F.row_number().over(order)).where("r <= 5").withColumn("k", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5)))).where("r <= k")
-    lines = ranked.select("zone", "k", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    return lines.groupBy("zone", "k").agg(F.count(F.lit(1)).alias("edges"))
+    ranked = get(s, d, "pairs").withColumn("r", F.row_number().over(order)).where("r <= 5").withColumn("p", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5)))).where("r <= p")
+    both = ranked.select("zone", "p", "src", "dst").union(ranked.select("zone", "p", "dst", "src")).distinct()
+    return _sweep(s, d, both)
 
 
-@query("SELECT zone, r, count(*) AS edges FROM pairs, (VALUES (800), (1600), (2400)) AS g(r) WHERE src < dst AND dist <= r GROUP BY zone, r")
+@query(SWEEP.format(lines="r_lines"), r_lines=R_LINES)
 def gr_r_sweep(s, d):
-    rows = graph.near_pairs(get(s, d, "points"), 2400.0).where("src < dst").withColumn("r", F.explode(F.array(F.lit(800), F.lit(1600), F.lit(2400))))
-    return rows.where(F.col("dist") <= F.col("r")).groupBy("zone", "r").agg(F.count(F.lit(1)).alias("edges"))
+    rows = graph.near_pairs(get(s, d, "points"), 4800.0).withColumn("p", F.explode(F.array(F.lit(1200), F.lit(2400), F.lit(4800))))
+    return _sweep(s, d, rows.where(F.col("dist") <= F.col("p")).select("zone", "p", "src", "dst"))
 
 
 GLOBAL = """
@@ -586,6 +666,8 @@ def gr_fingerprints(s, d):
 
 # --- spectra and filters ---
 
+WHOLE = "SELECT zone, t, idx, value FROM (SELECT *, count(*) OVER (PARTITION BY zone, t) AS k FROM signal) JOIN (SELECT zone, count(*) AS n FROM points GROUP BY zone) USING (zone) WHERE k = n"
+
 
 @query("SELECT zone, src AS i, dst AS j, -weight AS value FROM edges UNION ALL SELECT zone, idx, idx, degree FROM degrees")
 def sp_laplacian(s, d):
@@ -597,24 +679,34 @@ def sp_laplacian_norm(s, d):
     return spectral.laplacian_norm(get(s, d, "edges")).withColumn("value", F.round("value", 9))
 
 
-@query("SELECT zone, n::BIGINT AS n, n::DOUBLE AS trace FROM (SELECT zone, count(*) AS n FROM degrees GROUP BY zone)")
+NORMAL = "SELECT e.zone, src AS i, dst AS j, -weight / sqrt(a.degree * b.degree) AS v FROM edges e JOIN degrees a ON a.zone = e.zone AND a.idx = src JOIN degrees b ON b.zone = e.zone AND b.idx = dst UNION ALL SELECT zone, idx, idx, 1e0 FROM degrees"
+
+
+@query("""
+SELECT zone, n, trace, squares, cubes FROM (SELECT zone, count(*) AS n, count(*)::DOUBLE AS trace FROM degrees GROUP BY zone)
+JOIN (SELECT zone, round(sum(v * v), 6) AS squares FROM normal GROUP BY zone) USING (zone)
+JOIN (SELECT a.zone, round(sum(a.v * b.v * c.v), 6) AS cubes FROM normal a JOIN normal b ON b.zone = a.zone AND b.i = a.j JOIN normal c ON c.zone = a.zone AND c.i = b.j AND c.j = a.i GROUP BY a.zone) USING (zone)""", normal=NORMAL)
 def sp_eigh(s, d):
+    """Sums of powers of the eigenvalues, which are traces of powers of the matrix."""
     rows = spectral.spectrum(get(s, d, "edges"))
-    return rows.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("eigenvalue"), 6).alias("trace"))
+    x = F.col("eigenvalue")
+    return rows.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(x), 6).alias("trace"), F.round(F.sum(x * x), 6).alias("squares"), F.round(F.sum(x * x * x), 6).alias("cubes"))
 
 
-@query("SELECT zone, t, round(sum(value * value), 3) AS energy FROM signal GROUP BY zone, t")
+@query("SELECT zone, t, round(sum(value * value), 1) AS energy FROM whole GROUP BY zone, t", whole=WHOLE)
 def sp_gft(s, d):
-    return spectral.gft(get(s, d, "edges"), get(s, d, "signal")).groupBy("zone", "t").agg(F.round(F.sum(F.col("value") * F.col("value")), 3).alias("energy"))
+    return spectral.gft(get(s, d, "edges"), _whole(s, d)).groupBy("zone", "t").agg(F.round(F.sum(F.col("value") * F.col("value")), 1).alias("energy"))
 
 
-@query("SELECT zone, t, idx, round(value, 6) AS value FROM signal")
+@query("SELECT zone, t, idx, round(value, 6) AS value FROM whole", whole=WHOLE)
 def sp_igft(s, d):
-    e, x = get(s, d, "edges"), get(s, d, "signal")
+    e, x = get(s, d, "edges"), _whole(s, d)
     return r6(spectral.gft(e, spectral.gft(e, x), inverse=True), "value")
 
 
-@query()
+@query("""
+WITH RECURSIVE reach(zone, idx, root) AS (SELECT zone, idx, idx FROM points UNION SELECT r.zone, e.dst, r.root FROM reach r JOIN edges e ON e.zone = r.zone AND e.src = r.idx)
+SELECT zone, count(DISTINCT root) AS zeros FROM (SELECT zone, idx, min(root) AS root FROM reach GROUP BY zone, idx) GROUP BY zone""")
 def sp_zero_mult(s, d):
     return spectral.spectrum_report(get(s, d, "edges")).select("zone", "zeros")
 
@@ -644,23 +736,75 @@ def sp_spectrum_report(s, d):
     return r6(spectral.spectrum_report(get(s, d, "edges")), "largest", "fiedler", "cut_value")
 
 
+TOY = """
+SELECT 'cycle' AS zone, 1 - cos(2e0 * pi() * i / 12) AS v FROM range(12) AS t(i) UNION ALL SELECT 'path', 1 - cos(pi() * i / 8) FROM range(9) AS t(i)
+UNION ALL SELECT 'complete', CASE WHEN i = 0 THEN 0e0 ELSE 6e0 / 5 END FROM range(6) AS t(i) UNION ALL SELECT 'star', CASE WHEN i = 0 THEN 0e0 WHEN i = 7 THEN 2e0 ELSE 1e0 END FROM range(8) AS t(i)"""
+TOY_RANKED = "SELECT zone, v, row_number() OVER (PARTITION BY zone ORDER BY v) - 1 AS k FROM toy_values"
+
+
+def _toys(s):
+    """A cycle, a path, a complete graph and a star, whose spectra are known."""
+    pairs = [("cycle", i, (i + 1) % 12) for i in range(12)] + [("path", i, i + 1) for i in range(8)]
+    pairs += [("complete", i, j) for i in range(6) for j in range(i)] + [("star", 0, i) for i in range(1, 8)]
+    return s.createDataFrame([(z, *e, 1.0) for z, a, b in pairs for e in ((a, b), (b, a))], "zone string, src long, dst long, weight double")
+
+
+@query("SELECT zone, k, round(v, 9) + 0e0 AS eigenvalue FROM toy_ranked", toy_values=TOY, toy_ranked=TOY_RANKED)
+def sp_known_spectra(s, d):
+    return spectral.spectrum(_toys(s)).select("zone", "k", (F.round(F.abs("eigenvalue"), 9) + 0.0).alias("eigenvalue"))
+
+
+@query("""
+SELECT zone, round(max(v), 9) AS largest, count(*) FILTER (WHERE v < 1e-9) AS zeros, round(min(v) FILTER (WHERE v > 1e-9), 9) AS fiedler, max(same) AS max_multiplicity
+FROM (SELECT *, count(*) OVER (PARTITION BY zone, round(v, 9)) AS same FROM toy_values) GROUP BY zone""", toy_values=TOY)
+def sp_known_reports(s, d):
+    return r9(spectral.spectrum_report(_toys(s)), "largest", "fiedler").select("zone", "largest", "zeros", "fiedler", "max_multiplicity")
+
+
+@query("SELECT 'cycle' AS zone, t, idx, round(cos(2 * pi() * t * idx / 12) * exp(-(1 - cos(2 * pi() * t / 12)) / (0.5 * 2)), 9) + 0e0 AS value FROM range(6) AS a(t), range(12) AS b(idx)")
+def sp_known_diffusion(s, d):
+    """Waves around a cycle are its eigenvectors: diffusion scales each by its gain."""
+    cycle = _toys(s).where("zone = 'cycle'")
+    wave = s.range(6).select(F.lit("cycle").alias("zone"), F.col("id").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("idx"))
+    wave = wave.withColumn("value", F.cos(2 * F.lit(math.pi) * F.col("t") * F.col("idx") / 12))
+    return spectral.diffuse(cycle, wave, 0.5).withColumn("value", F.round("value", 9) + 0.0)
+
+
+@query("SELECT 'cycle' AS zone, tau, round(exp(-2 * (1 - cos(2 * pi() * 2 / 12)) / (tau * 2)), 9) AS retained FROM (VALUES (0.1e0), (0.5e0), (2e0)) AS v(tau)")
+def sp_known_tau(s, d):
+    cycle = _toys(s).where("zone = 'cycle'")
+    wave = s.range(12).select(F.lit("cycle").alias("zone"), F.lit(0).cast("long").alias("t"), F.col("id").alias("idx"), F.cos(2 * F.lit(math.pi) * 2 * F.col("id") / 12).alias("value"))
+    return r9(spectral.tau_sweep(cycle, wave, (0.1, 0.5, 2.0)), "retained")
+
+
+@query("SELECT zone, k, round(exp(-v / (0.5 * top)), 9) AS falling, round(exp(v / (0.5 * top)), 9) AS rising FROM toy_ranked JOIN (SELECT zone, max(v) AS top FROM toy_values GROUP BY zone) USING (zone)", toy_values=TOY, toy_ranked=TOY_RANKED)
+def sp_known_gains(s, d):
+    return r9(_gains(spectral.spectrum(_toys(s))), "falling", "rising")
+
+
+def _gains(rows):
+    """(zone, k, falling, rising): both filters' gains by the operator itself, a zone's eigenvalues at once."""
+
+    def zone(pdf):
+        values = pdf.sort_values("k")["eigenvalue"].to_numpy()
+        return pd.DataFrame({"zone": pdf["zone"].iloc[0], "k": range(len(values)), "falling": spectral.low_pass(values, 0.5), "rising": spectral.low_pass(values, 0.5, sign=1)})
+
+    return rows.select("zone", "k", "eigenvalue").groupBy("zone").applyInPandas(zone, "zone string, k long, falling double, rising double")
+
+
 @query()
 def sp_low_pass(s, d):
-    rows = spectral.spectrum(get(s, d, "edges"))
-    top = F.max(F.abs("eigenvalue")).over(Window.partitionBy("zone"))
-    return rows.select("zone", "k", F.exp(-F.col("eigenvalue") / (0.5 * top)).alias("gain"))
+    return _gains(spectral.spectrum(get(s, d, "edges"))).select("zone", "k", F.col("falling").alias("gain"))
 
 
 @query()
 def sp_published(s, d):
-    rows = spectral.spectrum(get(s, d, "edges"))
-    top = F.max(F.abs("eigenvalue")).over(Window.partitionBy("zone"))
-    return rows.select("zone", "k", F.exp(F.col("eigenvalue") / (0.5 * top)).alias("gain"))
+    return _gains(spectral.spectrum(get(s, d, "edges"))).select("zone", "k", F.col("rising").alias("gain"))
 
 
 @query()
 def sp_diffuse(s, d):
-    return r6(spectral.diffuse(get(s, d, "edges"), get(s, d, "signal"), 0.5), "value")
+    return r6(spectral.diffuse(get(s, d, "edges"), _whole(s, d), 0.5), "value")
 
 
 DIRICHLET = "SELECT e.zone, a.t, {r}sum(weight * pow(a.value{na} - b.value{nb}, 2e0)){e} AS energy FROM edges e JOIN {x} a ON a.zone = e.zone AND a.idx = src JOIN {x} b ON b.zone = e.zone AND b.idx = dst AND b.t = a.t {j} WHERE src < dst GROUP BY e.zone, a.t"
@@ -712,28 +856,28 @@ def sp_project_kernel(s, d):
 
 @query()
 def sp_band_energy(s, d):
-    return r6(spectral.band_energy(get(s, d, "edges"), get(s, d, "signal")), "low", "high", "total", "high_fraction").select("zone", "t", "low", "high", "total", "high_fraction")
+    return r6(spectral.band_energy(get(s, d, "edges"), _whole(s, d)), "low", "high", "total", "high_fraction").select("zone", "t", "low", "high", "total", "high_fraction")
 
 
 @query()
 def sp_profile(s, d):
-    return spectral.band_energy(get(s, d, "edges"), get(s, d, "signal")).select("zone", "t", "mode_zero", "high_without_mean", "rayleigh")
+    return spectral.band_energy(get(s, d, "edges"), _whole(s, d)).select("zone", "t", "mode_zero", "high_without_mean", "rayleigh")
 
 
 @query()
 def sp_tau_sweep(s, d):
-    rows = spectral.tau_sweep(get(s, d, "edges"), get(s, d, "signal"), (0.1, 0.25, 0.5, 1.0, 2.0))
+    rows = spectral.tau_sweep(get(s, d, "edges"), _whole(s, d), (0.1, 0.25, 0.5, 1.0, 2.0))
     return rows.groupBy("tau").agg(F.avg("retained").alias("mean"), F.min("retained").alias("least"), F.max("retained").alias("most"))
 
 
 @query()
 def sp_limits(s, d):
-    return spectral.tau_sweep(get(s, d, "edges"), get(s, d, "signal"), (1e-3, 1e3))
+    return spectral.tau_sweep(get(s, d, "edges"), _whole(s, d), (1e-3, 1e3))
 
 
 @query()
 def sp_score_topk(s, d):
-    return spectral.top_mode_score(get(s, d, "edges"), get(s, d, "signal"))
+    return spectral.top_mode_score(get(s, d, "edges"), _whole(s, d))
 
 
 @query("SELECT zone, t, idx, round(pow(value - coalesce(m, 0e0), 2e0), 4) AS score FROM signal LEFT JOIN (SELECT e.zone, y.t, e.src AS idx, sum(weight * y.value / sqrt(a.degree * b.degree)) AS m FROM edges e JOIN signal y ON y.zone = e.zone AND y.idx = e.dst JOIN degrees a ON a.zone = e.zone AND a.idx = src JOIN degrees b ON b.zone = e.zone AND b.idx = dst GROUP BY ALL) USING (zone, t, idx)")
@@ -753,7 +897,7 @@ def sp_spike_signal(s, d):
 
 @query()
 def sp_sign_compare(s, d):
-    e, x = get(s, d, "edges"), get(s, d, "signal")
+    e, x = get(s, d, "edges"), _whole(s, d)
     parts = {"original": x, "negative": spectral.diffuse(e, x, 0.5), "positive": spectral.diffuse(e, x, 0.5, sign=1)}
     out = None
     for name, y in parts.items():
@@ -764,7 +908,7 @@ def sp_sign_compare(s, d):
 
 @query()
 def sp_permutation_check(s, d):
-    e, x = get(s, d, "edges"), get(s, d, "signal")
+    e, x = get(s, d, "edges"), _whole(s, d)
     n = get(s, d, "points").groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
     turn = lambda c: ((F.col(c) * 7 + 3) % F.col("n")).alias(c)
     e2 = e.join(n, "zone").select("zone", turn("src"), turn("dst"), "weight")
@@ -776,7 +920,7 @@ def sp_permutation_check(s, d):
 
 @query()
 def sp_subtle_compare(s, d):
-    e, x = get(s, d, "edges"), get(s, d, "signal")
+    e, x = get(s, d, "edges"), _whole(s, d)
     top = Window.partitionBy("zone", "t").orderBy(F.desc("score"), "idx")
     smooth = sp_score_smooth(s, d).withColumn("kind", F.lit("smooth"))
     modes = spectral.top_mode_score(e, x).select("zone", "t", "idx", F.col("value").alias("score")).withColumn("kind", F.lit("modes"))
@@ -841,10 +985,19 @@ def st_late_rule(s, d):
     return _verdicts(s, d).where("verdict = 'late'").select("id")
 
 
-@query(f"SELECT zone, bin, (bin - lag(bin) OVER (PARTITION BY zone ORDER BY bin) - 1) AS skipped FROM (SELECT DISTINCT zone, bin FROM cells WHERE bin % 3 <> 1)")
+def _replayed(s, d, where="TRUE"):
+    from ..streaming import processor
+
+    config = windows.WindowConfig(bin_us=GAPPY, length=LENGTH, grace_us=0)
+    ticks = get(s, d, "cells").where(where).select("zone", ((F.col("bin") + 1) * GAPPY + 10_000_000).alias("at_us")).distinct()
+    return processor.replay(get(s, d, "telemetry"), get(s, d, "meters"), ticks, config)
+
+
+@query("SELECT zone, bin, coalesce(bin - lag(bin) OVER (PARTITION BY zone ORDER BY bin) - 1, 0)::INTEGER AS skipped FROM (SELECT DISTINCT zone, bin FROM cells WHERE bin % 3 <> 1)")
 def st_emit(s, d):
-    bins = get(s, d, "cells").where("bin % 3 <> 1").select("zone", "bin").distinct()
-    return bins.withColumn("skipped", F.col("bin") - F.lag("bin").over(Window.partitionBy("zone").orderBy("bin")) - 1)
+    """Emission at some ticks only: each bin at most once, and those without a tick are counted as skipped."""
+    return _replayed(s, d, "bin % 3 <> 1").select("zone", "bin", "skipped")
+
 
 
 # --- detector ---
@@ -871,10 +1024,6 @@ def dt_prepare(s, d):
     return r6(spectral.project_kernel(x, get(s, d, "edges")), "value").withColumnRenamed("t", "bin")
 
 
-WINNERS = f"""
-SELECT zone, bin, statistic > {THRESHOLD}e0 AS detected, statistic, candidates, CASE WHEN statistic > {THRESHOLD}e0 THEN radius END AS radius,
-  CASE WHEN statistic > {THRESHOLD}e0 THEN centre END AS centre, CASE WHEN statistic > {THRESHOLD}e0 THEN size END AS size
-FROM (SELECT *, count(*) OVER (PARTITION BY zone, bin) AS candidates FROM places) WHERE place = 1"""
 
 
 def _detections(s, d):
@@ -898,26 +1047,41 @@ def dt_node_mask(s, d):
 
 @query()
 def dt_calibrate(s, d):
-    return detect.calibrate(get(s, d, "balls"), 1.0, detect.DetectorConfig(window=4, samples=200), seed=7)
+    return detect.calibrate(get(s, d, "balls"), 1.0, detect.DetectorConfig(), seed=7)
 
 
 @query()
 def dt_calibrate_all(s, d):
-    return detect.calibrate(get(s, d, "balls"), 1.0, detect.DetectorConfig(window=4, step=1, samples=200), seed=7, instants=16)
+    """Each zone's threshold from 2000 signals of 64 instants, and its false alarms on a long signal without events."""
+    config = detect.DetectorConfig(step=1)
+    cuts = detect.calibrate(get(s, d, "balls"), 1.0, config, seed=7, instants=64)
+    return cuts.join(detect.validate(get(s, d, "balls"), cuts, 1.0, config), "zone")
+
+
+def _live(s, d, skip=None):
+    """What a running monitor has: spread, window and fingerprint of each zone, and without the first node's edges in the zone ``skip``."""
+    links = get(s, d, "edges")
+    if skip:
+        links = links.where(~((F.col("zone") == skip) & ((F.col("src") == 0) | (F.col("dst") == 0))))
+    return inject.fingerprints(get(s, d, "points"), links).withColumns({"sigma": F.lit(1.0), "window": F.lit(16)})
 
 
-@query("SELECT zone, 'window' AS problem FROM meters WHERE zone = 'z000002' GROUP BY zone")
+def _frozen(s, d):
+    """Calibrated thresholds, of which one zone's window and another's wiring are of an older network."""
+    old = _live(s, d, skip="z000001").withColumn("window", F.when(F.col("zone") == "z000002", 8).otherwise(F.col("window")))
+    cuts = detect.calibrate(get(s, d, "balls"), 1.0, detect.DetectorConfig(), seed=7).select("zone", "threshold")
+    return old.join(cuts, "zone")
+
+
+@query("SELECT zone, CASE zone WHEN 'z000001' THEN 'changed' ELSE 'window' END AS problem FROM meters WHERE zone IN ('z000001', 'z000002') GROUP BY zone")
 def dt_freeze(s, d):
-    live = get(s, d, "meters").groupBy("zone").agg(F.lit(1.0).alias("sigma"), F.lit(16).alias("window"), F.lit("x").alias("fingerprint"))
-    old = live.withColumns({"threshold": F.lit(4.4), "window": F.when(F.col("zone") == "z000002", 8).otherwise(F.col("window"))})
-    return detect.check_frozen(old, live)
+    return detect.check_frozen(_frozen(s, d), _live(s, d))
 
 
-@query("SELECT zone, 4.4e0 AS threshold FROM meters GROUP BY zone")
+@query("SELECT zone, TRUE AS positive FROM meters WHERE zone NOT IN ('z000001', 'z000002') GROUP BY zone")
 def dt_load(s, d):
-    live = get(s, d, "meters").groupBy("zone").agg(F.lit(1.0).alias("sigma"), F.lit(16).alias("window"), F.lit("x").alias("fingerprint"))
-    old = live.withColumn("threshold", F.lit(4.4))
-    return old.join(detect.check_frozen(old, live), "zone", "left_anti").select("zone", "threshold")
+    frozen = _frozen(s, d)
+    return frozen.join(detect.check_frozen(frozen, _live(s, d)), "zone", "left_anti").select("zone", (F.col("threshold") > 0).alias("positive"))
 
 
 @query("SELECT zone, 16 = 16 AS fits FROM meters GROUP BY zone")
@@ -1004,12 +1168,13 @@ def ev_apply(s, d):
     return inject.inject(x, change, 0.0, 150.0, "scale").select("zone", "t", "idx", F.round("value", 4).alias("value"))
 
 
-@query()
+@query("SELECT zone, t, idx, round(CASE WHEN delta IS NULL THEN value ELSE value * 1.1e0 * 1.1e0 END, 6) AS value, value AS base, delta IS NOT NULL AS truth FROM signal LEFT JOIN deltas USING (zone, t, idx)", **EV)
 def ev_inject_fraction(s, d):
+    """Two events on the same cells: the second sees what the first left."""
     x, events, groups, _ = _event(s, d)
     two = events.select("zone", "event", "start", "duration", F.lit(0.1).alias("fraction"), "direction")
     two = two.union(two.withColumn("event", F.lit(2)))
-    return inject.inject_in_order(x, groups.union(groups.withColumn("event", F.lit(2))), two)
+    return r6(inject.inject_in_order(x, groups.union(groups.withColumn("event", F.lit(2))), two), "value")
 
 
 @query("SELECT DISTINCT zone, t, idx FROM deltas", **EV)
@@ -1084,11 +1249,13 @@ def el_threshold_signal(s, d):
 
 @query()
 def el_payload_bytes(s, d):
+    """Bytes of the ranking by how many places it keeps; null: all."""
     rows = detect.ranking(get(s, d, "scores"))
     out = None
-    for k in (0, 1, 5, 10):
-        part = rows.groupBy("zone", "bin").agg(F.octet_length(F.to_json(F.collect_list(F.when(F.col("place") <= k, F.struct("radius", "centre", "statistic"))))).alias("bytes"))
-        part = part.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("total")).withColumn("k", F.lit(k))
+    for k in (0, 1, 5, 10, None):
+        kept = F.struct("radius", "centre", "statistic") if k is None else F.when(F.col("place") <= k, F.struct("radius", "centre", "statistic"))
+        part = rows.groupBy("zone", "bin").agg(F.octet_length(F.to_json(F.collect_list(kept))).alias("bytes"))
+        part = part.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("total")).withColumn("k", F.lit(k).cast("int"))
         out = part if out is None else out.union(part)
     return out
 
@@ -1111,11 +1278,133 @@ for _name in ("el_signature", "el_detection_table", "el_mag_dur", "el_sliding_ev
 # --- the live path, replayed ---
 
 
-@query()
+@query(f"""
+SELECT zone, bin, CASE WHEN partial = 0 THEN 'ventana' ELSE 'sin_datos' END AS status, CASE WHEN partial = 0 THEN NULL WHEN bin - {LENGTH - 1} < first THEN 'calentamiento' ELSE 'bins_incompletos' END AS reason,
+  partial::INTEGER AS incomplete, missing, skipped::INTEGER AS skipped, CASE WHEN partial = 0 THEN round(total, 4) END AS total
+FROM (SELECT t.zone, t.bin, any_value(skipped) AS skipped, any_value(first) AS first, count(DISTINCT b) FILTER (WHERE value IS NULL) AS partial, string_agg(DISTINCT m.device_id, ',' ORDER BY m.device_id) FILTER (WHERE value IS NULL) AS missing, sum(value) / {LENGTH} AS total
+  FROM (SELECT *, unnest(generate_series(bin - {LENGTH - 1}, bin)) AS b FROM (SELECT zone, bin, coalesce(bin - lag(bin) OVER (PARTITION BY zone ORDER BY bin) - 1, 0) AS skipped, min(bin) OVER (PARTITION BY zone) AS first FROM (SELECT DISTINCT zone, bin FROM cells))) t
+  JOIN (SELECT zone, device_id FROM meters) m USING (zone) LEFT JOIN cells c ON c.zone = t.zone AND c.bin = t.b AND c.device_id = m.device_id GROUP BY t.zone, t.bin)""")
 def st_replay(s, d):
     """The streaming transition over the stored readings, one tick a bin."""
-    from ..streaming import processor
+    total = F.aggregate("means", F.lit(0.0), lambda acc, x: acc + x)
+    return _replayed(s, d).withColumn("total", F.round(total, 4)).drop("means")
 
-    config = windows.WindowConfig(bin_us=GAPPY, length=LENGTH, grace_us=0)
-    ticks = get(s, d, "cells").select("zone", ((F.col("bin") + 1) * GAPPY + 10_000_000).alias("at_us")).distinct()
-    return processor.replay(get(s, d, "telemetry"), get(s, d, "meters"), ticks, config)
+
+# --- library operators for queries whose text is their SQL twin ---
+
+
+@operator
+def src_sim_daily(s, d):
+    return get(s, d, "telemetry").select("id", F.round(simulator.daily_load(F.timestamp_micros("ts_us")), 6).alias("load"))
+
+
+@operator
+def src_sim_zone_cycle(s, d):
+    rows = evaluate.numbered(get(s, d, "meters").select("device_id"), "device_id")
+    letters = F.array(*map(F.lit, simulator.ZONE_CYCLE))
+    cycle = F.element_at(letters, (F.pmod(F.col("place") - 1, F.lit(len(simulator.ZONE_CYCLE))) + 1).cast("int"))
+    return rows.select("device_id", cycle.alias("cycle"), F.lpad(F.col("place").cast("string"), 5, "0").alias("number"))
+
+
+@operator
+def prj_status_tone(s, d):
+    return get(s, d, "telemetry").select("id", registry.tone(F.col("status")).alias("tone"))
+
+
+@operator
+def prj_liveness(s, d):
+    t = get(s, d, "telemetry")
+    now = t.agg(F.max("arrival_us").alias("now"))
+    seen = registry.latest(t.where("power > 1")).select("device_id", F.col("arrival_us").alias("seen"))
+    rows = get(s, d, "meters").join(seen, "device_id", "left").crossJoin(F.broadcast(now))
+    age = F.greatest(F.lit(0.0), (F.col("now") - F.col("seen")) / 1e6)
+    return rows.select("device_id", registry.liveness(F.when(F.col("seen").isNotNull(), age), 86400, 259200).alias("liveness"))
+
+
+@operator
+def flt_zone_filter(s, d):
+    return get(s, d, "meters").where(F.col("zone").isin(zone_filter(" z000001 ,z000003, "))).select("device_id", "zone")
+
+
+@operator
+def jn_latest_map(s, d):
+    last = registry.latest(get(s, d, "telemetry"), by="ts_us").select("device_id", "value", "ts_us")
+    return get(s, d, "meters").select("device_id").join(last, "device_id", "left")
+
+
+@operator
+def win_latest_per_key(s, d):
+    return registry.latest(get(s, d, "telemetry"), by="ts_us").select("device_id", "id", "ts_us")
+
+
+@operator
+def agg_total_power_now(s, d):
+    return registry.latest(get(s, d, "telemetry")).agg(F.round(F.sum("power"), 6).alias("power"))
+
+
+@operator
+def srt_recent_k(s, d):
+    return registry.recent(get(s, d, "telemetry"), 100).select("id", "device_id", "arrival_us")
+
+
+@operator
+def srt_history_k(s, d):
+    return registry.history(get(s, d, "telemetry"), "dev-mon-00000007", 100).select("id", "arrival_us")
+
+
+@operator
+def srt_latest_one(s, d):
+    return registry.history(get(s, d, "telemetry"), "dev-mon-00000007", 1).select("id", "arrival_us")
+
+
+@operator
+def st_bin(s, d):
+    at = windows.bin_of(F.col("ts_us"), windows.WindowConfig().bin_us)
+    return get(s, d, "telemetry").select("id", at.alias("bin"), (at * windows.WindowConfig().bin_us).alias("start_us"))
+
+
+@operator
+def st_last_closed(s, d):
+    return get(s, d, "telemetry").select("id", windows.last_closed(F.col("arrival_us"), windows.WindowConfig()).alias("last_closed"))
+
+
+@operator
+def st_cycle_interval(s, d):
+    return s.range(1).select(F.lit(cycle_interval(6.0, 0.001394)).alias("interval"))
+
+
+@operator
+def agg_cells(s, d):
+    return windows.cells(get(s, d, "telemetry"), GAPPY).select("zone", "device_id", "bin", "n")
+
+
+@operator
+def sc_clamp(s, d):
+    return get(s, d, "telemetry").select("id", simulator.clamp(F.col("voltage"), 210.0, 230.0).alias("voltage"))
+
+
+@operator
+def gr_degree(s, d):
+    return r6(graph.degrees(get(s, d, "edges")), "degree")
+
+
+@operator
+def agg_pooled_stats(s, d):
+    t = get(s, d, "telemetry")
+    cuts = evaluate.percentiles(t, "voltage", {"p1": 0.01, "p50": 0.5, "p99": 0.99}, "device_type")
+    rest = t.groupBy("device_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("device_id").alias("meters"), F.round(F.avg("voltage"), 6).alias("mean"), F.round(F.stddev_samp("voltage"), 6).alias("sigma"), F.min("voltage").alias("least"), F.max("voltage").alias("most"))
+    return rest.join(cuts, "device_type")
+
+
+@operator
+def agg_transport_delay(s, d):
+    t = get(s, d, "telemetry").withColumn("delay", (F.col("arrival_us") - F.col("ts_us")) / 1e6)
+    cuts = evaluate.percentiles(t, "delay", {"p50": 0.5, "p99": 0.99})
+    return cuts.crossJoin(t.agg(F.min("delay").alias("least"), F.max("delay").alias("most")))
+
+
+@operator
+def win_interarrival(s, d):
+    before = F.lag("ts_us").over(Window.partitionBy("device_id").orderBy("ts_us"))
+    gaps = get(s, d, "telemetry").select("zone", ((F.col("ts_us") - before) / 1e6).alias("gap")).where("gap is not null")
+    return evaluate.percentiles(gaps, "gap", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "least": 0.0, "most": 1.0}, "zone")

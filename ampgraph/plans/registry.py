@@ -34,3 +34,11 @@ def _shared(name: str, sql: str) -> None:
 
 for _name, _sql in SHARED.items():
     _shared(_name, _sql)
+
+
+def operator(f):
+    """The library's operator for a query whose text in ``SHARED`` remains its SQL twin."""
+    if f.__name__ not in SHARED:
+        raise KeyError(f.__name__)
+    QUERIES[f.__name__] = f
+    return f

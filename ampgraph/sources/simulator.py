@@ -12,8 +12,8 @@ ZONE_CYCLE = ("a", "b", "c", "a", "d", "e", "a", "f", "b", "c")
 
 
 def daily_load(ts: Column) -> Column:
-    """sin(2 pi (hour - 13) / 24) with a fractional hour."""
-    hour = F.hour(ts) + F.minute(ts) / F.lit(60.0) + F.second(ts) / F.lit(3600.0)
+    """sin(2 pi (hour - 13) / 24) with a fractional hour of the UTC day."""
+    hour = F.pmod(F.unix_micros(ts), F.lit(86_400_000_000)) / F.lit(3.6e9)
     return F.sin(F.lit(2 * math.pi) * (hour - 13) / F.lit(24.0))
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import registry
@@ -25,10 +27,30 @@ def encode(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.to_json(F.struct(*(c for c in rows.columns if c != key))).alias("value"))
 
 
-def window_payload(means: DataFrame, provenance: str) -> DataFrame:
-    """(zone, value): one versioned JSON body per window, its means in node order."""
+def window_payload(means: DataFrame, scores: DataFrame, detections: DataFrame, provenance: DataFrame, emitted_us: Column, top_k: int | None = 5) -> DataFrame:
+    """(zone, value): one versioned JSON body per window: means in node order, detection, strongest balls, provenance.
+
+    ``scores`` is the detector's ranking (zone, bin, place, ...), cut to ``top_k`` places (None: all);
+    ``provenance`` has a zone column and any further ones, which go into the body as they are.
+    """
     body = means.groupBy("zone", "bin").agg(F.array_sort(F.collect_list(F.struct("idx", "mean"))).alias("nodes"))
-    return encode(body.select("zone", F.lit(PAYLOAD_VERSION).alias("version"), F.lit(provenance).alias("threshold_source"), "bin", "nodes"), "zone")
+    top = scores if top_k is None else scores.where(F.col("place") <= top_k)
+    top = top.groupBy("zone", "bin").agg(F.array_sort(F.collect_list(F.struct("place", "radius", "centre", "size", "statistic"))).alias("ranking"))
+    found = detections.select("zone", "bin", F.struct("detected", "statistic", "candidates", "radius", "centre", "size").alias("detection"))
+    origin = provenance.select("zone", F.struct(*(c for c in provenance.columns if c != "zone")).alias("provenance"))
+    rows = body.join(found, ["zone", "bin"]).join(top, ["zone", "bin"], "left").join(origin, "zone", "left")
+    return encode(rows.select("zone", F.lit(PAYLOAD_VERSION).alias("version"), "bin", emitted_us.alias("emitted_us"), "nodes", "detection", "ranking", "provenance"), "zone")
+
+
+def missing_payload(status: DataFrame, missing: DataFrame, threshold_source: str) -> DataFrame:
+    """(zone, value): one versioned JSON body per window that could not be made: its reason and the meters that lack."""
+    rows = status.where("status = 'sin_datos'").join(missing, ["zone", "bin"], "left")
+    return encode(rows.select("zone", F.lit(PAYLOAD_VERSION).alias("version"), "bin", "reason", "incomplete", "missing", F.lit(threshold_source).alias("threshold_source")), "zone")
+
+
+def collect_in_memory(stream: DataFrame, name: str):
+    """A query that keeps a stream's rows in the session as the table ``name``: for tests."""
+    return stream.writeStream.format("memory").queryName(name).outputMode("append").start()
 
 
 def append_batch(path: str):
@@ -48,8 +70,9 @@ def ingest_batch(telemetry_path: str, registry_path: str):
         try:
             batch.write.mode("overwrite").parquet(f"{telemetry_path}/batch={batch_id}")
             spark, fold = batch.sparkSession, registry.upsert(batch)
-            if batch_id:
-                fold = registry.merge(spark.read.parquet(f"{registry_path}/version={batch_id - 1}"), fold)
+            before = newest_version(spark, registry_path, batch_id)
+            if before is not None:
+                fold = registry.merge(spark.read.parquet(f"{registry_path}/version={before}"), fold)
             fold.write.mode("overwrite").parquet(f"{registry_path}/version={batch_id}")
         finally:
             batch.unpersist()
@@ -66,6 +89,25 @@ def save_calibration(zones: DataFrame, path: str, magnitude: str, format_tag: st
         json.dump({"format": format_tag, "version": 1, "magnitude": magnitude, "zones": body}, f, indent=2, sort_keys=True, ensure_ascii=False)
 
 
-def write_injection(rows: DataFrame, path: str) -> None:
-    """Signals, their bases and truth, a folder per zone."""
-    rows.repartition("zone").write.mode("overwrite").partitionBy("zone").parquet(path)
+def write_injection(rows: DataFrame, path: str, events: DataFrame | None = None) -> None:
+    """Signals with their bases and truth, a folder per zone; beside them one truth document per event and a summary.
+
+    ``rows`` is (zone, t, idx, value, base, truth); a truth document has the event's own columns and its cells' bounds,
+    the summary each zone's instants, nodes and share of changed cells. All are written by Spark.
+    """
+    rows.repartition("zone").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/signal")
+    summary = rows.groupBy("zone").agg(F.count_distinct("t").alias("instants"), F.count_distinct("idx").alias("nodes"), F.count_if("truth").alias("changed"), F.avg(F.col("truth").cast("double")).alias("share"))
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    if events is not None:
+        cells = rows.where("truth").groupBy("zone").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.array_sort(F.collect_set("idx")).alias("nodes"))
+        events.join(cells, "zone", "left").write.mode("overwrite").json(f"{path}/truth")
+
+
+def newest_version(spark: SparkSession, path: str, before: int) -> int | None:
+    """The largest number under ``before`` of the folders version=N in ``path``; none if there is none."""
+    try:
+        files = spark.read.parquet(path).inputFiles()
+    except AnalysisException:
+        return None
+    found = {int(m[1]) for f in files if (m := re.search(r"/version=(\d+)/", f))}
+    return max((n for n in found if n < before), default=None)

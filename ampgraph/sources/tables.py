@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..errors import CalibrationError, IncompleteMeter, NoMetersFound
+from ..errors import CalibrationError, IncompleteMeter, NoMetersFound, SourceError, SourceTimeout
 
 #: Meters of one zone in the binding.
 PER_ZONE = 25
@@ -139,3 +141,27 @@ def parse_records(text: DataFrame) -> DataFrame:
     fields = "reading_id long, meter_id string, zone_id string, event_time string, received_at string, voltage_v double, power_kw double, state string"
     rows = text.select(F.from_json("value", fields).alias("r")).select("r.*")
     return rows.withColumns({c: F.try_to_timestamp(c) for c in ("event_time", "received_at")})
+
+
+def read_records(spark: SparkSession, url: str, timeout_s: float = 5.0) -> DataFrame | None:
+    """One REST read as rows: nothing where the answer is 404; a time-out or another failure is a ``SourceError``.
+
+    The body is one JSON array, fetched by the driver: an API pages its answers, so what comes at once is small. Tables
+    are better read directly.
+    """
+    import urllib.error
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(url, timeout=timeout_s) as answer:
+            body = answer.read().decode("utf-8")
+    except urllib.error.HTTPError as e:
+        if e.code == 404:
+            return None
+        raise SourceError(f"{url}: status {e.code}") from e
+    except (urllib.error.URLError, TimeoutError) as e:
+        late = isinstance(e, TimeoutError) or isinstance(getattr(e, "reason", None), TimeoutError)
+        raise (SourceTimeout if late else SourceError)(f"{url}: {e}") from e
+    found = json.loads(body)
+    rows = found if isinstance(found, list) else [found]
+    return parse_records(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -10,17 +11,46 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from ..errors import TopologyMismatch
 
+log = logging.getLogger(__name__)
+
+
+#: Series of the live path by kind of row; gauges are of the newest batch, the others add up.
+GAUGES = ("newest_bin", "largest_statistic", "incomplete_bins")
+
 
 def counted(rows: DataFrame, name: str = "monitor") -> DataFrame:
-    """``rows`` with observed counts by status; they cost no extra pass and no extra job."""
-    return rows.observe(name, F.count(F.lit(1)).alias("cycles"), F.count_if(F.col("status") == "ventana").alias("windows"), F.count_if(F.col("status") == "sin_datos").alias("missing"))
+    """``rows`` of the live path with observed series; they cost no extra pass and no extra job.
+
+    Cycles, windows and missing windows by reason, skipped and incomplete bins, missing meters, the newest bin; with
+    the detector's columns also detections and the largest statistic.
+    """
+    status = F.col("status")
+    series = [F.count(F.lit(1)).alias("cycles"), F.count_if(status == "ventana").alias("windows"), F.count_if(status == "sin_datos").alias("missing")]
+    if "reason" in rows.columns:
+        series += [F.count_if(F.col("reason") == "calentamiento").alias("warming_up"), F.count_if(F.col("reason") == "bins_incompletos").alias("incomplete")]
+    more = {
+        "skipped": F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped_bins"),
+        "bin": F.max("bin").alias("newest_bin"),
+        "missing": F.coalesce(F.sum(F.when(F.length("missing") > 0, F.size(F.split("missing", ",")))), F.lit(0)).alias("missing_meters"),
+        "detected": F.count_if("detected").alias("detections"),
+        "statistic": F.max("statistic").alias("largest_statistic"),
+    }
+    if "incomplete" in rows.columns:
+        series.append(F.coalesce(F.sum("incomplete"), F.lit(0)).alias("incomplete_bins"))
+    return rows.observe(name, *series, *(c for k, c in more.items() if k in rows.columns))
+
+
+def observed_readings(verdicts: DataFrame, name: str = "readings") -> DataFrame:
+    """Readings with a verdict, with observed counts of each kind."""
+    kinds = ("accepted", "unknown", "future", "late", "superseded")
+    return verdicts.observe(name, F.count(F.lit(1)).alias("readings"), *(F.count_if(F.col("verdict") == k).alias(k) for k in kinds))
 
 
 class Totals(StreamingQueryListener):
     """Running totals over micro-batches, and what the newest one added."""
 
     def __init__(self):
-        self.total, self.delta, self.batches, self.failed = Counter(), {}, 0, 0
+        self.total, self.delta, self.gauges, self.batches, self.failed, self.rows, self.seconds = Counter(), {}, {}, 0, 0, 0, 0.0
 
     def onQueryStarted(self, event) -> None:
         return
@@ -28,7 +58,10 @@ class Totals(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         self.batches += 1
         self.delta = {k: v for row in event.progress.observedMetrics.values() for k, v in row.asDict().items()}
-        self.total.update(self.delta)
+        self.rows += event.progress.numInputRows
+        self.seconds += event.progress.batchDuration / 1000
+        self.gauges |= {k: v for k, v in self.delta.items() if k in GAUGES and v is not None}
+        self.total.update({k: v for k, v in self.delta.items() if k not in GAUGES and v is not None})
 
     def onQueryIdle(self, event) -> None:
         return
@@ -40,14 +73,16 @@ class Totals(StreamingQueryListener):
 def topology_guard(armed: DataFrame, live, publish):
     """A foreachBatch function: publishes while the live fingerprints are the armed ones; a change is fatal.
 
-    ``live`` makes the current (zone, fingerprint) table; if it can't be read, publishing goes on.
+    ``live`` makes the current (zone, fingerprint) table; if it can't be read, whatever the reason, that is logged
+    and publishing goes on.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         try:
             now = live()
             changed = armed.join(now.withColumnRenamed("fingerprint", "__now"), "zone", "full").where(~F.col("fingerprint").eqNullSafe(F.col("__now"))).take(1)
-        except OSError:
+        except Exception as e:  # noqa: BLE001  Spark's, py4j's and the file system's own errors
+            log.warning("the registry can't be read, topology isn't checked: %s", e)
             changed = []
         if changed:
             raise TopologyMismatch(f"zone {changed[0]['zone']} isn't what its threshold was calibrated for")

@@ -6,7 +6,7 @@ emit. The stateful stream and the batch replay share it, so both give the same r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -23,6 +23,9 @@ OUTPUT = "zone string, bin long, status string, reason string, incomplete int, m
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+COUNTERS = ("accepted", "unknown", "future", "late", "superseded")
+
+
 @dataclass
 class ZoneState:
     """A zone's cells (bin, device) -> (event time, value), the first bin seen, the last bin emitted, and counters."""
@@ -30,10 +33,10 @@ class ZoneState:
     cells: dict = field(default_factory=dict)
     first_bin: int | None = None
     emitted: int | None = None
-    counts: dict = field(default_factory=lambda: dict.fromkeys(("accepted", "unknown", "future", "late", "superseded"), 0))
+    counts: dict = field(default_factory=lambda: dict.fromkeys(COUNTERS, 0))
 
 
-def observe(state: ZoneState, device: str, ts_us: int, value: float, now_us: int | None, devices: list[str], config: WindowConfig) -> str:
+def observe(state: ZoneState, device: str, ts_us: int, value: float, now_us: int | None, devices: Collection[str], config: WindowConfig) -> str:
     """File one reading: the latest event of a cell wins, of equal times the first to arrive."""
     at = ts_us // config.bin_us
     if device not in devices:
@@ -77,34 +80,49 @@ def emit(state: ZoneState, zone: str, now_us: int, devices: list[str], config: W
 
 
 def step(state: ZoneState, zone: str, readings: list[tuple], now_us: int, devices: list[str], config: WindowConfig) -> list[dict]:
+    known = frozenset(devices)
     for device, ts_us, value in readings:
-        observe(state, device, ts_us, value, None, devices, config)
+        observe(state, device, ts_us, value, None, known, config)
     row = emit(state, zone, now_us, devices, config)
     return [row] if row else []
 
 
 def replay(readings: DataFrame, devices: DataFrame, clock: DataFrame, config: WindowConfig = WindowConfig()) -> DataFrame:
-    """Batch twin: readings (zone, device_id, ts_us, value, arrival_us) against an emission schedule (zone, at_us)."""
-
-    def zone(x: pd.DataFrame, ticks: pd.DataFrame) -> pd.DataFrame:
-        names = (x if len(x) else ticks)["zone"]
-        if not len(ticks):
-            return pd.DataFrame(columns=[c.split()[0] for c in OUTPUT.split(", ")])
-        state, out = ZoneState(), []
-        known = sorted(x["devices"].iloc[0]) if len(x) else []
-        x = x.sort_values(["arrival_us", "id"])
-        at = x["arrival_us"].to_numpy()
-        begin = 0
-        for now in sorted(ticks["at_us"]):
-            end = int(at.searchsorted(now, "right"))
-            part = x.iloc[begin:end]
-            out += step(state, names.iloc[0], list(zip(part["device_id"], part["ts_us"], part["value"], strict=True)), int(now), known, config)
-            begin = end
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-
-    known = devices.groupBy("zone").agg(F.array_sort(F.collect_list("device_id")).alias("devices"))
-    left = readings.select("zone", "id", "device_id", "ts_us", "value", "arrival_us").join(known, "zone").groupBy("zone")
-    return left.cogroup(clock.groupBy("zone")).applyInPandas(zone, OUTPUT)
+    """Batch twin: readings (zone, id, device_id, ts_us, value, arrival_us) against an emission schedule (zone, at_us).
+
+    Devices, readings and ticks of a zone become one line in time (devices first; a reading that arrives at a
+    tick comes before it), which a task walks through with the zone's state alone in memory, never its history.
+    """
+    none = {"device_id": "string", "ts_us": "long", "value": "double", "id": "long"}
+    empty = lambda *names: [F.lit(None).cast(none[n]).alias(n) for n in names]
+    line = (
+        devices.select("zone", F.lit(-(1 << 63)).cast("long").alias("at"), F.lit(0).alias("kind"), *empty("id"), "device_id", *empty("ts_us", "value"))
+        .unionByName(readings.select("zone", F.col("arrival_us").alias("at"), F.lit(1).alias("kind"), "id", "device_id", "ts_us", F.col("value").cast("double").alias("value")))
+        .unionByName(clock.select("zone", F.col("at_us").alias("at"), F.lit(2).alias("kind"), *empty("id", "device_id", "ts_us", "value")))
+        .where("zone is not null")
+    )
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
+
+    def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zone, state, known, listed = None, ZoneState(), set(), []
+        for pdf in it:
+            out = []
+            for r in zip(pdf["zone"], pdf["at"], pdf["kind"], pdf["device_id"], pdf["ts_us"], pdf["value"], strict=True):
+                if r[0] != zone:
+                    zone, state, known, listed = r[0], ZoneState(), set(), []
+                if r[2] == 0:
+                    known.add(r[3])
+                elif r[2] == 1:
+                    observe(state, r[3], int(r[4]), r[5], None, known, config)
+                else:
+                    if len(listed) != len(known):
+                        listed = sorted(known)
+                    row = emit(state, zone, int(r[1]), listed, config)
+                    out += [row] if row else []
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return line.repartition("zone").sortWithinPartitions("zone", "at", "kind", "id").mapInPandas(walk, OUTPUT)
 
 
 class ZoneWindowProcessor(StatefulProcessor):
@@ -117,21 +135,27 @@ class ZoneWindowProcessor(StatefulProcessor):
         self.handle = handle
         self.cells = handle.getMapState("cells", "bin long, device string", "ts_us long, value double")
         self.marks = handle.getValueState("marks", "first_bin long, emitted long")
+        self.counts = handle.getValueState("counts", ", ".join(f"{c} long" for c in COUNTERS))
 
     def _load(self) -> ZoneState:
         marks = self.marks.get() if self.marks.exists() else (None, None)
-        return ZoneState({(k[0], k[1]): (v[0], v[1]) for k, v in self.cells.iterator()}, marks[0], marks[1])
+        counts = self.counts.get() if self.counts.exists() else (0,) * len(COUNTERS)
+        cells = {(k[0], k[1]): (v[0], v[1]) for k, v in self.cells.iterator()}
+        return ZoneState(cells, marks[0], marks[1], dict(zip(COUNTERS, counts, strict=True)))
 
-    def _store(self, before: set, state: ZoneState) -> None:
-        for key in before - set(state.cells):
+    def _store(self, before: dict, state: ZoneState) -> None:
+        """Only what changed: cells that came, went or got a newer reading."""
+        for key in before.keys() - state.cells.keys():
             self.cells.removeKey(key)
         for key, value in state.cells.items():
-            self.cells.updateValue(key, value)
+            if before.get(key) != value:
+                self.cells.updateValue(key, value)
         self.marks.update((state.first_bin, state.emitted))
+        self.counts.update(tuple(state.counts[c] for c in COUNTERS))
 
     def _advance(self, zone: str, readings: list[tuple], now_ms: int) -> Iterator[pd.DataFrame]:
         state = self._load()
-        before = set(state.cells)
+        before = dict(state.cells)
         rows = step(state, zone, readings, now_ms * 1000, sorted(self.devices.get(zone, [])), self.config)
         self._store(before, state)
         if rows:

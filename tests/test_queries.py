@@ -42,6 +42,28 @@ def test_same_rows_as_sql(spark, duck, name):
     assert got == want
 
 
+SLOW = {"el_detection_table", "el_mag_dur", "el_mag_dur_cell", "el_advantage", "el_rates", "el_sliding_eval", "el_sliding_known", "el_radii", "el_tau", "el_individual", "el_group_size"}
+
+
+@pytest.mark.parametrize("name", sorted(set(analytics.QUERIES) - set(analytics.ORACLE) - SLOW))
+def test_queries_without_sql_give_rows(spark, name):
+    rows = analytics.QUERIES[name](spark, SF).collect()
+    assert rows
+
+
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_experiments_give_rates(spark, name, monkeypatch):
+    """Every grid, with fewer trials."""
+    from ampgraph.operators import experiments
+
+    grid = experiments.grid
+    monkeypatch.setattr(experiments, "grid", lambda s, **axes: grid(s, **(axes | {"trials": [40]})))
+    rows = analytics.QUERIES[name](spark, SF).collect()
+    assert rows
+    for r in rows:
+        assert all(0 <= r[c] <= 1 for c in ("scan_rate", "meter_rate", "rate", "auc", "f1") if c in r.asDict())
+
+
 def test_flagship(spark):
     import __spark_entry__
 
