@@ -72,7 +72,8 @@ def main(arguments: list[str] | None = None) -> None:
     spec = read_spec("\n".join(r.value for r in spark.read.text(given.spec, wholetext=True).collect()))
     points = graph.nodes(tables.load_meters(tables.meters(spark, given.tables)))
     rows, events = injected(points, graph.edges(points), spec)
-    sinks.write_injection(rows, given.out, events)
+    sinks.write_injection(rows, f"{given.out}/signal")
+    sinks.write_injection_documents(rows, events, given.out)
 
 
 if __name__ == "__main__":

@@ -89,18 +89,21 @@ def save_calibration(zones: DataFrame, path: str, magnitude: str, format_tag: st
         json.dump({"format": format_tag, "version": 1, "magnitude": magnitude, "zones": body}, f, indent=2, sort_keys=True, ensure_ascii=False)
 
 
-def write_injection(rows: DataFrame, path: str, events: DataFrame | None = None) -> None:
-    """Signals with their bases and truth, a folder per zone; beside them one truth document per event and a summary.
+def write_injection(rows: DataFrame, path: str) -> None:
+    """Signals, their bases and truth, a folder per zone."""
+    rows.repartition("zone").write.mode("overwrite").partitionBy("zone").parquet(path)
 
-    ``rows`` is (zone, t, idx, value, base, truth); a truth document has the event's own columns and its cells' bounds,
-    the summary each zone's instants, nodes and share of changed cells. All are written by Spark.
+
+def write_injection_documents(rows: DataFrame, events: DataFrame, path: str) -> None:
+    """JSON beside the signals: a truth document per event and zone, and a summary per zone.
+
+    ``rows`` is (zone, t, idx, value, base, truth); a truth document has the event's own columns and the bounds and
+    nodes of the zone's changed cells, the summary each zone's instants, nodes and share of changed cells.
     """
-    rows.repartition("zone").write.mode("overwrite").partitionBy("zone").parquet(f"{path}/signal")
     summary = rows.groupBy("zone").agg(F.count_distinct("t").alias("instants"), F.count_distinct("idx").alias("nodes"), F.count_if("truth").alias("changed"), F.avg(F.col("truth").cast("double")).alias("share"))
     summary.write.mode("overwrite").json(f"{path}/summary")
-    if events is not None:
-        cells = rows.where("truth").groupBy("zone").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.array_sort(F.collect_set("idx")).alias("nodes"))
-        events.join(cells, "zone", "left").write.mode("overwrite").json(f"{path}/truth")
+    cells = rows.where("truth").groupBy("zone").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.array_sort(F.collect_set("idx")).alias("nodes"))
+    events.join(cells, "zone", "left").write.mode("overwrite").json(f"{path}/truth")
 
 
 def newest_version(spark: SparkSession, path: str, before: int) -> int | None:

@@ -102,7 +102,8 @@ def test_the_injection_job(spark, network, tmp_path):
     hit = {(r.zone, r.t, r.idx): r.value - r.base for r in rows.where("truth").collect()}
     assert {k for k in hit if k[1] < 8} == {("a", t, i) for t in (2, 3, 4) for i in (1, 2, 3)}
     assert len([k for k in hit if k[1] >= 8]) == 2 * 2 * 4 and all(abs(v - (2.0 if k[1] < 8 else 1.0)) < 1e-9 for k, v in hit.items())
-    sinks.write_injection(rows, str(tmp_path / "out"), events)
+    sinks.write_injection(rows, str(tmp_path / "out/signal"))
+    sinks.write_injection_documents(rows, events, str(tmp_path / "out"))
     assert {r.zone: r.changed for r in spark.read.json(str(tmp_path / "out/summary")).collect()} == {"a": 9 + 8, "b": 8}
     assert spark.read.json(str(tmp_path / "out/truth")).count() == 3 and spark.read.parquet(str(tmp_path / "out/signal")).count() == 240
     for bad, error in (({"events": []}, InvalidSpec), (spec | {"instants": 9}, InvalidSpec)):
