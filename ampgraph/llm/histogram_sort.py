@@ -9,6 +9,7 @@ edge where the tolerance allows, and otherwise cuts the group by id.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 
 import numpy as np
@@ -90,10 +91,10 @@ def splitters(keys: DataFrame, targets: list[int], tolerance: list[int]) -> list
         if not bounds:
             continue
         found = list(zip(bounds, *(x.tolist() for x in _histogram(keys, bounds)), strict=True))
+        below = [x[1] for x in found]  # rises with the bounds
         for i, (low, high) in open_.items():
-            low = max((x for x in found if x[1] <= targets[i]), key=lambda x: x[0], default=low)
-            high = min((x for x in found if x[1] >= targets[i]), key=lambda x: x[0], default=high)
-            open_[i] = max(low, open_[i][0]), min(high, open_[i][1])
+            at, to = bisect.bisect_right(below, targets[i]), bisect.bisect_left(below, targets[i])
+            open_[i] = max(low, found[at - 1]) if at else low, min(high, found[to]) if to < len(found) else high
     return [done[i] for i in range(len(targets))]
 
 

@@ -26,7 +26,7 @@ CACHE = 400_000
 PART_TOP, TABLE_TOP = 4096, 32_768
 #: Entries that a partition counts before it drops its rare ones.
 COUNTED = 300_000
-#: Bytes from U+0240 on: other scripts, where Unicode versions of two regex engines may differ.
+#: Bytes from U+0240 on: other scripts, where Unicode versions of two regex engines may differ, so the library cuts them.
 _OTHER = re.compile(rb"[\xc9-\xff]")
 
 _loaded: dict[str, PreTokens] = {}
@@ -47,8 +47,9 @@ def default_pattern() -> str:
 class PreTokens:
     """The ids that the tokenizers library gives for a byte-level BPE file, and their number by cached pre-tokens.
 
-    The merges never cross a pre-token, so a text's count is the sum of its pre-tokens'. Texts with special
-    strings, or with characters from U+0240 on, go to the library whole.
+    The merges never cross a pre-token, so a text's count is the sum of its pre-tokens'. A text is cut by the
+    pattern here, or by the library's own pre-tokenizer where it has characters from U+0240 on; either way the
+    pre-tokens are looked up. Only texts with special strings are encoded by the library as a whole.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -79,7 +80,17 @@ class PreTokens:
         return [known[t] if t in known else self.encode(t) for t in tokens]
 
     def plain(self, raw: bytes, text: str) -> bool:
-        return not _OTHER.search(raw) and not any(s in text for s in self.special)
+        return not _OTHER.search(raw) and not self.has_special(text)
+
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def cut(self, raw: bytes, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        if not _OTHER.search(raw):
+            return self.split(text)
+        given = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [given[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(given)]
 
     def packed(self, raw: bytes) -> bytes:
         """A text's ids, packed. Plain text is merged by tiktoken over the same vocabulary, where its ids are ranks."""
@@ -90,9 +101,9 @@ class PreTokens:
 
     def count(self, raw: bytes, frequent: dict[str, int]) -> int:
         text = raw.decode("utf-8", "replace")
-        if not self.plain(raw, text):
+        if self.has_special(text):
             return len(self.encode(text)) // 4
-        tokens = self.split(text)
+        tokens = self.cut(raw, text)
         parts = list(map(frequent.get, tokens))
         misses = [t for t, p in zip(tokens, parts, strict=True) if p is None]
         if not misses:
@@ -143,8 +154,9 @@ def frequent_lengths(docs: DataFrame, tokenizer: str, pattern: str, text_column:
         encoder, seen = pre_tokens(tokenizer, pattern), Counter()
         for batch in it:
             for raw in as_bytes(batch.column(0)):
-                if not _OTHER.search(raw):
-                    seen.update(encoder.split(raw.decode("utf-8", "replace")))
+                text = raw.decode("utf-8", "replace")
+                if not encoder.has_special(text):
+                    seen.update(encoder.cut(raw, text))
                 if len(seen) > COUNTED:
                     seen = Counter(dict(seen.most_common(COUNTED // 4)))
         top = heapq.nlargest(PART_TOP, seen.items(), key=lambda x: (x[1], x[0]))

@@ -163,6 +163,25 @@ def test_histogram_shards(spark, corpus, monkeypatch):
     assert histogram_sort.histogram_shards(corpus.where("doc_id < 0"), 4).count() == 0
 
 
+def test_shards_against_a_sorted_copy(spark, corpus):
+    """Shards are consecutive ranges of the rows sorted by (hash of text, id), nearly equal, and equal texts stay together."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, f"text {i % 700} " + "x" * (i % 37)) for i in range(2000)], "doc_id long, text string")
+    out = histogram_sort.histogram_shards(df, 5, tolerance=0.01).select("*", F.xxhash64("text").alias("h")).collect()
+    ordered = sorted(out, key=lambda r: (r.h, r.doc_id))
+    assert [r.shard for r in ordered] == sorted(r.shard for r in ordered)
+    by, of_text = defaultdict(list), defaultdict(set)
+    for r in ordered:
+        by[r.shard].append(r)
+        of_text[r.text].add(r.shard)
+    share = sum(r.size for r in out) / 5
+    group = max(sum(r.size for r in out if r.text == t) for t in of_text)
+    assert all([r.slot for r in rows] == list(range(len(rows))) for rows in by.values())
+    assert all(abs(sum(r.size for r in rows) - share) <= 2 * (0.01 * share + group) for rows in by.values())
+    assert sum(len(s) > 1 for s in of_text.values()) <= 4
+
+
 def test_histogram_shards_cut_a_hot_group(spark):
     df = spark.range(3000).selectExpr("id as doc_id", "case when id % 3 = 0 then 'same text' else concat('t', lpad(id, 8, '0')) end as text")
     size = defaultdict(int)
@@ -455,7 +474,7 @@ def library_ids(path):
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
-ODD = ["<|endoftext|> a<|endoftext|>", "naïve café x", "中文 текст 🙂 a  b", "tab\t\tnew\n\n line ", "'s 'll ''re 1234 5", "\x1c\x85 x"]
+ODD = ["Привет, мир! ‘quoted’ — dash…  два  слова", "混合 text と かな 123 ١٢٣ e\u0301 \u2003wide", "<|endoftext|> a<|endoftext|>", "naïve café x", "中文 текст 🙂 a  b", "tab\t\tnew\n\n line ", "'s 'll ''re 1234 5", "\x1c\x85 x"]
 
 
 def test_token_counts(spark, corpus):
@@ -563,6 +582,28 @@ def test_raking_meets_the_marginals(spark, corpus):
     assert mixing.mix(corpus.where("doc_id < 0")).count() == 0 and mixing.mix(corpus).columns == corpus.columns
 
 
+def test_given_targets_are_met_to_the_tolerance(spark, corpus, monkeypatch):
+    weights = {("lang", "en"): 0.7, ("lang", ""): 0.3, ("source", "s0"): 0.4, ("source", "s1"): 0.6}
+    targets = spark.createDataFrame([(*k, w) for k, w in weights.items()], "dimension string, value string, weight double")
+    options = {"dimensions": ("source", "lang"), "rounds": 90, "targets": targets, "tolerance": 1e-6}
+    rows = mixing.mixing_probabilities(corpus, **options).collect()
+    total = sum(r["__tokens"] * r["__probability"] for r in rows)
+    for (d, v), w in weights.items():
+        assert abs(sum(r["__tokens"] * r["__probability"] for r in rows if (r[d] or "") == v) / total - w) < 1e-5
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)  # many cells: the same probabilities by shuffled joins
+    many = mixing.mixing_probabilities(corpus, **options).collect()
+    keyed = lambda rs: sorted((str(r.doc_id), r.text or "", round(r["__probability"], 9), r["__sampled"]) for r in rs)
+    assert keyed(many) == keyed(rows)
+    for bad in ([("lang", "en", 1.0)], [("lang", "en", 0.5), ("lang", "", 0.4)], [("lang", "en", 0.5), ("lang", "", 0.3), ("lang", "xx", 0.2)], [("shape", "a", 1.0)]):
+        with pytest.raises(ValueError, match="target weights"):
+            mixing.mixing_probabilities(corpus, targets=spark.createDataFrame(bad, targets.schema))
+
+
+def test_mixing_without_the_columns_and_by_a_topic_column(spark, corpus):
+    bare = mixing.mixing_probabilities(corpus.select("doc_id", "text", "key"), topic_column="key").collect()
+    assert len(bare) == corpus.count() and {r["__probability"] for r in bare} == {1.0}
+
+
 def test_a_stray_row_does_not_shrink_the_mix(spark):
     """The budget is met whatever odd rows there are; they are kept whole, and large values have their target shares."""
     rng = np.random.default_rng(12)
