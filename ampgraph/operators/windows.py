@@ -57,7 +57,9 @@ def classify(readings: DataFrame, meters: DataFrame, emitted: DataFrame, config:
     rows = known.withColumns({"bin": bin_of(F.col("ts_us"), config.bin_us), "__at": F.col("arrival_us"), "__b": F.lit(None).cast("long"), "__kind": F.lit(1)})
     # emissions and arrivals in one time line per zone, emissions first: a running maximum, where a join by time would meet all pairs
     marks = emitted.select(F.col("zone").alias("__zone"), F.col("at_us").alias("__at"), F.col("bin").alias("__b"), F.lit(0).alias("__kind"))
-    line = Window.partitionBy("__zone").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    # unknown devices have no zone, and each is a line of its own
+    key = F.coalesce(F.col("__zone"), F.concat(F.lit("?"), F.col("device_id")))
+    line = Window.partitionBy(key, F.col("__zone").isNull()).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.unionByName(marks, allowMissingColumns=True).withColumn("__newest", F.max("__b").over(line)).where("__kind = 1")
     first = (
         F.when(F.col("__zone").isNull(), "unknown")

@@ -40,6 +40,12 @@ def kept(f):
     return once
 
 
+def forget() -> None:
+    """Release what is kept in memory: for new files under an old path, and for timings without it."""
+    while _kept:
+        _kept.popitem()[1].unpersist()
+
+
 def get(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return SPARK[name](spark, sf_dir)
 
