@@ -26,11 +26,11 @@ SHORT = 12
 Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def bucket_links(rows: DataFrame, near: Near, paired: Near, decode: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+def bucket_links(rows: DataFrame, near: Near, paired: Near, decode: Callable[[pa.Array], np.ndarray], seeds: int = 64) -> DataFrame:
     """(a, b) long links with a < b from ``rows`` (key long, id long, payload); rows without a key are ignored.
 
     The result connects two ids if and only if a chain of near ids that share buckets does. ``decode`` makes a
-    matrix of a payload column.
+    matrix of a payload column. ``seeds`` is 1 where a comparison is dear, so that groups of near rows cost few.
     """
     n = shuffle_partitions(rows.sparkSession)
     kind = dict(rows.dtypes)["payload"]
@@ -87,7 +87,7 @@ def bucket_links(rows: DataFrame, near: Near, paired: Near, decode: Callable[[pa
                 found.append(np.stack([ids[y], ids[y + lag]], 1))
         for r in np.flatnonzero(size > SHORT):
             at = slice(np.searchsorted(run, r), np.searchsorted(run, r, "right"))
-            found.append(ids[at][spanning(data[at], near)])
+            found.append(ids[at][spanning(data[at], near, seeds)])
         yield edges(np.concatenate(found), schema)
 
     both = materialize(map_batches(runs, scan, f"a long, b long, key long, block int, payload {kind}"), "buckets")
@@ -104,7 +104,7 @@ def bucket_links(rows: DataFrame, near: Near, paired: Near, decode: Callable[[pa
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         data = decode(pa.array(pdf["payload"], type=_arrow(kind)))
         ids = pdf["id"].to_numpy()
-        found = ids[spanning(data, near)].reshape(-1, 2)
+        found = ids[spanning(data, near, seeds)].reshape(-1, 2)
         return pd.DataFrame({"a": found.min(1), "b": found.max(1)})
 
     more = dealt.groupBy("key", "i", "j").applyInPandas(across, "a long, b long")
@@ -123,19 +123,57 @@ def gathered(it: Iterator[pa.RecordBatch], rows: int = 16_384, size: int = 32 <<
         yield pa.Table.from_batches(some)
 
 
-def spanning(data: np.ndarray, near: Near, step: int = 64) -> np.ndarray:
-    """Pairs of row numbers: a spanning forest of the graph of near rows, found breadth first."""
-    rest = np.arange(len(data))
-    found = []
+def spanning(data: np.ndarray, near: Near, seeds: int = 1, step: int = 64) -> np.ndarray:
+    """Pairs of row numbers: links that connect what the graph of near rows connects, found breadth first.
+
+    The search begins at ``seeds`` rows at once, each the root of a tree; rows that no other is near to so cost a
+    part of a comparison, not one each. Trees that meet become one: a row reached is compared with what is still
+    unreached, and with unfinished rows only while those are of other trees.
+    """
+    root = list(range(len(data)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def join(pairs) -> Iterator[tuple[int, int]]:
+        for i, j in pairs:
+            a, b = find(i), find(j)
+            if a != b:
+                root[a] = b
+                yield i, j
+
+    rest, found = np.arange(len(data)), []
     while len(rest) > 1:
-        front, rest = rest[:1], rest[1:]
-        while len(front) and len(rest):
+        front, rest = rest[:seeds], rest[seeds:]
+        while len(front):
             now, front = front[:step], front[step:]
+            tree = np.array([find(i) for i in now.tolist()])
+            open_ = np.concatenate([now, front])
+            of_open = np.array([find(i) for i in open_.tolist()])
+            if (of_open != of_open[0]).any():
+                hit = near(data[now], data[open_]) & (tree[:, None] != of_open)
+                if hit.any():
+                    at = np.unique(np.stack([tree[np.nonzero(hit)[0]], of_open[np.nonzero(hit)[1]], *np.nonzero(hit)]), axis=1)
+                    _, first = np.unique(at[:2], axis=1, return_index=True)  # one link for each pair of trees
+                    found += join((int(now[i]), int(open_[j])) for i, j in at[2:, first].T)
+                    tree = np.array([find(i) for i in now.tolist()])
+            if not len(rest):
+                continue
             hit = near(data[now], data[rest])
             got = hit.any(0)
-            found.append(np.stack([now[hit[:, got].argmax(0)], rest[got]], 1))
-            front, rest = np.concatenate([front, rest[got]]), rest[~got]
-    return np.concatenate(found) if found else np.empty((0, 2), np.int64)
+            if not got.any():
+                continue
+            hit, new = hit[:, got], rest[got]
+            first = hit.argmax(0)
+            found += join(zip(now[first].tolist(), new.tolist(), strict=True))
+            i, j = np.nonzero(hit & (tree[:, None] != tree[first]))
+            if len(i):
+                _, once = np.unique(np.stack([tree[i], tree[first[j]]]), axis=1, return_index=True)
+                found += join(zip(now[i[once]].tolist(), new[j[once]].tolist(), strict=True))
+            front, rest = np.concatenate([front, new]), rest[~got]
+    return np.array(found, np.int64).reshape(-1, 2)
 
 
 def _arrow(kind: str) -> pa.DataType:

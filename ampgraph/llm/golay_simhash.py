@@ -323,7 +323,7 @@ def near_groups(docs: DataFrame, shingle: int = 5, prints: int = 2, similarity:
     def paired(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.array([similar(a, b, similarity) for a, b in zip(x, y, strict=True)], bool)
 
-    roots = connected_components(bucket_links(dealt, near, paired, decode))
+    roots = connected_components(bucket_links(dealt, near, paired, decode, seeds=1))
     # tables on both sides of each join, so that a large group can be split between tasks
     named = materialize(classes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "named")
     smallest = materialize(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")

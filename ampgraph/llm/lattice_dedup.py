@@ -87,12 +87,12 @@ def lattice_dedup(vectors: DataFrame, threshold: float = 0.9, tables: int = TABL
     link inside it exactly. n_links counts other rows, component_id is the smallest id reached, kept marks it.
 
     Null, empty, zero or non-finite vectors, and rows without an id (their component_id is null), link with
-    nothing. Vectors of different lengths never link. Rows that repeat an id are one node. Labels and other
-    columns play no part. An empty table gives an empty one.
+    nothing. Vectors of different lengths never link. Rows that repeat an id are rows like any other: each counts
+    for itself, equal vectors under one id too. Labels and other columns play no part. An empty table gives an empty one.
     """
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"))
     sound = rows.where(usable("v") & F.col("vec_id").isNotNull())
-    classes = materialize(sound.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    classes = materialize(sound.groupBy("v").agg(F.min(F.xxhash64("v")).alias("node"), F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")), "vector-classes")
     width = int(classes.agg(F.max(F.size("v"))).first()[0] or 1)
     dtype = np.float64 if dict(rows.dtypes)["v"] == "array<double>" else np.float32
 
@@ -166,8 +166,12 @@ def lattice_dedup(vectors: DataFrame, threshold: float = 0.9, tables: int = TABL
     known = (
         classes.join(roots, "node", "left")
         .join(linked, "node", "left")
-        .select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
+        .select("v", "first", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
     )
+    # tables on both sides of the join, so that a large component can be split between tasks
+    known = materialize(known, "vector-links")
+    smallest = materialize(known.groupBy("root").agg(F.min("first").alias("component_id")), "vector-components")
+    known = known.join(smallest, "root")
     out = sound.join(known, "v").select("vec_id", "n_links", "component_id").unionByName(
         rows.where(~(usable("v") & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     )

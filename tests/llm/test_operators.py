@@ -83,6 +83,18 @@ def test_hot_bucket_is_cut_into_blocks(spark, monkeypatch):
     assert len(got) < len(brute)
 
 
+@pytest.mark.parametrize("seeds", [1, 3, 64])
+def test_spanning_links_connect_what_all_pairs_connect(seeds):
+    rng = np.random.default_rng(17)
+    for n, reach in ((150, 0.004), (150, 0.02), (90, 0.2), (70, 2.0), (2, 0.0), (1, 1.0), (0, 1.0)):
+        x = rng.random((n, 1))
+        near = lambda a, b, r=reach: np.abs(a - b.T) <= r
+        got = [tuple(map(int, p)) for p in buckets.spanning(x, near, seeds, step=8)]
+        brute = [(i, j) for i, j in itertools.combinations(range(n), 2) if abs(x[i, 0] - x[j, 0]) <= reach]
+        assert roots(range(n), got) == roots(range(n), brute) and len(got) <= max(0, n - 1)
+        assert all(abs(x[i, 0] - x[j, 0]) <= reach for i, j in got)
+
+
 # --- op1 ---
 
 
@@ -121,9 +133,32 @@ def test_lattice_dedup(spark):
     assert lattice_dedup.lattice_dedup(df.where("vec_id < 0")).count() == 0
 
 
+def test_lattice_dedup_of_repeated_ids_and_clashing_columns(spark):
+    """Rows (id, direction): each row counts the others within the angle, whatever their ids."""
+    rows = [(1, 0.0), (1, 1.5), (2, 0.1), (3, 1.6), (1, 0.0), (4, 3.0), (4, 3.0)]
+    data = [(i, [float(np.cos(a)), float(np.sin(a))] + [0.0] * 6, "x", 1, 2, i) for i, a in rows]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, v string, node int, n int, root long")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in lattice_dedup.lattice_dedup(df).collect())
+    near = [[abs(a - b) < np.arccos(0.9) for _, b in rows] for _, a in rows]
+    comp = roots(range(len(rows)), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if near[i][j]])
+    least = {c: min(rows[i][0] for i in comp if comp[i] == c) for c in comp.values()}
+    assert got == sorted((d, sum(near[i]) - 1, least[comp[i]], d == least[comp[i]]) for i, (d, _) in enumerate(rows))
+
+
 # --- op2 ---
 
 
+def test_onebit_search_of_repeated_ids_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    data = [(i % 5, [float(i), 1.0], "q", 0.5, 1) for i in range(10)]  # every id twice
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, query string, score double, rank int")
+    rows = onebit_search.onebit_search(df, F.col("vec_id") == 0, k=20).collect()
+    assert len(rows) == 8 and {r.query_id for r in rows} == {0} and sorted(r.vec_id for r in rows) == sorted([1, 2, 3, 4] * 2)
+    assert [r["rank"] for r in sorted(rows, key=lambda r: (-r.score, r.vec_id))] == list(range(1, 9))
+
+
+
 def test_onebit_search(spark):
     from pyspark.sql import functions as F
 
