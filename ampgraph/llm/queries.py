@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, suffix_dedup
+from . import mixing, prefixes, suffix_dedup, yinyang
 from .common import table
 from .golay_simhash import simhash_groups
 from .histogram_sort import histogram_shards
 from .lattice_dedup import lattice_dedup
 from .onebit_search import onebit_search
 from .packing import pack_documents
+from .pieces import piece_digests
 from .quality import quality_scores
 from .suffix_dedup import repeated_spans
 from .tokens import token_counts
@@ -74,9 +75,29 @@ def op10_mix_by_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster_vectors(table(spark, sf_dir, "embeddings"), clusters=8, rounds=10, seed=3)
+
+
+def op12_sentencepiece_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ALL = (
+    op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op4_quality_ftrl, op5_toxicity_nnpu, op6_sparse_suffix_dedup, op7_golay_simhash,
+    op8_token_counts, op9_best_fit_packing, op10_mix_by_raking, op11_yinyang_clusters, op12_sentencepiece_rounds, op13_prefix_trie,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_dedup, op2_onebit_search, op3_histogram_sort, op4_quality_ftrl, op5_toxicity_nnpu, op6_sparse_suffix_dedup, op7_golay_simhash, op8_token_counts, op9_best_fit_packing, op10_mix_by_raking)}
+    return {f.__name__: f for f in ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_sparse_suffix_dedup": suffix_dedup.oracle_sql(50), "op10_mix_by_raking": mixing.oracle_sql()}
+    return {
+        "op6_sparse_suffix_dedup": suffix_dedup.oracle_sql(50), "op10_mix_by_raking": mixing.oracle_sql(), "op11_yinyang_clusters": yinyang.oracle_sql(), "op13_prefix_trie": prefixes.oracle_sql(),
+    }
