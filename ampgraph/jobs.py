@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .errors import InvalidSpec, UnknownDevice
 from .operators import graph, inject
 from .operators.inject import EventSpec
+from .shipping import ship
 from .sources import sinks, tables
 
 
@@ -23,13 +24,14 @@ def read_spec(text: str) -> dict:
         EventSpec(zone="", seed_idx=0, start=e["start"], duration=e["duration"], depth=e.get("depth"), size_target=e.get("size_target"), shape=e.get("shape", "compact"), sigma_multiple=e.get("sigma_multiple"), fraction=e.get("fraction"), direction=e.get("direction", 1), on_violation=spec["on_violation"])
         if e["start"] + e["duration"] > spec["instants"]:
             raise InvalidSpec("an event ends after the signal")
-    if len({"fraction" in e for e in spec["events"]}) > 1:
-        raise InvalidSpec("events by spread and by fraction don't mix in one specification")
     return spec
 
 
 def injected(points: DataFrame, links: DataFrame, spec: dict) -> tuple[DataFrame, DataFrame]:
-    """(signal rows, events with a zone each): the specification's events on a null signal of every zone."""
+    """(signal rows, a row of truth for each event and zone): the specification's events on a null signal of every zone.
+
+    Events apply in their order within the bounds, each on what earlier ones left. One without a seed gets one drawn from the zone's meters.
+    """
     spark = points.sparkSession
     if spec["zones"]:
         points, links = (df.where(F.col("zone").isin(spec["zones"])) for df in (points, links))
@@ -40,8 +42,8 @@ def injected(points: DataFrame, links: DataFrame, spec: dict) -> tuple[DataFrame
     named, open_ = events.where("seed_device_id is not null").join(seeds, "seed_device_id", "left"), events.where("seed_device_id is null").drop("seed_device_id")
     if bad := named.where("zone is null").take(1):
         raise UnknownDevice(bad[0]["seed_device_id"])
-    lowest = seeds.groupBy("zone").agg(F.min_by(F.struct("seed_idx", "seed_device_id"), "seed_idx").alias("s")).select("zone", "s.*")
-    placed = named.unionByName(open_.crossJoin(F.broadcast(zones)).join(lowest, "zone"))
+    spread = inject.seeds(points, open_.crossJoin(F.broadcast(zones)), spec["seed"]).join(seeds, ["zone", "seed_idx"])
+    placed = named.unionByName(spread)
     groups = []
     for depth in sorted({e["depth"] for e in spec["events"] if e.get("depth") is not None}):
         reach = graph.k_hop(links, points, depth).withColumnRenamed("centre", "seed_idx")
@@ -54,11 +56,10 @@ def injected(points: DataFrame, links: DataFrame, spec: dict) -> tuple[DataFrame
     for g in groups[1:]:
         members = members.unionByName(g)
     signal = inject.null_signal(points, spec["instants"], spec["mean"], spec["sigma"], spec["seed"])
-    if "fraction" in spec["events"][0]:
-        return inject.inject_in_order(signal, members, placed.select("zone", "event", "start", "duration", "fraction", "direction")), placed
-    change = inject.deltas(members, placed.select("zone", "event", "start", "duration", "sigma_multiple", "direction"), points.select("zone", "idx", F.lit(spec["sigma"]).alias("sigma")))
+    asked = inject.changes(members, placed, points.select("zone", "idx", F.lit(spec["sigma"]).alias("sigma")))
     low, high = spec["bounds"] or (None, None)
-    return inject.inject(signal, change, low, high, spec["on_violation"]), placed
+    rows, done = inject.apply_events(signal, asked, low, high, spec["on_violation"])
+    return rows, inject.truth(done, members, placed, links, points)
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -69,6 +70,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("out")
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
+    ship(spark)
     spec = read_spec("\n".join(r.value for r in spark.read.text(given.spec, wholetext=True).collect()))
     points = graph.nodes(tables.load_meters(tables.meters(spark, given.tables)))
     rows, events = injected(points, graph.edges(points), spec)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spectral
-from .inject import grow, zone_key
+from ..errors import InvalidSpec
+from .inject import walk, zone_key
 
 CALIBRATION, FPR, MEAN, SIGMA = 600, 0.01, 220.0, 1.5
 FIELDS = "sigma double, window int, length int, depth int, size int, shape string, radii array<int>, tau double, aligned boolean, trials int"
@@ -100,6 +101,22 @@ def statistics(x: np.ndarray, a: np.ndarray, masks: np.ndarray, own: np.ndarray,
     }
 
 
+def grown(neighbours: dict[int, list[int]], seed: int, size: int, shape: str, rng: np.random.Generator) -> list[int]:
+    """A group by a walk, or of the nodes nearest to the seed; of the last layer the least draws."""
+    if shape == "extended":
+        return walk(neighbours, seed, size, rng)
+    layer = {seed: 0}
+    for node in (queue := [seed]):
+        for other in neighbours.get(node, ()):
+            if other not in layer:
+                layer[other] = layer[node] + 1
+                queue.append(other)
+    if len(layer) < size:
+        raise InvalidSpec(f"only {len(layer)} of {size} nodes can be reached")
+    draw = dict(zip(sorted(layer), rng.random(len(layer)), strict=True))
+    return sorted(sorted(layer, key=lambda i: (layer[i], draw[i]))[:size])
+
+
 def trial(a: np.ndarray, p, seed: int) -> dict:
     """Rates, false-positive rates, node confusion and scores by statistic of one zone and parameter set."""
     n, window, length, trials = len(a), int(p.window), int(p.length), int(p.trials)
@@ -121,7 +138,7 @@ def trial(a: np.ndarray, p, seed: int) -> dict:
         groups = np.zeros((n, n), bool)
         for i in range(n):
             try:
-                groups[i, grow(around, i, int(p.size), p.shape, np.random.default_rng([seed, i]))] = True
+                groups[i, grown(around, i, int(p.size), p.shape, np.random.default_rng([seed, i]))] = True
             except ValueError:
                 groups[i, i] = True
     else:

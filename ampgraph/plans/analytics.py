@@ -564,7 +564,13 @@ def _requests(s, d, shape, size=6):
     return get(s, d, "points").groupBy("zone").agg(F.min("idx").alias("seed_idx")).select("zone", F.lit(1).cast("long").alias("event"), "seed_idx", F.lit(size).alias("size"), F.lit(shape).alias("shape"))
 
 
-@query()
+GROW = """
+WITH RECURSIVE reach(zone, event, idx, layer) AS (SELECT zone, event, seed_idx, 0 FROM wanted UNION SELECT r.zone, r.event, e.dst, r.layer + 1 FROM reach r JOIN edges e ON e.zone = r.zone AND e.src = r.idx WHERE r.layer < {size})
+SELECT zone, event, idx FROM (SELECT zone, event, idx, row_number() OVER (PARTITION BY zone, event ORDER BY layer, md5('{seed}|' || zone || '|' || event || '|' || idx), idx) AS place
+  FROM (SELECT zone, event, idx, min(layer) AS layer FROM reach GROUP BY zone, event, idx)) WHERE place <= {size}"""
+
+
+@query(GROW.format(size=6, seed=5), wanted="SELECT zone, 1 AS event, min(idx) AS seed_idx FROM points GROUP BY zone")
 def gr_grow_compact(s, d):
     return inject.subgraphs(get(s, d, "edges"), _requests(s, d, "compact"), seed=5)
 
@@ -1131,9 +1137,12 @@ def _deltas(s, d):
     return x, inject.deltas(groups, events, sigmas)
 
 
-@query("SELECT zone, min(idx) AS seed FROM points WHERE device_id LIKE '%7' GROUP BY zone")
+@query("""
+SELECT zone, event, arg_min(idx, md5('3|' || zone || '|' || event || '|' || device_id)) AS seed FROM points, (VALUES (1), (2), (3)) AS e(event) GROUP BY zone, event""")
 def ev_seed(s, d):
-    return get(s, d, "points").where(F.col("device_id").endswith("7")).groupBy("zone").agg(F.min("idx").alias("seed"))
+    """Three events a zone, each at a meter drawn for it."""
+    wanted = get(s, d, "meters").select("zone").distinct().select("zone", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("event"))
+    return inject.seeds(get(s, d, "points"), wanted, seed=3).select("zone", "event", F.col("seed_idx").alias("seed"))
 
 
 @query("SELECT zone, idx FROM groups", **EV)
@@ -1151,21 +1160,67 @@ def ev_step_profile(s, d):
     return s.range(5).select(F.col("id").alias("step"), F.lit(1.0).alias("weight"))
 
 
-@query("SELECT zone, round(least(1e0, min(greatest(0e0, 150e0 - value) / delta)), 6) AS scale FROM deltas JOIN signal USING (zone, t, idx) GROUP BY zone", **EV)
+#: Two events that share meters and an instant: the first by spread around meter 0, the second by fraction around meter 1.
+PAIR = EV | {
+    "first_cells": "SELECT zone, t, idx, delta FROM deltas",
+    "second_cells": "SELECT zone, unnest(generate_series(start + 1, start + 2)) AS t, idx FROM event_list JOIN (SELECT zone, idx FROM ball1 WHERE centre = 1) USING (zone)",
+    "bounded_first": "SELECT zone, least(1e0, min(greatest(0e0, 120e0 - value) / delta)) AS scale FROM first_cells JOIN signal USING (zone, t, idx) GROUP BY zone",
+    "after_first": "SELECT s.zone, s.t, s.idx, value, delta IS NOT NULL AS hit1, coalesce(delta * b.scale, 0e0) AS d1, value + coalesce(delta * b.scale, 0e0) AS v1 FROM signal s LEFT JOIN first_cells USING (zone, t, idx) LEFT JOIN bounded_first b ON b.zone = s.zone",
+    "bounded_second": "SELECT zone, least(1e0, coalesce(min(greatest(0e0, 120e0 - v1) / (0.5e0 * v1)) FILTER (WHERE v1 > 0), 1e0)) AS scale FROM second_cells JOIN after_first USING (zone, t, idx) GROUP BY zone",
+    "after_both": "SELECT a.*, c.zone IS NOT NULL AS hit2, CASE WHEN c.zone IS NULL THEN 0e0 ELSE 0.5e0 * v1 * b.scale END AS d2 FROM after_first a LEFT JOIN second_cells c USING (zone, t, idx) LEFT JOIN bounded_second b ON b.zone = a.zone",
+}
+
+
+def _pair(s, d):
+    x, events, groups, sigmas = _event(s, d)
+    second = events.select("zone", F.lit(2).alias("event"), (F.col("start") + 1).alias("start"), F.lit(2).alias("duration"), F.lit(None).cast("double").alias("sigma_multiple"), "direction", F.lit(0.5).alias("fraction"))
+    around = graph.k_hop(get(s, d, "edges"), get(s, d, "points"), 1).where("centre = 1").select("zone", F.lit(2).alias("event"), "idx")
+    events, groups = events.withColumn("fraction", F.lit(None).cast("double")).unionByName(second), groups.unionByName(around)
+    return x, events, groups, inject.changes(groups, events, sigmas)
+
+
+@query("SELECT zone, 1 AS event, round(scale, 6) AS scale FROM bounded_first UNION ALL SELECT zone, 2, round(scale, 6) FROM bounded_second", **PAIR)
 def ev_scale(s, d):
-    x, change = _deltas(s, d)
-    return inject.scale_to_bounds(x, change, 0.0, 150.0).select("zone", F.round("scale", 6).alias("scale"))
+    """The second event's factor depends on what the first left."""
+    x, _, _, asked = _pair(s, d)
+    return inject.scale_to_bounds(x, asked, -1e9, 120.0).select("zone", "event", F.round("scale", 6).alias("scale"))
 
 
-@query("SELECT zone, t, idx, round(value + coalesce(delta, 0e0), 6) AS value, value AS base, delta IS NOT NULL AS truth FROM signal LEFT JOIN deltas USING (zone, t, idx)", **EV)
+@query("""
+SELECT zone, t, idx, round(v1 + CASE WHEN c.zone IS NULL THEN 0e0 ELSE 0.5e0 * v1 END, 6) AS value, value AS base, touched OR c.zone IS NOT NULL AS truth
+FROM (SELECT s.zone, s.t, s.idx, value, value + coalesce(delta, 0e0) AS v1, delta IS NOT NULL AS touched FROM signal s LEFT JOIN first_cells USING (zone, t, idx)) LEFT JOIN second_cells c USING (zone, t, idx)""", **PAIR)
 def ev_inject(s, d):
-    return r6(inject.inject(*_deltas(s, d)), "value")
+    """Spread and fraction mixed, without bounds."""
+    x, _, _, asked = _pair(s, d)
+    return r6(inject.inject(x, asked), "value")
 
 
-@query("SELECT zone, t, idx, round(value + coalesce(delta, 0e0) * coalesce(scale, 1e0), 4) AS value FROM signal LEFT JOIN deltas USING (zone, t, idx) LEFT JOIN (SELECT zone, least(1e0, min(greatest(0e0, 150e0 - value) / delta)) AS scale FROM deltas JOIN signal USING (zone, t, idx) GROUP BY zone) USING (zone)", **EV)
+@query("SELECT zone, t, idx, round(v1 + d2, 6) AS value, value AS base, hit1 OR hit2 AS truth FROM after_both", **PAIR)
 def ev_apply(s, d):
-    x, change = _deltas(s, d)
-    return inject.inject(x, change, 0.0, 150.0, "scale").select("zone", "t", "idx", F.round("value", 4).alias("value"))
+    """The same within bounds: each event shrinks by its own factor."""
+    x, _, _, asked = _pair(s, d)
+    return r6(inject.inject(x, asked, -1e9, 120.0, "scale"), "value")
+
+
+@query("""
+WITH did AS (SELECT zone, 1 AS event, max(abs(d1)) AS most FROM first_cells JOIN after_both USING (zone, t, idx) GROUP BY zone
+  UNION ALL SELECT zone, 2, max(abs(d2)) FROM after_both WHERE hit2 GROUP BY zone),
+members AS (SELECT zone, centre + 1 AS event, idx FROM ball1 WHERE centre <= 1),
+cut AS (SELECT m.zone, m.event, count(*) AS boundary_edges FROM members m JOIN edges e ON e.zone = m.zone AND e.src = m.idx
+  WHERE NOT EXISTS (SELECT 1 FROM members o WHERE o.zone = m.zone AND o.event = m.event AND o.idx = e.dst) GROUP BY m.zone, m.event),
+scales AS (SELECT zone, 1 AS event, scale FROM bounded_first UNION ALL SELECT zone, 2, scale FROM bounded_second)
+SELECT zone, event, n_nodes, coalesce(boundary_edges, 0) AS boundary_edges, zone_size, n_nodes / zone_size AS coverage, coalesce(boundary_edges, 0) / n_nodes AS boundary_per_node,
+  round(most, 6) AS max_abs_delta, coalesce(scale < 1, FALSE) AS scaled, round(CASE WHEN event = 1 THEN 1.5e0 * coalesce(scale, 1e0) END, 6) AS sigma_multiple, round(CASE WHEN event = 2 THEN 0.5e0 * coalesce(scale, 1e0) END, 6) AS fraction, n_nodes < zone_size AS expected_detectable
+FROM (SELECT zone, event, count(*) AS n_nodes FROM members GROUP BY zone, event) JOIN (SELECT zone, count(*) AS zone_size FROM points GROUP BY zone) USING (zone)
+JOIN (SELECT DISTINCT zone FROM event_list) USING (zone) LEFT JOIN did USING (zone, event) LEFT JOIN cut USING (zone, event) LEFT JOIN scales USING (zone, event)""".replace("WITH did", "WITH RECURSIVE did"), **PAIR)
+def ev_coverage(s, d):
+    """Each event's record of truth: size, boundary, what was applied."""
+    x, events, groups, asked = _pair(s, d)
+    _, done = inject.apply_events(x, asked, -1e9, 120.0, "scale")
+    rows = inject.truth(done, groups, events, get(s, d, "edges"), get(s, d, "points"))
+    return r6(rows, "max_abs_delta", "sigma_multiple", "fraction").select(
+        "zone", "event", "n_nodes", "boundary_edges", "zone_size", "coverage", "boundary_per_node", "max_abs_delta", "scaled", "sigma_multiple", "fraction", "expected_detectable"
+    )
 
 
 @query("SELECT zone, t, idx, round(CASE WHEN delta IS NULL THEN value ELSE value * 1.1e0 * 1.1e0 END, 6) AS value, value AS base, delta IS NOT NULL AS truth FROM signal LEFT JOIN deltas USING (zone, t, idx)", **EV)
@@ -1182,13 +1237,6 @@ def ev_truth_mask(s, d):
     return inject.inject(*_deltas(s, d)).where("truth").select("zone", "t", "idx")
 
 
-@query("SELECT g.zone, count(*) / (SELECT count(*) FROM points p WHERE p.zone = g.zone) AS coverage FROM groups g GROUP BY g.zone", **EV)
-def ev_coverage(s, d):
-    groups = _event(s, d)[2].groupBy("zone").agg(F.count(F.lit(1)).alias("k"))
-    n = get(s, d, "points").groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
-    return groups.join(n, "zone").select("zone", (F.col("k") / F.col("n")).alias("coverage"))
-
-
 @query("SELECT zone, t, idx, round(value, 6) AS value FROM signal")
 def ev_reconstruct(s, d):
     x, change = _deltas(s, d)
@@ -1235,7 +1283,7 @@ def el_deltas_by_seed(s, d):
     return rows.select("zone", "centre", "idx", (F.lit(1.5) * F.when(F.col("device_id").startswith("dev-tri"), 20.0).otherwise(10.0)).alias("delta"))
 
 
-@query()
+@query(GROW.format(size=5, seed=2), wanted="SELECT zone, idx AS event, idx AS seed_idx FROM points")
 def el_groups_by_seed(s, d):
     wanted = get(s, d, "points").select("zone", F.col("idx").alias("event"), F.col("idx").alias("seed_idx"), F.lit(5).alias("size"), F.lit("compact").alias("shape"))
     return inject.subgraphs(get(s, d, "edges"), wanted, seed=2)

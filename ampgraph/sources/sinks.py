@@ -97,13 +97,12 @@ def write_injection(rows: DataFrame, path: str) -> None:
 def write_injection_documents(rows: DataFrame, events: DataFrame, path: str) -> None:
     """JSON beside the signals: a truth document per event and zone, and a summary per zone.
 
-    ``rows`` is (zone, t, idx, value, base, truth); a truth document has the event's own columns and the bounds and
-    nodes of the zone's changed cells, the summary each zone's instants, nodes and share of changed cells.
+    ``rows`` is (zone, t, idx, value, base, truth), ``events`` the truth of the injection; the summary has each zone's instants, nodes and
+    share of changed cells.
     """
     summary = rows.groupBy("zone").agg(F.count_distinct("t").alias("instants"), F.count_distinct("idx").alias("nodes"), F.count_if("truth").alias("changed"), F.avg(F.col("truth").cast("double")).alias("share"))
     summary.write.mode("overwrite").json(f"{path}/summary")
-    cells = rows.where("truth").groupBy("zone").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.array_sort(F.collect_set("idx")).alias("nodes"))
-    events.join(cells, "zone", "left").write.mode("overwrite").json(f"{path}/truth")
+    events.write.mode("overwrite").json(f"{path}/truth")
 
 
 def newest_version(spark: SparkSession, path: str, before: int) -> int | None:

@@ -113,13 +113,71 @@ def test_calibrated_false_positive_rate():
     assert 0.03 < (fresh > cut).mean() < 0.07
 
 
-def test_growth_is_connected_and_sized():
+def test_growth_is_connected_and_sized(spark):
     around = {i: [(i - 1) % 9, (i + 1) % 9] for i in range(9)}
+    walked = inject.walk(around, 4, 5, np.random.default_rng(0))
+    assert len(walked) == 5 and 4 in walked
+    with pytest.raises(errors.InvalidSpec):
+        inject.walk({0: [1], 1: [0]}, 0, 3, np.random.default_rng(0))
+    links = frame(spark, cycle(9))
+    wanted = "zone string, event long, seed_idx long, size long, shape string"
     for shape in ("compact", "extended"):
-        g = inject.grow(around, 4, 5, shape, np.random.default_rng(0))
-        assert len(g) == 5 and 4 in g
+        rows = [("z", e, 4, size, shape) for e, size in enumerate((1, 2, 5, 9))]
+        got = inject.subgraphs(links, spark.createDataFrame(rows, wanted), seed=1).collect()
+        groups = {e: {r.idx for r in got if r.event == e} for e in range(4)}
+        assert [len(g) for g in groups.values()] == [1, 2, 5, 9]
+        for g in groups.values():
+            assert 4 in g and all(any((i + s) % 9 in g for s in (1, -1)) for i in g if len(g) > 1)
+            assert shape == "extended" or len(g) != 5 or g == {2, 3, 4, 5, 6}  # whole layers
     with pytest.raises(errors.InvalidSpec):
-        inject.grow({0: [1], 1: [0]}, 0, 3, "compact", np.random.default_rng(0))
+        inject.subgraphs(links, spark.createDataFrame([("z", 1, 4, 10, "compact")], wanted)).collect()
+
+
+def by_hand(values, events, low, high, scale=True):
+    """Events one after the other on a dictionary of cells."""
+    x, did = dict(values), {}
+    for number, (cells, add, part) in sorted(events.items()):
+        delta = {c: add + part * x[c] for c in cells}
+        room = [max(0.0, (high - x[c]) if d > 0 else (x[c] - low)) / abs(d) for c, d in delta.items() if d]
+        factor = min([1.0, *room])
+        assert scale or factor == 1
+        for c, d in delta.items():
+            x[c] += d * factor
+            did[number, c] = (d * factor, factor)
+    return x, did
+
+
+def test_events_apply_in_order_within_bounds(spark):
+    rng = np.random.default_rng(8)
+    values = {(t, i): float(rng.uniform(195, 235)) for t in range(6) for i in range(5)}
+    events = {}
+    for n in range(1, 13):
+        cells = [(t, i) for t in range(int(rng.integers(0, 5)), 6) for i in rng.choice(5, 2, replace=False).tolist()][:4]
+        events[n] = (cells, float(rng.normal(0, 12)), 0.0) if n % 2 else (cells, 0.0, float(rng.normal(0, 0.1)))
+    x = spark.createDataFrame([(z, t, i, v) for (t, i), v in values.items() for z in "ab"], "zone string, t long, idx long, value double")
+    rows = [(z, n, t, i, add, part) for n, (cells, add, part) in events.items() for t, i in cells for z in "ab"]
+    asked = spark.createDataFrame(rows, "zone string, event int, t long, idx long, add double, part double")
+    for low, high in ((187.0, 253.0), (190.0, 240.0), (-1e9, 1e9)):
+        want, did = by_hand(values, events, low, high)
+        got, done = inject.apply_events(x, asked, low, high, "scale")
+        assert {(r.zone, r.t, r.idx): round(r.value, 6) for r in got.collect()} == {(z, *c): round(v, 6) for c, v in want.items() for z in "ab"}
+        assert {(r.zone, r.event, r.t, r.idx): (round(r.delta, 6), round(r.scale, 6)) for r in done.collect()} == {(z, n, *c): (round(d, 6), round(f, 6)) for (n, c), (d, f) in did.items() for z in "ab"}
+    free, steps = inject.apply_events(x, asked)
+    want, did = by_hand(values, events, -1e9, 1e9)
+    assert {(r.zone, r.t, r.idx): round(r.value, 6) for r in free.collect()} == {(z, *c): round(v, 6) for c, v in want.items() for z in "ab"}
+    assert {(r.event, r.t, r.idx): round(r.delta, 6) for r in steps.where("zone = 'a'").collect()} == {(n, *c): round(d, 6) for (n, c), (d, _) in did.items()}
+
+
+def test_overlapping_events_can_leave_bounds_together(spark):
+    x = spark.createDataFrame([("z", 0, 0, 230.0)], "zone string, t long, idx long, value double")
+    kind = "zone string, event int, t long, idx long, add double, part double"
+    for second in ((15.0, 0.0), (0.0, 0.05)):
+        two = spark.createDataFrame([("z", 1, 0, 0, 15.0, 0.0), ("z", 2, 0, 0, *second)], kind)
+        with pytest.raises(errors.BoundsViolation, match="event 2"):
+            inject.inject(x, two, 187.0, 253.0)
+        assert inject.inject(x, two, 187.0, 253.0, "scale").first().value == pytest.approx(253.0)
+    with pytest.raises(errors.BoundsViolation):
+        inject.inject(x, spark.createDataFrame([("z", 1, 0, 0, 0.0, 0.5)], kind), 187.0, 253.0)
 
 
 def test_injection_scales_or_raises(spark):

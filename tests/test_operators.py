@@ -106,6 +106,15 @@ def test_the_injection_job(spark, network, tmp_path):
     sinks.write_injection_documents(rows, events, str(tmp_path / "out"))
     assert {r.zone: r.changed for r in spark.read.json(str(tmp_path / "out/summary")).collect()} == {"a": 9 + 8, "b": 8}
     assert spark.read.json(str(tmp_path / "out/truth")).count() == 3 and spark.read.parquet(str(tmp_path / "out/signal")).count() == 240
+    truth = {(r.zone, r.event): r for r in events.collect()}
+    own = truth["a", 0]
+    assert (own.n_nodes, own.boundary_edges, own.zone_size, own.scaled, own.expected_detectable) == (3, 2, 6, False, True)
+    assert own.delta == [[2.0] * 3] * 3 and own.node_indices == [1, 2, 3] and own.max_abs_delta == 2.0 and truth["b", 1].n_nodes == 4
+    mixed = spec | {"bounds": [0.0, 9.0], "on_violation": "scale", "events": [*spec["events"], {"start": 2, "duration": 2, "depth": 1, "fraction": 0.9, "seed_device_id": "dev-a2"}]}
+    rows, events = jobs.injected(points, links, jobs.read_spec(json.dumps(mixed)))
+    assert rows.agg({"value": "max"}).first()[0] == pytest.approx(9.0)
+    last = events.where("event = 2").first()
+    assert last.scaled and 0 < last.fraction < 0.9 and last.fraction == pytest.approx(0.9 * last.scale)
     for bad, error in (({"events": []}, InvalidSpec), (spec | {"instants": 9}, InvalidSpec)):
         with pytest.raises(error):
             jobs.read_spec(json.dumps(bad))
