@@ -64,6 +64,45 @@ def detect(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def plans(balls: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(zone, balls, threshold, sigma, window): all that a zone's scan needs, one row a zone.
+
+    ``thresholds`` is (zone, threshold, sigma, window); balls are bounded by a zone's meters times the radii.
+    """
+    sets = balls.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("radius", "centre", "size", "n", "members"))).alias("balls"))
+    return sets.join(thresholds.select("zone", F.col("threshold").cast("double").alias("threshold"), F.col("sigma").cast("double").alias("sigma"), F.col("window").cast("int").alias("window")), "zone")
+
+
+def mean_arrays(means: DataFrame) -> DataFrame:
+    """(zone, bin, means): a window's means as one array over nodes 0, 1, ..."""
+    rows = means.groupBy("zone", "bin").agg(F.array_sort(F.collect_list(F.struct("idx", "mean"))).alias("m"))
+    return rows.select("zone", "bin", F.col("m.mean").alias("means"))
+
+
+def scan(windows: DataFrame, zone_plans: DataFrame) -> DataFrame:
+    """``windows`` (zone, means, ...) with detected, statistic, threshold, candidates, radius, centre and size.
+
+    Each row meets its zone's plan and is scanned within itself, so a stream needs no state for it, and a batch no shuffle beyond
+    the join by zone. Rows without means, or of zones without a plan, get nulls. Ties go to the smaller radius, then centre.
+    """
+    total = F.aggregate("means", F.lit(0.0), lambda acc, x: acc + x)
+
+    def score(b):
+        inside = F.aggregate(b["members"], F.lit(0.0), lambda acc, i: acc + F.get(F.col("means"), i.cast("int")))
+        rest = (b["n"] - b["size"]).cast("double")
+        error = F.col("sigma") / F.sqrt(F.col("window").cast("double")) * F.sqrt(1 / b["size"] + 1 / rest)
+        value = F.abs(inside / b["size"] - (F.col("__total") - inside) / rest) / error
+        return F.struct(F.round(value, 9).alias("s"), (-b["radius"]).alias("r"), (-b["centre"]).alias("c"), b["size"].alias("size"), value.alias("statistic"))
+
+    rows = windows.join(zone_plans, "zone", "left").withColumn("__total", total)
+    best = F.when(F.col("means").isNotNull(), F.array_max(F.transform("balls", score)))
+    rows = rows.withColumn("__best", best).withColumn("detected", F.col("__best.statistic") > F.col("threshold"))
+    hit = lambda c: F.when(F.col("detected"), c)
+    return rows.withColumns({
+        "statistic": F.col("__best.statistic"), "candidates": F.when(F.col("__best").isNotNull(), F.size("balls").cast("long")), "radius": hit(-F.col("__best.r")), "centre": hit(-F.col("__best.c")), "size": hit(F.col("__best.size")),
+    }).drop("__best", "__total", "balls", "sigma", "window")
+
+
 def node_mask(detections: DataFrame, balls: DataFrame, window: int) -> DataFrame:
     """(zone, t, idx): the cells that detections cover, each once."""
     hit = detections.where("detected").join(balls.select("zone", "radius", "centre", "members"), ["zone", "radius", "centre"])

@@ -1032,8 +1032,14 @@ def dt_prepare(s, d):
 
 
 
+def _plans(s, d):
+    """Each zone's balls with one threshold for all."""
+    zones = get(s, d, "balls").select("zone").distinct()
+    return detect.plans(get(s, d, "balls"), zones.select("zone", F.lit(THRESHOLD).alias("threshold"), F.lit(SIGMA).alias("sigma"), F.lit(LENGTH).alias("window")))
+
+
 def _detections(s, d):
-    return detect.detect(get(s, d, "scores"), THRESHOLD)
+    return detect.scan(detect.mean_arrays(get(s, d, "means")), _plans(s, d)).drop("means", "threshold")
 
 
 @query("SELECT zone, bin, detected, round(statistic, 6) AS statistic, candidates, radius, centre, size FROM winners", winners=WINNERS, places=PLACES)

@@ -6,13 +6,13 @@ emit. The stateful stream and the batch replay share it, so both give the same r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.windows import WindowConfig
 
@@ -23,7 +23,7 @@ OUTPUT = "zone string, bin long, status string, reason string, incomplete int, m
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-COUNTERS = ("accepted", "unknown", "future", "late", "superseded")
+COUNTERS = ("accepted", "unknown", "not_finite", "future", "late", "superseded")
 
 
 @dataclass
@@ -41,6 +41,8 @@ def observe(state: ZoneState, device: str, ts_us: int, value: float, now_us: int
     at = ts_us // config.bin_us
     if device not in devices:
         verdict = "unknown"
+    elif value is None or not math.isfinite(value):
+        verdict = "not_finite"
     elif now_us is not None and ts_us - now_us > config.max_future_us:
         verdict = "future"
     elif state.emitted is not None and at <= state.emitted:
@@ -90,6 +92,7 @@ def step(state: ZoneState, zone: str, readings: list[tuple], now_us: int, device
 def replay(readings: DataFrame, devices: DataFrame, clock: DataFrame, config: WindowConfig = WindowConfig()) -> DataFrame:
     """Batch twin: readings (zone, id, device_id, ts_us, value, arrival_us) against an emission schedule (zone, at_us).
 
+    A reading's zone is its device's in ``devices``, whatever the reading says; readings of other devices take no part.
     Devices, readings and ticks of a zone become one line in time (devices first; a reading that arrives at a
     tick comes before it), which a task walks through with the zone's state alone in memory, never its history.
     """
@@ -97,7 +100,7 @@ def replay(readings: DataFrame, devices: DataFrame, clock: DataFrame, config: Wi
     empty = lambda *names: [F.lit(None).cast(none[n]).alias(n) for n in names]
     line = (
         devices.select("zone", F.lit(-(1 << 63)).cast("long").alias("at"), F.lit(0).alias("kind"), *empty("id"), "device_id", *empty("ts_us", "value"))
-        .unionByName(readings.select("zone", F.col("arrival_us").alias("at"), F.lit(1).alias("kind"), "id", "device_id", "ts_us", F.col("value").cast("double").alias("value")))
+        .unionByName(readings.drop("zone").join(devices.select("zone", "device_id"), "device_id").select("zone", F.col("arrival_us").alias("at"), F.lit(1).alias("kind"), "id", "device_id", "ts_us", F.col("value").cast("double").alias("value")))
         .unionByName(clock.select("zone", F.col("at_us").alias("at"), F.lit(2).alias("kind"), *empty("id", "device_id", "ts_us", "value")))
         .where("zone is not null")
     )
@@ -123,62 +126,3 @@ def replay(readings: DataFrame, devices: DataFrame, clock: DataFrame, config: Wi
                 yield pd.DataFrame(out, columns=names)
 
     return line.repartition("zone").sortWithinPartitions("zone", "at", "kind", "id").mapInPandas(walk, OUTPUT)
-
-
-class ZoneWindowProcessor(StatefulProcessor):
-    """``step`` as a stateful operator: cells in a map, emission by processing-time timers, also for silent zones."""
-
-    def __init__(self, devices: dict[str, list[str]], config: WindowConfig = WindowConfig(), interval_ms: int = 3000):
-        self.devices, self.config, self.interval = devices, config, interval_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.cells = handle.getMapState("cells", "bin long, device string", "ts_us long, value double")
-        self.marks = handle.getValueState("marks", "first_bin long, emitted long")
-        self.counts = handle.getValueState("counts", ", ".join(f"{c} long" for c in COUNTERS))
-
-    def _load(self) -> ZoneState:
-        marks = self.marks.get() if self.marks.exists() else (None, None)
-        counts = self.counts.get() if self.counts.exists() else (0,) * len(COUNTERS)
-        cells = {(k[0], k[1]): (v[0], v[1]) for k, v in self.cells.iterator()}
-        return ZoneState(cells, marks[0], marks[1], dict(zip(COUNTERS, counts, strict=True)))
-
-    def _store(self, before: dict, state: ZoneState) -> None:
-        """Only what changed: cells that came, went or got a newer reading."""
-        for key in before.keys() - state.cells.keys():
-            self.cells.removeKey(key)
-        for key, value in state.cells.items():
-            if before.get(key) != value:
-                self.cells.updateValue(key, value)
-        self.marks.update((state.first_bin, state.emitted))
-        self.counts.update(tuple(state.counts[c] for c in COUNTERS))
-
-    def _advance(self, zone: str, readings: list[tuple], now_ms: int) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        before = dict(state.cells)
-        rows = step(state, zone, readings, now_ms * 1000, sorted(self.devices.get(zone, [])), self.config)
-        self._store(before, state)
-        if rows:
-            yield pd.DataFrame(rows)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        found = [x for pdf in rows for x in zip(pdf["device_id"], pdf["ts_us"].astype(int), pdf["value"].astype(float), strict=True)]
-        now = timerValues.getCurrentProcessingTimeInMs()
-        if not list(self.handle.listTimers()):
-            self.handle.registerTimer(now + self.interval)
-        yield from self._advance(key[0], found, now)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentProcessingTimeInMs()
-        self.handle.registerTimer(now + self.interval)
-        yield from self._advance(key[0], [], now)
-
-    def close(self) -> None:
-        return
-
-
-def monitor(stream: DataFrame, devices: dict[str, list[str]], config: WindowConfig = WindowConfig(), interval_ms: int = 3000) -> DataFrame:
-    """The streaming query's rows; the session needs ``spark.sql.streaming.stateStore.providerClass`` = STATE_STORE."""
-    processor = ZoneWindowProcessor(devices, config, interval_ms)
-    keyed = stream.select("zone", "device_id", "ts_us", "value").groupBy("zone")
-    return keyed.transformWithStateInPandas(processor, outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime")
