@@ -89,3 +89,30 @@ def overlaps(detections: DataFrame, events: DataFrame) -> DataFrame:
     d, e = detections.alias("d"), events.alias("e")
     on = (F.col("d.zone") == F.col("e.zone")) & (F.col("d.start") < F.col("e.stop")) & (F.col("d.stop") > F.col("e.start"))
     return d.join(e, on).select(F.col("d.zone").alias("zone"), F.col("d.start").alias("start"), F.col("d.stop").alias("stop"), "e.event")
+
+
+def reachable_contrast(groups: DataFrame, balls: DataFrame) -> DataFrame:
+    """(zone, seed, reach): what the best ball can extract of a shift on a group, in shifts over the effective spread.
+
+    ``groups`` is (zone, seed, idx). Of each ball, the group's share inside less its share outside, over the standard error
+    of the two means; the largest counts.
+    """
+    k = groups.groupBy("zone", "seed").agg(F.count(F.lit(1)).alias("k"))
+    member = balls.select("zone", "radius", "centre", F.explode("members").alias("idx"))
+    hits = groups.join(member, ["zone", "idx"]).groupBy("zone", "seed", "radius", "centre").agg(F.count(F.lit(1)).alias("hit"))
+    size, rest = F.col("size").cast("double"), (F.col("n") - F.col("size")).cast("double")
+    every = balls.select("zone", "radius", "centre", "size", "n").join(k, "zone").join(hits, ["zone", "seed", "radius", "centre"], "left")
+    hit = F.coalesce("hit", F.lit(0))
+    gap = F.abs(hit / size - (F.col("k") - hit) / rest) / F.sqrt(1 / size + 1 / rest)
+    return every.groupBy("zone", "seed").agg(F.max(gap).alias("reach"))
+
+
+def false_alarms(flags: DataFrame, bins_per_hour: int) -> DataFrame:
+    """A zone's false alarms: mean, p95 and most an hour, of windows that fired and of episodes, and the share that fired.
+
+    ``flags`` is (zone, t, fired), t in bins; an hour is ``bins_per_hour`` of them, and an episode starts anew in each.
+    """
+    hour = F.floor(F.col("t") / bins_per_hour).alias("hour")
+    hourly = episodes(flags.select("zone", "t", "fired", hour), "zone", "hour")
+    stats = [f(F.col(c)).alias(f"{c}_{n}") for c in ("fired", "episodes") for n, f in (("mean", F.avg), ("p95", lambda x: F.percentile(x, F.lit(0.95))), ("most", F.max))]
+    return hourly.groupBy("zone").agg(F.count(F.lit(1)).alias("hours"), *stats, (F.sum("fired") / F.sum("windows")).alias("share"))

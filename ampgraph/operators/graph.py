@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InsufficientMeters, InvalidAdjacency, InvalidGraphConfig, ZeroDegreeNode
 from ..functions.geo import project
+from .components import connected_components
 
 
 @dataclass(frozen=True)
@@ -160,32 +161,16 @@ def balls(links: DataFrame, points: DataFrame, radii: tuple[int, ...] = (1, 2))
 
 
 def components(links: DataFrame, points: DataFrame) -> DataFrame:
-    """(zone, idx, component): components numbered from 0 by their lowest node.
+    """(zone, idx, component): components numbered from 0 by their lowest node, of zones of any size.
 
-    Zones are bounded, so each is labelled at once by a grouped function.
+    Nodes without links are components of their own.
     """
-    import pandas as pd
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf["idx"].unique())
-        parent = {i: i for i in ids}
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for a, b in zip(pdf["idx"], pdf["dst"], strict=True):
-            if b >= 0:
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-        roots = sorted({root(i) for i in ids})
-        number = {r: n for n, r in enumerate(roots)}
-        return pd.DataFrame({"zone": pdf["zone"].iloc[0], "idx": ids, "component": [number[root(i)] for i in ids]})
-
-    rows = points.select("zone", "idx").join(links.select("zone", F.col("src").alias("idx"), "dst"), ["zone", "idx"], "left").fillna(-1, ["dst"])
-    return rows.groupBy("zone").applyInPandas(label, "zone string, idx long, component long")
+    node = lambda c: F.struct("zone", F.col(c).cast("long").alias("idx"))
+    found = connected_components(links.select(node("src").alias("a"), node("dst").alias("b"))).select("node.zone", "node.idx", F.col("root.idx").alias("root"))
+    rows = points.select("zone", F.col("idx").cast("long").alias("idx")).join(found, ["zone", "idx"], "left").withColumn("root", F.coalesce("root", "idx"))
+    order = Window.partitionBy("zone").orderBy("root")
+    numbers = rows.select("zone", "root").distinct().withColumn("component", (F.row_number().over(order) - 1).cast("long"))
+    return rows.join(numbers, ["zone", "root"]).select("zone", "idx", "component")
 
 
 def boundary(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -198,8 +183,9 @@ def boundary(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def stats(points: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per zone: meters, undirected edges, degree range and mean, longest edge."""
+    """One row per zone: meters, undirected edges, degree range and mean, longest edge, components, isolated meters."""
     deg = points.join(degrees(links), ["zone", "idx"], "left").fillna(0.0, ["degree"])
     by_zone = deg.groupBy("zone").agg(F.count(F.lit(1)).alias("n_meters"), F.min("degree").alias("degree_min"), F.max("degree").alias("degree_max"), F.avg("degree").alias("degree_mean"))
     lines = links.where("src < dst").groupBy("zone").agg(F.count(F.lit(1)).alias("n_edges"), F.max("dist").alias("longest"))
-    return by_zone.join(lines, "zone", "left").fillna(0, ["n_edges"])
+    parts = components(links, points).groupBy("zone", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("zone").agg(F.count(F.lit(1)).alias("components"), F.count_if(F.col("size") == 1).alias("isolated"))
+    return by_zone.join(lines, "zone", "left").fillna(0, ["n_edges"]).join(parts, "zone")

@@ -107,3 +107,9 @@ def tone(status: Column) -> Column:
 
 def liveness(age: Column, live_s: float = 10, delayed_s: float = 30) -> Column:
     return F.when(age.isNull(), "no reading").when(age < live_s, "live").when(age < delayed_s, "delayed").otherwise("no signal")
+
+
+def shown(number: Column, decimals: int = 3) -> Column:
+    """A number as dashboards show it: points between thousands, a comma before decimals, a dash for none."""
+    text = F.format_number(number, decimals)
+    return F.when(number.isNull() | F.isnan(number), "—").otherwise(F.translate(text, ",.", ".,"))

@@ -327,11 +327,14 @@ def agg_confusion(s, d):
 
 
 @query("""
-SELECT zone, count(*) AS windows, count(*) FILTER (WHERE fired) AS fired, count(*) FILTER (WHERE fired AND NOT before) AS episodes
-FROM (SELECT *, coalesce(lag(fired) OVER (PARTITION BY zone ORDER BY t), FALSE) AS before FROM (SELECT zone, bin AS t, avg(value) > 50 AS fired FROM cells GROUP BY zone, bin)) GROUP BY zone""")
+SELECT zone, count(*) AS hours, round(avg(fired), 6) AS fired_mean, round(quantile_cont(fired, 0.95), 6) AS fired_p95, max(fired) AS fired_most, round(avg(episodes), 6) AS episodes_mean,
+  round(quantile_cont(episodes, 0.95), 6) AS episodes_p95, max(episodes) AS episodes_most, round(sum(fired) / sum(windows), 6) AS share
+FROM (SELECT zone, hour, count(*) AS windows, count(*) FILTER (WHERE fired) AS fired, count(*) FILTER (WHERE fired AND NOT before) AS episodes
+  FROM (SELECT *, coalesce(lag(fired) OVER (PARTITION BY zone, hour ORDER BY t), FALSE) AS before FROM (SELECT zone, bin AS t, bin // 4 AS hour, avg(value) > 50 AS fired FROM cells GROUP BY zone, bin)) GROUP BY zone, hour) GROUP BY zone""")
 def agg_false_alarm_rate(s, d):
+    """An "hour" of four bins, as the tables' bins are days long."""
     flags = get(s, d, "cells").groupBy("zone", F.col("bin").alias("t")).agg((F.avg("value") > 50).alias("fired"))
-    return evaluate.episodes(flags, "zone")
+    return r6(evaluate.false_alarms(flags, 4), "fired_mean", "fired_p95", "episodes_mean", "episodes_p95", "share")
 
 
 @query("SELECT zone, count(*) FILTER (WHERE status = 'ventana') / count(*) AS fraction FROM statuses WHERE reason IS NULL OR reason <> 'calentamiento' GROUP BY zone", statuses=STATUS)
@@ -439,10 +442,22 @@ def sc_clock(s, d):
     return get(s, d, "telemetry").select("id", F.date_format(F.timestamp_micros("ts_us"), "HH:mm:ss").alias("clock"))
 
 
-@query("SELECT id, coalesce(format('{:.3f}', energy), '—') AS shown FROM telemetry WHERE energy < 1000 OR energy IS NULL")
+@query("""
+SELECT id, CASE WHEN shown IS NULL THEN '—' ELSE regexp_replace(regexp_replace(split_part(shown, '.', 1), '([0-9])([0-9]{3})$', '\\1.\\2'), '([0-9])([0-9]{3})([.]|$)', '\\1.\\2\\3') || ',' || split_part(shown, '.', 2) END AS shown
+FROM (SELECT id, format('{:.3f}', energy * 1000) AS shown FROM telemetry)""")
 def sc_number(s, d):
-    rows = get(s, d, "telemetry").where("energy < 1000 OR energy IS NULL")
-    return rows.select("id", F.when(F.col("energy").isNull() | F.isnan("energy"), "—").otherwise(F.format_string("%.3f", "energy")).alias("shown"))
+    """Three decimals, thousands by points and decimals by a comma; a dash for none."""
+    return get(s, d, "telemetry").select("id", registry.shown(F.col("energy") * 1000, 3).alias("shown"))
+
+
+@query("""
+SELECT id, CASE WHEN (h % 2 = 1 AND r > 4) OR (h % 2 = 0 AND r > 5) OR (r = 5 AND h % 2 = 1) THEN (h + 1) / 10e0 ELSE h / 10e0 END AS v1, CASE WHEN q % 10 > 5 OR (q % 10 = 5 AND (q // 10) % 2 = 1) THEN q // 10 + 1 ELSE q // 10 END AS p0
+FROM (SELECT id, c // 10 AS h, c % 10 AS r, q FROM (SELECT id, round(voltage * 100)::BIGINT AS c, round(power * 10)::BIGINT AS q FROM telemetry))""")
+def sc_round(s, d):
+    """Half goes to the even neighbour, ties included: hundredths to tenths, and tenths to units."""
+    t = get(s, d, "telemetry")
+    cents, tenths = F.round(F.col("voltage") * 100).cast("decimal(12,0)"), F.round(F.col("power") * 10).cast("decimal(12,0)")
+    return t.select("id", F.bround((cents / 100).cast("decimal(14,2)"), 1).cast("double").alias("v1"), F.bround((tenths / 10).cast("decimal(14,1)"), 0).cast("long").alias("p0"))
 
 
 @query()
@@ -508,9 +523,11 @@ def gr_load(s, d):
 
 
 @query("""
-SELECT zone, n_meters, degree_min, degree_max, round(degree_mean, 6) AS degree_mean, n_edges, round(longest, 6) AS longest
+WITH RECURSIVE reach(zone, idx, root) AS (SELECT zone, idx, idx FROM points UNION SELECT r.zone, e.dst, r.root FROM reach r JOIN edges e ON e.zone = r.zone AND e.src = r.idx)
+SELECT zone, n_meters, degree_min, degree_max, round(degree_mean, 6) AS degree_mean, n_edges, round(longest, 6) AS longest, components, isolated
 FROM (SELECT zone, count(*) AS n_meters, min(degree) AS degree_min, max(degree) AS degree_max, avg(degree) AS degree_mean FROM degrees GROUP BY zone)
-JOIN (SELECT zone, count(*) AS n_edges, max(dist) AS longest FROM edges WHERE src < dst GROUP BY zone) USING (zone)""")
+JOIN (SELECT zone, count(*) AS n_edges, max(dist) AS longest FROM edges WHERE src < dst GROUP BY zone) USING (zone)
+JOIN (SELECT zone, count(DISTINCT root) AS components, count(*) FILTER (WHERE alone) AS isolated FROM (SELECT zone, idx, min(root) AS root, count(*) = 1 AS alone FROM reach GROUP BY zone, idx) GROUP BY zone) USING (zone)""")
 def gr_stats(s, d):
     return r6(graph.stats(get(s, d, "points"), get(s, d, "edges")), "degree_mean", "longest")
 
@@ -590,42 +607,43 @@ def gr_subgraph(s, d):
 
 
 SWEEP = """
-WITH RECURSIVE reach(zone, p, idx, root) AS (SELECT zone, p, idx, idx FROM points, (SELECT DISTINCT p FROM {lines}) UNION SELECT r.zone, r.p, e.dst, r.root FROM reach r JOIN {lines} e ON e.zone = r.zone AND e.p = r.p AND e.src = r.idx)
-SELECT zone, p, edges, components, isolated, components = 1 AS connected FROM (SELECT zone, p, count(DISTINCT root) AS components, count(*) FILTER (WHERE alone) AS isolated FROM (
+WITH RECURSIVE reach(zone, p, idx, root) AS (SELECT zone, p, idx, idx FROM points, (VALUES {ps}) AS g(p) UNION SELECT r.zone, r.p, e.dst, r.root FROM reach r JOIN {lines} e ON e.zone = r.zone AND e.p = r.p AND e.src = r.idx)
+SELECT zone, p, coalesce(edges, 0) AS edges, components, isolated, components = 1 AS connected FROM (SELECT zone, p, count(DISTINCT root) AS components, count(*) FILTER (WHERE alone) AS isolated FROM (
   SELECT r.zone, r.p, r.idx, min(root) AS root, count(DISTINCT root) = 1 AS alone FROM reach r GROUP BY r.zone, r.p, r.idx) GROUP BY zone, p)
-JOIN (SELECT zone, p, count(*) // 2 AS edges FROM {lines} GROUP BY zone, p) USING (zone, p)"""
+LEFT JOIN (SELECT zone, p, count(*) // 2 AS edges FROM {lines} GROUP BY zone, p) USING (zone, p)"""
 K_LINES = "SELECT DISTINCT zone, k AS p, src, dst FROM (SELECT zone, k, src, dst FROM ranked, (VALUES (2), (3), (5)) AS g(k) WHERE r <= k UNION ALL SELECT zone, k, dst, src FROM ranked, (VALUES (2), (3), (5)) AS g(k) WHERE r <= k)"
-R_LINES = "SELECT zone, r AS p, src, dst FROM pairs, (VALUES (1200), (2400), (4800)) AS g(r) WHERE dist <= r"
+R_LINES = "SELECT zone, r AS p, src, dst FROM pairs, (VALUES (5), (1200), (2400), (4800)) AS g(r) WHERE dist <= r"
 
 
-def _sweep(s, d, lines):
-    """(zone, p, edges, components, isolated, connected) of the graphs (zone, p, src, dst); connected by the Fiedler value."""
+def _sweep(s, d, lines, values):
+    """(zone, p, edges, components, isolated, connected) of the graphs (zone, p, src, dst), zones without edges included; connected by the Fiedler value."""
     name = F.concat_ws("#", "zone", "p").alias("zone")
     graphs = lines.select(name, "src", "dst", F.lit(0.0).alias("dist"), F.lit(1.0).alias("weight"))
-    points = get(s, d, "points").crossJoin(F.broadcast(lines.select("p").distinct())).select(name, "idx")
+    points = get(s, d, "points").withColumn("p", F.explode(F.array(*map(F.lit, values)))).select(name, "idx")
     parts = graph.components(graphs, points).groupBy("zone").agg(F.count_distinct("component").alias("components"), F.count(F.lit(1)).alias("n"))
     alone = graph.isolated(points, graphs).groupBy("zone").agg(F.count(F.lit(1)).alias("isolated"))
     edges = graphs.groupBy("zone").agg((F.count(F.lit(1)) / 2).cast("long").alias("edges"))
     fiedler = spectral.spectrum_report(graphs).select("zone", "zeros", "fiedler")
-    rows = parts.join(edges, "zone").join(fiedler, "zone").join(alone, "zone", "left").fillna(0, ["isolated"])
+    rows = parts.join(edges, "zone", "left").join(fiedler, "zone", "left").join(alone, "zone", "left").fillna(0, ["isolated", "edges", "zeros"]).fillna(0.0, ["fiedler"])
     key = F.split("zone", "#")
     # a node without edges after the last one with some is beyond the spectrum's matrix, so it is counted here
     one = (F.col("zeros") == 1) & (F.col("fiedler") > 0) & (F.col("isolated") == 0)
     return rows.select(key[0].alias("zone"), key[1].cast("int").alias("p"), "edges", "components", "isolated", one.alias("connected"))
 
 
-@query(SWEEP.format(lines="k_lines"), k_lines=K_LINES, ranked="SELECT *, row_number() OVER (PARTITION BY zone, src ORDER BY round(dist, 9), dst) AS r FROM pairs")
+@query(SWEEP.format(lines="k_lines", ps="(2), (3), (5)"), k_lines=K_LINES, ranked="SELECT *, row_number() OVER (PARTITION BY zone, src ORDER BY round(dist, 9), dst) AS r FROM pairs")
 def gr_k_sweep(s, d):
     order = Window.partitionBy("zone", "src").orderBy(F.round("dist", 9), "dst")
     ranked = get(s, d, "pairs").withColumn("r", F.row_number().over(order)).where("r <= 5").withColumn("p", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5)))).where("r <= p")
     both = ranked.select("zone", "p", "src", "dst").union(ranked.select("zone", "p", "dst", "src")).distinct()
-    return _sweep(s, d, both)
+    return _sweep(s, d, both, (2, 3, 5))
 
 
-@query(SWEEP.format(lines="r_lines"), r_lines=R_LINES)
+@query(SWEEP.format(lines="r_lines", ps="(5), (1200), (2400), (4800)"), r_lines=R_LINES)
 def gr_r_sweep(s, d):
-    rows = graph.near_pairs(get(s, d, "points"), 4800.0).withColumn("p", F.explode(F.array(F.lit(1200), F.lit(2400), F.lit(4800))))
-    return _sweep(s, d, rows.where(F.col("dist") <= F.col("p")).select("zone", "p", "src", "dst"))
+    values = (5, 1200, 2400, 4800)
+    rows = graph.near_pairs(get(s, d, "points"), 4800.0).withColumn("p", F.explode(F.array(*map(F.lit, values))))
+    return _sweep(s, d, rows.where(F.col("dist") <= F.col("p")).select("zone", "p", "src", "dst"), values)
 
 
 GLOBAL = """
@@ -652,12 +670,25 @@ def gr_toy(s, d):
     return both.groupBy(F.col("src").alias("idx")).agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query("SELECT zone, count(*) AS edges, round(sum(dist), 4) AS length FROM edges WHERE src < dst GROUP BY zone")
+TURN = "SELECT zone, idx, row_number() OVER (PARTITION BY zone ORDER BY md5('11|' || zone || '|' || idx), idx) - 1 AS turned FROM points"
+
+
+def _turned(s, d):
+    """(zone, idx, turned): a permutation of each zone's nodes, in the order of a draw."""
+    order = Window.partitionBy("zone").orderBy(inject.drawn(11, "zone", "idx"), "idx")
+    return get(s, d, "points").select("zone", "idx", (F.row_number().over(order) - 1).cast("long").alias("turned"))
+
+
+def _renamed(rows, turn, *columns):
+    """``rows`` with the nodes in ``columns`` renamed."""
+    for c in columns:
+        rows = rows.withColumnRenamed(c, "__old").join(turn.select("zone", F.col("idx").alias("__old"), F.col("turned").alias(c)), ["zone", "__old"]).drop("__old")
+    return rows
+
+
+@query("SELECT e.zone, a.turned AS src, b.turned AS dst, round(dist, 6) AS dist FROM edges e JOIN turn a ON a.zone = e.zone AND a.idx = e.src JOIN turn b ON b.zone = e.zone AND b.idx = e.dst", turn=TURN)
 def gr_permute(s, d):
-    p = get(s, d, "points")
-    n = p.groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
-    turned = get(s, d, "edges").join(n, "zone").select("zone", ((F.col("src") * 7 + 3) % F.col("n")).alias("src"), ((F.col("dst") * 7 + 3) % F.col("n")).alias("dst"), "dist")
-    return turned.where("src < dst").groupBy("zone").agg(F.count(F.lit(1)).alias("edges"), F.round(F.sum("dist"), 4).alias("length"))
+    return r6(_renamed(get(s, d, "edges"), _turned(s, d), "src", "dst").select("zone", "src", "dst", "dist"), "dist")
 
 
 @query()
@@ -912,15 +943,12 @@ def sp_sign_compare(s, d):
     return out
 
 
-@query()
+@query("SELECT DISTINCT zone, TRUE AS same FROM whole", whole=WHOLE)
 def sp_permutation_check(s, d):
-    e, x = get(s, d, "edges"), _whole(s, d)
-    n = get(s, d, "points").groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
-    turn = lambda c: ((F.col(c) * 7 + 3) % F.col("n")).alias(c)
-    e2 = e.join(n, "zone").select("zone", turn("src"), turn("dst"), "weight")
-    x2 = x.join(n, "zone").select("zone", "t", turn("idx"), "value")
-    a = spectral.diffuse(e, x).join(n, "zone").select("zone", "t", turn("idx"), F.col("value").alias("u"))
-    both = a.join(spectral.diffuse(e2, x2), ["zone", "t", "idx"])
+    """Diffusion commutes with a renaming of nodes."""
+    e, x, turn = get(s, d, "edges"), _whole(s, d), _turned(s, d)
+    a = _renamed(spectral.diffuse(e, x), turn, "idx").withColumnRenamed("value", "u")
+    both = a.join(spectral.diffuse(_renamed(e, turn, "src", "dst"), _renamed(x, turn, "idx")), ["zone", "t", "idx"])
     return both.groupBy("zone").agg((F.max(F.abs(F.col("u") - F.col("value"))) < 1e-6).alias("same"))
 
 
@@ -1273,13 +1301,14 @@ def el_spearman(s, d):
     return r6(evaluate.spearman(rows, "v", "p", "device_id"), "spearman")
 
 
-@query("SELECT zone, radius, centre, abs(hit / size - (k - hit) / (n - size)) AS reach FROM (SELECT b.zone, b.radius, b.centre, b.size, b.n, count(g.idx) AS hit FROM ball_members b LEFT JOIN groups g ON g.zone = b.zone AND g.idx = b.idx GROUP BY ALL) JOIN (SELECT zone, count(*) AS k FROM groups GROUP BY zone) USING (zone)".replace("abs(", "round(abs(").replace(" AS reach", ", 6) AS reach"), **EV)
+@query("""
+WITH RECURSIVE inside AS (SELECT b.zone, b.radius, b.centre, g.seed, any_value(b.size) AS m, any_value(b.n) AS n, count(*) FILTER (WHERE b.idx = g.idx) AS hit, count(DISTINCT g.idx) AS k
+  FROM ball_members b JOIN (SELECT zone, centre AS seed, idx FROM ball1) g ON g.zone = b.zone GROUP BY b.zone, b.radius, b.centre, g.seed)
+SELECT zone, seed, round(max(abs(hit / m - (k - hit) / (n - m)) / sqrt(1e0 / m + 1e0 / (n - m))), 6) AS reach FROM inside GROUP BY zone, seed""")
 def el_reachable_contrast(s, d):
-    group = _event(s, d)[2].select("zone", "idx", F.lit(1).alias("in"))
-    k = group.groupBy("zone").agg(F.count(F.lit(1)).alias("k"))
-    rows = get(s, d, "ball_members").join(group, ["zone", "idx"], "left").groupBy("zone", "radius", "centre", "size", "n").agg(F.count("in").alias("hit")).join(k, "zone")
-    reach = F.abs(F.col("hit") / F.col("size") - (F.col("k") - F.col("hit")) / (F.col("n") - F.col("size")))
-    return rows.select("zone", "radius", "centre", F.round(reach, 6).alias("reach"))
+    """The largest contrast that any ball can extract from the group around each meter, in units of shift over effective spread."""
+    groups = graph.k_hop(get(s, d, "edges"), get(s, d, "points"), 1).withColumnRenamed("centre", "seed")
+    return r6(evaluate.reachable_contrast(groups, get(s, d, "balls")), "reach")
 
 
 @query("SELECT zone, centre, idx, 1.5e0 * CASE WHEN device_id LIKE 'dev-tri%' THEN 20e0 ELSE 10e0 END AS delta FROM ball1 JOIN points USING (zone, idx)")

@@ -75,7 +75,6 @@ SHARED = {
     "set_unknown_zones": "SELECT zone FROM (SELECT 'z000000' AS zone UNION ALL SELECT 'nowhere' UNION ALL SELECT 'z999999') w EXCEPT SELECT zone FROM {meters}",
     # --- scalar functions ---
     "sc_clamp": "SELECT id, greatest(210e0, least(230e0, voltage)) AS voltage FROM {telemetry}",
-    "sc_round": "SELECT id, round(voltage, 1) AS v1, round(power, 0) AS p0 FROM {telemetry} WHERE CAST(round(voltage * 100) AS BIGINT) % 10 <> 5 AND CAST(round(power * 100) AS BIGINT) % 100 <> 50",
     "sc_relative_spread": "SELECT device_type, round(stddev_samp(voltage) / avg(voltage), 9) AS spread FROM {telemetry} GROUP BY device_type",
     "sc_zscore": "SELECT zone, idx, t, round(abs(value - avg(value) OVER w) / CASE WHEN stddev_pop(value) OVER w < 1e-12 THEN 1e0 ELSE stddev_pop(value) OVER w END, 6) AS z FROM {signal} WINDOW w AS (PARTITION BY zone, t)",
     "sc_mad_threshold": "SELECT s.zone, round(max(m) + 3 * percentile_cont(0.5) WITHIN GROUP (ORDER BY abs(s.value - m)), 6) AS cut FROM {signal} s JOIN (SELECT zone, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) AS m FROM {signal} GROUP BY zone) q ON s.zone = q.zone GROUP BY s.zone",

@@ -130,15 +130,6 @@ def test_the_guard_survives_an_unreadable_registry(spark):
     assert seen == [7]
 
 
-def test_registry_versions(spark, tmp_path):
-    write = sinks.ingest_batch(str(tmp_path / "t"), str(tmp_path / "r"))
-    schema = "id long, device_id string, device_type string, zone string, node string, arrival_us long"
-    write(spark.createDataFrame([(1, "d", "mono", "a", None, 5)], schema), 0)
-    write(spark.createDataFrame([(2, "d", None, "b", "n1", 9)], schema), 4)  # numbers in between may be missing
-    row = spark.read.parquet(str(tmp_path / "r/version=4")).first()
-    assert (row.device_type, row.zone, row.node, row.last_seen_us) == ("mono", "b", "n1", 9)
-
-
 def test_rest_reads(spark, tmp_path):
     import functools
     import http.server
