@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DetectorError
+from . import spectral
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,16 @@ def contrasts(means: DataFrame, balls: DataFrame, sigma: float, window: int) ->
     return rows.select("zone", "bin", "radius", "centre", "size", (gap / error).alias("statistic"))
 
 
+def prepare(means: DataFrame, links: DataFrame, tau: float | None = None, project: bool = False) -> DataFrame:
+    """(zone, bin, idx, mean): windows' means after diffusion and without their part in the kernel, each where it is asked for."""
+    x = means.select("zone", F.col("bin").alias("t"), "idx", F.col("mean").alias("value"))
+    if tau is not None:
+        x = spectral.diffuse(links, x, tau)
+    if project:
+        x = spectral.project_kernel(x, links)
+    return x.select("zone", F.col("t").alias("bin"), "idx", F.col("value").alias("mean"))
+
+
 def ranking(scored: DataFrame) -> DataFrame:
     """``scored`` with its place in each window: strongest first, ties to the smaller radius, then centre."""
     order = Window.partitionBy("zone", "bin").orderBy(F.desc(F.round("statistic", 9)), "radius", "centre")

@@ -116,3 +116,36 @@ def false_alarms(flags: DataFrame, bins_per_hour: int) -> DataFrame:
     hourly = episodes(flags.select("zone", "t", "fired", hour), "zone", "hour")
     stats = [f(F.col(c)).alias(f"{c}_{n}") for c in ("fired", "episodes") for n, f in (("mean", F.avg), ("p95", lambda x: F.percentile(x, F.lit(0.95))), ("most", F.max))]
     return hourly.groupBy("zone").agg(F.count(F.lit(1)).alias("hours"), *stats, (F.sum("fired") / F.sum("windows")).alias("share"))
+
+
+def knees(curve: DataFrame) -> DataFrame:
+    """(lower, upper) of a curve (x, dispersion, retained): the first x at which zones agree to within 1.5, the last that keeps half at most."""
+    return curve.agg(F.min(F.when(F.col("dispersion") <= 1.5, F.col("x"))).alias("lower"), F.max(F.when(F.col("retained") <= 0.5, F.col("x"))).alias("upper"))
+
+
+def flattening(rates: DataFrame, gain: float = 0.05) -> DataFrame:
+    """(cut, flat): the first length whose next one, at most twice as long, gains less than ``gain`` in ``scan``; null if none does."""
+    line = Window.partitionBy("cut").orderBy("length")
+    step = rates.select("cut", "length", F.lead("length").over(line).alias("then"), (F.lead("scan").over(line) - F.col("scan")).alias("more"))
+    flat = (F.col("then") <= 2 * F.col("length")) & (F.col("more") < gain)
+    return step.groupBy("cut").agg(F.min(F.when(flat, F.col("length"))).alias("flat"))
+
+
+def criteria(rates: DataFrame, power: float = 0.8, factor: float = 2.0, difference: float = 0.2) -> DataFrame:
+    """(cut, length, ratio, difference, wins): the least (cut, length) at which ``scan`` reaches the power, and whether it beats ``meter`` there.
+
+    It wins with at least ``factor`` times the rate and ``difference`` more. No row if no setting has the power.
+    """
+    first = rates.where(F.col("scan") >= power).orderBy("cut", "length").limit(1)
+    ratio, more = F.when(F.col("meter") > 0, F.col("scan") / F.col("meter")).otherwise(float("inf")), F.col("scan") - F.col("meter")
+    return first.select("cut", "length", ratio.alias("ratio"), more.alias("difference"), ((ratio >= factor) & (more >= difference)).alias("wins"))
+
+
+def pick_window(rates: DataFrame, floor: float = 0.5) -> DataFrame:
+    """(cut, by_advantage, by_detection, differ): the best length of each cut, of those that detect ``floor`` at least, and of all.
+
+    Ties go to the shorter one; by_advantage is null where no length reaches the floor.
+    """
+    advantage = F.when(F.col("scan") >= floor, F.struct((F.col("scan") - F.col("meter")).alias("gain"), (-F.col("length")).alias("l")))
+    best = rates.groupBy("cut").agg((-F.max(advantage)["l"]).alias("by_advantage"), (-F.max(F.struct("scan", (-F.col("length")).alias("l")))["l"]).alias("by_detection"))
+    return best.withColumn("differ", ~F.col("by_advantage").eqNullSafe(F.col("by_detection")))

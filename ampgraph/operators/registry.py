@@ -113,3 +113,34 @@ def shown(number: Column, decimals: int = 3) -> Column:
     """A number as dashboards show it: points between thousands, a comma before decimals, a dash for none."""
     text = F.format_number(number, decimals)
     return F.when(number.isNull() | F.isnan(number), "—").otherwise(F.translate(text, ",.", ".,"))
+
+
+def health(db: Column, broker: Column, failed: Column) -> Column:
+    """What a dashboard shows: down if the request failed, unknown before the first answer, else ok only if both parts are."""
+    return F.when(failed, "down").when(db.isNull() | broker.isNull(), "unknown").when(db & broker, "ok").otherwise("down")
+
+
+def health_of_server(db: Column, broker: Column) -> Column:
+    """What the server says of itself: ok only if the database answers and the broker is connected."""
+    return F.when(F.coalesce(db & broker, F.lit(False)), "ok").otherwise("degraded")
+
+
+def labelled_zones(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with a ``label``: the zone's in ``labels`` (zone, label), or the zone itself."""
+    return rows.join(labels.select("zone", F.col("label").alias("__label")), "zone", "left").withColumn("label", F.coalesce("__label", "zone")).drop("__label")
+
+
+def zone_pairs(meters: DataFrame) -> DataFrame:
+    """(za, zb, centroids, nearest) of every pair of zones: the distance of their centroids, and of their closest meters.
+
+    ``meters`` has zone, x and y in one frame. The answer has a row for each pair of zones, so it is for audits of a registry.
+    """
+    places = meters.select("zone", "x", "y")
+    centre = places.groupBy("zone").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+    def met(rows):
+        a, b = rows.alias("a"), rows.alias("b")
+        dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
+        return a.join(b, F.col("a.zone") < F.col("b.zone")).select(F.col("a.zone").alias("za"), F.col("b.zone").alias("zb"), F.sqrt(dx * dx + dy * dy).alias("dist"))
+
+    return met(centre).withColumnRenamed("dist", "centroids").join(met(places).groupBy("za", "zb").agg(F.min("dist").alias("nearest")), ["za", "zb"])

@@ -225,16 +225,37 @@ def band_energy(links: DataFrame, signal: DataFrame, ratio: float = 0.5) -> Data
     return with_signal(links, signal, kernel, "t long, low double, high double, total double, high_fraction double, mode_zero double, high_without_mean double, rayleigh double")
 
 
-def tau_sweep(links: DataFrame, signal: DataFrame, taus: tuple[float, ...]) -> DataFrame:
-    """(zone, tau, retained): the share of Dirichlet energy that diffusion leaves, summed over instants."""
+def tau_sweep(links: DataFrame, signal: DataFrame, taus: tuple[float, ...], ratio: float = 0.5) -> DataFrame:
+    """(zone, tau, retained, high_retained, low_retained): shares of Dirichlet, high-band and low-band energy that diffusion leaves."""
 
     def kernel(a, t, x):
         values, u = eigh(normalised(a))
-        e = (x @ u) ** 2
-        return pd.DataFrame({"tau": taus, "before": float((e * values).sum()), "after": [float((e * low_pass(values, s) ** 2 * values).sum()) for s in taus]})
+        e, cut = ((x @ u) ** 2).sum(0), band_cut(values, ratio)
+        g = [low_pass(values, s) ** 2 for s in taus]
+        parts = {"d": e * values, "h": e * (np.arange(len(e)) >= cut), "l": e * (np.arange(len(e)) < cut)}
+        return pd.DataFrame({"tau": taus} | {f"{k}_before": float(v.sum()) for k, v in parts.items()} | {f"{k}_after": [float((v * f).sum()) for f in g] for k, v in parts.items()})
+
+    names = [f"{k}_{when}" for k in "dhl" for when in ("before", "after")]
+    parts = with_signal(links, signal, kernel, "tau double, d_before double, h_before double, l_before double, d_after double, h_after double, l_after double")
+    sums = parts.groupBy("zone", "tau").agg(*(F.sum(n).alias(n) for n in names))
+    share = lambda k: F.when(F.col(f"{k}_before") > 0, F.col(f"{k}_after") / F.col(f"{k}_before")).otherwise(0.0)
+    return sums.select("zone", "tau", share("d").alias("retained"), share("h").alias("high_retained"), share("l").alias("low_retained"))
+
 
-    parts = with_signal(links, signal, kernel, "tau double, before double, after double").groupBy("zone", "tau").agg(F.sum("before").alias("b"), F.sum("after").alias("a"))
-    return parts.select("zone", "tau", F.when(F.col("b") > 0, F.col("a") / F.col("b")).otherwise(0.0).alias("retained"))
+def limits(links: DataFrame, signal: DataFrame, small: float = 1e-3, large: float = 1e3) -> DataFrame:
+    """(zone, to_kernel, to_identity, error): of each zone's instants the least cosine of the filter's result with sqrt(degree) at a
+    small tau, with the signal at a large one, and the largest relative error there."""
+
+    def kernel(a, t, x):
+        values, u = eigh(normalised(a))
+        low, high = ((x @ u * low_pass(values, s)) @ u.T for s in (small, large))
+        d, norm = np.sqrt(a.sum(1)), lambda y: np.linalg.norm(y, axis=-1)
+        cos = np.abs(low @ d) / np.maximum(norm(low) * norm(d), 1e-300)
+        same = (high * x).sum(1) / np.maximum(norm(high) * norm(x), 1e-300)
+        return pd.DataFrame({"cos": [cos.min()], "same": [same.min()], "error": [(norm(high - x) / np.maximum(norm(x), 1e-300)).max()]})
+
+    rows = with_signal(links, signal, kernel, "cos double, same double, error double")
+    return rows.groupBy("zone").agg(F.min("cos").alias("to_kernel"), F.min("same").alias("to_identity"), F.max("error").alias("error"))
 
 
 def top_mode_score(links: DataFrame, signal: DataFrame, modes: int = 3) -> DataFrame:

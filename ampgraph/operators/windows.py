@@ -78,6 +78,58 @@ def completeness(cell_rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return grid.join(seen, ["zone", "bin"], "left").join(sizes, "zone").select("zone", "bin", F.coalesce("present", F.lit(0)).alias("present"), "n", (F.coalesce("present", F.lit(0)) == F.col("n")).alias("complete"))
 
 
+def completeness_report(readings: DataFrame, sizes: DataFrame, widths_us: list[int], length: int) -> DataFrame:
+    """A row for each width and zone: how whole its bins and windows of ``length`` bins are.
+
+    Bins without a reading count as empty. The first and the last bin are cut by the horizon and left out, where there
+    are more than two. Columns: n, bins, full_bins, empty_bins, partial_bins, bin_share, window_share (of all windows in the range), missing
+    meters of partial bins (p50, p95, most), cells, multiple_cells, multiple_share, most_readings, readings. Readings of zones
+    that ``sizes`` (zone, n) doesn't have are left out.
+    """
+    width = F.explode(F.array(*(F.lit(w).cast("long") for w in widths_us)))
+    rows = readings.select("zone", "device_id", "ts_us", width.alias("width"))
+    cell = rows.groupBy("width", "zone", "device_id", F.floor(F.col("ts_us") / F.col("width")).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    bins = cell.groupBy("width", "zone", "bin").agg(F.count(F.lit(1)).alias("present"), F.sum("k").alias("readings"), F.count_if(F.col("k") > 1).alias("multiple"), F.max("k").alias("most"))
+    totals = bins.groupBy("width", "zone").agg(F.min("bin").alias("lo"), F.max("bin").alias("hi"), F.sum("present").alias("cells"), F.sum("multiple").alias("multiple_cells"), F.max("most").alias("most_readings"), F.sum("readings").alias("readings"))
+    totals = totals.join(sizes, "zone").withColumn("inner", (F.col("hi") - F.col("lo") > 1).cast("long"))
+    grid = totals.select("width", "zone", "n", "lo", "hi", "inner", F.explode(F.sequence(F.col("lo") + F.col("inner"), F.col("hi") - F.col("inner"))).alias("bin"))
+    series = grid.join(bins.select("width", "zone", "bin", "present"), ["width", "zone", "bin"], "left").fillna(0, ["present"])
+    line = Window.partitionBy("width", "zone").orderBy("bin").rangeBetween(-(length - 1), 0)
+    full = F.col("present") == F.col("n")
+    series = series.withColumns({"full": full, "run": F.sum(full.cast("long")).over(line), "whole": F.col("bin") - (F.col("lo") + F.col("inner")) >= length - 1})
+    partial = (F.col("present") > 0) & ~F.col("full")
+    lacking = F.when(partial, F.col("n") - F.col("present"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    stats = series.groupBy("width", "zone").agg(
+        F.count(F.lit(1)).alias("bins"), F.count_if("full").alias("full_bins"), F.count_if(F.col("present") == 0).alias("empty_bins"), F.count_if(partial).alias("partial_bins"), F.avg(F.col("full").cast("double")).alias("bin_share"),
+        share(F.count_if(F.col("whole") & (F.col("run") == length)), F.count_if("whole")).alias("window_share"), F.coalesce(F.percentile(lacking, F.lit(0.5)), F.lit(0.0)).alias("missing_p50"),
+        F.coalesce(F.percentile(lacking, F.lit(0.95)), F.lit(0.0)).alias("missing_p95"), F.coalesce(F.max(lacking), F.lit(0)).alias("missing_most"),
+    )
+    kept = totals.select("width", "zone", "n", "cells", "multiple_cells", share(F.col("multiple_cells"), F.col("cells")).alias("multiple_share"), "most_readings", "readings")
+    return stats.join(kept, ["width", "zone"])
+
+
+def choose_width(report: DataFrame, length: int, target: float = 0.95) -> DataFrame:
+    """(width, rule, worst, window_us, limiting_zone): the least width whose worst zone reaches the target (rule "target").
+
+    If there is none, the width whose worst zone is best, the lesser on ties (rule "best"). The limiting zone is that of the least
+    share, the first by name on ties. One row, or none for an empty report.
+    """
+    worst = report.groupBy("width").agg(F.min("window_share").alias("worst"), F.min(F.struct("window_share", "zone")).alias("w"))
+    meets = F.col("worst") >= target
+    first = worst.withColumn("rule", F.when(meets, "target").otherwise("best")).orderBy(F.desc(meets), F.when(meets, F.col("width")).otherwise(0), F.when(meets, 0.0).otherwise(-F.col("worst")), "width").limit(1)
+    return first.select("width", "rule", "worst", (F.col("width") * length).alias("window_us"), F.col("w.zone").alias("limiting_zone"))
+
+
+def check_fit(frozen: DataFrame, live: DataFrame) -> DataFrame:
+    """(zone, threshold_window, bin_window, fits): a threshold holds only for windows of the bins that it was frozen for.
+
+    ``frozen`` is (zone, window), ``live`` (zone, length); a zone without a threshold doesn't fit.
+    """
+    both = live.join(frozen, "zone", "left")
+    return both.select("zone", F.col("window").alias("threshold_window"), F.col("length").alias("bin_window"), F.coalesce(F.col("window") == F.col("length"), F.lit(False)).alias("fits"))
+
+
 def zone_sizes(meters: DataFrame) -> DataFrame:
     return meters.groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
 

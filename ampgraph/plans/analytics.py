@@ -116,16 +116,6 @@ def st_incomplete_reason(s, d):
     return _status(s, d)
 
 
-@query("SELECT status, count(*) AS n FROM statuses GROUP BY status", statuses=STATUS)
-def st_run_cycle(s, d):
-    return _status(s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT bin, status, incomplete::BIGINT AS incomplete FROM statuses WHERE zone = 'z000000'", statuses=STATUS)
-def st_run_zone(s, d):
-    return _status(s, d).where("zone = 'z000000'").select("bin", "status", "incomplete")
-
-
 @query("SELECT zone, count(*) FILTER (WHERE status = 'ventana') AS windows, count(*) FILTER (WHERE status = 'sin_datos') AS missing FROM statuses GROUP BY zone", statuses=STATUS)
 def st_zone_result(s, d):
     return _status(s, d).groupBy("zone").agg(F.count_if(F.col("status") == "ventana").alias("windows"), F.count_if(F.col("status") == "sin_datos").alias("missing"))
@@ -145,14 +135,15 @@ def snk_encode(s, d):
     return sinks.encode(sinks.dispatch(_status(s, d), "net"), "topic")
 
 
-_PROVENANCE = ("magnitude", "topology", "profile", "fingerprint", "threshold_source")
+def _payload_parts(s, d):
+    """What bodies are made of: means, the ranking, detections and each zone's provenance."""
+    origin = inject.fingerprints(get(s, d, "points"), get(s, d, "edges"))
+    origin = origin.select("zone", F.lit("voltage").alias("magnitude"), F.lit("meters").alias("topology"), F.lit("telemetry").alias("profile"), "fingerprint", F.lit("fixed").alias("threshold_source"), F.lit(THRESHOLD).alias("threshold"), F.lit(SIGMA).alias("sigma"), F.lit(LENGTH).alias("window"), F.lit(FULL).alias("bin_us"))
+    return get(s, d, "means"), detect.ranking(get(s, d, "scores")), _detections(s, d), origin
 
 
 def _payloads(s, d):
-    origin = inject.fingerprints(get(s, d, "points"), get(s, d, "edges"))
-    origin = origin.select("zone", F.lit("voltage").alias("magnitude"), F.lit("meters").alias("topology"), F.lit("telemetry").alias("profile"), "fingerprint", F.lit("fixed").alias("threshold_source"), F.lit(THRESHOLD).alias("threshold"), F.lit(SIGMA).alias("sigma"), F.lit(LENGTH).alias("window"), F.lit(FULL).alias("bin_us"))
-    ranked = detect.ranking(get(s, d, "scores"))
-    return sinks.window_payload(get(s, d, "means"), ranked, _detections(s, d), origin, (F.col("bin") + 1) * FULL, top_k=5)
+    return sinks.window_payload(*_payload_parts(s, d), (F.col("bin") + 1) * FULL, top_k=5)
 
 
 _BODY = "version int, bin long, emitted_us long, nodes array<struct<idx:long,mean:double>>, detection struct<detected:boolean,statistic:double,candidates:long>, ranking array<struct<place:long,radius:int,centre:long,size:long,statistic:double>>, provenance struct<magnitude:string,fingerprint:string,threshold:double,sigma:double,window:int,bin_us:long>"
@@ -238,18 +229,6 @@ def jn_meters_latest(s, d):
     return registry.meters_with_latest(get(s, d, "meters").select("device_id", "zone"), get(s, d, "telemetry"))
 
 
-@query("""
-SELECT coalesce(a.zone, b.zone) AS zone, CASE WHEN b.zone IS NULL THEN 'missing' WHEN a.zone IS NULL THEN 'extra' ELSE 'changed' END AS problem
-FROM (SELECT zone, count(*) AS n FROM meters GROUP BY zone) a FULL JOIN (SELECT zone, count(*) AS n FROM meters WHERE zone <> 'z000001' AND device_id <> 'dev-tri-00000003' GROUP BY zone UNION ALL SELECT 'gone', 1) b ON a.zone = b.zone
-WHERE b.zone IS NULL OR a.zone IS NULL OR a.n <> b.n""")
-def jn_topology_full_outer(s, d):
-    live = get(s, d, "meters").groupBy("zone").agg(F.count(F.lit(1)).cast("string").alias("fingerprint"))
-    old = get(s, d, "meters").where("zone <> 'z000001' AND device_id <> 'dev-tri-00000003'").groupBy("zone").agg(F.count(F.lit(1)).cast("string").alias("fingerprint"))
-    old = old.union(s.createDataFrame([("gone", "1")], old.schema))
-    with_rest = lambda x: x.withColumns({"sigma": F.lit(1.0), "window": F.lit(16)})
-    return detect.check_frozen(with_rest(old).withColumn("threshold", F.lit(4.0)), with_rest(live))
-
-
 @query("SELECT zone, src, dst, round(dist, 6) AS dist FROM pairs WHERE dist <= 2000")
 def jn_radius_theta(s, d):
     return r6(graph.near_pairs(get(s, d, "points"), 2000.0), "dist")
@@ -288,19 +267,6 @@ def jn_ball_complement(s, d):
 # --- aggregations and windows ---
 
 
-@query("""
-SELECT zone, count(*) AS bins, count(*) FILTER (WHERE present = n) AS full_, count(*) FILTER (WHERE present = 0) AS empty, count(*) FILTER (WHERE present > 0 AND present < n) AS partial, max(n - present) AS worst
-FROM (SELECT g.zone, g.bin, coalesce(s.present, 0) AS present, z.n, min(g.bin) OVER (PARTITION BY g.zone) AS lo, max(g.bin) OVER (PARTITION BY g.zone) AS hi
-  FROM (SELECT zone, unnest(generate_series(min(bin), max(bin))) AS bin FROM cells GROUP BY zone) g
-  LEFT JOIN (SELECT zone, bin, count(*) AS present FROM cells GROUP BY zone, bin) s USING (zone, bin) JOIN (SELECT zone, count(*) AS n FROM meters GROUP BY zone) z USING (zone))
-WHERE bin > lo AND bin < hi GROUP BY zone""")
-def agg_bin_completeness(s, d):
-    rows = windows.completeness(get(s, d, "cells"), windows.zone_sizes(get(s, d, "meters")))
-    w = Window.partitionBy("zone")
-    inner = rows.withColumns({"lo": F.min("bin").over(w), "hi": F.max("bin").over(w)}).where("bin > lo AND bin < hi")
-    return inner.groupBy("zone").agg(F.count(F.lit(1)).alias("bins"), F.count_if("complete").alias("full_"), F.count_if(F.col("present") == 0).alias("empty"), F.count_if((F.col("present") > 0) & ~F.col("complete")).alias("partial"), F.max(F.col("n") - F.col("present")).alias("worst"))
-
-
 @query("SELECT g.zone, g.bin, coalesce(s.present, 0) AS present FROM (SELECT zone, unnest(generate_series(min(bin), max(bin))) AS bin FROM rare GROUP BY zone) g LEFT JOIN (SELECT zone, bin, count(*) AS present FROM rare GROUP BY zone, bin) s USING (zone, bin)", rare="SELECT * FROM cells WHERE bin % 3 = 0")
 def agg_dense_series(s, d):
     return windows.completeness(get(s, d, "cells").where("bin % 3 = 0"), windows.zone_sizes(get(s, d, "meters"))).select("zone", "bin", "present")
@@ -691,16 +657,6 @@ def gr_permute(s, d):
     return r6(_renamed(get(s, d, "edges"), _turned(s, d), "src", "dst").select("zone", "src", "dst", "dist"), "dist")
 
 
-@query()
-def gr_fingerprint(s, d):
-    return inject.fingerprints(get(s, d, "points"), get(s, d, "edges"))
-
-
-@query("SELECT count(*) AS zones FROM (SELECT DISTINCT zone FROM meters)")
-def gr_fingerprints(s, d):
-    return inject.fingerprints(get(s, d, "points"), get(s, d, "edges")).agg(F.countDistinct("fingerprint").alias("zones"))
-
-
 # --- spectra and filters ---
 
 WHOLE = "SELECT zone, t, idx, value FROM (SELECT *, count(*) OVER (PARTITION BY zone, t) AS k FROM signal) JOIN (SELECT zone, count(*) AS n FROM points GROUP BY zone) USING (zone) WHERE k = n"
@@ -811,7 +767,7 @@ def sp_known_diffusion(s, d):
 def sp_known_tau(s, d):
     cycle = _toys(s).where("zone = 'cycle'")
     wave = s.range(12).select(F.lit("cycle").alias("zone"), F.lit(0).cast("long").alias("t"), F.col("id").alias("idx"), F.cos(2 * F.lit(math.pi) * 2 * F.col("id") / 12).alias("value"))
-    return r9(spectral.tau_sweep(cycle, wave, (0.1, 0.5, 2.0)), "retained")
+    return r9(spectral.tau_sweep(cycle, wave, (0.1, 0.5, 2.0)).select("zone", "tau", "retained"), "retained")
 
 
 @query("SELECT zone, k, round(exp(-v / (0.5 * top)), 9) AS falling, round(exp(v / (0.5 * top)), 9) AS rising FROM toy_ranked JOIN (SELECT zone, max(v) AS top FROM toy_values GROUP BY zone) USING (zone)", toy_values=TOY, toy_ranked=TOY_RANKED)
@@ -901,17 +857,6 @@ def sp_profile(s, d):
     return spectral.band_energy(get(s, d, "edges"), _whole(s, d)).select("zone", "t", "mode_zero", "high_without_mean", "rayleigh")
 
 
-@query()
-def sp_tau_sweep(s, d):
-    rows = spectral.tau_sweep(get(s, d, "edges"), _whole(s, d), (0.1, 0.25, 0.5, 1.0, 2.0))
-    return rows.groupBy("tau").agg(F.avg("retained").alias("mean"), F.min("retained").alias("least"), F.max("retained").alias("most"))
-
-
-@query()
-def sp_limits(s, d):
-    return spectral.tau_sweep(get(s, d, "edges"), _whole(s, d), (1e-3, 1e3))
-
-
 @query()
 def sp_score_topk(s, d):
     return spectral.top_mode_score(get(s, d, "edges"), _whole(s, d))
@@ -932,17 +877,6 @@ def sp_spike_signal(s, d):
     return base.withColumn("value", F.col("value") + F.when(top, 5.0).otherwise(0.0))
 
 
-@query()
-def sp_sign_compare(s, d):
-    e, x = get(s, d, "edges"), _whole(s, d)
-    parts = {"original": x, "negative": spectral.diffuse(e, x, 0.5), "positive": spectral.diffuse(e, x, 0.5, sign=1)}
-    out = None
-    for name, y in parts.items():
-        row = spectral.dirichlet(y, e).groupBy("zone").agg(F.round(F.sum("energy"), 3).alias("energy")).withColumn("filter", F.lit(name))
-        out = row if out is None else out.union(row)
-    return out
-
-
 @query("SELECT DISTINCT zone, TRUE AS same FROM whole", whole=WHOLE)
 def sp_permutation_check(s, d):
     """Diffusion commutes with a renaming of nodes."""
@@ -952,16 +886,6 @@ def sp_permutation_check(s, d):
     return both.groupBy("zone").agg((F.max(F.abs(F.col("u") - F.col("value"))) < 1e-6).alias("same"))
 
 
-@query()
-def sp_subtle_compare(s, d):
-    e, x = get(s, d, "edges"), _whole(s, d)
-    top = Window.partitionBy("zone", "t").orderBy(F.desc("score"), "idx")
-    smooth = sp_score_smooth(s, d).withColumn("kind", F.lit("smooth"))
-    modes = spectral.top_mode_score(e, x).select("zone", "t", "idx", F.col("value").alias("score")).withColumn("kind", F.lit("modes"))
-    pick = lambda df: df.withColumn("r", F.row_number().over(top)).where("r <= 2")
-    return pick(smooth).unionByName(pick(modes))
-
-
 @query("SELECT zone, t, count(*) AS n, count(*) FILTER (WHERE isnan(value) OR isinf(value)) AS broken FROM signal GROUP BY zone, t")
 def sp_validate(s, d):
     return get(s, d, "signal").groupBy("zone", "t").agg(F.count(F.lit(1)).alias("n"), F.count_if(~registry.finite(F.col("value"))).alias("broken"))
@@ -1008,12 +932,6 @@ def st_counters_delta(s, d):
     return _verdicts(s, d).groupBy(windows.bin_of(F.col("arrival_us"), GAPPY).alias("cycle"), "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT id, device_id, arrival_us FROM telemetry WHERE arrival_us > (SELECT max(arrival_us) FROM telemetry) - {DAY_US}")
-def st_live_tail(s, d):
-    t = get(s, d, "telemetry")
-    return t.where(F.col("arrival_us") > t.agg(F.max("arrival_us")).first()[0] - DAY_US).select("id", "device_id", "arrival_us")
-
-
 @query("SELECT id FROM verdicts WHERE verdict = 'late'", verdicts=VERDICTS, emitted=EMITTED)
 def st_late_rule(s, d):
     return _verdicts(s, d).where("verdict = 'late'").select("id")
@@ -1052,14 +970,6 @@ def dt_sigma_eff(s, d):
     return s.range(1).select((F.lit(SIGMA) / F.sqrt(F.lit(float(LENGTH)))).alias("sigma_eff"))
 
 
-@query("SELECT zone, bin, idx, round(mean - sqrt(degree) * sum(mean * sqrt(degree)) OVER w / sum(degree) OVER w, 6) AS value FROM means JOIN degrees USING (zone, idx) WINDOW w AS (PARTITION BY zone, bin)")
-def dt_prepare(s, d):
-    x = get(s, d, "means").select("zone", F.col("bin").alias("t"), "idx", F.col("mean").alias("value"))
-    return r6(spectral.project_kernel(x, get(s, d, "edges")), "value").withColumnRenamed("t", "bin")
-
-
-
-
 def _plans(s, d):
     """Each zone's balls with one threshold for all."""
     zones = get(s, d, "balls").select("zone").distinct()
@@ -1124,11 +1034,6 @@ def dt_load(s, d):
     return frozen.join(detect.check_frozen(frozen, _live(s, d)), "zone", "left_anti").select("zone", (F.col("threshold") > 0).alias("positive"))
 
 
-@query("SELECT zone, 16 = 16 AS fits FROM meters GROUP BY zone")
-def dt_window_fit(s, d):
-    return get(s, d, "meters").groupBy("zone").agg(F.lit(windows.WindowConfig().length == detect.DetectorConfig().window).alias("fits"))
-
-
 @query(f"SELECT zone, bin, round(max(abs(mean - 50e0)) / ({SIGMA}e0 / sqrt({LENGTH}e0)), 6) AS statistic FROM means GROUP BY zone, bin")
 def dt_meter_threshold(s, d):
     return r6(detect.meter_threshold(get(s, d, "means"), 50.0, SIGMA, LENGTH), "statistic")
@@ -1330,19 +1235,6 @@ def el_threshold_signal(s, d):
     return rows.groupBy("zone").agg(F.round(F.max("statistic"), 6).alias("statistic"))
 
 
-@query()
-def el_payload_bytes(s, d):
-    """Bytes of the ranking by how many places it keeps; null: all."""
-    rows = detect.ranking(get(s, d, "scores"))
-    out = None
-    for k in (0, 1, 5, 10, None):
-        kept = F.struct("radius", "centre", "statistic") if k is None else F.when(F.col("place") <= k, F.struct("radius", "centre", "statistic"))
-        part = rows.groupBy("zone", "bin").agg(F.octet_length(F.to_json(F.collect_list(kept))).alias("bytes"))
-        part = part.agg(F.max("bytes").alias("most"), F.sum("bytes").alias("total")).withColumn("k", F.lit(k).cast("int"))
-        out = part if out is None else out.union(part)
-    return out
-
-
 def _evaluation(s, d):
     from ..operators import experiments
 
@@ -1491,3 +1383,6 @@ def win_interarrival(s, d):
     before = F.lag("ts_us").over(Window.partitionBy("device_id").orderBy("ts_us"))
     gaps = get(s, d, "telemetry").select("zone", ((F.col("ts_us") - before) / 1e6).alias("gap")).where("gap is not null")
     return evaluate.percentiles(gaps, "gap", {"p50": 0.5, "p95": 0.95, "p99": 0.99, "least": 0.0, "most": 1.0}, "zone")
+
+
+from . import reports  # noqa: E402, F401  registers its queries

@@ -16,14 +16,10 @@ SHARED = {
     "flt_zone_filter": "SELECT device_id, zone FROM {meters} WHERE zone IN (SELECT trim(z) FROM (SELECT ' z000001 ' AS z UNION ALL SELECT 'z000003' UNION ALL SELECT ' ') q WHERE trim(z) <> '')",
     "prj_status_tone": "SELECT id, CASE WHEN status IS NULL THEN 'neutral' WHEN status = 'activo' THEN 'success' WHEN status = 'mantenimiento' THEN 'warning' ELSE 'danger' END AS tone FROM {telemetry}",
     "prj_status_label": "SELECT id, coalesce(replace(status, '_', ' '), 'Sin clasificar') AS label FROM {telemetry}",
-    "prj_zone_label": "SELECT device_id, coalesce(CASE zone WHEN 'z000000' THEN 'North' WHEN 'z000001' THEN 'South' END, zone) AS label FROM {meters}",
     "prj_age_seconds": f"SELECT device_id, greatest(0e0, ({NOW} - last_seen_us) / 1e6) AS age FROM {{meters}}",
     "prj_liveness": f"SELECT m.device_id, CASE WHEN age IS NULL THEN 'no reading' WHEN age < 86400 THEN 'live' WHEN age < 259200 THEN 'delayed' ELSE 'no signal' END AS liveness FROM {{meters}} m LEFT JOIN (SELECT device_id, greatest(0e0, ({NOW} - max(arrival_us)) / 1e6) AS age FROM {{telemetry}} WHERE power > 1 GROUP BY device_id) a ON m.device_id = a.device_id",
     "prj_freshness": f"SELECT zone, CASE WHEN ({NOW} - max(arrival_us)) / 1e6 > 60 THEN 'stale' ELSE 'live' END AS freshness FROM {{telemetry}} GROUP BY zone",
-    "prj_health": "SELECT zone, CASE WHEN db IS NULL OR mqtt IS NULL THEN 'unknown' WHEN db AND mqtt THEN 'ok' ELSE 'down' END AS health FROM (SELECT zone, max(active) AS db, min(active) AS mqtt FROM {meters} GROUP BY zone) q",
-    "prj_health_api": "SELECT zone, CASE WHEN max(active) AND min(active) THEN 'ok' ELSE 'degraded' END AS health FROM {meters} GROUP BY zone",
     "prj_device_type": "SELECT device_id, CASE substr(device_id, 5, 3) WHEN 'mon' THEN 'monofasico' WHEN 'tri' THEN 'trifasico' END AS kind FROM {meters}",
-    "flt_spec": "SELECT id, (energy IS NULL) <> (status IS NULL) AS one_of_two, power >= 0 AND current >= 0 AS sizes FROM {telemetry}",
     # --- joins ---
     "jn_silent_anti": "SELECT m.zone, count(*) AS silent FROM {meters} m LEFT JOIN (SELECT DISTINCT device_id FROM {telemetry} WHERE power > 29.5 AND voltage < 215) s ON m.device_id = s.device_id WHERE s.device_id IS NULL GROUP BY m.zone",
     "jn_zone_type_profile": "SELECT m.device_id, m.zone, p.sigma FROM {meters} m JOIN (SELECT device_type, round(stddev_samp(voltage), 6) AS sigma FROM {telemetry} GROUP BY device_type) p ON m.device_type = p.device_type",
@@ -55,7 +51,6 @@ SHARED = {
     "agg_zone_bbox_density": "SELECT zone, round(count(*) / ((max(x) - min(x)) / 1000 * (max(y) - min(y)) / 1000), 6) AS density FROM {points} GROUP BY zone",
     "agg_zone_diameter": "SELECT zone, round(max(dist), 6) AS diameter FROM {pairs} GROUP BY zone",
     "agg_corr": "SELECT zone, round(corr(voltage, power), 6) AS c FROM {telemetry} GROUP BY zone",
-    "agg_choose_width": "SELECT width FROM (SELECT width, min(share) AS worst FROM (SELECT 3 AS width, zone, count(*) / (count(DISTINCT bin) * 25e0) AS share FROM {cells} GROUP BY zone UNION ALL SELECT 5, zone, count(*) / (count(DISTINCT bin) * 25e0) FROM {cells_full} GROUP BY zone) q GROUP BY width) w ORDER BY CASE WHEN worst >= 0.95 THEN 0 ELSE 1 END, CASE WHEN worst >= 0.95 THEN width ELSE -worst END, width LIMIT 1",
     "agg_profile_assemble": "SELECT device_type, magnitude, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sigma, round(min(v), 3) AS least, round(max(v), 3) AS most FROM (SELECT device_type, 'voltage' AS magnitude, voltage AS v FROM {telemetry} UNION ALL SELECT device_type, 'current', current FROM {telemetry} UNION ALL SELECT device_type, 'power', power FROM {telemetry}) q GROUP BY device_type, magnitude",
     # --- window functions, sorts, reshape, set operations ---
     "win_interarrival": "SELECT zone, percentile_cont(0.5) WITHIN GROUP (ORDER BY gap) AS p50, percentile_cont(0.95) WITHIN GROUP (ORDER BY gap) AS p95, percentile_cont(0.99) WITHIN GROUP (ORDER BY gap) AS p99, min(gap) AS least, max(gap) AS most FROM (SELECT zone, (ts_us - lag(ts_us) OVER (PARTITION BY device_id ORDER BY ts_us)) / 1e6 AS gap FROM {telemetry}) q WHERE gap IS NOT NULL GROUP BY zone",
@@ -64,8 +59,6 @@ SHARED = {
     "win_sign_crossings": "SELECT zone, bin FROM (SELECT zone, bin, up, lag(up) OVER (PARTITION BY zone ORDER BY bin) AS before FROM (SELECT zone, bin, avg(value) > 50 AS up FROM {cells} GROUP BY zone, bin) p) q WHERE up <> before",
     "win_log_gradient": "SELECT zone, bin, round(CASE WHEN b IS NULL THEN (n - y) / (xn - x) WHEN n IS NULL THEN (y - b) / (x - xb) ELSE (pow(x - xb, 2e0) * n + (pow(xn - x, 2e0) - pow(x - xb, 2e0)) * y - pow(xn - x, 2e0) * b) / ((x - xb) * (xn - x) * (xn - xb)) END, 6) AS gradient FROM (SELECT zone, bin, y, x, lag(y) OVER w AS b, lead(y) OVER w AS n, lag(x) OVER w AS xb, lead(x) OVER w AS xn FROM (SELECT zone, bin, ln(avg(value)) AS y, ln(row_number() OVER (PARTITION BY zone ORDER BY bin) + 0e0) AS x FROM {cells} GROUP BY zone, bin) p WINDOW w AS (PARTITION BY zone ORDER BY bin)) q",
     "win_local_extrema": "SELECT zone, bin, CASE WHEN y > b AND y > n THEN 'max' ELSE 'min' END AS kind FROM (SELECT zone, bin, y, lag(y) OVER (PARTITION BY zone ORDER BY bin) AS b, lead(y) OVER (PARTITION BY zone ORDER BY bin) AS n FROM (SELECT zone, bin, avg(value) AS y FROM {cells} GROUP BY zone, bin) p) q WHERE (y > b AND y > n) OR (y < b AND y < n)",
-    "win_knees": "SELECT zone, min(CASE WHEN spread <= 45 THEN bin END) AS first_tight, max(CASE WHEN y <= 50 THEN bin END) AS last_low FROM (SELECT zone, bin, stddev_samp(value) AS spread, avg(value) AS y FROM {cells} GROUP BY zone, bin) p GROUP BY zone",
-    "win_flattening": "SELECT zone, min(CASE WHEN next_y - y < 5e0 THEN bin END) AS flat FROM (SELECT zone, bin, y, lead(y) OVER (PARTITION BY zone ORDER BY bin) AS next_y FROM (SELECT zone, bin, avg(value) AS y FROM {cells} GROUP BY zone, bin) p) q GROUP BY zone",
     "srt_recent_k": "SELECT id, device_id, arrival_us FROM {telemetry} ORDER BY arrival_us DESC, id DESC LIMIT 100",
     "srt_history_k": "SELECT id, arrival_us FROM {telemetry} WHERE device_id = 'dev-mon-00000007' ORDER BY arrival_us DESC, id DESC LIMIT 100",
     "srt_latest_one": "SELECT id, arrival_us FROM {telemetry} WHERE device_id = 'dev-mon-00000007' ORDER BY arrival_us DESC, id DESC LIMIT 1",
@@ -81,7 +74,6 @@ SHARED = {
     "sp_zero_tol": "SELECT zone, count(*) * 2.220446049250313e-16 * greatest(2e0, 1e0) AS tolerance FROM {points} GROUP BY zone",
     # --- graph readings ---
     "jn_pairwise_self": "SELECT zone, src, dst, round(dist, 6) AS dist FROM {pairs} WHERE src < dst",
-    "jn_zone_pairs": "SELECT a.zone AS za, b.zone AS zb, round(min(sqrt(pow((a.lat - b.lat) * 110574e0, 2e0) + pow((a.lon - b.lon) * 110899e0, 2e0))), 4) AS nearest FROM {meters} a JOIN {meters} b ON a.zone < b.zone GROUP BY a.zone, b.zone",
     "gr_degree": "SELECT zone, src AS idx, round(sum(weight), 6) AS degree FROM {edges} GROUP BY zone, src",
     "gr_khop_sizes": "SELECT zone, radius, centre, size FROM {balls}",
     "gr_components_check": "SELECT zone, count(DISTINCT src) AS touched FROM {edges} GROUP BY zone",
@@ -90,6 +82,4 @@ SHARED = {
     "st_last_closed": "SELECT id, CASE WHEN floor((arrival_us - 5000000) / 6e6) - 1 >= 0 THEN CAST(floor((arrival_us - 5000000) / 6e6) AS BIGINT) - 1 END AS last_closed FROM {telemetry}",
     "st_cycle_interval": "SELECT max(6e0 / k) AS interval FROM (SELECT 2 AS k UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 10 UNION ALL SELECT 20 UNION ALL SELECT 30 UNION ALL SELECT 60) q WHERE 6e0 / k <= 3e0 AND 6e0 / k >= 20 * 0.001394e0",
     # --- evaluation ---
-    "el_criteria": "SELECT zone, round(a, 6) AS scan, round(b, 6) AS meter, a >= 2 * b AND a - b >= 0.2e0 AS wins FROM (SELECT zone, avg(CASE WHEN value > 30 THEN 1e0 ELSE 0e0 END) AS a, avg(CASE WHEN value > 90 THEN 1e0 ELSE 0e0 END) AS b FROM {telemetry} GROUP BY zone) q",
-    "el_pick_window": "SELECT zone, max_by(bin, gain) AS best FROM (SELECT zone, bin, avg(value) - 40 AS gain, avg(CASE WHEN value > 20 THEN 1e0 ELSE 0e0 END) AS rate FROM {cells} GROUP BY zone, bin) q WHERE rate >= 0.5 GROUP BY zone",
 }

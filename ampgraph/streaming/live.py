@@ -139,6 +139,12 @@ def live(raw: DataFrame, meters: DataFrame, plans: DataFrame, config: WindowConf
     return scored.unionByName(refused, allowMissingColumns=True)
 
 
+def tail(rows: DataFrame, seconds: float = 300.0, now_us=None) -> DataFrame:
+    """The rows that arrived in the last seconds, of a stream (by its own clock at each batch) or of a table."""
+    now = F.unix_micros(F.current_timestamp()) if now_us is None else now_us
+    return rows.where(F.col("arrival_us") > now - int(seconds * 1_000_000))
+
+
 def route(path: str):
     """A foreachBatch function: windows and reasons to one table, rejected messages to another, counts to a third; a repeated batch replaces itself."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -70,14 +71,22 @@ class Totals(StreamingQueryListener):
         self.failed += event.exception is not None
 
 
-def topology_guard(armed: DataFrame, live, publish):
+def topology_guard(armed: DataFrame, live, publish, every_s: float = 0.0, clock=time.monotonic):
     """A foreachBatch function: publishes while the live fingerprints are the armed ones; a change is fatal.
 
+    The registry is read again once ``every_s`` seconds have passed since it last was (0: for each batch).
+
     ``live`` makes the current (zone, fingerprint) table; if it can't be read, whatever the reason, that is logged
     and publishing goes on.
     """
 
+    last = [None]
+
     def run(batch: DataFrame, batch_id: int) -> None:
+        if last[0] is not None and clock() - last[0] < every_s:
+            publish(batch, batch_id)
+            return
+        last[0] = clock()
         try:
             now = live()
             changed = armed.join(now.withColumnRenamed("fingerprint", "__now"), "zone", "full").where(~F.col("fingerprint").eqNullSafe(F.col("__now"))).take(1)

@@ -89,10 +89,10 @@ def step(state: ZoneState, zone: str, readings: list[tuple], now_us: int, device
     return [row] if row else []
 
 
-def replay(readings: DataFrame, devices: DataFrame, clock: DataFrame, config: WindowConfig = WindowConfig()) -> DataFrame:
+def replay(readings: DataFrame, devices: DataFrame, clock: DataFrame, config: WindowConfig = WindowConfig(), idle: bool = False) -> DataFrame:
     """Batch twin: readings (zone, id, device_id, ts_us, value, arrival_us) against an emission schedule (zone, at_us).
 
-    A reading's zone is its device's in ``devices``, whatever the reading says; readings of other devices take no part.
+    With ``idle``, a tick without a new bin gives a row sin_bin. A reading's zone is its device's in ``devices``, whatever the reading says; readings of other devices take no part.
     Devices, readings and ticks of a zone become one line in time (devices first; a reading that arrives at a
     tick comes before it), which a task walks through with the zone's state alone in memory, never its history.
     """
@@ -121,8 +121,9 @@ def replay(readings: DataFrame, devices: DataFrame, clock: DataFrame, config: Wi
                     if len(listed) != len(known):
                         listed = sorted(known)
                     row = emit(state, zone, int(r[1]), listed, config)
-                    out += [row] if row else []
+                    if row or idle:
+                        out.append(row or dict.fromkeys(names) | {"zone": zone, "status": "sin_bin", "incomplete": 0, "skipped": 0})
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pd.DataFrame(out, columns=names).astype({"bin": "Int64"})
 
     return line.repartition("zone").sortWithinPartitions("zone", "at", "kind", "id").mapInPandas(walk, OUTPUT)
