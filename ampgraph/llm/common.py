@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,66 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..storage import discard, materialize, shared_dir
+
+__all__ = ["discard", "materialize", "shared_dir"]
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Rows and bytes of text that a Python worker gets at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-_own_dirs: dict[str, str] = {}
-_paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a local master gets a temporary folder; a cluster's executors could not read one, so it is an error there.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="ampgraph-")
-    return _own_dirs[app]
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return a reader of it.
-
-    Cuts the lineage: a lost executor costs no recomputation beyond this table, and the size is known
-    to the planner. The files are removed when the driver ends.
-    """
-    spark = df.sparkSession
-    ship(spark)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = weakref.ref(out), path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove the files of tables that ``materialize`` gave, once nothing will read them again."""
-    for df in tables:
-        kept, path = _paths.pop(id(df), (None, None))
-        if path and kept() is df:
-            _remove(df.sparkSession, path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-    except Exception:  # noqa: BLE001  the JVM may have gone before
-        return
-
-
 def map_batches(df: DataFrame, function: Callable, schema) -> DataFrame:
     """mapInArrow over batches that stay small where texts are long: fewer rows and bytes than Spark's defaults.
 
