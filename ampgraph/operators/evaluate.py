@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,24 +59,47 @@ def spearman(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
     return a.join(b.select("__key", "__b"), "__key").agg(F.corr("__a", "__b").alias("spearman"))
 
 
+#: Of a group's ranks, the share within which a sketch places a value.
+SKETCH = 10_000
+
+
 def percentiles(rows: DataFrame, value: str, points: dict[str, float], *by: str) -> DataFrame:
-    """Exact interpolated percentiles, a column each, from counts by value: equal values meet before the shuffle.
+    """Exact interpolated percentiles of all groups at once, a column each. Nulls don't count; groups without values have no row.
 
-    A group's window then runs over its different values, not its rows. Nulls don't count.
+    A sketch of each group (small, and merged before the shuffle) brackets every wanted rank between two values that are certain to
+    enclose it. A second pass counts the values below each bracket, and counts by value those inside: a few of
+    ``SKETCH`` parts of a group (all of a group of less than twice ``SKETCH`` values). Only these meet in a window.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    keys = list(by)
-    line = Window.partitionBy(*keys).orderBy("__v") if keys else Window.partitionBy(F.lit(0)).orderBy("__v")
-    run = counts.withColumn("__upto", F.sum("__c").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    run = run.join(total, keys) if keys else run.crossJoin(total)
-    out = []
-    for name, q in points.items():
+    rows = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    names, keys = list(points), list(by)
+    shares = sorted({min(max(q + e, 0.0), 1.0) for q in points.values() for e in (-4 / SKETCH, 4 / SKETCH)})
+    at = {x: i for i, x in enumerate(shares)}
+    sketch = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__least"), F.max("__v").alias("__most"), F.percentile_approx("__v", [float(x) for x in shares], SKETCH).alias("__s"))
+    edge = lambda q, e: min(max(q + e, 0.0), 1.0)
+    small = F.col("__n") < 2 * SKETCH  # a rank there is no share that a sketch tells apart
+    low = lambda q: F.when(small | F.lit(edge(q, -4 / SKETCH) == 0), F.col("__least")).otherwise(F.col("__s")[at[edge(q, -4 / SKETCH)]])
+    high = lambda q: F.when(small | F.lit(edge(q, 4 / SKETCH) == 1), F.col("__most")).otherwise(F.col("__s")[at[edge(q, 4 / SKETCH)]])
+    brackets = sketch.select(*by, "__n", F.array(*(F.struct(low(q).alias("lo"), high(q).alias("hi")) for q in points.values())).alias("__b"))
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        if not keys:
+            return a.crossJoin(F.broadcast(b))
+        b = b.withColumnsRenamed({c: f"__key_{c}" for c in keys})
+        on = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__key_{c}")) for c in keys))
+        return a.join(b, on).drop(*(f"__key_{c}" for c in keys))
+
+    both = joined(rows, brackets)
+    below = both.groupBy(*by).agg(F.first("__n").alias("__n"), *(F.count_if(F.col("__v") < F.col("__b")[i]["lo"]).alias(f"__below{i}") for i in range(len(names))))
+    hit = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.col("__b")[i]["lo"].alias("lo"), F.col("__b")[i]["hi"].alias("hi")) for i in range(len(names)))), lambda x: (F.col("__v") >= x["lo"]) & (F.col("__v") <= x["hi"]))
+    inside = both.select(*by, "__v", F.explode(hit).alias("h")).groupBy(*by, F.col("h.i").alias("__i"), "__v").agg(F.count(F.lit(1)).alias("__c"))
+    run = inside.withColumn("__upto", F.sum("__c").over(Window.partitionBy(*by, "__i").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked, out = joined(run, below), []
+    for i, (name, q) in enumerate(points.items()):
         h = F.lit(float(q)) * (F.col("__n") - 1)
-        low, high = (F.min(F.when(F.col("__upto") > f(h), F.col("__v"))) for f in (F.floor, F.ceil))
-        part = F.max(h - F.floor(h))
-        out.append((low + part * (high - low)).alias(name))
-    return run.groupBy(*keys).agg(*out)
+        upto, own = F.col("__upto") + F.col(f"__below{i}"), F.col("__i") == i
+        first, second = (F.min(F.when(own & (upto > f(h)), F.col("__v"))) for f in (F.floor, F.ceil))
+        out.append((first + F.max(h - F.floor(h)) * (second - first)).alias(name))
+    return ranked.groupBy(*by).agg(*out)
 
 
 def episodes(flags: DataFrame, *by: str) -> DataFrame:

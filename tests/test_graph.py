@@ -205,3 +205,19 @@ def test_window_starts():
     assert windows.window_starts(10, 4) == [0, 4]
     assert windows.window_starts(10, 4, 3) == [0, 3, 6]
     assert windows.window_starts(3, 4) == []
+
+
+def test_nearest_in_rings_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for z, n in (("tiny", 3), ("one", 1), ("even", 900), ("lumps", 900), ("line", 200), ("same", 12)):
+        x = {"lumps": rng.integers(0, 4, (n, 2)) * 1000 + rng.normal(0, 1, (n, 2)), "line": np.c_[np.arange(n) ** 2.0, np.zeros(n)], "same": np.zeros((n, 2))}.get(z, rng.uniform(0, 1000, (n, 2)))
+        x[: n // 20] = rng.uniform(-20_000, 20_000, (n // 20, 2)) if z == "lumps" else x[: n // 20]
+        rows += [(z, i, f"{z}{i}", float(a), float(b)) for i, (a, b) in enumerate(x)]
+    points = spark.createDataFrame(rows, "zone string, idx long, device_id string, x double, y double")
+    got, _ = graph.nearest_in_rings(points, 4)
+    want = graph.nearest(graph.pairs(points), 4)
+    key = lambda df: sorted((r.zone, r.src, r.dst, round(r.dist, 6)) for r in df.collect())
+    assert key(got) == key(want) and got.where("zone = 'one'").count() == 0
+    _, examined = graph.nearest_in_rings(points.where("zone = 'even'"), 4)
+    assert 900 * 4 < examined < 0.15 * 900 * 899

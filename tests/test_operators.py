@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ampgraph import jobs
 from ampgraph.errors import IncompleteSignal, InvalidSpec, SourceError, UnknownDevice
-from ampgraph.operators import detect, evaluate, experiments, graph, inject, spectral
+from ampgraph.operators import detect, evaluate, experiments, graph, inject, spectral, windows
 from ampgraph.sources import sinks, tables
 from ampgraph.streaming import metrics
 
@@ -147,3 +147,41 @@ def test_rest_reads(spark, tmp_path):
     server.server_close()
     with pytest.raises(SourceError):
         tables.read_records(spark, url, timeout_s=1)
+
+
+def test_percentiles_of_many_groups_are_exact(spark):
+    rng = np.random.default_rng(9)
+    groups = {None: rng.normal(size=50), "one": np.array([3.0]), "ties": rng.integers(0, 3, 4000).astype(float), "wide": rng.lognormal(0, 3, 60_000), "two": np.array([1.0, 2.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("wide", None), ("none", None)], "g string, v double")
+    asked = {"least": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p999": 0.999, "most": 1.0}
+    got = {r.g: r for r in evaluate.percentiles(rows, "v", asked, "g").collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert [got[g][n] for n in asked] == pytest.approx([float(np.quantile(x, q)) for q in asked.values()], rel=1e-12), g
+    whole = evaluate.percentiles(rows, "v", asked).first()
+    everything = np.concatenate(list(groups.values()))
+    assert [whole[n] for n in asked] == pytest.approx([float(np.quantile(everything, q)) for q in asked.values()], rel=1e-12)
+    assert evaluate.percentiles(rows.where("false"), "v", asked, "g").collect() == []
+
+
+def test_the_guard_rereads_by_its_interval(spark):
+    armed, reads, seen, now = spark.createDataFrame([("z", "1")], "zone string, fingerprint string"), [], [], [0.0]
+
+    def live():
+        reads.append(now[0])
+        return armed
+
+    run = metrics.topology_guard(armed, live, lambda b, i: seen.append(i), every_s=300, clock=lambda: now[0])
+    for i, t in enumerate((0.0, 10.0, 299.0, 300.0, 301.0)):
+        now[0] = t
+        run(armed, i)
+    assert reads == [0.0, 300.0] and seen == [0, 1, 2, 3, 4]
+
+
+def test_width_choice_and_fit(spark):
+    report = spark.createDataFrame([(w, z, s) for w, by in ((5, (0.2, 0.9)), (6, (0.96, 0.99)), (10, (1.0, 1.0))) for z, s in zip("ab", by, strict=True)], "width long, zone string, window_share double")
+    assert tuple(windows.choose_width(report, 16).first()) == (6, "target", 0.96, 96, "a")
+    assert tuple(windows.choose_width(report.where("width = 5"), 16).first())[:3] == (5, "best", 0.2)
+    assert windows.choose_width(report.where("false"), 16).collect() == []
+    fits = windows.check_fit(spark.createDataFrame([("a", 16), ("b", 8)], "zone string, window int"), spark.createDataFrame([(z, 16) for z in "abc"], "zone string, length int"))
+    assert {r.zone: r.fits for r in fits.collect()} == {"a": True, "b": False, "c": False}
