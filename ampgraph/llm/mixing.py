@@ -42,7 +42,7 @@ def fit_cells(cells: DataFrame, dimensions: tuple[str, ...], rounds: int, temper
     held at 1 at most, sweep by sweep, while the other cells are scaled on.
 
     There are ``rounds`` sweeps; with a ``tolerance`` none after a residual within it, which is looked at each
-    ``PLAN_ROUNDS`` sweeps.
+    ``PLAN_ROUNDS`` sweeps and after the last; a residual beyond it is an error then.
     """
     given = checked_targets(cells, dimensions, targets)
     for d in dimensions:
@@ -67,7 +67,11 @@ def fit_cells(cells: DataFrame, dimensions: tuple[str, ...], rounds: int, temper
         if (sweep + 1) % PLAN_ROUNDS == 0 and sweep + 1 < rounds:  # keeps the plan short
             cells = gather(materialize(cells, "sweep"))
             if tolerance is not None and residual(cells, dimensions) <= tolerance:
-                break
+                return cells.select(*dimensions, "tokens", "factor")
+    if tolerance is not None:
+        cells = gather(materialize(cells, "sweep"))
+        if (off := residual(cells, dimensions)) > tolerance:
+            raise ValueError(f"after {rounds} sweeps a share is {off:.2g} from its target, beyond the tolerance of {tolerance:.2g}")
     return cells.select(*dimensions, "tokens", "factor")
 
 

@@ -129,7 +129,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", t
     empty text scores by the bias alone; without labels every score is 0.5. Null ids stay null; repeated rows
     are each scored; an empty table gives an empty one.
     """
-    chosen = labelled(labels, label).orderBy(*stable_order("doc_id")).limit(sample)
+    chosen = labelled(labels, label, id_column).orderBy(*stable_order("doc_id")).limit(sample)
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("order"), "text", "label")
 

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ampgraph.llm import pieces, prefixes, yinyang
+from ampgraph.llm import mixing, pieces, prefixes, quality, yinyang
 
 VECTORS = "vec_id long, embedding array<float>, cluster string"
 
@@ -171,3 +171,19 @@ def test_trie_of_nothing_and_of_one(spark):
     absent = next(c for c in range(1, 999) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 1)
     only_root = in_spark(spark, [(absent, 0, "user", "x")])
     assert only_root == trie([(absent, 0, "user", "x")]) and len(only_root) == 1 and only_root[0][3:6] == (1, 0, 1)
+
+
+def test_tolerance_is_looked_at_after_the_last_sweep(spark):
+    rows = [(i, "word " * (1 + i % 7), ("de", "en", "fr")[i * i % 3], f"s{i % 4}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert mixing.mixing_probabilities(docs, tolerance=1e-3).count() == 300
+    with pytest.raises(ValueError, match="beyond the tolerance"):
+        mixing.mixing_probabilities(docs, rounds=1, tolerance=1e-15)
+
+
+def test_quality_with_another_id_column(spark):
+    draw = random.Random(7)
+    rows = [(i, " ".join(draw.choices(["fine", "clear", "text"] if i % 2 else ["junk", "spam", "zzz"], k=30)), 0) for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, "key long, text string, doc_id int"), spark.createDataFrame([(i, i % 2) for i in range(120)], "key long, quality int")
+    got = {r.doc_id: r.predicted for r in quality.quality_scores(docs, labels, id_column="key").collect()}
+    assert len(got) == 120 and sum(got[i] == i % 2 for i in got) > 110
