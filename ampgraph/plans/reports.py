@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import detect, evaluate, graph, inject, registry, spectral, windows
+from ..operators import detect, evaluate, graph, inject, registry, sparse, spectral, windows
 from ..sources import sinks, tables
 from ..storage import materialize
 from ..streaming import live, processor
@@ -334,3 +334,65 @@ def el_payload_bytes(s, d):
         size = sinks.window_payload(*parts, (F.col("bin") + 1) * FULL, top_k=k).agg(F.max(F.octet_length("value")).alias("most"), F.sum(F.octet_length("value")).alias("total"), F.count(F.lit(1)).alias("bodies")).withColumn("k", F.lit(k).cast("int"))
         out = size if out is None else out.unionByName(size)
     return out
+
+
+# --- ingest and registry ---
+
+NEWER = "SELECT id, device_id, zone, arrival_us, CASE WHEN id % 3 <> 0 THEN device_type END AS device_type, CASE WHEN id % 5 = 0 THEN node END AS node FROM telemetry"
+FOLDED = "SELECT device_id, max_by(device_type, id) FILTER (WHERE device_type IS NOT NULL) AS device_type, max_by(zone, id) AS zone, max_by(node, id) FILTER (WHERE node IS NOT NULL) AS node, max_by(arrival_us, id) AS last_seen_us FROM newer WHERE {} GROUP BY device_id"
+
+
+@query("""
+SELECT device_id, coalesce(b.device_type, a.device_type) AS device_type, coalesce(b.zone, a.zone) AS zone, coalesce(b.node, a.node) AS node, coalesce(b.last_seen_us, a.last_seen_us) AS last_seen_us, TRUE AS active
+FROM first_half a FULL JOIN second_half b USING (device_id)""", newer=NEWER, first_half=FOLDED.format("id % 4 <> 3"), second_half=FOLDED.format("id % 4 = 3"))
+def snk_merge_registry(s, d):
+    """A registry with a later batch's fold on top."""
+    t = get(s, d, "telemetry").withColumns({"device_type": F.when(F.col("id") % 3 != 0, F.col("device_type")), "node": F.when(F.col("id") % 5 == 0, F.col("node"))})
+    parts = [registry.upsert(t.where(cond)) for cond in ("id % 4 <> 3", "id % 4 = 3")]
+    return registry.merge(parts[0], parts[1])
+
+
+@query("SELECT m.zone AS registered_zone, count(*) AS n, count(*) FILTER (WHERE t.id % 5 = 0) AS misrouted FROM telemetry t JOIN meters m USING (device_id) WHERE m.active GROUP BY m.zone")
+def jn_registered_zone(s, d):
+    """Zones come from the registry: every fifth reading names another."""
+    t = get(s, d, "telemetry").withColumn("zone", F.when(F.col("id") % 5 == 0, "elsewhere").otherwise(F.col("zone")))
+    known, _ = registry.with_zone(t, get(s, d, "meters").where("active"))
+    return known.groupBy("registered_zone").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("zone") == "elsewhere").alias("misrouted"))
+
+
+REASONS = """
+SELECT t.id, CASE WHEN id % 19 = 0 THEN 'json' WHEN id % 17 = 0 THEN 'field' WHEN id % 13 = 0 THEN 'naive_time' WHEN id % 11 = 0 THEN 'value' WHEN m.device_id IS NULL THEN 'unknown' ELSE 'accepted' END AS reason, m.zone
+FROM telemetry t LEFT JOIN (SELECT device_id, zone FROM meters WHERE active) m USING (device_id)"""
+
+
+@query("SELECT reason, CASE WHEN reason IN ('accepted') THEN zone END AS zone, count(*) AS n FROM reasons GROUP BY ALL", reasons=REASONS)
+def st_ingest_reasons(s, d):
+    """Messages made of all readings, broken in each way: what is accepted for which zone, and why the rest is not."""
+    i = F.col("id")
+    stamp = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    time = F.when(i % 13 == 0, stamp).otherwise(F.concat(stamp, F.lit("+00:00")))
+    body = F.to_json(F.struct("device_id", time.alias("timestamp_utc"), F.lit("elsewhere").alias("zone"), F.when(i % 17 == 0, None).when(i % 11 == 0, "much").otherwise(F.col("voltage").cast("string")).alias("voltage")))
+    raw = get(s, d, "telemetry").select("arrival_us", F.when(i % 19 == 0, F.concat(F.lit("{"), body)).otherwise(body).alias("value"))
+    good, bad = live.read_messages(raw, get(s, d, "meters").where("active"), "voltage")
+    rows = good.select(F.lit("accepted").alias("reason"), "zone").unionByName(bad.select("reason", F.lit(None).cast("string").alias("zone")))
+    return rows.groupBy("reason", "zone").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- diffusion without a matrix ---
+
+TERMS = 20
+TAYLOR = {
+    "scaled": "SELECT e.zone, e.src, e.dst, weight / sqrt(a.degree * b.degree) AS share FROM edges e JOIN degrees a ON a.zone = e.zone AND a.idx = e.src JOIN degrees b ON b.zone = e.zone AND b.idx = e.dst",
+    "term0": "SELECT zone, t, idx, value AS v FROM whole",
+} | {
+    f"term{k}": f"SELECT x.zone, x.t, x.idx, any_value(x.v) / -{k}e0 + coalesce(sum(s.share * y.v), 0e0) / {k}e0 AS v FROM term{k - 1} x LEFT JOIN scaled s ON s.zone = x.zone AND s.src = x.idx LEFT JOIN term{k - 1} y ON y.zone = s.zone AND y.t = x.t AND y.idx = s.dst GROUP BY x.zone, x.t, x.idx"
+    for k in range(1, TERMS + 1)
+}
+
+
+@query(f"SELECT zone, t, idx, round(sum(v), 6) AS value FROM ({' UNION ALL '.join(f'SELECT * FROM term{k}' for k in range(TERMS + 1))}) GROUP BY zone, t, idx", whole=WHOLE, **TAYLOR)
+def sp_diffuse_sparse(s, d):
+    """The exponential of the Laplacian by Chebyshev terms over edges (2 for the largest eigenvalue); its twin sums Taylor terms."""
+    points = get(s, d, "points")
+    tops = points.select("zone").distinct().withColumn("largest", F.lit(2.0))
+    return r6(sparse.diffuse(points, get(s, d, "edges"), _whole(s, d), tau=0.5, largest=tops), "value")
