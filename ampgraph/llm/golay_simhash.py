@@ -295,21 +295,21 @@ def near_groups(docs: DataFrame, shingle: int = 5, prints: int = 2, similarity:
     keyed = map_batches(classes.select("node", "prints", "bands"), spread, "key long, id long, payload binary")
     coarse = connected_components(bucket_links(keyed, close, close_pairs, _decode(prints)))
     members = materialize(classes.select("node", "first").join(coarse, "node"), "members")
+    # a group's number of blocks goes with its members' narrow rows; tables on both sides, so that a large group can be split between tasks
+    sizes = materialize(members.groupBy("root").agg(F.least(F.ceil(F.count(F.lit(1)) / GROUP), F.lit(MOST_BLOCKS)).cast("int").alias("blocks")), "sizes")
 
     def sets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [distinct_shingles(text, shingle) for text in as_bytes(batch.column(2))]
+            found = [distinct_shingles(text, shingle) for text in as_bytes(batch.column(3))]
             own = pa.array([set_node(h) for h in found], pa.int64())  # a repeated id may bring another text
             payload = pa.array([h.astype("<u8").tobytes() for h in found], pa.binary())
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), payload], names=["root", "node", "payload"])
+            out = pa.RecordBatch.from_arrays([*batch.columns[:3], payload], names=["root", "node", "blocks", "payload"])
             yield out.filter(pc.equal(own, batch.column(1)))
 
-    texts = rows.join(members, rows["id"] == members["first"]).select("root", "node", "text")
-    whole = materialize(map_batches(texts, sets, "root long, node long, payload binary"), "sets")
-    large = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP)
-    large = large.select("root", F.least(F.ceil(F.col("n") / GROUP), F.lit(MOST_BLOCKS)).alias("blocks"))
-    dealt = whole.join(F.broadcast(large), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    dealt_to = members.join(sizes, "root")
+    texts = rows.join(dealt_to, rows["id"] == dealt_to["first"]).select("root", "node", "blocks", "text")
+    dealt = materialize(map_batches(texts, sets, "root long, node long, blocks int, payload binary"), "sets")
+    dealt = dealt.withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1))})
     dealt = dealt.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("node").alias("id"), "payload")
 
     def decode(column: pa.Array) -> np.ndarray:
