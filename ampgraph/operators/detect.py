@@ -162,13 +162,17 @@ def calibrate(balls: DataFrame, sigma: float, config: DetectorConfig = DetectorC
     return balls.groupBy("zone").applyInPandas(zone, "zone string, threshold double, candidates long")
 
 
-def validate(balls: DataFrame, thresholds: DataFrame, sigma: float, config: DetectorConfig = DetectorConfig(), seed: int = 1, instants: int = 60_000) -> DataFrame:
-    """(zone, windows, fired, episodes): false alarms of each zone's threshold on a long signal without events.
+def validate(balls: DataFrame, thresholds: DataFrame, sigma: float, config: DetectorConfig = DetectorConfig(), seed: int = 1, instants: int = 60_000, bins_per_hour: int = 600) -> DataFrame:
+    """A zone's false alarms of its threshold on a long signal without events: windows, fired, episodes, share, and by hour.
+
+    By hour (of ``bins_per_hour`` instants, where a window begins) there are the mean, p95 and most of fired and of episodes.
 
     The signal is drawn and scanned in pieces of which each begins with the last window of the one before; an
     episode is a run of windows that fire.
     """
 
+    rates = ", ".join(f"{name}_{kind} double" for name in ("fired", "episodes") for kind in ("mean", "p95", "most"))
+
     def zone(b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(b) or not len(t):
             return pd.DataFrame()
@@ -191,10 +195,15 @@ def validate(balls: DataFrame, thresholds: DataFrame, sigma: float, config: Dete
                 keep = min(starts[-1] + step, len(held))
                 first, held = starts[-1] + step - keep, held[keep:]
         hit = np.concatenate(fired)
-        rises = int(hit[:1].sum() + (hit[1:] & ~hit[:-1]).sum())
-        return pd.DataFrame({"zone": [b["zone"].iloc[0]], "windows": [len(hit)], "fired": [int(hit.sum())], "episodes": [rises]})
-
-    return balls.groupBy("zone").cogroup(thresholds.select("zone", "threshold").groupBy("zone")).applyInPandas(zone, "zone string, windows long, fired long, episodes long")
+        rise = hit & ~np.r_[False, hit[:-1]]
+        hour = np.arange(len(hit)) * step // bins_per_hour
+        row = {"zone": b["zone"].iloc[0], "windows": len(hit), "fired": int(hit.sum()), "episodes": int(rise.sum()), "share": float(hit.mean()), "hours": int(hour[-1]) + 1}
+        for name, x in (("fired", hit), ("episodes", rise)):
+            by_hour = np.bincount(hour, x)
+            row |= {f"{name}_mean": float(by_hour.mean()), f"{name}_p95": float(np.percentile(by_hour, 95)), f"{name}_most": float(by_hour.max())}
+        return pd.DataFrame([row])
+
+    return balls.groupBy("zone").cogroup(thresholds.select("zone", "threshold").groupBy("zone")).applyInPandas(zone, f"zone string, windows long, fired long, episodes long, share double, hours long, {rates}")
 
 
 def check_frozen(frozen: DataFrame, live: DataFrame) -> DataFrame:

@@ -52,15 +52,21 @@ class Totals(StreamingQueryListener):
 
     def __init__(self):
         self.total, self.delta, self.gauges, self.batches, self.failed, self.rows, self.seconds = Counter(), {}, {}, 0, 0, 0, 0.0
+        self.cycle, self.publish_failures, self.running = 0.0, 0, 0
+
+    def series(self) -> dict[str, float]:
+        """Series of the process, beside those by zone in ``live.series``: the last cycle's seconds, cycles, failed publications, and whether a query runs."""
+        return {"cycle_seconds": self.cycle, "cycles": self.batches, "failed_publications": self.publish_failures, "connected": float(self.running > 0)}
 
     def onQueryStarted(self, event) -> None:
-        return
+        self.running += 1
 
     def onQueryProgress(self, event) -> None:
         self.batches += 1
         self.delta = {k: v for row in event.progress.observedMetrics.values() for k, v in row.asDict().items()}
         self.rows += event.progress.numInputRows
-        self.seconds += event.progress.batchDuration / 1000
+        self.cycle = event.progress.batchDuration / 1000
+        self.seconds += self.cycle
         self.gauges |= {k: v for k, v in self.delta.items() if k in GAUGES and v is not None}
         self.total.update({k: v for k, v in self.delta.items() if k not in GAUGES and v is not None})
 
@@ -68,13 +74,16 @@ class Totals(StreamingQueryListener):
         return
 
     def onQueryTerminated(self, event) -> None:
+        self.running -= 1
         self.failed += event.exception is not None
+        self.publish_failures += "PublishError" in (event.exception or "")
 
 
-def topology_guard(armed: DataFrame, live, publish, every_s: float = 0.0, clock=time.monotonic):
+def topology_guard(armed: DataFrame, live, publish, every_s: float = 0.0, clock=time.monotonic, results: Counter | None = None):
     """A foreachBatch function: publishes while the live fingerprints are the armed ones; a change is fatal.
 
-    The registry is read again once ``every_s`` seconds have passed since it last was (0: for each batch).
+    The registry is read again once ``every_s`` seconds have passed since it last was (0: for each batch). ``results`` counts the
+    checks by result: equal, changed or unreadable.
 
     ``live`` makes the current (zone, fingerprint) table; if it can't be read, whatever the reason, that is logged
     and publishing goes on.
@@ -92,7 +101,11 @@ def topology_guard(armed: DataFrame, live, publish, every_s: float = 0.0, clock=
             changed = armed.join(now.withColumnRenamed("fingerprint", "__now"), "zone", "full").where(~F.col("fingerprint").eqNullSafe(F.col("__now"))).take(1)
         except Exception as e:  # noqa: BLE001  Spark's, py4j's and the file system's own errors
             log.warning("the registry can't be read, topology isn't checked: %s", e)
-            changed = []
+            changed, result = [], "unreadable"
+        else:
+            result = "changed" if changed else "equal"
+        if results is not None:
+            results[result] += 1
         if changed:
             raise TopologyMismatch(f"zone {changed[0]['zone']} isn't what its threshold was calibrated for")
         publish(batch, batch_id)

@@ -1,6 +1,8 @@
 """Operators on small inputs with known results."""
 
 import json
+from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -171,11 +173,18 @@ def test_the_guard_rereads_by_its_interval(spark):
         reads.append(now[0])
         return armed
 
-    run = metrics.topology_guard(armed, live, lambda b, i: seen.append(i), every_s=300, clock=lambda: now[0])
+    results = Counter()
+    run = metrics.topology_guard(armed, live, lambda b, i: seen.append(i), every_s=300, clock=lambda: now[0], results=results)
     for i, t in enumerate((0.0, 10.0, 299.0, 300.0, 301.0)):
         now[0] = t
         run(armed, i)
-    assert reads == [0.0, 300.0] and seen == [0, 1, 2, 3, 4]
+    assert reads == [0.0, 300.0] and seen == [0, 1, 2, 3, 4] and results == {"equal": 2}
+    totals = metrics.Totals()
+    totals.onQueryStarted(None)
+    totals.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(observedMetrics={}, numInputRows=7, batchDuration=1500)))
+    assert totals.series() == {"cycle_seconds": 1.5, "cycles": 1, "failed_publications": 0, "connected": 1.0}
+    totals.onQueryTerminated(SimpleNamespace(exception="ampgraph.errors.PublishError: a row has no topic"))
+    assert totals.series()["failed_publications"] == 1 and totals.series()["connected"] == 0.0
 
 
 def test_width_choice_and_fit(spark):
