@@ -7,6 +7,8 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 
 def _ratio(a, b):
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -21,11 +23,14 @@ def confusion(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def auc(scores: DataFrame, *by: str) -> DataFrame:
-    """Mann-Whitney AUC with ordinal ranks (ties in the order of ids); ``scores`` has label, score, id."""
-    order = Window.partitionBy(*by).orderBy("score", "id")
-    ranked = scores.withColumn("r", F.row_number().over(order))
-    sums = ranked.groupBy(*by).agg(F.sum(F.when(F.col("label"), F.col("r"))).alias("s"), F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("q"))
-    return sums.withColumn("auc", F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))).drop("s")
+    """Mann-Whitney AUC with ordinal ranks (ties in the order of ids); ``scores`` has label, score, id.
+
+    One numbering over all groups, in ranges; a group's ranks are its numbers less those before it.
+    """
+    ranked = numbered(scores.select(*by, "label", "score", "id"), *by, "score", "id", name="r")
+    sums = ranked.groupBy(*by).agg(F.sum(F.when(F.col("label"), F.col("r"))).alias("s"), F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("q"), (F.min("r") - 1).alias("before"))
+    rank_sum = F.col("s") - F.col("p") * F.col("before")
+    return sums.withColumn("auc", F.try_divide(rank_sum - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * F.col("q"))).drop("s", "before")
 
 
 def rate_at_fpr(scores: DataFrame, fpr: float = 0.01) -> DataFrame:
@@ -41,7 +46,7 @@ def numbered(rows: DataFrame, *order, name: str = "place") -> DataFrame:
     """
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
-    placed = placed.persist()
+    placed = materialize(placed, "numbered")
     before, offsets = 0, {}
     for r in sorted(placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first")).collect()):
         offsets[r["__part"]] = before - r["first"]
