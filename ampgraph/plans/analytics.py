@@ -1386,4 +1386,4 @@ def win_interarrival(s, d):
     return evaluate.percentiles(gaps, "gap", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, "zone").join(ends, "zone")
 
 
-from . import reports  # noqa: E402, F401  registers its queries
+from . import reads, reports  # noqa: E402, F401  register their queries
