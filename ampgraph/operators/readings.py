@@ -125,3 +125,9 @@ def zscores(signal: DataFrame) -> DataFrame:
     over = Window.partitionBy("zone", "t")
     spread = F.stddev_pop("value").over(over)
     return signal.select("zone", "t", "idx", (F.abs(F.col("value") - F.avg("value").over(over)) / F.when(spread < 1e-12, 1.0).otherwise(spread)).alias("z"))
+
+
+def silent(meters: DataFrame, readings: DataFrame, span_us: int) -> DataFrame:
+    """Meters from which nothing arrived within a span before the newest arrival."""
+    heard = with_now(readings.select("device_id", "arrival_us"), readings).where(F.col("arrival_us") >= F.col("now") - span_us)
+    return meters.join(heard.select("device_id"), "device_id", "left_anti")

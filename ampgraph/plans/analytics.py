@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import detect, evaluate, graph, inject, registry, spectral, windows
+from ..operators import detect, evaluate, graph, inject, readings, registry, spectral, windows
 from ..settings import cycle_interval, zone_filter
 from ..sources import simulator, sinks, tables
 from ..storage import materialize
@@ -1286,11 +1286,12 @@ def prj_status_tone(s, d):
 
 @operator
 def prj_liveness(s, d):
+    """Of all meters, and one that never sent a reading."""
     t = get(s, d, "telemetry")
-    now = t.agg(F.max("arrival_us").alias("now"))
-    seen = registry.latest(t.where("power > 1")).select("device_id", F.col("arrival_us").alias("seen"))
-    rows = get(s, d, "meters").join(seen, "device_id", "left").crossJoin(F.broadcast(now))
-    age = F.greatest(F.lit(0.0), (F.col("now") - F.col("seen")) / 1e6)
+    seen = registry.latest(t).select("device_id", F.col("arrival_us").alias("seen"))
+    never = get(s, d, "meters").select(F.lit("dev-mon-99999999").alias("device_id")).limit(1)
+    rows = readings.with_now(get(s, d, "meters").select("device_id").unionByName(never).join(seen, "device_id", "left"), t)
+    age = readings.age_seconds(F.col("seen"), F.col("now"))
     return rows.select("device_id", registry.liveness(F.when(F.col("seen").isNotNull(), age), 86400, 259200).alias("liveness"))
 
 

@@ -200,3 +200,8 @@ def agg_last_hour(s, d):
 def flt_fresh_window(s, d):
     t = get(s, d, "telemetry")
     return readings.with_now(t, t).where(F.col("arrival_us") >= F.col("now") - DAY_US).select("id", "device_id")
+
+
+@operator
+def jn_silent_anti(s, d):
+    return readings.silent(get(s, d, "meters"), get(s, d, "telemetry"), DAY_US).groupBy("zone").agg(F.count(F.lit(1)).alias("silent"))

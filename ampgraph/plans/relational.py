@@ -17,11 +17,11 @@ SHARED = {
     "prj_status_tone": "SELECT id, CASE WHEN status IS NULL THEN 'neutral' WHEN status = 'activo' THEN 'success' WHEN status = 'mantenimiento' THEN 'warning' ELSE 'danger' END AS tone FROM {telemetry}",
     "prj_status_label": "SELECT id, coalesce(replace(status, '_', ' '), 'Sin clasificar') AS label FROM {telemetry}",
     "prj_age_seconds": f"SELECT device_id, greatest(0e0, ({NOW} - last_seen_us) / 1e6) AS age FROM {{meters}}",
-    "prj_liveness": f"SELECT m.device_id, CASE WHEN age IS NULL THEN 'no reading' WHEN age < 86400 THEN 'live' WHEN age < 259200 THEN 'delayed' ELSE 'no signal' END AS liveness FROM {{meters}} m LEFT JOIN (SELECT device_id, greatest(0e0, ({NOW} - max(arrival_us)) / 1e6) AS age FROM {{telemetry}} WHERE power > 1 GROUP BY device_id) a ON m.device_id = a.device_id",
+    "prj_liveness": f"SELECT m.device_id, CASE WHEN age IS NULL THEN 'no reading' WHEN age < 86400 THEN 'live' WHEN age < 259200 THEN 'delayed' ELSE 'no signal' END AS liveness FROM (SELECT device_id FROM {{meters}} UNION ALL SELECT 'dev-mon-99999999') m LEFT JOIN (SELECT device_id, greatest(0e0, ({NOW} - max(arrival_us)) / 1e6) AS age FROM {{telemetry}} GROUP BY device_id) a ON m.device_id = a.device_id",
     "prj_freshness": f"SELECT zone, CASE WHEN ({NOW} - max(arrival_us)) / 1e6 > 60 THEN 'stale' ELSE 'live' END AS freshness FROM {{telemetry}} GROUP BY zone",
     "prj_device_type": "SELECT device_id, CASE substr(device_id, 5, 3) WHEN 'mon' THEN 'monofasico' WHEN 'tri' THEN 'trifasico' END AS kind FROM {meters}",
     # --- joins ---
-    "jn_silent_anti": "SELECT m.zone, count(*) AS silent FROM {meters} m LEFT JOIN (SELECT DISTINCT device_id FROM {telemetry} WHERE power > 29.5 AND voltage < 215) s ON m.device_id = s.device_id WHERE s.device_id IS NULL GROUP BY m.zone",
+    "jn_silent_anti": f"SELECT m.zone, count(*) AS silent FROM {{meters}} m LEFT JOIN (SELECT DISTINCT device_id FROM {{telemetry}} WHERE arrival_us >= {NOW} - 86400000000) s ON m.device_id = s.device_id WHERE s.device_id IS NULL GROUP BY m.zone",
     "jn_zone_type_profile": "SELECT m.device_id, m.zone, p.sigma FROM {meters} m JOIN (SELECT device_type, round(stddev_samp(voltage), 6) AS sigma FROM {telemetry} GROUP BY device_type) p ON m.device_type = p.device_type",
     "jn_threshold_zone": "SELECT z.zone, t.cut FROM (SELECT DISTINCT zone FROM {meters}) z JOIN (SELECT zone, round(avg(value), 6) AS cut FROM {telemetry} GROUP BY zone) t ON z.zone = t.zone",
     "jn_latest_map": "SELECT m.device_id, l.value, l.ts_us FROM {meters} m LEFT JOIN (SELECT * FROM (SELECT device_id, value, ts_us, row_number() OVER (PARTITION BY device_id ORDER BY ts_us DESC, id DESC) AS r FROM {telemetry}) q WHERE r = 1) l ON m.device_id = l.device_id",
