@@ -118,14 +118,22 @@ class Pieces:
             if p.type == BYTE:
                 self.byte_ids[int(p.piece[3:5], 16)] = i
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """The text of ids; a blank that the model put before the text goes, and each invalid byte becomes U+FFFD."""
-        raw = b"".join(map(self.surface.__getitem__, ids))
-        first = next((i for i in ids if not self.silent[i]), None)
+        raw = b"".join([b"".join(map(self.surface.__getitem__, part)) for part in _slices(ids)])
+        first = next((i for part in _slices(ids) for i in part if not self.silent[i]), None)
         if self.drops_space and first is not None and self.leading[first]:
             raw = raw[1:]
         return raw.decode("utf-8", "each_byte")
 
+    def ids_digest(self, ids) -> str:
+        """The SHA-256 of the ids in decimal, joined by commas."""
+        sha, comma = hashlib.sha256(), ""
+        for part in _slices(ids):
+            sha.update((comma + ",".join(map(self.decimal.__getitem__, part))).encode())
+            comma = ","
+        return sha.hexdigest()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text. Words that many texts share are merged once; the others in flat arrays together."""
         found: list[list[bytes]] = [[] for _ in texts]
@@ -280,6 +288,12 @@ class Pieces:
         return out, np.repeat(word, n)
 
 
+def _slices(ids) -> Iterator[list[int]]:
+    """An array or list of ids as lists of at most ``AT_ONCE``: Python numbers of a long text's ids would take much room at once."""
+    for a in range(0, len(ids), AT_ONCE):
+        yield np.asarray(ids[a : a + AT_ONCE], np.int32).tolist()
+
+
 def _table(entries: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     keys = np.fromiter(entries, np.int64, len(entries))
     values = np.fromiter(entries.values(), np.int32, len(entries))
@@ -317,7 +331,7 @@ def encode_texts(docs: DataFrame, model: str | None = None, id_column: str = "do
             ids = coder.encode([x.decode("utf-8", "replace") for x in as_bytes(batch.column(1))])
             sizes = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            decoded = pa.array([coder.decode(x.tolist()) for x in ids], pa.string())
+            decoded = pa.array([coder.decode(x) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, decoded], names=["doc_id", "ids", "decoded"])
 
     kind = dict(docs.dtypes)[id_column]
@@ -337,11 +351,10 @@ def piece_digests(docs: DataFrame, model: str | None = None, id_column: str = "d
         coder = pieces(path)
         for batch in it:
             n, ids_sha, text_sha = [], [], []
-            for x in coder.encode([x.decode("utf-8", "replace") for x in as_bytes(batch.column(1))]):
-                ids = x.tolist()
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, ids)).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
+            for x in coder.encode([t.decode("utf-8", "replace") for t in as_bytes(batch.column(1))]):
+                n.append(len(x))
+                ids_sha.append(coder.ids_digest(x))
+                text_sha.append(hashlib.sha256(coder.decode(x).encode()).hexdigest())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
