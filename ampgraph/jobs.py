@@ -33,6 +33,7 @@ def injected(points: DataFrame, links: DataFrame, spec: dict) -> tuple[DataFrame
     Events apply in their order within the bounds, each on what earlier ones left. One without a seed gets one drawn from the zone's meters.
     """
     spark = points.sparkSession
+    ship(spark)
     if spec["zones"]:
         points, links = (df.where(F.col("zone").isin(spec["zones"])) for df in (points, links))
     zones = points.select("zone").distinct()
