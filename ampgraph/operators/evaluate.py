@@ -179,3 +179,11 @@ def pick_window(rates: DataFrame, floor: float = 0.5) -> DataFrame:
     advantage = F.when(F.col("scan") >= floor, F.struct((F.col("scan") - F.col("meter")).alias("gain"), (-F.col("length")).alias("l")))
     best = rates.groupBy("cut").agg((-F.max(advantage)["l"]).alias("by_advantage"), (-F.max(F.struct("scan", (-F.col("length")).alias("l")))["l"]).alias("by_detection"))
     return best.withColumn("differ", ~F.col("by_advantage").eqNullSafe(F.col("by_detection")))
+
+
+def mad_thresholds(rows: DataFrame, value: str, *by: str, times: float = 3.0) -> DataFrame:
+    """(by, cut): the median and so many times the median distance from it."""
+    middle = percentiles(rows, value, {"__m": 0.5}, *by)
+    apart = rows.join(middle, list(by)).withColumn("__d", F.abs(F.col(value) - F.col("__m")))
+    spread = percentiles(apart, "__d", {"__s": 0.5}, *by)
+    return middle.join(spread, list(by)).select(*by, (F.col("__m") + times * F.col("__s")).alias("cut"))

@@ -131,3 +131,35 @@ def silent(meters: DataFrame, readings: DataFrame, span_us: int) -> DataFrame:
     """Meters from which nothing arrived within a span before the newest arrival."""
     heard = with_now(readings.select("device_id", "arrival_us"), readings).where(F.col("arrival_us") >= F.col("now") - span_us)
     return meters.join(heard.select("device_id"), "device_id", "left_anti")
+
+
+#: The names that clients read.
+TELEMETRY_NAMES = {
+    "id": "reading_id", "device_id": "meter_id", "device_type": "kind", "zone": "zone_id", "ts_us": "event_time", "voltage": "voltage_v", "current": "current_a", "power": "power_kw",
+    "energy": "energy_kwh", "frequency": "frequency_hz", "power_factor": "pf", "status": "state", "node": "origin", "arrival_us": "received_at",
+}
+METER_NAMES = {
+    "device_id": "meter_id", "device_type": "kind", "zone": "zone_id", "lat": "latitude", "lon": "longitude", "node": "origin", "installed_us": "installed_at", "last_seen_us": "last_seen_at",
+    "active": "is_active",
+}
+
+
+def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The named columns under their other names, and no others."""
+    return rows.select(*(F.col(c).alias(n) for c, n in names.items()))
+
+
+def status_label(status: Column) -> Column:
+    """A status as people read it."""
+    return F.coalesce(F.replace(status, F.lit("_"), F.lit(" ")), F.lit("Sin clasificar"))
+
+
+def kind_of(device_id: Column) -> Column:
+    """The kind of meter that an id tells; null for others."""
+    part = F.substring(device_id, 5, 3)
+    return F.when(part == "mon", "monofasico").when(part == "tri", "trifasico")
+
+
+def unknown(wanted: DataFrame, meters: DataFrame) -> DataFrame:
+    """Zones of ``wanted`` that no meter is in."""
+    return wanted.select("zone").distinct().join(meters.select("zone"), "zone", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, readings, registry
+from ..operators import evaluate, graph, readings, registry
 from .registry import operator
 from .views import DAY_US, get
 
@@ -205,3 +205,60 @@ def flt_fresh_window(s, d):
 @operator
 def jn_silent_anti(s, d):
     return readings.silent(get(s, d, "meters"), get(s, d, "telemetry"), DAY_US).groupBy("zone").agg(F.count(F.lit(1)).alias("silent"))
+
+
+@operator
+def prj_rest_telemetry(s, d):
+    return readings.renamed(get(s, d, "telemetry"), readings.TELEMETRY_NAMES)
+
+
+@operator
+def prj_rest_meters(s, d):
+    return readings.renamed(get(s, d, "meters"), readings.METER_NAMES)
+
+
+@operator
+def prj_status_label(s, d):
+    return get(s, d, "telemetry").select("id", readings.status_label(F.col("status")).alias("label"))
+
+
+@operator
+def prj_device_type(s, d):
+    return get(s, d, "meters").select("device_id", readings.kind_of(F.col("device_id")).alias("kind"))
+
+
+@operator
+def flt_active_meters(s, d):
+    return get(s, d, "meters").where("active").select("device_id", "zone")
+
+
+@operator
+def flt_bounds(s, d):
+    return get(s, d, "telemetry").select("id", "voltage", (~F.col("voltage").between(205, 235)).alias("outside"))
+
+
+@operator
+def jn_zone_type_profile(s, d):
+    sigma = readings.profile(get(s, d, "telemetry"), ["voltage"]).select("device_type", F.round("sigma", 6).alias("sigma"))
+    return get(s, d, "meters").join(sigma, "device_type").select("device_id", "zone", "sigma")
+
+
+@operator
+def agg_mean_optional(s, d):
+    return get(s, d, "telemetry").groupBy("zone").agg(F.round(F.avg("energy"), 6).alias("energy"), F.count("energy").alias("filled"))
+
+
+@operator
+def srt_table_20(s, d):
+    return get(s, d, "telemetry").orderBy(F.desc("ts_us"), F.desc("id")).limit(20).select("id", "status")
+
+
+@operator
+def set_unknown_zones(s, d):
+    wanted = s.createDataFrame([("z000000",), ("nowhere",), ("z999999",)], "zone string")
+    return readings.unknown(wanted, get(s, d, "meters"))
+
+
+@operator
+def sc_mad_threshold(s, d):
+    return _rounded(evaluate.mad_thresholds(get(s, d, "signal"), "value", "zone"), 6, "cut")
