@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ampgraph import errors
 from ampgraph.operators import registry
-from ampgraph.sources import simulator, sinks, tables
+from ampgraph.sources import simulator, tables
+from ampgraph.sources.registry_store import RegistryStore
 
 
 def test_messages(spark):
@@ -49,12 +50,13 @@ def test_calibration_errors(spark):
 def test_ingest_batches_are_idempotent(spark, tmp_path):
     rows = [(1, "d", "mono", "z1", "n", 50)]
     df = spark.createDataFrame(rows, "id long, device_id string, device_type string, zone string, node string, arrival_us long")
-    write = sinks.ingest_batch(f"{tmp_path}/t", f"{tmp_path}/r")
+    store = RegistryStore(spark, str(tmp_path / "store"), buckets=4)
     for _ in range(2):
-        write(df, 0)
-    write(df.withColumn("arrival_us", F.lit(60)), 1)
-    assert spark.read.parquet(f"{tmp_path}/t").count() == 2
-    assert spark.read.parquet(f"{tmp_path}/r/version=1").first().last_seen_us == 60
+        store.write(df, 0)
+    store.write(df.withColumn("arrival_us", F.lit(60).cast("long")), 1)
+    schema = "id long, device_id string, device_type string, zone string, node string, arrival_us long"
+    assert store.readings(schema).count() == 2
+    assert store.registry().first().last_seen_us == 60
 
 
 def test_simulator_is_seeded_and_clamped(spark):
