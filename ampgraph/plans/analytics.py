@@ -684,11 +684,6 @@ def sp_eigh(s, d):
     return rows.groupBy("zone").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(x), 6).alias("trace"), F.round(F.sum(x * x), 6).alias("squares"), F.round(F.sum(x * x * x), 6).alias("cubes"))
 
 
-@query("SELECT zone, t, round(sum(value * value), 1) AS energy FROM whole GROUP BY zone, t", whole=WHOLE)
-def sp_gft(s, d):
-    return spectral.gft(get(s, d, "edges"), _whole(s, d)).groupBy("zone", "t").agg(F.round(F.sum(F.col("value") * F.col("value")), 1).alias("energy"))
-
-
 @query("SELECT zone, t, idx, round(value, 6) AS value FROM whole", whole=WHOLE)
 def sp_igft(s, d):
     e, x = get(s, d, "edges"), _whole(s, d)

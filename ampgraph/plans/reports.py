@@ -390,6 +390,19 @@ TAYLOR = {
 }
 
 
+@query("""
+SELECT zone, t, round(sum(x * x), 1) AS energy, round(sum(x * y), 1) AS dirichlet, round(sum(y * y), 1) AS second
+FROM (SELECT x.zone, x.t, x.idx, any_value(x.value) AS x, any_value(x.value) - coalesce(sum(s.share * n.value), 0e0) AS y FROM whole x
+  LEFT JOIN scaled s ON s.zone = x.zone AND s.src = x.idx LEFT JOIN whole n ON n.zone = s.zone AND n.t = x.t AND n.idx = s.dst GROUP BY x.zone, x.t, x.idx) GROUP BY zone, t""", whole=WHOLE, scaled=TAYLOR["scaled"])
+def sp_gft(s, d):
+    """Coefficients by their moments: squares weighted with 1, the eigenvalue and its square are x'x, x'Lx and x'LLx."""
+    e, x = get(s, d, "edges"), _whole(s, d)
+    values = spectral.spectrum(e).select("zone", F.col("k").alias("idx"), "eigenvalue")
+    c = spectral.gft(e, x).join(values, ["zone", "idx"])
+    square, own = F.col("value") * F.col("value"), F.col("eigenvalue")
+    return c.groupBy("zone", "t").agg(F.round(F.sum(square), 1).alias("energy"), F.round(F.sum(square * own), 1).alias("dirichlet"), F.round(F.sum(square * own * own), 1).alias("second"))
+
+
 @query(f"SELECT zone, t, idx, round(sum(v), 6) AS value FROM ({' UNION ALL '.join(f'SELECT * FROM term{k}' for k in range(TERMS + 1))}) GROUP BY zone, t, idx", whole=WHOLE, **TAYLOR)
 def sp_diffuse_sparse(s, d):
     """The exponential of the Laplacian by Chebyshev terms over edges (2 for the largest eigenvalue); its twin sums Taylor terms."""
