@@ -403,9 +403,9 @@ def sp_gft(s, d):
     return c.groupBy("zone", "t").agg(F.round(F.sum(square), 1).alias("energy"), F.round(F.sum(square * own), 1).alias("dirichlet"), F.round(F.sum(square * own * own), 1).alias("second"))
 
 
-@query(f"SELECT zone, t, idx, round(sum(v), 6) AS value FROM ({' UNION ALL '.join(f'SELECT * FROM term{k}' for k in range(TERMS + 1))}) GROUP BY zone, t, idx", whole=WHOLE, **TAYLOR)
+@query(f"SELECT zone, t, idx, round(sum(v), 4) AS value FROM ({' UNION ALL '.join(f'SELECT * FROM term{k}' for k in range(TERMS + 1))}) GROUP BY zone, t, idx", whole=WHOLE, **TAYLOR)
 def sp_diffuse_sparse(s, d):
     """The exponential of the Laplacian by Chebyshev terms over edges (2 for the largest eigenvalue); its twin sums Taylor terms."""
     points = get(s, d, "points")
     tops = points.select("zone").distinct().withColumn("largest", F.lit(2.0))
-    return r6(sparse.diffuse(points, get(s, d, "edges"), _whole(s, d), tau=0.5, largest=tops), "value")
+    return sparse.diffuse(points, get(s, d, "edges"), _whole(s, d), tau=0.5, largest=tops).withColumn("value", F.round("value", 4))
