@@ -89,6 +89,11 @@ def box_density(points: DataFrame) -> DataFrame:
     return points.groupBy("zone").agg((F.count(F.lit(1)) / (side("x") * side("y"))).alias("density"))
 
 
+def curve(cells: DataFrame) -> DataFrame:
+    """(zone, bin, y): mean values, to nine decimals, so that equal means compare as equal in whatever order tasks add them up."""
+    return cells.groupBy("zone", "bin").agg(F.round(F.avg("value"), 9).alias("y"))
+
+
 def edges_of_episodes(flags: DataFrame) -> DataFrame:
     """(zone, bin, rise): where a flag ``above`` comes up."""
     before = F.coalesce(F.lag("above").over(Window.partitionBy("zone").orderBy("bin")), F.lit(False))

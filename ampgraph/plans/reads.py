@@ -111,7 +111,7 @@ def agg_corr(s, d):
 
 
 def _curve(s, d):
-    return get(s, d, "cells").groupBy("zone", "bin").agg(F.avg("value").alias("y"))
+    return readings.curve(get(s, d, "cells"))
 
 
 @operator

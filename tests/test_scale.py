@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampgraph.operators import experiments
+from ampgraph.operators import experiments, readings
 
 
 def ring(n):
@@ -65,3 +65,15 @@ def test_experiments_of_few_bytes_go_to_many_tasks(spark, zones):
     sets = experiments.grid(spark, trials=[20])
     rows = experiments.run(zones, sets).withColumn("task", F.spark_partition_id())
     assert rows.select("task").distinct().count() > 8
+
+
+def added_in_order(spark, *bins):
+    rows = [("z", b, v) for b, values in enumerate(bins) for v in values]
+    return readings.curve(spark.createDataFrame(rows, "zone string, bin long, value double").coalesce(1))
+
+
+def test_a_mean_at_the_mark_is_not_above_it_in_any_order(spark):
+    """win_episode_edges: the mean of these is 50, and 50.00000000000001 if they are added up in this order."""
+    values = (22.01, 93.25, 41.79, 10.33, 82.62)
+    y = added_in_order(spark, values, values[::-1])
+    assert not readings.edges_of_episodes(y.select("zone", "bin", (F.col("y") > 50).alias("above"))).where("rise").count()
