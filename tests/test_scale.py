@@ -77,3 +77,9 @@ def test_a_mean_at_the_mark_is_not_above_it_in_any_order(spark):
     values = (22.01, 93.25, 41.79, 10.33, 82.62)
     y = added_in_order(spark, values, values[::-1])
     assert not readings.edges_of_episodes(y.select("zone", "bin", (F.col("y") > 50).alias("above"))).where("rise").count()
+
+
+def test_equal_means_are_no_extremum_in_any_order(spark):
+    """win_local_extrema: three equal means, of which the middle one is added up in another order."""
+    values = (22.01, 93.25, 41.79, 10.33, 82.62)
+    assert not readings.extrema(added_in_order(spark, values[::-1], values, values[::-1])).count()
