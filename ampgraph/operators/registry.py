@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
+from .tasks import spread
 
 ID_PATTERN = "^dev-(mon|tri)-[0-9]{8}$"
 #: Closed ranges that a producer keeps to.
@@ -130,17 +133,40 @@ def labelled_zones(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels.select("zone", F.col("label").alias("__label")), "zone", "left").withColumn("label", F.coalesce("__label", "zone")).drop("__label")
 
 
-def zone_pairs(meters: DataFrame) -> DataFrame:
+def zone_pairs(meters: DataFrame, block: int = 200) -> DataFrame:
     """(za, zb, centroids, nearest) of every pair of zones: the distance of their centroids, and of their closest meters.
 
     ``meters`` has zone, x and y in one frame. The answer has a row for each pair of zones, so it is for audits of a registry.
+    A zone is one row of coordinates; zones lie in blocks of about ``block``, and each pair of blocks is compared by itself,
+    one zone against a block at a time.
     """
-    places = meters.select("zone", "x", "y")
-    centre = places.groupBy("zone").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-
-    def met(rows):
-        a, b = rows.alias("a"), rows.alias("b")
-        dx, dy = F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")
-        return a.join(b, F.col("a.zone") < F.col("b.zone")).select(F.col("a.zone").alias("za"), F.col("b.zone").alias("zb"), F.sqrt(dx * dx + dy * dy).alias("dist"))
-
-    return met(centre).withColumnRenamed("dist", "centroids").join(met(places).groupBy("za", "zb").agg(F.min("dist").alias("nearest")), ["za", "zb"])
+    place = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("x", "y"))
+    zones = meters.where("zone is not null").groupBy("zone").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.collect_list(place).alias("at"))
+    count = meters.select("zone").distinct().count()
+    blocks = max(1, -(-count // block))
+    own = F.pmod(F.xxhash64("zone"), F.lit(blocks)).cast("int")
+    rows = zones.select("zone", "x", "y", F.col("at.x").alias("xs"), F.col("at.y").alias("ys"), own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    rows = rows.select("zone", "x", "y", "xs", "ys", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+    def met(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = key
+        left, right = (pdf[pdf["own"] == b].reset_index(drop=True) for b in (low, high))
+        out, size = [], right["xs"].map(len).to_numpy()
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=["za", "zb", "centroids", "nearest"])
+        x, y, names = np.concatenate(right["xs"].tolist()), np.concatenate(right["ys"].tolist()), right["zone"].to_numpy(object)
+        first, some = (size.cumsum() - size)[size > 0], size > 0
+        for z in left.itertuples():
+            near, squares = np.full(len(right), np.nan), np.full(len(x), np.inf)
+            for at in range(0, len(z.xs), 64):
+                dx, dy = z.xs[at : at + 64, None] - x, z.ys[at : at + 64, None] - y
+                squares = np.minimum(squares, (dx * dx + dy * dy).min(0))
+            if len(z.xs) and len(x):
+                near[some] = np.sqrt(np.minimum.reduceat(squares, first))
+            take = names > z.zone if low == high else np.ones(len(right), bool)
+            dx, dy = z.x - right["x"].to_numpy(float), z.y - right["y"].to_numpy(float)
+            turn = names < z.zone
+            out.append(pd.DataFrame({"za": np.where(turn, names, z.zone), "zb": np.where(turn, z.zone, names), "centroids": np.sqrt(dx * dx + dy * dy), "nearest": near})[take])
+        return pd.concat(out)
+
+    return spread(rows, "low", "high").groupBy("low", "high").applyInPandas(met, "za string, zb string, centroids double, nearest double")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampgraph.operators import experiments, readings
+from ampgraph.operators import experiments, readings, registry
 
 
 def ring(n):
@@ -83,3 +83,15 @@ def test_equal_means_are_no_extremum_in_any_order(spark):
     """win_local_extrema: three equal means, of which the middle one is added up in another order."""
     values = (22.01, 93.25, 41.79, 10.33, 82.62)
     assert not readings.extrema(added_in_order(spark, values[::-1], values, values[::-1])).count()
+
+
+def test_pairs_of_zones_in_blocks(spark):
+    """jn_zone_pairs: no join by order meets all meters of all zones; blocks of zones give each pair once."""
+    rng = np.random.default_rng(3)
+    rows = [(f"z{z}", float(x), float(y)) for z in range(23) for x, y in rng.random((1 + 40 * (z % 4), 2))]
+    got = registry.zone_pairs(spark.createDataFrame(rows, "zone string, x double, y double"), block=4)
+    assert "NestedLoop" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan
+    at = {z: np.array([r[1:] for r in rows if r[0] == z]) for z in {r[0] for r in rows}}
+    want = {(a, b): (np.hypot(*(at[a].mean(0) - at[b].mean(0))), np.hypot(*(at[a][:, None] - at[b]).transpose(2, 0, 1)).min()) for a in at for b in at if a < b}
+    found = got.collect()
+    assert len(found) == len(want) and all(want[r.za, r.zb] == pytest.approx((r.centroids, r.nearest)) for r in found)
