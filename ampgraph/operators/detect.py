@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import DetectorError
 from . import spectral
+from .tasks import spread
 
 
 @dataclass(frozen=True)
@@ -126,75 +127,98 @@ def meter_threshold(means: DataFrame, mean: float, sigma: float, window: int) ->
     return means.groupBy("zone", "bin").agg((F.max(F.abs(F.col("mean") - mean)) / F.lit(sigma / float(np.sqrt(window)))).alias("statistic"))
 
 
-def null_maxima(masks: np.ndarray, sigma: float, config: DetectorConfig, seed: int, instants: int | None = None) -> np.ndarray:
-    """The largest contrast of each simulated signal without events, in the order of one generator's draws."""
-    n = masks.shape[1]
-    length, size = instants or config.window, masks.sum(1)
+def _probes(masks: np.ndarray, sigma: float, window: int) -> np.ndarray:
+    """(n, balls): weights whose product with a window's means is each ball's contrast in standard errors."""
+    n, size = masks.shape[1], masks.sum(1, keepdims=True)
+    return ((masks / size - (1 - masks) / (n - size)) / (sigma / np.sqrt(window) * np.sqrt(1 / size + 1 / (n - size)))).T
+
+
+def null_means(n: int, sigma: float, config: DetectorConfig, seed: int, instants: int | None = None) -> list[np.ndarray]:
+    """(signals, windows, n) of each 50 simulated signals without events, in the order of one generator's draws."""
+    length = instants or config.window
     if length < config.window:
         raise DetectorError("the signal is shorter than the window")
     starts = np.arange(0, length - config.window + 1, config.step or config.window)
-    error = sigma / np.sqrt(config.window) * np.sqrt(1 / size + 1 / (n - size))
     rng, out = np.random.default_rng(seed), []
     for at in range(0, config.samples, 50):
         x = rng.normal(0.0, sigma, (min(50, config.samples - at), length, n))
         sums = np.concatenate([np.zeros((len(x), 1, n)), x.cumsum(1)], 1)
-        means = (sums[:, starts + config.window] - sums[:, starts]) / config.window
-        inside = means @ masks.T
-        rest = (means.sum(2, keepdims=True) - inside) / (n - size)
-        out.append((np.abs(inside / size - rest) / error).max((1, 2)))
-    return np.concatenate(out)
+        out.append((sums[:, starts + config.window] - sums[:, starts]) / config.window)
+    return out
+
+
+def null_maxima(masks: np.ndarray, sigma: float, config: DetectorConfig, seed: int, instants: int | None = None, means: list[np.ndarray] | None = None) -> np.ndarray:
+    """The largest contrast of each simulated signal without events; ``means`` are of ``null_means``, where they are at hand."""
+    weights = _probes(masks, sigma, config.window)
+    return np.concatenate([np.abs(m @ weights).max((1, 2)) for m in means or null_means(masks.shape[1], sigma, config, seed, instants)])
+
+
+def _masks(balls: pd.DataFrame) -> np.ndarray:
+    masks = np.zeros((len(balls), int(balls["n"].iloc[0])))
+    for row, members in enumerate(balls.sort_values(["radius", "centre"])["members"]):
+        masks[row, members] = 1
+    return masks
+
+
+def _latest(make):
+    """``make`` by its argument, of which the last value is kept: a task's zones of one size share their signals."""
+    kept = {}
+
+    def get(n):
+        if n not in kept:
+            kept.clear()
+            kept[n] = make(n)
+        return kept[n]
+
+    return get
 
 
 def calibrate(balls: DataFrame, sigma: float, config: DetectorConfig = DetectorConfig(), seed: int = 0, instants: int | None = None) -> DataFrame:
     """(zone, threshold, candidates): each zone's cut by simulation, zones in parallel, one generator per zone.
 
-    Per window without ``instants``, per signal of that many instants with them.
+    Per window without ``instants``, per signal of that many instants with them. Zones of one size have the same draws, which a task makes once.
     """
+    means = _latest(lambda n: null_means(n, sigma, config, seed, instants))
 
     def zone(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["radius", "centre"])
-        masks = np.zeros((len(pdf), int(pdf["n"].iloc[0])))
-        for row, members in enumerate(pdf["members"]):
-            masks[row, members] = 1
-        top = null_maxima(masks, sigma, config, seed, instants)
+        masks = _masks(pdf)
+        top = null_maxima(masks, sigma, config, seed, instants, means(masks.shape[1]))
         return pd.DataFrame({"zone": [pdf["zone"].iloc[0]], "threshold": [float(np.quantile(top, 1 - config.fpr_target))], "candidates": [len(pdf)]})
 
-    return balls.groupBy("zone").applyInPandas(zone, "zone string, threshold double, candidates long")
+    return spread(balls, "zone").groupBy("zone").applyInPandas(zone, "zone string, threshold double, candidates long")
+
+
+def _long_means(n: int, sigma: float, config: DetectorConfig, seed: int, instants: int) -> list[np.ndarray]:
+    """(windows, n) of a long signal without events, drawn in pieces of which each begins with the last window of the one before."""
+    w, step = config.window, config.step or config.window
+    rng, held, out, first = np.random.default_rng(seed), np.empty((0, n)), [], 0
+    for at in range(0, instants, 4096):
+        held = np.concatenate([held, rng.normal(0.0, sigma, (min(4096, instants - at), n))])
+        starts = np.arange(first, len(held) - w + 1, step)
+        sums = np.concatenate([np.zeros((1, n)), held.cumsum(0)])
+        out.append((sums[starts + w] - sums[starts]) / w)
+        if len(starts):
+            keep = min(starts[-1] + step, len(held))
+            first, held = starts[-1] + step - keep, held[keep:]
+    return out
 
 
 def validate(balls: DataFrame, thresholds: DataFrame, sigma: float, config: DetectorConfig = DetectorConfig(), seed: int = 1, instants: int = 60_000, bins_per_hour: int = 600) -> DataFrame:
     """A zone's false alarms of its threshold on a long signal without events: windows, fired, episodes, share, and by hour.
 
     By hour (of ``bins_per_hour`` instants, where a window begins) there are the mean, p95 and most of fired and of episodes.
-
-    The signal is drawn and scanned in pieces of which each begins with the last window of the one before; an
-    episode is a run of windows that fire.
+    An episode is a run of windows that fire. Zones of one size have the same signal, which a task draws once.
     """
 
     rates = ", ".join(f"{name}_{kind} double" for name in ("fired", "episodes") for kind in ("mean", "p95", "most"))
+    means = _latest(lambda n: _long_means(n, sigma, config, seed, instants))
 
     def zone(b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if not len(b) or not len(t):
             return pd.DataFrame()
-        n, w, step = int(b["n"].iloc[0]), config.window, config.step or config.window
-        masks = np.zeros((len(b), n))
-        for row, members in enumerate(b.sort_values(["radius", "centre"])["members"]):
-            masks[row, members] = 1
-        size = masks.sum(1)
-        error = sigma / np.sqrt(w) * np.sqrt(1 / size + 1 / (n - size))
-        rng, held, fired, first = np.random.default_rng(seed), np.empty((0, n)), [], 0
-        for at in range(0, instants, 4096):
-            held = np.concatenate([held, rng.normal(0.0, sigma, (min(4096, instants - at), n))])
-            starts = np.arange(first, len(held) - w + 1, step)
-            sums = np.concatenate([np.zeros((1, n)), held.cumsum(0)])
-            means = (sums[starts + w] - sums[starts]) / w
-            inside = means @ masks.T
-            rest = (means.sum(1, keepdims=True) - inside) / (n - size)
-            fired.append((np.abs(inside / size - rest) / error).max(1) > t["threshold"].iloc[0])
-            if len(starts):
-                keep = min(starts[-1] + step, len(held))
-                first, held = starts[-1] + step - keep, held[keep:]
-        hit = np.concatenate(fired)
+        masks, step = _masks(b), config.step or config.window
+        weights = _probes(masks, sigma, config.window)
+        hit = np.concatenate([np.abs(m @ weights).max(1) > t["threshold"].iloc[0] for m in means(masks.shape[1])])
         rise = hit & ~np.r_[False, hit[:-1]]
         hour = np.arange(len(hit)) * step // bins_per_hour
         row = {"zone": b["zone"].iloc[0], "windows": len(hit), "fired": int(hit.sum()), "episodes": int(rise.sum()), "share": float(hit.mean()), "hours": int(hour[-1]) + 1}
@@ -203,7 +227,8 @@ def validate(balls: DataFrame, thresholds: DataFrame, sigma: float, config: Dete
             row |= {f"{name}_mean": float(by_hour.mean()), f"{name}_p95": float(np.percentile(by_hour, 95)), f"{name}_most": float(by_hour.max())}
         return pd.DataFrame([row])
 
-    return balls.groupBy("zone").cogroup(thresholds.select("zone", "threshold").groupBy("zone")).applyInPandas(zone, f"zone string, windows long, fired long, episodes long, share double, hours long, {rates}")
+    cuts = spread(thresholds.select("zone", "threshold"), "zone").groupBy("zone")
+    return spread(balls, "zone").groupBy("zone").cogroup(cuts).applyInPandas(zone, f"zone string, windows long, fired long, episodes long, share double, hours long, {rates}")
 
 
 def check_frozen(frozen: DataFrame, live: DataFrame) -> DataFrame:

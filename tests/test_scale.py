@@ -95,3 +95,20 @@ def test_pairs_of_zones_in_blocks(spark):
     want = {(a, b): (np.hypot(*(at[a].mean(0) - at[b].mean(0))), np.hypot(*(at[a][:, None] - at[b]).transpose(2, 0, 1)).min()) for a in at for b in at if a < b}
     found = got.collect()
     assert len(found) == len(want) and all(want[r.za, r.zb] == pytest.approx((r.centroids, r.nearest)) for r in found)
+
+
+def test_calibration_goes_to_many_tasks_and_draws_once_in_each(spark, zones):
+    """dt_calibrate_all: all zones were one task's, and each drew the same signals again."""
+    points = zones.select("zone", F.col("src").alias("idx")).distinct()
+    from ampgraph.operators import detect, graph
+
+    balls = graph.balls(zones, points, (1, 2))
+    config = detect.DetectorConfig(samples=100, step=1)
+    cuts = detect.calibrate(balls, 1.0, config, seed=3, instants=20)
+    assert cuts.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 8
+    found = {r.threshold for r in cuts.collect()}
+    masks = experiments.ball_masks(ring(9), (1, 2))
+    one = float(np.quantile(detect.null_maxima(masks, 1.0, config, 3, 20), 0.99))
+    assert len(found) == 1 and found.pop() == pytest.approx(one)
+    fired = detect.validate(balls, cuts, 1.0, config, instants=5000).collect()
+    assert len(fired) == 40 and len({(r.windows, r.fired, r.episodes) for r in fired}) == 1 and fired[0].windows == 5000 - 15
