@@ -67,17 +67,18 @@ LEFT JOIN cells c ON c.zone = t.zone AND c.bin = t.b AND c.device_id = m.device_
 }
 
 
-def _cycles(s, d):
-    """Two ticks a bin: the first emits and is scanned, the second finds nothing new."""
+def _cycles(s, d, zone=None):
+    """Two ticks a bin: the first emits and is scanned, the second finds nothing new. A replay of one zone takes its devices alone."""
+    own = F.lit(True) if zone is None else F.col("zone") == zone
     config = windows.WindowConfig(bin_us=GAPPY, length=LENGTH, grace_us=0)
-    ticks = get(s, d, "cells").select("zone", F.explode(F.array(*(F.lit((1 * GAPPY) + x) for x in (10_000_000, 20_000_000)))).alias("__after"), "bin").select("zone", (F.col("bin") * GAPPY + F.col("__after")).alias("at_us")).distinct()
-    rows = processor.replay(get(s, d, "telemetry"), get(s, d, "meters"), ticks, config, idle=True)
-    return r6(detect.scan(rows, _plans(s, d)), "statistic").select("zone", "bin", "status", "detected", "statistic", "radius", "centre")
+    ticks = get(s, d, "cells").where(own).select("zone", F.explode(F.array(*(F.lit((1 * GAPPY) + x) for x in (10_000_000, 20_000_000)))).alias("__after"), "bin").select("zone", (F.col("bin") * GAPPY + F.col("__after")).alias("at_us")).distinct()
+    rows = processor.replay(get(s, d, "telemetry"), get(s, d, "meters").where(own), ticks, config, idle=True)
+    return r6(detect.scan(rows, _plans(s, d).where(own)), "statistic").select("zone", "bin", "status", "detected", "statistic", "radius", "centre")
 
 
 @query("SELECT * FROM cycles WHERE zone = 'z000000'", **REPLAYED)
 def st_run_zone(s, d):
-    return _cycles(s, d).where("zone = 'z000000'")
+    return _cycles(s, d, "z000000")
 
 
 @query("SELECT status, count(*) AS n, count(*) FILTER (WHERE detected) AS detections FROM cycles GROUP BY status", **REPLAYED)
@@ -297,9 +298,10 @@ def sp_limits(s, d):
 @query()
 def sp_sign_compare(s, d):
     """Dirichlet and band energies of the signal, and under either sign of the exponent."""
-    e, x = get(s, d, "edges"), _whole(s, d)
+    e, x = get(s, d, "edges"), materialize(_whole(s, d), "signal")
     out = None
-    for name, y in {"original": x, "negative": spectral.diffuse(e, x, 0.5), "positive": spectral.diffuse(e, x, 0.5, sign=1)}.items():
+    for name, sign in {"original": 0, "negative": -1, "positive": 1}.items():
+        y = materialize(spectral.diffuse(e, x, 0.5, sign=sign), "signal") if sign else x
         bands = spectral.band_energy(e, y).groupBy("zone").agg(F.sum("low").alias("low"), F.sum("high").alias("high"))
         row = spectral.dirichlet(y, e).groupBy("zone").agg(F.sum("energy").alias("energy")).join(bands, "zone").withColumn("filter", F.lit(name))
         out = row if out is None else out.unionByName(row)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tasks import spread
 from ..operators.windows import WindowConfig
 
 #: Bins that are kept behind the window.
@@ -126,4 +127,4 @@ def replay(readings: DataFrame, devices: DataFrame, clock: DataFrame, config: Wi
             if out:
                 yield pd.DataFrame(out, columns=names).astype({"bin": "Int64"})
 
-    return line.repartition("zone").sortWithinPartitions("zone", "at", "kind", "id").mapInPandas(walk, OUTPUT)
+    return spread(line, "zone").sortWithinPartitions("zone", "at", "kind", "id").mapInPandas(walk, OUTPUT)

@@ -112,3 +112,23 @@ def test_calibration_goes_to_many_tasks_and_draws_once_in_each(spark, zones):
     assert len(found) == 1 and found.pop() == pytest.approx(one)
     fired = detect.validate(balls, cuts, 1.0, config, instants=5000).collect()
     assert len(fired) == 40 and len({(r.windows, r.fired, r.episodes) for r in fired}) == 1 and fired[0].windows == 5000 - 15
+
+
+def test_one_zone_replays_its_own_line(spark, monkeypatch):
+    """st_run_zone: the replay gets one zone's devices and ticks, and the rows of all are the same there."""
+    from ampgraph.plans import reports
+
+    sf, seen, replay = "/root/testdata/sf0.01", [], reports.processor.replay
+    monkeypatch.setattr(reports.processor, "replay", lambda readings, devices, clock, *rest, **more: seen.append((devices, clock)) or replay(readings, devices, clock, *rest, **more))
+    one = reports.st_run_zone(spark, sf)
+    assert all({r.zone for r in rows.select("zone").distinct().collect()} == {"z000000"} for rows in seen[0])
+    assert sorted(map(str, one.collect())) == sorted(map(str, reports._cycles(spark, sf).where("zone = 'z000000'").collect()))
+
+
+def test_kernels_by_zone_go_to_many_tasks(spark, zones):
+    """sp_sign_compare: kernels over zones and blocks of instants."""
+    from ampgraph.operators import spectral
+
+    x = spark.createDataFrame([(f"z{z}", 0, i, i * 1.5) for z in range(40) for i in range(9)], "zone string, t long, idx long, value double")
+    for rows in (spectral.diffuse(zones, x), spectral.spectrum(zones)):
+        assert rows.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 8
