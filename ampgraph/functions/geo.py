@@ -22,9 +22,15 @@ def curvature_radii(lat: Column) -> tuple[Column, Column]:
     return F.lit(A * (1 - E2)) / (w * w * w), F.lit(A) / w
 
 
+def exact_mean(name: str) -> Column:
+    """The mean of coordinates summed as decimals, so that its last bit doesn't depend on the order of rows; plain where some aren't finite."""
+    exact = F.col(name).try_cast("decimal(38,18)")
+    return F.when(F.count(exact) == F.count(name), F.avg(exact).cast("double")).otherwise(F.avg(name))
+
+
 def local_frames(meters: DataFrame) -> DataFrame:
     """(zone, lat0, lon0, m, n): each zone's mean position and the radii there."""
-    origin = meters.groupBy("zone").agg(F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0"))
+    origin = meters.groupBy("zone").agg(exact_mean("lat").alias("lat0"), exact_mean("lon").alias("lon0"))
     m, n = curvature_radii(F.col("lat0"))
     return origin.withColumns({"m": m, "n": n})
 
