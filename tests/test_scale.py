@@ -132,3 +132,45 @@ def test_kernels_by_zone_go_to_many_tasks(spark, zones):
     x = spark.createDataFrame([(f"z{z}", 0, i, i * 1.5) for z in range(40) for i in range(9)], "zone string, t long, idx long, value double")
     for rows in (spectral.diffuse(zones, x), spectral.spectrum(zones)):
         assert rows.withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 8
+
+
+def test_single_meters_are_scored_once_a_seed(monkeypatch):
+    """el_mag_dur and its kin: each zone and set took the products of all windows with single meters again."""
+    asked, plain = [], experiments.responses
+    monkeypatch.setattr(experiments, "responses", lambda w, m: asked.append(len(w)) or plain(w, m))
+    sets = [SimpleNamespace(**(experiments.BASE | {"trials": 60, "length": 20, "window": w, "aligned": False, "radii": [1]})) for w in (1, 4)]
+    draws, small = {}, ring(11)
+    small[0, 5] = small[5, 0] = 0
+    for a in (ring(11), small):
+        trials = experiments.Trials(a, 5, draws)
+        balls = len(experiments.ball_masks(a, [1]))
+        for p in sets:
+            got, n = trials.run(p), len(a)
+            _, means, starts = trials.drawn(p)
+            at = np.arange(p.length - p.window + 1)
+            share = np.maximum(p.window - np.abs(at - starts[:, None]), 0) / p.window
+            event = means + p.sigma * experiments.SIGMA * share[:, :, None] * trials.groups(p)[np.sort(np.arange(60) % n)][:, None]
+            assert got["meter_rate"] == experiments.separation(np.abs(means).max((1, 2)), np.abs(event).max((1, 2)))[0]
+            own = trials.groups(p)[np.sort(np.arange(60) % n)]
+            # what is scored in reach of events alone is what whole signals of the means give
+            down, up = (experiments.statistics(x, a, experiments.ball_masks(a, [1]), own, 1) for x in (means, event))
+            for row in got["scores"]:
+                scale = 1.0 if row["statistic"] != "scan" else experiments.SIGMA
+                rate, area = experiments.separation(down[row["statistic"]] / scale, up[row["statistic"]] / scale)
+                assert row["rate"] == pytest.approx(rate) and row["auc"] == pytest.approx(area, abs=1e-3)
+    assert asked == [balls] * 8
+
+
+@pytest.mark.parametrize("trials, windows", [(30, 1), (90, 60)])
+def test_strongest_response_in_narrow_and_wide_windows(trials, windows):
+    rng = np.random.default_rng(1)
+    seeds = np.repeat(np.sort(np.arange(trials) % 5), windows)
+    clean, shift, share = rng.normal(size=(7, len(seeds))), rng.normal(size=(7, 5)), rng.random(len(seeds))
+    want = np.abs(clean + shift[:, seeds] * share).max(0)
+    assert np.array_equal(experiments.strongest(clean, shift, seeds, share), want)
+
+
+def test_auc_ranks_clean_values_before_equal_ones():
+    down, up = np.array([1.0, 2.0, 2.0, 3.0]), np.array([2.0, 3.0, 0.0])
+    rank = np.r_[down, up].argsort(kind="stable").argsort()[4:] + 1
+    assert experiments.auc(down, up) == (rank.sum() - 6) / 12
