@@ -174,3 +174,13 @@ def test_auc_ranks_clean_values_before_equal_ones():
     down, up = np.array([1.0, 2.0, 2.0, 3.0]), np.array([2.0, 3.0, 0.0])
     rank = np.r_[down, up].argsort(kind="stable").argsort()[4:] + 1
     assert experiments.auc(down, up) == (rank.sum() - 6) / 12
+
+
+def test_a_zones_frame_is_the_same_in_any_order(spark):
+    """gr_k_sweep: nearest neighbours tie, and the last bit of the zone's mean position, which depended on the order of rows, chose among them."""
+    from ampgraph.functions.geo import local_frames
+
+    values = (22.01, 93.25, 41.79, 10.33, 82.62)
+    rows = [(z, v, -v) for z, order in (("a", values), ("b", values[::-1])) for v in order]
+    a, b = local_frames(spark.createDataFrame(rows, "zone string, lat double, lon double").coalesce(1)).orderBy("zone").collect()
+    assert a[1:] == b[1:] and a.lat0 == 50.0
